@@ -36,9 +36,9 @@ OTHER = regex.compile(f"[^{STABLE}]")
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Pieces kept in memory, and the longest of them.
-MEMO_PIECES, MEMO_CHARS = 200_000, 48
+MEMO_PIECES, MEMO_CHARS = 80_000, 48
 #: Pairs of tokens kept in memory.
-MEMO_PAIRS = 400_000
+MEMO_PAIRS = 100_000
 
 OUTPUT = StructType(
     [
@@ -108,7 +108,7 @@ class PrefixBpe:
             if whole[i]:  # a token that its own bytes don't encode to is never used
                 self.automaton.add_word(self.bytes_of[i].decode("latin-1"), (len(self.bytes_of[i]), i))
         self.automaton.make_automaton()
-        self.fits = Memo(lambda pair: not self._crossed(*pair), MEMO_PAIRS)
+        self.fits = Memo(lambda pair: not self._crossed(pair >> 32, pair & 0xFFFFFFFF), MEMO_PAIRS)
         self.pieces = Memo(self.encode_piece, MEMO_PIECES, MEMO_CHARS)
         self.splitter = regex.compile(SPLIT)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -142,7 +142,7 @@ class PrefixBpe:
         fits = self.fits
         for end, (length, token) in self.automaton.iter(data):
             end += 1
-            if last[end] < 0 and (length == end or fits[last[end - length], token]):
+            if last[end] < 0 and (length == end or fits[last[end - length] << 32 | token]):
                 last[end] = token
         ids, end = [], len(data)
         while end:

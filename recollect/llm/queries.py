@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, telephony, token_files
+from . import bpe, decontaminate, oracles, pii, secret_scan, telephony, token_files
 from .shared import scratch, text_or_empty, written
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -62,10 +62,32 @@ def op7_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row_key")
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    # a source is an owner, and each of its documents a repository of it
+    found = secret_scan.scan(docs, F.col("source"), F.concat_ws("/", "source", "doc_id"), keep=["doc_id"])
+    return secret_scan.digest(found)
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"]))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_token_files": op3_token_files,
+    "op4_decontamination": op4_decontamination,
     "op7_telephony": op7_telephony,
+    "op8_secrets": op8_secrets,
+    "op9_pii": op9_pii,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_decontamination": oracles.DECONTAMINATION,
+    "op8_secrets": oracles.SECRETS,
+    "op9_pii": oracles.PII,
+}

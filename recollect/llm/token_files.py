@@ -18,7 +18,9 @@ each time; other columns aren't stored; an empty table gives a store without par
 from __future__ import annotations
 
 import json
+import sys
 import uuid
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
@@ -32,11 +34,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .bpe import OTHER, Memo
+from .bpe import OTHER, Memo, byte_alphabet
 from .shared import bounded_batches
 
 NO_ID = -(2**63)
-MEMO_PIECES, MEMO_CHARS = 200_000, 48
+MEMO_PIECES, MEMO_CHARS = 100_000, 48
 #: Tokens in one Arrow batch when a store is read.
 READ_TOKENS = 2_000_000
 
@@ -60,18 +62,28 @@ class LibraryEncoder:
         steps = (spec["pre_tokenizer"] or {}).get("pretokenizers") or [spec["pre_tokenizer"] or {}]
         first, rest = steps[0], steps[1:]
         simple = first.get("type") == "Split" and first["behavior"] == "Removed" and first["invert"] and "Regex" in first["pattern"]
-        simple = simple and all(s["type"] == "ByteLevel" and not s["use_regex"] and not s["add_prefix_space"] for s in rest)
+        simple = simple and [(s["type"], s["use_regex"], s["add_prefix_space"]) for s in rest] == [("ByteLevel", False, False)]
         self.splitter = regex.compile(first["pattern"]["Regex"]) if simple else None
         special = [t["content"] for t in spec["added_tokens"]]
         self.specials = regex.compile("|".join(map(regex.escape, special))) if special else None
         steps = spec["normalizer"] or {"type": "none"}
         self.lowers = [s["type"] for s in steps.get("normalizers", [steps])] == ["NFC", "Replace", "Lowercase"]
         self.dtype = "<u2" if self.vocabulary <= 1 << 16 else "<u4"
-        self.pieces = Memo(self._ids, MEMO_PIECES, MEMO_CHARS)
+        self.model, self.code = self.library.model, "H" if self.dtype == "<u2" else "I"
+        self.shown = {b: c for c, b in byte_alphabet().items()}
+        self.pieces = Memo(self._piece_ids, MEMO_PIECES, MEMO_CHARS)
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
+    def _piece_ids(self, piece: str) -> bytes:
+        """Of a piece in normal form: the library's model alone, on the characters that stand for the piece's bytes."""
+        shown = piece.encode("utf-8").decode("latin-1").translate(self.shown)
+        ids = array(self.code, [t.id for t in self.model.tokenize(shown)])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
+
     def normal(self, text: str) -> str:
         """The library's normal form, but for white space, which no piece contains."""
         if self.library.normalizer is None:
