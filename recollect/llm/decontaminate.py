@@ -80,11 +80,13 @@ def contained(
     bench = written(bench.withColumn("item", F.monotonically_increasing_id()), "items")
     keys = sent(written(sketches(bench, similarity).select("item", "key"), "sketches"))
     base = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text"), row_key(doc_id, text).alias("row_key"))
-    probes = base.select("row_key", F.explode(hashes(words(F.col("text")))).alias("key"))
+    # the words are a column of their own: an expression would be evaluated anew for each shingle
+    split = base.select("row_key", words(F.col("text")).alias("w"))
+    probes = split.select("row_key", F.explode(hashes(F.col("w"))).alias("key"))
     found = written(probes.join(keys, "key").select("row_key", "item").distinct(), "candidates")
-    pairs = base.join(sent(found), "row_key")
+    pairs = base.join(sent(found), "row_key").select("doc_id", "row_key", "item", words(F.col("text")).alias("w"))
     wanted = bench.select("item", "item_id", F.array_distinct(texts(F.col("w"))).alias("wanted"))
-    shared = F.size(F.array_intersect("wanted", texts(words(F.col("text")))))
+    shared = F.size(F.array_intersect("wanted", texts(F.col("w"))))
     checked = pairs.join(sent(written(wanted, "wanted")), "item").select(
         "doc_id", "item_id", shared.cast("long").alias("n_shared"), F.size("wanted").cast("long").alias("n_item"), "row_key"
     )

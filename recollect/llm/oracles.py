@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 
-def spans(text: str, pattern: str, group: int = 0) -> str:
-    """A list of the matches of an RE2 pattern: start ``s`` (code points), match ``m`` and its group ``v``."""
+def spans(source: str, keep: str, text: str, pattern: str, group: int = 0) -> str:
+    """A subquery with a row for each match of an RE2 pattern: ``keep``, start ``s`` (code points), match ``m``, its group ``v``.
+
+    ``rid`` identifies a row of ``source``, and ``part`` a text of that row.
+    """
     p = pattern.replace("'", "''")
-    m, g, v = f"regexp_extract_all({text}, '{p}')", f"string_split_regex({text}, '{p}')", f"regexp_extract_all({text}, '{p}', {group})"
-    total = lambda of: f"coalesce(list_sum(list_transform({of}, lambda x: length(x))), 0)"
-    return f"""list_transform(range(1, len({m}) + 1), lambda i: {{'s': ({total(f'({g})[1:i]')} + {total(f'({m})[1:i - 1]')})::BIGINT, 'm': ({m})[i], 'v': ({v})[i]}})"""
+    inner = f"""SELECT {keep}, regexp_extract_all({text}, '{p}') AS ms, string_split_regex({text}, '{p}') AS gs, regexp_extract_all({text}, '{p}', {group}) AS vs FROM {source}"""
+    each = f"""SELECT {keep}, unnest(ms) AS m, unnest(gs[1:len(ms)]) AS g, unnest(vs) AS v, unnest(range(1, len(ms) + 1)) AS i FROM ({inner}) WHERE len(ms) > 0"""
+    return f"""(SELECT {keep}, m, v, (sum(length(g) + length(m)) OVER (PARTITION BY {keep} ORDER BY i) - length(m))::BIGINT AS s FROM ({each}))"""
 
 
 def either_case(word: str) -> str:
@@ -35,10 +38,10 @@ MARKED = "(?:gh[pousr]_|glpat-|xox[abprs]-|[rs]k_live_|AIza)[A-Za-z0-9_-]{16,}|e
 SECRETS = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS o, coalesce(text, '') AS t FROM documents),
 f AS (
-  SELECT rid, o, 0 AS k, x.s, x.s + length(x.m) AS e, x.v FROM (SELECT rid, o, unnest({spans('t', ASSIGN, 2)}) AS x FROM d) WHERE length(x.v) >= 6
-  UNION ALL SELECT rid, o, 1, x.s, x.s + length(x.m), x.m FROM (SELECT rid, o, unnest({spans('t', 'AKIA[A-Z0-9]+')}) AS x FROM d) WHERE length(x.m) >= 20
-  UNION ALL SELECT rid, o, 2, x.s, x.s + length(x.m), x.m FROM (SELECT rid, o, unnest({spans('t', '[0-9a-f]+')}) AS x FROM d) WHERE length(x.m) >= 24
-  UNION ALL SELECT rid, o, 3, x.s, x.s + length(x.m), x.m FROM (SELECT rid, o, unnest({spans('t', MARKED)}) AS x FROM d)
+  SELECT rid, o, 0 AS k, s, s + length(m) AS e, v FROM {spans('d', 'rid, o', 't', ASSIGN, 2)} WHERE length(v) >= 6
+  UNION ALL SELECT rid, o, 1, s, s + length(m), m FROM {spans('d', 'rid, o', 't', 'AKIA[A-Z0-9]+')} WHERE length(m) >= 20
+  UNION ALL SELECT rid, o, 2, s, s + length(m), m FROM {spans('d', 'rid, o', 't', '[0-9a-f]+')} WHERE length(m) >= 24
+  UNION ALL SELECT rid, o, 3, s, s + length(m), m FROM {spans('d', 'rid, o', 't', MARKED)}
 ),
 own AS (SELECT v, count(DISTINCT o) AS owners FROM f GROUP BY v),
 judged AS (
@@ -63,18 +66,18 @@ EMAIL = "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+"
 IP = "[0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+)"
 CARD = "[0-9]([\\x20-]?[0-9])+"
 PHONE = "\\+[0-9][\\x20().0-9-]+[0-9]"
-DIGITS = "regexp_replace(x.m, '[^0-9]', '', 'g')"
+DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
 LUHN = "list_sum(list_transform(range(1, length(n) + 1), lambda i: CASE WHEN i % 2 = 1 THEN substr(reverse(n), i, 1)::INT WHEN substr(reverse(n), i, 1)::INT >= 5 THEN 2 * substr(reverse(n), i, 1)::INT - 9 ELSE 2 * substr(reverse(n), i, 1)::INT END)) % 10 = 0"
 
 PII = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 f AS (
-  SELECT rid, 0 AS k, x.s, x.m, lower(x.m) AS val FROM (SELECT rid, unnest({spans('t', EMAIL)}) AS x FROM d)
-  UNION ALL SELECT rid, 1, x.s, x.m, lower(x.m) FROM (SELECT rid, unnest({spans('t', IP)}) AS x FROM d)
-    WHERE len(list_filter(string_split(x.m, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(try_cast(p AS BIGINT), 999) > 255)) = 0
-  UNION ALL SELECT rid, 2, s, m, n FROM (SELECT rid, x.s, x.m, {DIGITS} AS n FROM (SELECT rid, unnest({spans('t', CARD)}) AS x FROM d))
+  SELECT rid, 0 AS k, s, m, lower(m) AS val FROM {spans('d', 'rid', 't', EMAIL)}
+  UNION ALL SELECT rid, 1, s, m, lower(m) FROM {spans('d', 'rid', 't', IP)}
+    WHERE len(list_filter(string_split(m, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(try_cast(p AS BIGINT), 999) > 255)) = 0
+  UNION ALL SELECT rid, 2, s, m, n FROM (SELECT *, {DIGITS} AS n FROM {spans('d', 'rid', 't', CARD)})
     WHERE CASE WHEN length(n) BETWEEN 16 AND 19 THEN {LUHN} ELSE FALSE END
-  UNION ALL SELECT rid, 3, s, m, n FROM (SELECT rid, x.s, x.m, {DIGITS} AS n FROM (SELECT rid, unnest({spans('t', PHONE)}) AS x FROM d)) WHERE length(n) BETWEEN 8 AND 15
+  UNION ALL SELECT rid, 3, s, m, n FROM (SELECT *, {DIGITS} AS n FROM {spans('d', 'rid', 't', PHONE)}) WHERE length(n) BETWEEN 8 AND 15
 ),
 b AS (SELECT rid, k, s, s + length(m) AS e, k || ':' || val AS val FROM f),
 c AS (
@@ -85,8 +88,8 @@ c2 AS (
   SELECT *, CASE WHEN bs > 0 THEN regexp_replace(bt0, '^\\p{{L}}+', '') ELSE bt0 END AS bt, CASE WHEN e + 40 < size THEN regexp_replace(at0, '\\p{{L}}+$', '') ELSE at0 END AS aft FROM c
 ),
 near AS (
-  SELECT rid, val, lower(x.m) AS term, s - length(bt) + x.s AS ts, s - length(bt) + x.s + length(x.m) AS te FROM (SELECT *, unnest({spans('bt', '\\p{L}{4,}')}) AS x FROM c2)
-  UNION ALL SELECT rid, val, lower(x.m), e + x.s, e + x.s + length(x.m) FROM (SELECT *, unnest({spans('aft', '\\p{L}{4,}')}) AS x FROM c2)
+  SELECT rid, val, lower(m) AS term, s0 - length(bt) + s AS ts, s0 - length(bt) + s + length(m) AS te FROM {spans('(SELECT *, s AS s0 FROM c2)', 'rid, val, s0, e, bt', 'bt', '\\p{L}{4,}')}
+  UNION ALL SELECT rid, val, lower(m), e + s, e + s + length(m) FROM {spans('(SELECT *, s AS s0 FROM c2)', 'rid, val, s0, e, aft', 'aft', '\\p{L}{4,}')}
 ),
 pairs AS (SELECT val, term, count(DISTINCT rid) AS n_both FROM near GROUP BY ALL HAVING count(DISTINCT rid) >= 3),
 words AS (SELECT rid, unnest(list_distinct(string_split_regex(lower(t), '[^\\p{{L}}]+'))) AS term FROM d),
