@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, oracles, pii, secret_scan, telephony, token_files
+from . import bpe, decontaminate, oracles, pii, secret_scan, simhash, telephony, token_files
 from .shared import scratch, text_or_empty, written
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -66,6 +66,11 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row_key")
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.grouped(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    return rows.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     # a source is an owner, and each of its documents a repository of it
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_token_files": op3_token_files,
     "op4_decontamination": op4_decontamination,
+    "op6_simhash": op6_simhash,
     "op7_telephony": op7_telephony,
     "op8_secrets": op8_secrets,
     "op9_pii": op9_pii,
