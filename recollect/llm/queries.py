@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, oracles, pii, secret_scan, simhash, telephony, token_files
+from . import bpe, decontaminate, oracles, pii, quality, secret_scan, simhash, telephony, token_files
 from .shared import scratch, text_or_empty, written
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -66,6 +66,18 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row_key")
 
 
+def held_out(doc_id: str = "doc_id") -> Column:
+    """Rows that no label is learnt from."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = quality.fit(docs, table(spark, sf_dir, "labels").filter(~held_out()))
+    scored = quality.with_score(docs, machine).select("doc_id", held_out().alias("held_out"), "score")
+    return scored.withColumn("predicted", (F.col("score") >= quality.GOOD).cast("int"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.grouped(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
@@ -86,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_token_files": op3_token_files,
     "op4_decontamination": op4_decontamination,
+    "op5_quality": op5_quality,
     "op6_simhash": op6_simhash,
     "op7_telephony": op7_telephony,
     "op8_secrets": op8_secrets,
