@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, oracles, pii, quality, secret_scan, simhash, telephony, token_files
+from . import bpe, decontaminate, oracles, pages, pii, quality, secret_scan, simhash, telephony, token_files
 from .shared import scratch, text_or_empty, written
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -31,6 +31,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pages.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = scratch(spark, "tokens")
     token_files.write_store(table(spark, sf_dir, "documents"), store, public_tokenizers.path(WORD_BPE), END_ID)
@@ -96,6 +101,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_pages": op2_pages,
     "op3_token_files": op3_token_files,
     "op4_decontamination": op4_decontamination,
     "op5_quality": op5_quality,
