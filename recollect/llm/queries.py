@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, oracles, pages, pii, quality, secret_scan, simhash, telephony, token_files
+from . import bpe, decontaminate, oracles, pages, pii, pseudo_likelihood, quality, secret_scan, simhash, telephony, token_files
 from .shared import scratch, text_or_empty, written
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -99,6 +99,10 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"]))
 
 
+def op10_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood.score(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens", "log_likelihood", "mean")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_pages": op2_pages,
@@ -109,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_telephony": op7_telephony,
     "op8_secrets": op8_secrets,
     "op9_pii": op9_pii,
+    "op10_pseudo_likelihood": op10_pseudo_likelihood,
 }
 
 ORACLE_SQL: dict[str, str] = {
