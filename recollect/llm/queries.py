@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,15 +72,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row_key")
 
 
-def held_out(doc_id: str = "doc_id") -> Column:
-    """Rows that no label is learnt from."""
-    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
-
-
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    machine = quality.fit(docs, table(spark, sf_dir, "labels").filter(~held_out()))
-    scored = quality.with_score(docs, machine).select("doc_id", held_out().alias("held_out"), "score")
+    machine = quality.fit(docs, table(spark, sf_dir, "labels").filter(~quality.held_out()))
+    scored = quality.with_score(docs, machine).select("doc_id", quality.held_out().alias("held_out"), "score")
     return scored.withColumn("predicted", (F.col("score") >= quality.GOOD).cast("int"))
 
 
@@ -114,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_pii": op9_pii,
     "op10_pseudo_likelihood": op10_pseudo_likelihood,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -88,3 +88,17 @@ def with_fields(df: DataFrame, value: Column, kind: StructType) -> DataFrame:
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def by_place(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named by their places, so that none clashes with an operator's own; ``toDF`` gives the names back."""
+    return df.toDF(*[place(k) for k in range(len(df.columns))])
+
+
+def place(k: int) -> str:
+    return f"__c{k}"
+
+
+def place_of(df: DataFrame, name: str) -> str:
+    """What ``by_place`` calls the column ``name``."""
+    return place([c.lower() for c in df.columns].index(name.lower()))

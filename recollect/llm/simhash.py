@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
 from .components import components
-from .shared import arrow_column, text_or_empty, written
+from .shared import arrow_column, by_place, place, place_of, text_or_empty, written
 
 WORDS, SEED, RADIUS = 3, 42, 3
 #: Shingles whose bits are counted at once, which bounds memory for very long texts.
@@ -169,8 +169,9 @@ def links(prints: DataFrame, crowded: int = CROWDED) -> DataFrame:
 
 
 def grouped(df: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` of ``df`` with ``fingerprint``, ``component_id`` and ``row`` (a number of its own for each row)."""
-    keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in ("fingerprint", "component_id", "row")]
+    """The columns ``keep`` of ``df`` with ``fingerprint``, ``component_id``, ``root`` (the component's least fingerprint) and ``row`` (a number of
+    its own for each row)."""
+    keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in ("fingerprint", "component_id", "root", "row")]
     rows = with_fingerprint(df, text).select(*[F.col(f"`{c}`") for c in keep], F.col(doc_id).alias("__id"), "fingerprint")
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "fingerprints")
     prints = written(rows.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("__id").alias("least")), "prints")
@@ -178,15 +179,17 @@ def grouped(df: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: lis
     rooted = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = written(rooted, "rooted")
     groups = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "groups")
-    named = written(rooted.join(groups, "root").select(F.col("fp").alias("fingerprint"), "component_id"), "named")
-    return rows.join(named, "fingerprint").select(*[F.col(f"`{c}`") for c in keep], "fingerprint", "component_id", "row")
+    named = written(rooted.join(groups, "root").select(F.col("fp").alias("fingerprint"), "component_id", "root"), "named")
+    return rows.join(named, "fingerprint").select(*[F.col(f"`{c}`") for c in keep], "fingerprint", "component_id", "root", "row")
 
 
 def deduplicated(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``df`` with one row of each component: that of its least doc_id, of equal ones the first."""
-    rows = grouped(df, text, doc_id)
-    rank = F.struct(F.col(f"`{doc_id}`").isNull(), F.col(f"`{doc_id}`"), F.col("row"))
-    # by fingerprint first: of a component's rows few reach the second step
-    first = rows.groupBy("component_id", "fingerprint").agg(F.min(rank).alias("least")).groupBy("component_id").agg(F.min("least").alias("least"))
+    """``df`` with one row of each component: that of its least doc_id (null last), of equal ones the first."""
+    own = place_of(df, doc_id)
+    rows = grouped(by_place(df), place_of(df, text), own)
+    rank = F.struct(F.col(own).isNull().alias("none"), F.col(own).alias("id"), F.col("row").alias("row"))
+    # by fingerprint first: few rows of a component reach the second step
+    first = rows.groupBy("root", "fingerprint").agg(F.min(rank).alias("least")).groupBy("root").agg(F.min("least").alias("least"))
     kept = written(first.select(F.col("least.row").alias("__kept")), "kept")
-    return rows.join(kept, F.col("row") == F.col("__kept"), "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])
+    kept_rows = rows.join(kept, F.col("row") == F.col("__kept"), "left_semi")
+    return kept_rows.select(*[place(k) for k in range(len(df.columns))]).toDF(*df.columns)
