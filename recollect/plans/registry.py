@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import collection, language, perception, retrieval, streams  # noqa: F401  (they register their queries)
+from .core import NAMES, ORACLES, QUERIES
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["moment_search"](spark, sf_dir)
+    return QUERIES["moment_search"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v.replace("{names}", NAMES) for k, v in ORACLES.items()}
