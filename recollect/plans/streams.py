@@ -1 +1,102 @@
-"""To come."""
+"""Queries on streams: run on the files there are, and their batch twins (STR2, STR3, STR8, STR11, STR14, STR15)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import geometry as G
+from ..operators import sync
+from ..sources import moments as M
+from ..streaming import capture, run
+from .core import query, with_points
+from .perception import grid_column
+
+
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream of its files; a table of a single file is one of its folder's files."""
+    path = f"{sf_dir}/{name}.parquet"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    alone = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(place).isFile()
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir) if alone else reader.parquet(path)
+
+
+def frames(spark: SparkSession, sf_dir: str, streaming: bool) -> DataFrame:
+    """Vectors as the frames of a camera for each user, a fifth of a second for each id."""
+    e = stream(spark, sf_dir, "embeddings") if streaming else M.table(spark, sf_dir, "embeddings")
+    g = grid_column()
+    return e.select(
+        (F.col("vec_id") % 5).alias("camera"), F.col("vec_id").alias("id"), (F.col("vec_id") * 331).alias("ts"), g.alias("grid"), F.col("embedding").cast("array<double>").alias("vec"),
+        G.sharpness(g, 8).alias("sharp"),
+    )
+
+
+@query("stream_capture_gate")
+def stream_capture_gate(spark, sf_dir):
+    """The capture automaton on a stream; tests hold it against the batch form and a plain loop."""
+    return run.available_now(capture.moments_stream(frames(spark, sf_dir, True), 0.99, 0.90))
+
+
+@query("batch_capture_gate")
+def batch_capture_gate(spark, sf_dir):
+    return capture.moments_batch(frames(spark, sf_dir, False), 0.99, 0.90)
+
+
+SEGMENTS = """WITH c AS (SELECT user_id, ts FROM events WHERE value > 20), n AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM c),
+r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS run FROM n)
+SELECT user_id, epoch_us(min(ts)) // 1000 AS start_ms, epoch_us(max(ts)) // 1000 AS last_ms, count(*) AS chunks FROM r GROUP BY user_id, run HAVING count(*) >= 2"""
+
+
+@query("batch_session_segments", SEGMENTS)
+def batch_session_segments(spark, sf_dir):
+    """Voiced stretches: sessions of loud events, those of a single event left out (STR8)."""
+    e = M.table(spark, sf_dir, "events").filter("value > 20")
+    s = e.groupBy("user_id", F.session_window("ts", "6 hours")).agg(F.min(M.epoch_ms(F.col("ts"))).alias("start_ms"), F.max(M.epoch_ms(F.col("ts"))).alias("last_ms"), F.count("*").alias("chunks"))
+    return s.filter("chunks >= 2").select("user_id", "start_ms", "last_ms", "chunks")
+
+
+@query("stream_session_segments")
+def stream_session_segments(spark, sf_dir):
+    """The same on a stream: a session is given out when the watermark has passed it."""
+    e = stream(spark, sf_dir, "events").filter("value > 20").withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "1 hour")
+    t = M.epoch_ms(F.col("ts"))
+    s = e.groupBy("user_id", F.session_window("at", "6 hours")).agg(F.min(t).alias("start_ms"), F.max(t).alias("last_ms"), F.count("*").alias("chunks"))
+    return run.available_now(s.filter("chunks >= 2").select("user_id", "start_ms", "last_ms", "chunks"))
+
+
+@query("stream_sync", with_points("SELECT id, timestamp_ms, coalesce(synced, false) OR type = 'frame' AS synced FROM points"))
+def stream_sync(spark, sf_dir):
+    """After all passes of the sync loop: every unsynced frame was sent and then flagged, nothing else changed (STR11)."""
+    p = M.points(spark, sf_dir).select("id", "type", "timestamp_ms", "synced")
+    sent = p.filter((F.col("type") == "frame") & ~F.coalesce("synced", F.lit(False)))
+    flagged = sync.mark_synced(p, sent.select("id"))
+    return flagged.select("id", "timestamp_ms", F.coalesce("synced", F.lit(False)).alias("synced"))
+
+
+@query("stream_late_generation", "SELECT event_id, user_id FROM (SELECT *, floor(event_id / 1000) AS gen, max(floor(event_id / 1000)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS now FROM events) WHERE gen = now")
+def stream_late_generation(spark, sf_dir):
+    """Frames of an older session than the newest seen are dropped (STR3)."""
+    gen = F.floor(F.col("event_id") / 1000)
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = M.table(spark, sf_dir, "events").withColumn("gen", gen)
+    return e.withColumn("now", F.max("gen").over(w)).filter("gen = now").select("event_id", "user_id")
+
+
+#: Legal moves of the app's state machine; an event that fits none changes nothing (STR15).
+MOVES = {
+    ("Loading", "ready"): "Idle", ("Idle", "record"): "Recording", ("Recording", "stop"): "Idle", ("Idle", "listen"): "Listening", ("Listening", "heard"): "Processing",
+    ("Processing", "found"): "Results", ("Results", "dismiss"): "Idle", ("Processing", "fail"): "Error", ("Error", "dismiss"): "Idle", ("Listening", "cancel"): "Idle",
+}
+
+
+@query("app_states")
+def app_states(spark, sf_dir):
+    """The state after each conversation's turns, folded in order (STR15)."""
+    names = ["ready", "listen", "heard", "found", "dismiss", "record", "stop", "cancel", "fail"]
+    event = F.get(F.array(*map(F.lit, names)), (F.length("text") % len(names)).cast("int"))
+    c = M.table(spark, sf_dir, "conversations").select("conv_id", "turn", event.alias("event"))
+    moves = F.create_map(*[x for (a, b), to in MOVES.items() for x in (F.lit(f"{a}/{b}"), F.lit(to))])
+    events = F.transform(F.array_sort(F.collect_list(F.struct("turn", "event"))), lambda x: x["event"])
+    fold = lambda e: F.aggregate(e, F.lit("Loading"), lambda s, x: F.coalesce(F.try_element_at(moves, F.concat_ws("/", s, x)), s))
+    return c.groupBy("conv_id").agg(events.alias("e")).select("conv_id", fold(F.col("e")).alias("state"))
