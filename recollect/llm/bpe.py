@@ -16,10 +16,11 @@ independent of each other, so ties and repeated rows give equal results; columns
 from __future__ import annotations
 
 import json
+from array import array
 from functools import lru_cache
-from itertools import chain
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -36,7 +37,7 @@ OTHER = regex.compile(f"[^{STABLE}]")
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Pieces kept in memory, and the longest of them.
-MEMO_PIECES, MEMO_CHARS = 80_000, 48
+MEMO_PIECES, MEMO_CHARS = 130_000, 48
 #: Pairs of tokens kept in memory.
 MEMO_PAIRS = 100_000
 
@@ -91,6 +92,7 @@ class PrefixBpe:
             self.bytes_of[i] = as_bytes(shown)
         for content, i in self.special.items():
             self.bytes_of[i] = content.encode()
+        self.size_of = list(map(len, self.bytes_of))
         #: For each token the rank of the merge that makes it, and that merge's two tokens; bytes have rank -1.
         self.rank, self.left, self.right = [-1] * size, [-1] * size, [-1] * size
         self.merge: dict[tuple[int, int], int] = {}
@@ -106,7 +108,7 @@ class PrefixBpe:
                 whole[self.left[i]] and whole[self.right[i]] and not self._crossed(self.left[i], self.right[i], self.rank[i])
             )
             if whole[i]:  # a token that its own bytes don't encode to is never used
-                self.automaton.add_word(self.bytes_of[i].decode("latin-1"), (len(self.bytes_of[i]), i))
+                self.automaton.add_word(self.bytes_of[i].decode("latin-1"), i)
         self.automaton.make_automaton()
         self.fits = Memo(lambda pair: not self._crossed(pair >> 32, pair & 0xFFFFFFFF), MEMO_PAIRS)
         self.pieces = Memo(self.encode_piece, MEMO_PIECES, MEMO_CHARS)
@@ -136,19 +138,26 @@ class PrefixBpe:
             else:
                 until_b, b = grew_b, self.left[b]
 
-    def encode_piece(self, piece: str) -> tuple[int, ...]:
+    def encode_piece(self, piece: str) -> bytes:
+        """The ids of a piece as 32-bit integers of this machine.
+
+        Matches come by their end, so each prefix's last token is known before a longer prefix asks for it.
+        """
         data = piece.encode("utf-8").decode("latin-1")
-        last: list[int] = [-1] * (len(data) + 1)
-        fits = self.fits
-        for end, (length, token) in self.automaton.iter(data):
+        last = [-1] * (len(data) + 1)
+        fits, size = self.fits, self.size_of
+        for end, token in self.automaton.iter(data):
             end += 1
-            if last[end] < 0 and (length == end or fits[last[end - length] << 32 | token]):
-                last[end] = token
-        ids, end = [], len(data)
+            if last[end] < 0:
+                begin = end - size[token]
+                if not begin or fits[last[begin] << 32 | token]:
+                    last[end] = token
+        ids, end = array("i"), len(data)
         while end:
             ids.append(last[end])
-            end -= len(self.bytes_of[last[end]])
-        return tuple(reversed(ids))
+            end -= size[last[end]]
+        ids.reverse()
+        return ids.tobytes()
 
     def split(self, text: str) -> list[str]:
         if text.isascii() or not OTHER.search(text):
@@ -163,17 +172,20 @@ class PrefixBpe:
                 ends.append(span)
         return [text[a:b] for a, b in ends]
 
-    def encode(self, text: str) -> list[int]:
-        """The ids that the ``tokenizers`` library gives, without added special tokens."""
+    def encode_bytes(self, text: str) -> bytes:
+        """The ids that the ``tokenizers`` library gives, without added special tokens, as 32-bit integers of this machine."""
         if self.specials is None or not self.specials.search(text):
-            return list(chain.from_iterable(map(self.pieces.__getitem__, self.split(text))))
-        ids: list[int] = []
+            return b"".join(map(self.pieces.__getitem__, self.split(text)))
+        out: list[bytes] = []
         for part in self.specials.split(text):
             if part in self.special:
-                ids.append(self.special[part])
+                out.append(array("i", [self.special[part]]).tobytes())
             else:
-                ids.extend(chain.from_iterable(map(self.pieces.__getitem__, self.split(part))))
-        return ids
+                out += map(self.pieces.__getitem__, self.split(part))
+        return b"".join(out)
+
+    def encode(self, text: str) -> list[int]:
+        return array("i", self.encode_bytes(text)).tolist()
 
     def decode(self, ids: list[int]) -> str:
         """The text of ``ids``; bytes that aren't UTF-8 become U+FFFD."""
@@ -194,11 +206,14 @@ def encode_decode(df: DataFrame, tokenizer: str, text: str = "text") -> DataFram
         kind = pa.struct([("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
         def batch(texts: list[str]) -> pa.Array:
-            ids = [bpe.encode(t) for t in texts]
-            return pa.StructArray.from_arrays(
-                [pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(map(bpe.decode, ids), pa.string())],
-                fields=list(kind),
-            )
+            coded = [bpe.encode_bytes(t) for t in texts]
+            sizes = np.array([len(c) // 4 for c in coded], np.int64)
+            values = np.frombuffer(b"".join(coded), np.int32)
+            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            # decoded from the ids that are returned
+            decoded = [bpe.decode(values[a:b].tolist()) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+            return pa.StructArray.from_arrays([pa.array(sizes), ids, pa.array(decoded, pa.string())], fields=list(kind))
 
         return batch
 
