@@ -38,7 +38,7 @@ from .bpe import OTHER, Memo, byte_alphabet
 from .shared import bounded_batches
 
 NO_ID = -(2**63)
-MEMO_PIECES, MEMO_CHARS = 100_000, 48
+MEMO_PIECES, MEMO_CHARS = 140_000, 48
 #: Tokens in one Arrow batch when a store is read.
 READ_TOKENS = 2_000_000
 
