@@ -21,12 +21,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_or_empty, written
+from .shared import sent, text_or_empty, written
 
 WORDS = 5
 SIMILARITY = 0.8
-#: So many rows are sent to all tasks at most; more are joined by a shuffle.
-SENT_ROWS = 500_000
 
 
 def words(text: Column) -> Column:
@@ -50,11 +48,6 @@ def texts(w: Column) -> Column:
     return shingles(w, lambda c: F.concat_ws(" ", *c))
 
 
-def sent(df: DataFrame) -> DataFrame:
-    """A written table, marked to be sent to all tasks if it is counted to be small."""
-    return F.broadcast(df) if df.count() <= SENT_ROWS else df
-
-
 def sketches(items: DataFrame, similarity: float) -> DataFrame:
     """``item``, ``key`` and ``size_class`` (the power of two of its number of shingles): each item's least shingles."""
     own = items.select("item", "w").withColumn("h", F.array_distinct(hashes(F.col("w"))))

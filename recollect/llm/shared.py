@@ -43,6 +43,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: So many rows of ids and hashes are sent to all tasks at most; more are joined by a shuffle.
+SENT_ROWS = 500_000
+
+
+def sent(df: DataFrame) -> DataFrame:
+    """A written table of ids and hashes, marked to be sent to all tasks if it is counted to be small."""
+    return F.broadcast(df) if df.count() <= SENT_ROWS else df
+
+
 def bounded_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Hold Arrow batches to ``rows`` rows, so that a Python worker has a few long texts at a time."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
 from .components import components
-from .shared import arrow_column, by_place, place, place_of, text_or_empty, written
+from .shared import arrow_column, by_place, place_of, sent, text_or_empty, written
 
 WORDS, SEED, RADIUS = 3, 42, 3
 #: Shingles whose bits are counted at once, which bounds memory for very long texts.
@@ -184,12 +184,24 @@ def grouped(df: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: lis
 
 
 def deduplicated(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``df`` with one row of each component: that of its least doc_id (null last), of equal ones the first."""
-    own = place_of(df, doc_id)
-    rows = grouped(by_place(df), place_of(df, text), own)
-    rank = F.struct(F.col(own).isNull().alias("none"), F.col(own).alias("id"), F.col("row").alias("row"))
-    # by fingerprint first: few rows of a component reach the second step
-    first = rows.groupBy("root", "fingerprint").agg(F.min(rank).alias("least")).groupBy("root").agg(F.min("least").alias("least"))
-    kept = written(first.select(F.col("least.row").alias("__kept")), "kept")
-    kept_rows = rows.join(kept, F.col("row") == F.col("__kept"), "left_semi")
-    return kept_rows.select(*[place(k) for k in range(len(df.columns))]).toDF(*df.columns)
+    """``df`` with one row of each component: that of its least doc_id (null last); of rows equal in id and text any one.
+
+    Groups are found on ids, hashes and fingerprints.  The rows to remove are looked up by two hashes of id and text, so whole rows are
+    only read, and shuffled only when those to remove are too many to be sent to all tasks.
+    """
+    own, body, base = place_of(df, doc_id), text_or_empty(place_of(df, text)), by_place(df)
+    shown = F.coalesce(F.col(own).cast("string"), F.lit("null"))
+    keys = {"__k1": F.xxhash64(shown, body), "__k2": F.xxhash64(body, F.lit("/"), shown)}
+    rows = grouped(base.withColumns(keys).select(own, place_of(df, text), *keys), place_of(df, text), own, keep=[own, *keys])
+    # equal rows first, then the rows of a fingerprint, then those of a component: few of any group reach the next step
+    each = rows.groupBy("root", "fingerprint", own, *keys).agg(F.count("*").alias("n"))
+    each = written(each.withColumn("rank", F.struct(F.col(own).isNull().alias("none"), F.col(own).alias("id"), "__k1", "__k2")).drop(own), "each")
+    first = each.groupBy("root", "fingerprint").agg(F.min("rank").alias("least"), F.count("*").alias("m"))
+    first = written(first.groupBy("root").agg(F.min("least").alias("least"), F.sum("m").alias("m")).filter("m > 1").select("root", "least"), "least")
+    gone = written(each.join(first, "root").filter(F.col("rank") != F.col("least")).select(*keys), "gone")
+    twice = written(each.filter("n > 1").select(*keys), "twice")
+    kept = base.withColumns(keys).join(sent(gone), list(keys), "left_anti")
+    if twice.take(1):
+        again = kept.join(sent(twice), list(keys), "left_semi").dropDuplicates(list(keys))
+        kept = kept.join(sent(twice), list(keys), "left_anti").unionByName(again)
+    return kept.drop(*keys).toDF(*df.columns)
