@@ -197,7 +197,11 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     have = have.withColumn("f", arrow_column(have, start, FEATURES, F.col("t")))
     got = have.groupBy("id", "h").agg(F.first("y").alias("y"), F.min("f").alias("f")).orderBy("h", "id").select("y", "f.places", "f.values")
     collected = got.toArrow()
-    found = [(np.array(p, np.int64), np.array(x, np.float32)) for p, x in zip(collected["places"].to_pylist(), collected["values"].to_pylist(), strict=True)]
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for places, values in zip(collected["places"].chunks, collected["values"].chunks, strict=True):
+        cuts = np.asarray(places.offsets) - places.offsets[0].as_py()
+        p, x = places.flatten().to_numpy(), values.flatten().to_numpy()
+        found += [(p[a:b], x[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     return train(found, np.array(collected["y"].to_pylist(), np.float64))
 
 
