@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from functools import lru_cache
 
@@ -90,6 +91,19 @@ def wordpiece(text: Column, vocabulary: dict[str, int]) -> Column:
     return encode(text)
 
 
+def load_bpe(path: str) -> tuple[dict[str, int], list[tuple[str, str]]]:
+    """Vocabulary and merges of a JSON file (SRC8)."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    return model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+
+
+def load_wordpiece(path: str) -> dict[str, int]:
+    """A vocabulary of a token in each line (SRC8)."""
+    with open(path, encoding="utf-8") as f:
+        return {line.rstrip("\n"): k for k, line in enumerate(f)}
+
+
 def toy_bpe() -> tuple[dict[str, int], list[tuple[str, str]]]:
     """Letters, and merges of common pairs: enough to show the rules where no vocabulary is at hand."""
     merges = [("t", "h"), ("e", "r"), ("a", "n"), ("th", "e</w>"), ("o", "n</w>"), ("i", "n"), ("in", "g</w>")]

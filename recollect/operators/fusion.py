@@ -18,12 +18,12 @@ HIT = ["id", "moment_id", "timestamp_ms", "thumb_path", "label", "bbox", "yolo_c
 def collapse(frames: DataFrame, regions: DataFrame) -> DataFrame:
     """One row for each moment: a frame's identity, the best score of all, the label of its best verified region; a moment of regions alone
     is its best region, shown as a frame (FUS1)."""
-    order = F.struct("score", -F.col("id"))
-    sure = F.struct(F.col("yolo_conf") * F.col("verify_cos"), -F.col("id"))
+    order = F.struct((-F.col("score")).alias("s"), "id")
+    sure = F.struct((-F.col("yolo_conf") * F.col("verify_cos")).alias("s"), "id")
     named = F.col("label") != ""
     best = regions.groupBy("qid", "moment_id").agg(
-        F.max_by(F.struct(*HIT, "score"), order).alias("r"),
-        F.max_by(F.when(named, F.struct("label", "yolo_conf", "verify_cos")), F.when(named, sure)).alias("v"),
+        F.min_by(F.struct(*HIT, "score"), order).alias("r"),
+        F.min_by(F.when(named, F.struct("label", "yolo_conf", "verify_cos")), F.when(named, sure)).alias("v"),
     )
     f = frames.select("qid", "moment_id", F.struct(*HIT, "score").alias("f"))
     both = f.join(best, ["qid", "moment_id"], "full_outer")
@@ -131,3 +131,14 @@ def merge_cards(cards: DataFrame, slack_ms: int = 5000, take: int = 3) -> DataFr
     merged = each.select("qid", F.explode(F.aggregate("c", F.array().cast(kind), step)).alias("m")).select("qid", "m.*")
     w = Window.partitionBy("qid").orderBy(F.desc("strength"), "id")
     return merged.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= take)
+
+
+def annotated(cards: DataFrame, heard: DataFrame, slack_ms: int = 5000) -> DataFrame:
+    """``cards`` marked as heard where a heard line (``qid``, ``path``, ``start_ms``, ``end_ms``) is of the same picture or time; no card is added (FUS15)."""
+    lines = heard.groupBy("qid").agg(F.collect_list(F.struct("path", "start_ms", "end_ms")).alias("lines"))  # six at most: five by keyword and the best
+
+    def meets(x: Column) -> Column:
+        same = (x["path"] != "") & (x["path"] == F.col("path"))
+        return same | ((x["start_ms"] - slack_ms <= F.col("end_ms")) & (F.col("start_ms") - slack_ms <= x["end_ms"]))
+
+    return cards.join(lines, "qid", "left").withColumn("heard", F.col("heard") | F.coalesce(F.exists("lines", meets), F.lit(False))).drop("lines")

@@ -419,7 +419,8 @@ def legacy_retrieve(spark, sf_dir):
     sound = card(heard.join(sure, ["qid", "id"]), F.col("start_ms"), F.col("end_ms"), F.lit(""), False, F.col("score"), F.col("text"))
     words = scan.keyword_hits(t, "text", "Licensed")
     keyed = card(words.crossJoin(F.broadcast(queries.select("qid"))), F.col("start_ms"), F.col("end_ms"), F.lit(""), False, F.lit(1.0), F.col("text"))
-    out = fusion.merge_cards(sight.unionByName(sound).unionByName(keyed))
+    first = card(search.top(heard.drop("rank"), 1), F.col("start_ms"), F.col("end_ms"), F.lit(""), False, F.col("score"), F.col("text"))
+    out = fusion.annotated(fusion.merge_cards(sight.unionByName(sound).unionByName(keyed)), first.unionByName(keyed))
     return out.select("qid", "id", "start_ms", "end_ms", "vision", "heard", "strength", F.col("rank").cast("long").alias("rank"))
 
 

@@ -100,3 +100,15 @@ def app_states(spark, sf_dir):
     events = F.transform(F.array_sort(F.collect_list(F.struct("turn", "event"))), lambda x: x["event"])
     fold = lambda e: F.aggregate(e, F.lit("Loading"), lambda s, x: F.coalesce(F.try_element_at(moves, F.concat_ws("/", s, x)), s))
     return c.groupBy("conv_id").agg(events.alias("e")).select("conv_id", fold(F.col("e")).alias("state"))
+
+
+@query(
+    "app_button",
+    "SELECT event_id, CASE WHEN held < 3600000 THEN 'tap' ELSE 'long' END AS press FROM (SELECT event_id, epoch_us(ts) // 1000 - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) // 1000 AS held FROM events) WHERE held > 300000",
+)
+def app_button(spark, sf_dir):
+    """Presses: releases within a grace after the last are ignored, short ones are taps (STR16)."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = M.table(spark, sf_dir, "events").select("event_id", "user_id", "ts", M.epoch_ms(F.col("ts")).alias("t"))
+    held = e.withColumn("held", F.col("t") - F.lag("t").over(w)).filter("held > 300000")
+    return held.select("event_id", F.when(F.col("held") < 3_600_000, "tap").otherwise("long").alias("press"))
