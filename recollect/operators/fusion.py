@@ -47,14 +47,14 @@ def collapse(frames: DataFrame, regions: DataFrame) -> DataFrame:
 
 def boost(hits: DataFrame, regions: DataFrame, tokens: DataFrame, factor: float = BOOST) -> DataFrame:
     """Add ``factor`` times the certainty of the moment's best region whose label is in the query (FUS2).  ``tokens``: ``qid``, ``tokens``."""
-    fits = regions.join(F.broadcast(tokens), "qid").filter((F.col("label") != "") & label_matches(F.col("label"), F.col("tokens")))
+    fits = regions.join(tokens, "qid").filter((F.col("label") != "") & label_matches(F.col("label"), F.col("tokens")))
     best = fits.groupBy("qid", "moment_id").agg(F.max(F.col("yolo_conf") * F.col("verify_cos")).alias("sure"))
     return hits.join(best, ["qid", "moment_id"], "left").withColumn("score", F.round(F.col("score") + factor * F.coalesce("sure", F.lit(0.0)), DIGITS)).drop("sure")
 
 
 def tag_accepted(regions: DataFrame, tokens: DataFrame) -> DataFrame:
     """Moments that a verified label of the query accepts (FUS3)."""
-    fits = regions.join(F.broadcast(tokens), "qid")
+    fits = regions.join(tokens, "qid")
     fits = fits.filter((F.col("label") != "") & (F.col("verify_cos") > 0) & label_matches(F.col("label"), F.col("tokens")))
     return fits.select("qid", "moment_id").distinct()
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,9 +14,20 @@ DIGITS = 6
 SENT_QUERIES = 20_000
 
 
+def blocks(queries: DataFrame, size: int = SENT_QUERIES) -> list[DataFrame]:
+    """A set of queries in parts of about ``size``, so that what is sent to all tasks is bounded whatever their number."""
+    n = -(-queries.count() // size)
+    return [queries] if n <= 1 else [queries.filter(F.pmod(F.xxhash64("qid"), F.lit(n)) == k) for k in range(n)]
+
+
+def against(points: DataFrame, queries: DataFrame) -> DataFrame:
+    """All points with each query: block after block of queries, each sent to the points."""
+    return reduce(DataFrame.unionByName, [points.crossJoin(F.broadcast(b)) for b in blocks(queries)])
+
+
 def scored(points: DataFrame, queries: DataFrame, vector: str = "clip") -> DataFrame:
-    """All points with ``score`` for each query (``qid``, ``q``).  Queries are few and sent to the points, which stay where they are."""
-    return points.crossJoin(F.broadcast(queries)).withColumn("score", F.round(V.cosine(F.col(vector), F.col("q")), DIGITS)).drop("q", vector)
+    """All points with ``score`` for each query (``qid``, ``q``).  The points stay where they are."""
+    return against(points, queries).withColumn("score", F.round(V.cosine(F.col(vector), F.col("q")), DIGITS)).drop("q", vector)
 
 
 def top(scored_points: DataFrame, k: int, order: Column | None = None) -> DataFrame:
@@ -36,7 +49,7 @@ def overfetch(points: DataFrame, queries: DataFrame, keep: Column, k: int = 5) -
 
 def binary(points: DataFrame, queries: DataFrame, k: int = 5, oversample: int = 32) -> DataFrame:
     """Search by sign codes, then exact scores of ``oversample * k`` candidates (VEC8, VEC9)."""
-    coded = points.withColumn("code", V.sign_code(F.col("clip"))).crossJoin(F.broadcast(queries.withColumn("qcode", V.sign_code(F.col("q")))))
+    coded = against(points.withColumn("code", V.sign_code(F.col("clip"))), queries.withColumn("qcode", V.sign_code(F.col("q"))))
     near = top(coded.withColumn("apart", V.hamming(F.col("code"), F.col("qcode"))), k * oversample, F.asc("apart")).drop("rank", "code", "qcode")
     return top(near.withColumn("score", F.round(V.cosine(F.col("clip"), F.col("q")), DIGITS)).drop("q", "clip"), k)
 
@@ -48,7 +61,7 @@ def cells(points: DataFrame, bits: int = 4) -> DataFrame:
 
 def cell_search(points: DataFrame, queries: DataFrame, k: int = 5, bits: int = 4, differing: int = 1) -> DataFrame:
     """Approximate search: only cells that differ from the query's in few bits; recall grows with ``differing`` (VEC12)."""
-    near = cells(points, bits).crossJoin(F.broadcast(queries.withColumn("qcell", V.sign_code(F.slice("q", 1, bits)))))
+    near = against(cells(points, bits), queries.withColumn("qcell", V.sign_code(F.slice("q", 1, bits))))
     near = near.filter(V.hamming(F.col("cell"), F.col("qcell")) <= differing)
     return top(near.withColumn("score", F.round(V.cosine(F.col("clip"), F.col("q")), DIGITS)).drop("q", "clip", "cell", "qcell"), k)
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 import json
 import uuid as uuids
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.moments import is_object
+from .ranking import numbered
 
 EXAMINED, BATCH = 1000, 100
 UUID = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
@@ -62,12 +63,7 @@ def seed(df: DataFrame) -> DataFrame:
     """Frames as the first points of a shared corpus: running ids and marked labels (REL16)."""
     rows = df.filter((F.col("type").isNull() | (F.col("type") == "frame")) & F.col("clip").isNotNull())
     label = F.concat(F.lit("FLEET: "), F.coalesce(F.nullif("label", F.lit("")), F.col("moment_id").cast("string")))
-    # a running number over everything: numbered within ranges, and each range starts after those before it
-    parts = rows.select("id", "moment_id", label.alias("label")).repartitionByRange("id").sortWithinPartitions("id").withColumn("__p", F.spark_partition_id())
-    counts = parts.groupBy("__p").agg(F.count("*").alias("n"))
-    base = counts.select("__p", (F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))).alias("base"))
-    own = F.row_number().over(Window.partitionBy("__p").orderBy("id"))
-    return parts.withColumn("k", own).join(F.broadcast(base), "__p").select((F.col("k") + F.coalesce("base", F.lit(0))).cast("long").alias("seq"), "id", "label")
+    return numbered(rows.select("id", label.alias("label")), [], ["id"], "seq").select("seq", "id", "label")
 
 
 # --- snapshots: a folder is staged, checked, and only then the current one

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import querytext as T
 from ..functions import vectors as V
 from ..operators import fusion, intervals, scan, search
+from ..operators.ranking import numbered
 from ..sources import moments as M
 from .collection import SINCE, UNTIL, points
 from .core import query, with_points
@@ -189,7 +190,7 @@ def hits(spark, sf_dir, queries: DataFrame, k: int) -> tuple[DataFrame, DataFram
 def query_tokens(spark, sf_dir, queries: DataFrame) -> DataFrame:
     """A query's words: the class name of its own vector."""
     names = M.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("qid"), T.tokens(M.class_name(F.col("label"))).alias("tokens"))
-    return names.join(F.broadcast(queries.select("qid")), "qid", "left_semi")
+    return names.join(queries.select("qid"), "qid", "left_semi")
 
 
 def hub_hits(spark, sf_dir, queries: DataFrame, k: int) -> DataFrame:
@@ -322,7 +323,7 @@ def moment_search_batch(spark, sf_dir):
 def object_search(spark, sf_dir):
     """Objects above the gate or of a fitting label, the latest five (FUS10)."""
     queries = query_set(spark, sf_dir)
-    regions = hits(spark, sf_dir, queries, 25)[1].join(F.broadcast(query_tokens(spark, sf_dir, queries)), "qid")
+    regions = hits(spark, sf_dir, queries, 25)[1].join(query_tokens(spark, sf_dir, queries), "qid")
     kept = regions.filter((F.col("score") >= M.SEARCH_GATE) | T.label_matches(F.col("label"), F.col("tokens")))
     return found(fusion.ordered(kept, recall_intent=True))
 
@@ -529,13 +530,14 @@ def eval_integrity(spark, sf_dir):
     "SELECT event_type, s[len(s) // 2 + 1] AS median, s[len(s) * 9 // 10 + 1] AS p90, s[1] AS lowest, s[len(s)] AS highest, round(list_avg(s), 6) AS mean FROM (SELECT event_type, list_sort(list(value)) AS s FROM events WHERE value IS NOT NULL GROUP BY event_type)",
 )
 def stats_median_p90(spark, sf_dir):
-    """The upper median and the value at nine tenths of the sorted list (AGG5, AGG6), by rank, so a group isn't gathered in one array."""
-    e = M.table(spark, sf_dir, "events").filter("value IS NOT NULL")
-    w = Window.partitionBy("event_type")
-    k = e.select("event_type", "value", F.row_number().over(w.orderBy("value")).alias("k"), F.count("*").over(w).alias("n"))
+    """The upper median and the value at nine tenths of the sorted list (AGG5, AGG6), by rank; no task sorts a whole group."""
+    e = M.table(spark, sf_dir, "events").filter("value IS NOT NULL").select("event_type", "value", "event_id")
+    sums = e.groupBy("event_type").agg(F.count("*").alias("n"), F.min("value").alias("lowest"), F.max("value").alias("highest"), F.round(F.avg("value"), 6).alias("mean"))
+    k = numbered(e, ["event_type"], ["value", "event_id"]).join(sums, "event_type")
     at = lambda place: F.max(F.when(F.col("k") == place + 1, F.col("value")))
     n = F.col("n")
-    return k.groupBy("event_type").agg(at(F.floor(n / 2)).alias("median"), at(F.floor(n * 9 / 10)).alias("p90"), F.min("value").alias("lowest"), F.max("value").alias("highest"), F.round(F.avg("value"), 6).alias("mean"))
+    picked = k.filter((F.col("k") == F.floor(n / 2) + 1) | (F.col("k") == F.floor(n * 9 / 10) + 1))
+    return picked.groupBy("event_type", "lowest", "highest", "mean").agg(at(F.floor(n / 2)).alias("median"), at(F.floor(n * 9 / 10)).alias("p90")).select("event_type", "median", "p90", "lowest", "highest", "mean")
 
 
 @query(
