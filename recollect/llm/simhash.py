@@ -168,19 +168,27 @@ def links(prints: DataFrame, crowded: int = CROWDED) -> DataFrame:
     return near(alone(probes), alone(points)).unionByName(near(refined(probes), refined(points))).distinct()
 
 
-def grouped(df: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` of ``df`` with ``fingerprint``, ``component_id``, ``root`` (the component's least fingerprint) and ``row`` (a number of
-    its own for each row)."""
-    keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in ("fingerprint", "component_id", "root", "row")]
+def fingerprinted(df: DataFrame, text: str, doc_id: str, keep: list[str]) -> DataFrame:
+    """A written table of the columns ``keep``, ``__id``, ``fingerprint`` and ``row`` (a number of its own for each row)."""
     rows = with_fingerprint(df, text).select(*[F.col(f"`{c}`") for c in keep], F.col(doc_id).alias("__id"), "fingerprint")
-    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "fingerprints")
+    return written(rows.withColumn("row", F.monotonically_increasing_id()), "fingerprints")
+
+
+def named(rows: DataFrame) -> DataFrame:
+    """A written table of each ``fingerprint`` of ``rows`` with its ``component_id`` and ``root`` (the component's least fingerprint)."""
     prints = written(rows.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("__id").alias("least")), "prints")
     roots = components(links(prints))
     rooted = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = written(rooted, "rooted")
     groups = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "groups")
-    named = written(rooted.join(groups, "root").select(F.col("fp").alias("fingerprint"), "component_id", "root"), "named")
-    return rows.join(named, "fingerprint").select(*[F.col(f"`{c}`") for c in keep], "fingerprint", "component_id", "root", "row")
+    return written(rooted.join(groups, "root").select(F.col("fp").alias("fingerprint"), "component_id", "root"), "named")
+
+
+def grouped(df: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of ``df`` with ``fingerprint``, ``component_id``, ``root`` and ``row``."""
+    keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in ("fingerprint", "component_id", "root", "row")]
+    rows = fingerprinted(df, text, doc_id, keep)
+    return rows.join(named(rows), "fingerprint").select(*[F.col(f"`{c}`") for c in keep], "fingerprint", "component_id", "root", "row")
 
 
 def deduplicated(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -192,10 +200,12 @@ def deduplicated(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     own, body, base = place_of(df, doc_id), text_or_empty(place_of(df, text)), by_place(df)
     shown = F.coalesce(F.col(own).cast("string"), F.lit("null"))
     keys = {"__k1": F.xxhash64(shown, body), "__k2": F.xxhash64(body, F.lit("/"), shown)}
-    rows = grouped(base.withColumns(keys).select(own, place_of(df, text), *keys), place_of(df, text), own, keep=[own, *keys])
-    # equal rows first, then the rows of a fingerprint, then those of a component: few of any group reach the next step
-    each = rows.groupBy("root", "fingerprint", own, *keys).agg(F.count("*").alias("n"))
-    each = written(each.withColumn("rank", F.struct(F.col(own).isNull().alias("none"), F.col(own).alias("id"), "__k1", "__k2")).drop(own), "each")
+    rows = fingerprinted(base.withColumns(keys), place_of(df, text), own, list(keys))
+    # equal rows first, then the rows of a fingerprint, then those of a component: few of any group reach the next step.  The join stands
+    # alone between written tables, so that the rows of one fingerprint can be split over tasks.
+    rank = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), "__k1", "__k2")
+    each = written(rows.groupBy("fingerprint", "__id", *keys).agg(F.count("*").alias("n")), "rows")
+    each = written(each.join(named(rows).drop("component_id"), "fingerprint").withColumn("rank", rank).drop("__id"), "each")
     first = each.groupBy("root", "fingerprint").agg(F.min("rank").alias("least"), F.count("*").alias("m"))
     first = written(first.groupBy("root").agg(F.min("least").alias("least"), F.sum("m").alias("m")).filter("m > 1").select("root", "least"), "least")
     gone = written(each.join(first, "root").filter(F.col("rank") != F.col("least")).select(*keys), "gone")
