@@ -89,7 +89,8 @@ def scan(
         "__row", "owner", "repository", "f.kind", "f.start", "f.end", F.sha2("f.value", 256).alias("hash"), looks_live(F.col("f.value")).alias("live"),
         F.length("f.value").alias("size"),
     )
-    known = each.join(ownership(each), "hash")
+    # a written table, so that the findings of a value that very many rows hold can be split over tasks
+    known = each.join(written(ownership(each), "owners"), "hash")
     # the value of an assignment stands at the end of its span
     verdict = F.when(F.col("owners") >= copied_owners, COPIED).when(F.col("live"), LIVE)
     finding = lambda kind, start: F.struct(start.alias("start"), kind.alias("kind"), F.col("end"), F.col("hash"), F.col("owners"), F.col("repositories"))
