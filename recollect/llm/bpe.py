@@ -16,6 +16,7 @@ independent of each other, so ties and repeated rows give equal results; columns
 from __future__ import annotations
 
 import json
+import re
 from array import array
 from functools import lru_cache
 
@@ -33,6 +34,10 @@ from .shared import arrow_column, text_or_empty, with_fields
 STABLE = r"\u0000-ԯḀ-῿‐-⁰₠-₿　-ヿ一-龥가-힣"
 OTHER = regex.compile(f"[^{STABLE}]")
 
+#: Where letters, numbers and white space can be listed: Latin letters, and punctuation.  Such texts are split by ``re``, in half the time.
+LETTERS, NUMBERS, SPACES = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r \x85\xa0"
+NOT_LATIN = re.compile("[^\\0-\u024f\u2010-\u2027\u2030-\u205e\u20ac]")
+
 #: The splitting rule of byte-level BPE (a fixed value of the tokenizer).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -57,6 +62,22 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def latin(pattern: str) -> re.Pattern[str]:
+    """A splitting rule for Latin texts: its classes of letters, numbers and white space written out."""
+    listed, out, at, inside = {"\\p{L}": LETTERS, "\\p{N}": NUMBERS, "\\s": SPACES}, "", 0, False
+    while at < len(pattern):
+        name = next((k for k in (*listed, "\\S") if pattern.startswith(k, at)), None)
+        if name == "\\S":
+            out += f"[^{SPACES}]"
+        elif name:
+            out += listed[name] if inside else f"[{listed[name]}]"
+        else:
+            inside = pattern[at] == "[" or (inside and pattern[at] != "]")
+            out += pattern[at]
+        at += len(name or "x")
+    return re.compile(out)
+
+
 class Memo(dict):
     """Values by key, computed when first asked for.  At most twice ``size`` are held: the older half goes at once."""
 
@@ -112,7 +133,7 @@ class PrefixBpe:
         self.automaton.make_automaton()
         self.fits = Memo(lambda pair: not self._crossed(pair >> 32, pair & 0xFFFFFFFF), MEMO_PAIRS)
         self.pieces = Memo(self.encode_piece, MEMO_PIECES, MEMO_CHARS)
-        self.splitter = regex.compile(SPLIT)
+        self.splitter, self.latin = regex.compile(SPLIT), latin(SPLIT)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.path, self.library = path, None
 
@@ -160,7 +181,9 @@ class PrefixBpe:
         return ids.tobytes()
 
     def split(self, text: str) -> list[str]:
-        if text.isascii() or not OTHER.search(text):
+        if not NOT_LATIN.search(text):
+            return self.latin.findall(text)
+        if not OTHER.search(text):
             return self.splitter.findall(text)
         if self.library is None:
             from tokenizers import Tokenizer

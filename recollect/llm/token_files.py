@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .bpe import OTHER, Memo, byte_alphabet
+from .bpe import NOT_LATIN, OTHER, Memo, byte_alphabet, latin
 from .shared import bounded_batches
 
 NO_ID = -(2**63)
@@ -63,7 +63,7 @@ class LibraryEncoder:
         first, rest = steps[0], steps[1:]
         simple = first.get("type") == "Split" and first["behavior"] == "Removed" and first["invert"] and "Regex" in first["pattern"]
         simple = simple and [(s["type"], s["use_regex"], s["add_prefix_space"]) for s in rest] == [("ByteLevel", False, False)]
-        self.splitter = regex.compile(first["pattern"]["Regex"]) if simple else None
+        self.splitter, self.latin = (regex.compile(first["pattern"]["Regex"]), latin(first["pattern"]["Regex"])) if simple else (None, None)
         special = [t["content"] for t in spec["added_tokens"]]
         self.specials = regex.compile("|".join(map(regex.escape, special))) if special else None
         steps = spec["normalizer"] or {"type": "none"}
@@ -95,10 +95,12 @@ class LibraryEncoder:
 
     def encode(self, text: str) -> bytes:
         """The ids as unsigned integers of ``dtype``."""
-        simple = self.splitter is not None and (text.isascii() or not OTHER.search(text))
+        simple = self.splitter is not None and not OTHER.search(text)
         if not simple or (self.specials and self.specials.search(text)):
             return self._ids(text)
-        return b"".join(map(self.pieces.__getitem__, self.splitter.findall(self.normal(text))))
+        normal = self.normal(text)
+        pieces = (self.splitter if NOT_LATIN.search(normal) else self.latin).findall(normal)
+        return b"".join(map(self.pieces.__getitem__, pieces))
 
 
 @lru_cache(maxsize=2)

@@ -94,3 +94,14 @@ def test_files_of_lost_tasks_are_ignored(spark, odd, tmp_path):
     before = token_files.read_store(spark, uri).count()
     (tmp_path / "store" / "part-000000-deadbeef.tok").write_bytes(b"\1\2")
     assert token_files.read_store(spark, uri).count() == before
+
+
+def test_listed_classes():
+    """Every character that the fast splitter may see, in its neighbourhoods."""
+    seen = [chr(c) for c in (*range(0x250), *range(0x2010, 0x2028), *range(0x2030, 0x205F), 0x20AC)]
+    assert not bpe.NOT_LATIN.search("".join(seen)) and all(bpe.NOT_LATIN.search(chr(c)) for c in (0x250, 0x2028, 0x2029, 0x3000, 0x2070))
+    for c in seen:
+        for text in (f"a{c}b1 {c}  {c}!", f"{c}{c} {c}\n"):
+            assert OWN.latin.findall(text) == OWN.splitter.findall(text)
+            assert ENCODER.latin.findall(text) == ENCODER.splitter.findall(text)
+            same(text)
