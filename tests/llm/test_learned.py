@@ -33,6 +33,7 @@ from recollect.llm import queries, simhash
         ("<article hidden>no</article><p style='display: none'>no</p><p>yes</p>", "yes"),
         ("<p>a &nbsp; b\n\tc</p>", "a b c"),
         ("<div>" * 5000 + "deep" + "</div>" * 5000, "deep"),
+        ("<div class='with-sidebar'><p>text</p></div><div class='side-bar'>no</div><section id=comments><p>no</p></section>", "text"),
         ("<script>never closed <p>x", ""),
     ],
 )
