@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import hashlib
 import struct
-import zlib
 
 import numpy as np
 import pyarrow as pa
