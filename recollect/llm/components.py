@@ -15,9 +15,9 @@ from .shared import written
 
 def _joined(links: DataFrame) -> DataFrame:
     """``links`` (a, b) with ``m``, the least ``b`` of each ``a``, or ``a`` if that is less."""
-    least = links.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
-    # written, so that the join stands between tables and the links of one node can be split over tasks
-    return links.join(written(least, "least"), "a")
+    # grouped by one more (dependent) column, so that the join has a shuffle of its own on both sides and a node's links can be split
+    least = links.groupBy("a", F.hash("a").alias("apart")).agg(F.min("b").alias("m"))
+    return links.join(least.select("a", F.least("m", "a").alias("m")), "a")
 
 
 def large_star(links: DataFrame) -> DataFrame:

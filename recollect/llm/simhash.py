@@ -175,13 +175,14 @@ def fingerprinted(df: DataFrame, text: str, doc_id: str, keep: list[str]) -> Dat
 
 
 def named(rows: DataFrame) -> DataFrame:
-    """A written table of each ``fingerprint`` of ``rows`` with its ``component_id`` and ``root`` (the component's least fingerprint)."""
+    """Each ``fingerprint`` of ``rows`` with its ``component_id`` and ``root`` (the component's least fingerprint)."""
     prints = written(rows.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("__id").alias("least")), "prints")
     roots = components(links(prints))
     rooted = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = written(rooted, "rooted")
-    groups = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "groups")
-    return written(rooted.join(groups, "root").select(F.col("fp").alias("fingerprint"), "component_id", "root"), "named")
+    # grouped by one more (dependent) column, so that the join shuffles both sides and a large component can be split
+    groups = rooted.groupBy("root", F.hash("root").alias("apart")).agg(F.min("least").alias("component_id")).drop("apart")
+    return rooted.join(groups, "root").select(F.col("fp").alias("fingerprint"), "component_id", "root")
 
 
 def grouped(df: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
@@ -201,13 +202,13 @@ def deduplicated(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     shown = F.coalesce(F.col(own).cast("string"), F.lit("null"))
     keys = {"__k1": F.xxhash64(shown, body), "__k2": F.xxhash64(body, F.lit("/"), shown)}
     rows = fingerprinted(base.withColumns(keys), place_of(df, text), own, list(keys))
-    # equal rows first, then the rows of a fingerprint, then those of a component: few of any group reach the next step.  The join stands
-    # alone between written tables, so that the rows of one fingerprint can be split over tasks.
+    # equal rows first, then the rows of a fingerprint, then those of a component: few of any group reach the next step.  The joins have
+    # shuffles of their own on both sides, so that the rows of one fingerprint or component can be split over tasks.
     rank = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), "__k1", "__k2")
-    each = written(rows.groupBy("fingerprint", "__id", *keys).agg(F.count("*").alias("n")), "rows")
+    each = rows.groupBy("fingerprint", "__id", *keys).agg(F.count("*").alias("n"))
     each = written(each.join(named(rows).drop("component_id"), "fingerprint").withColumn("rank", rank).drop("__id"), "each")
     first = each.groupBy("root", "fingerprint").agg(F.min("rank").alias("least"), F.count("*").alias("m"))
-    first = written(first.groupBy("root").agg(F.min("least").alias("least"), F.sum("m").alias("m")).filter("m > 1").select("root", "least"), "least")
+    first = first.groupBy("root", F.hash("root").alias("apart")).agg(F.min("least").alias("least"), F.sum("m").alias("m")).filter("m > 1").select("root", "least")
     gone = written(each.join(first, "root").filter(F.col("rank") != F.col("least")).select(*keys), "gone")
     twice = written(each.filter("n > 1").select(*keys), "twice")
     kept = base.withColumns(keys).join(sent(gone), list(keys), "left_anti")
