@@ -5,10 +5,13 @@ A window network predicts each token from the two tokens on either side of it, t
 the token's probability.  The sum of a document's conditional log-probabilities is its score; per token it tells fluent text from
 noise, whatever the length.
 
-The vocabulary is the corpus's most frequent words, counted over all documents; other words share places by a hash.  The network is
+The vocabulary is counted over all documents and grows with them: the most frequent words, and every further word that is seen at least
+sqrt(number of tokens) / ``RARE`` times.  Other words share places by a hash.  A further word hangs below one of these places: a binary
+tree, which starts from the words' counts, leads from the place to its further words or to "another word".  The network is
 trained in numpy on all tokens of all documents: each task trains a copy on its own documents, from the same start, and the
-copies are averaged by tokens, a bounded number at a time, in as many rounds as it takes.  What is gathered (word counts, and a copy
-of the network for each task) grows with the corpus; what is sent back (one network, one vocabulary) doesn't.
+copies are averaged by tokens, a bounded number and a piece of each at a time, in as many rounds as it takes.  What a task tells is the
+difference to the start, which is zero for words that it hasn't seen.  The vocabulary and the network, which are sent back to all tasks,
+grow about as the square root of the corpus.
 
 Defined results: a null text counts as an empty one; a text without words has no tokens, score 0 and mean 0; an empty corpus gives
 no rows; equal texts have equal scores but for rounding (sums are in single precision), repeated rows are scored each and teach
@@ -39,13 +42,29 @@ RATE, BATCH, CLIP = 0.5, 4096, 5.0
 KEPT_WORDS, KEPT_CHARS = 150_000, 40
 #: Tokens scored at once, and networks averaged at once.
 AT_ONCE, AVERAGED = 1 << 16, 32
+#: A word seen sqrt(tokens) / RARE times is in the vocabulary; numbers of a network in a piece.
+RARE, PIECE = 40, 1 << 20
 
 
-def vocabulary(docs: DataFrame, text: str = "text") -> dict[str, int]:
-    """The most frequent words of the whole corpus and their tokens."""
+class Words(dict):
+    """Tokens of words, how often each of the ``further`` ones is seen, and all words beyond the vocabulary together."""
+
+    def __init__(self, top: list[str] = (), further: list[str] = (), counts: list[int] = (), others: int = 0):
+        super().__init__({w: k for k, w in enumerate(top)} | {w: TOKENS + 1 + k for k, w in enumerate(further)})
+        self.counts, self.others = np.array(counts, np.float64), others
+
+
+def vocabulary(docs: DataFrame, text: str = "text") -> Words:
+    """The vocabulary of the whole corpus; token ``TOKENS`` is none, so further words are numbered from the next on."""
     words = docs.select(F.explode(F.split(text_or_empty(text), "\\s+")).alias("w")).filter("w <> ''")
-    top = words.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(TOKENS - SHARED)
-    return {r.w: k for k, r in enumerate(top.collect())}
+    counted = written(words.groupBy("w").agg(F.count("*").alias("n")), "words")
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    top = counted.orderBy(F.desc("n"), "w").limit(TOKENS - SHARED).collect()
+    most = {r.w for r in top}
+    often = counted.filter(F.col("n") >= max(2.0, total**0.5 / RARE)).collect() if len(top) == TOKENS - SHARED else []
+    further = sorted((r for r in often if r.w not in most), key=lambda r: (-r.n, r.w))
+    others = total - sum(r.n for r in top) - sum(r.n for r in further)
+    return Words([r.w for r in top], [r.w for r in further], [r.n for r in further], others)
 
 
 class Tokens(dict):
@@ -60,9 +79,9 @@ class Tokens(dict):
 
 def tokens(texts: list[str], known: Tokens) -> tuple[np.ndarray, np.ndarray]:
     """Tokens of texts one after the other, and how many each text has."""
-    found = [array("H", map(known.__getitem__, t.split())) for t in texts]
+    found = [array("i", map(known.__getitem__, t.split())) for t in texts]
     sizes = np.array([len(f) for f in found], np.int64)
-    return np.frombuffer(b"".join(found), np.uint16).astype(np.int32), sizes
+    return np.frombuffer(b"".join(found), np.int32), sizes
 
 
 def neighbours(ids: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
@@ -74,18 +93,51 @@ def neighbours(ids: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
 
 
 class Network:
-    def __init__(self, flat: np.ndarray | None = None):
-        shapes = [(2 * WINDOW, TOKENS + 1, WIDTH), (WIDTH,), (WIDTH, CLUSTERS), (CLUSTERS,), (CLUSTERS, WIDTH, MEMBERS), (CLUSTERS, MEMBERS)]
+    def __init__(self, flat: np.ndarray | None = None, words: Words | None = None):
+        counts = words.counts if words is not None else np.zeros(0)
+        #: Leaves below each shared place ("another word" first), and the steps that lead to one.
+        self.leaves = 1 + (len(counts) - np.arange(SHARED) + SHARED - 1) // SHARED
+        self.steps = int(self.leaves.max() - 1).bit_length()
+        shapes = [(2 * WINDOW, TOKENS + 1 + len(counts), WIDTH), (WIDTH,), (WIDTH, CLUSTERS), (CLUSTERS,), (CLUSTERS, WIDTH, MEMBERS), (CLUSTERS, MEMBERS)]
         if flat is None:
             rng = np.random.default_rng(7)
             parts = [rng.normal(0, 0.1, s) if len(s) > 1 and s != (CLUSTERS, MEMBERS) else np.zeros(s) for s in shapes]
-            flat = np.concatenate([p.ravel() for p in parts])
+            flat = np.concatenate([*(p.ravel() for p in parts), np.zeros((SHARED << self.steps) * WIDTH), self.biases(counts, words.others if words is not None else 0)])
+        shapes += [(SHARED << self.steps, WIDTH), (SHARED << self.steps,)]
         self.flat = np.array(flat, np.float32)
         cuts = np.cumsum([0, *(int(np.prod(s)) for s in shapes)])
-        self.near, self.bias, self.cluster, self.cluster_bias, self.member, self.member_bias = (
+        self.near, self.bias, self.cluster, self.cluster_bias, self.member, self.member_bias, self.turn, self.turn_bias = (
             self.flat[a:b].reshape(s) for a, b, s in zip(cuts, cuts[1:], shapes, strict=False)
         )
 
+    def biases(self, counts: np.ndarray, others: int) -> np.ndarray:
+        """The logarithm of how much more often each step of the trees leads to the right, by the counts of the words."""
+        level = np.zeros((SHARED, 1 << self.steps))
+        level[:, 0] = others / SHARED + 1
+        at = np.arange(len(counts))
+        level[at % SHARED, 1 + at // SHARED] = counts
+        out = np.zeros((SHARED, 1 << self.steps))
+        for d in reversed(range(self.steps)):
+            left, right = level[:, ::2], level[:, 1::2]
+            out[:, (1 << d) - 1 : (2 << d) - 1] = np.where((left > 0) & (right > 0), np.log(np.maximum(right, 1e-9) / np.maximum(left, 1e-9)), 0)
+            level = left + right
+        return out.ravel()
+
+    @staticmethod
+    def places(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens below ``TOKENS`` that tokens belong to, and their leaves there."""
+        far = ids - (TOKENS + 1)
+        return np.where(far >= 0, TOKENS - SHARED + far % SHARED, ids), np.where(far >= 0, 1 + far // SHARED, 0)
+
+    def turns(self, place: np.ndarray, leaf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each step to leaves of shared places: which have a choice there, its node, and whether it is to the right."""
+        for d in range(self.steps):
+            below = self.steps - 1 - d
+            first = (leaf >> below | 1) << below  # the first leaf to the right
+            rows = np.flatnonzero(first < self.leaves[place])
+            at, own = leaf[rows], place[rows]
+            yield rows, (own << self.steps) + (1 << d) - 1 + (at >> below + 1), (at >> below & 1).astype(np.float32)
+
     def hidden(self, around: list[np.ndarray]) -> np.ndarray:
         h = self.near[0][around[0]]
         for k in range(1, 2 * WINDOW):
@@ -118,7 +170,8 @@ class Network:
         out = np.empty(len(ids), np.float32)
         for a in range(0, len(ids), AT_ONCE):
             b = min(len(ids), a + AT_ONCE)
-            h, own = self.hidden([x[a:b] for x in around]), ids[a:b]
+            h = self.hidden([x[a:b] for x in around])
+            own, leaf = self.places(ids[a:b])
             group = (own // MEMBERS).astype(np.uint8)  # short integers sort in linear time
             _, first = self.softmax(h @ self.cluster + self.cluster_bias, group)
             order = np.argsort(group, kind="stable")
@@ -129,14 +182,22 @@ class Network:
                     z[edges[c] : edges[c + 1]] = sorted_h[edges[c] : edges[c + 1]] @ self.member[c] + self.member_bias[c]
             _, second = self.softmax(z, own[order] % MEMBERS)
             out[a + order] = first[order] + second
+            shared = np.flatnonzero(own >= TOKENS - SHARED)
+            if self.steps and len(shared):
+                h, logs = h[shared], np.zeros(len(shared), np.float32)
+                for rows, node, right in self.turns(own[shared] - (TOKENS - SHARED), leaf[shared]):
+                    z = np.einsum("nw,nw->n", h[rows], self.turn[node]) + self.turn_bias[node]
+                    logs[rows] -= np.logaddexp(0, np.where(right > 0, -z, z))
+                out[a + shared] += logs
         return out
 
     def learn(self, ids: np.ndarray, around: list[np.ndarray], rate: float) -> None:
         """One step of gradient descent on a batch of tokens."""
         n = len(ids)
+        ids, leaf = self.places(ids)
         group = (ids // MEMBERS).astype(np.uint8)
         order = np.argsort(group, kind="stable")
-        ids, group, around = ids[order], group[order], [x[order] for x in around]
+        ids, leaf, group, around = ids[order], leaf[order], group[order], [x[order] for x in around]
         h = self.hidden(around)
         slope, _ = self.softmax(h @ self.cluster + self.cluster_bias, group)
         slope[np.arange(n), group] -= 1
@@ -154,11 +215,28 @@ class Network:
             self.member_bias[c] -= step * z.sum(0)
         self.cluster -= step * (h.T @ slope)
         self.cluster_bias -= step * slope.sum(0)
+        shared = np.flatnonzero(ids >= TOKENS - SHARED)
+        if self.steps and len(shared):
+            h_shared, back_shared = h[shared], np.zeros((len(shared), WIDTH), np.float32)
+            for rows, node, right in self.turns(ids[shared] - (TOKENS - SHARED), leaf[shared]):
+                if not len(rows):
+                    continue
+                order = np.argsort(node, kind="stable")
+                rows, node, right = rows[order], node[order], right[order]
+                here, weight = h_shared[rows], self.turn[node]
+                z = 1 / (1 + np.exp(-np.clip(np.einsum("nw,nw->n", here, weight) + self.turn_bias[node], -30, 30))) - right
+                back_shared[rows] += z[:, None] * weight
+                begins = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+                # by the mean slope times a damped share of the batch, as neighbours' vectors
+                share = rate / np.sqrt(np.diff(np.append(begins, len(node))).astype(np.float32) * n)
+                self.turn[node[begins]] -= share[:, None] * np.add.reduceat(z[:, None] * here, begins, axis=0)
+                self.turn_bias[node[begins]] -= share * np.add.reduceat(z, begins)
+            back[shared] += back_shared
         back *= 1 - h * h
         self.bias -= step * back.sum(0)
         # a neighbour's vector moves by the mean slope of its tokens times a damped share of the batch
         for k, x in enumerate(around):
-            order = np.argsort(x.astype(np.uint16), kind="stable")
+            order = np.argsort(x.astype(np.uint16) if self.near.shape[1] <= 1 << 16 else x, kind="stable")
             x = x[order]
             begins = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
             sums = np.add.reduceat(back[order], begins, axis=0)
@@ -166,17 +244,17 @@ class Network:
             self.near[k][x[begins]] -= rate * np.clip(sums / np.sqrt(counts * n)[:, None], -CLIP, CLIP)
 
 
-LEARNT = StructType().add("part", "long").add("tokens", "long").add("flat", "binary")
+LEARNT = StructType().add("part", "long").add("tokens", "long").add("piece", "long").add("flat", "binary")
 
 
-def trained(docs: DataFrame, words: dict[str, int], text: str = "text") -> Network:
+def trained(docs: DataFrame, words: Words, text: str = "text") -> Network:
     """A network trained on all tokens of ``docs``."""
     bounded_batches(docs.sparkSession)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        known, network, seen, left_ids, left_around = Tokens(words), Network(), 0, [], []
+        known, network, seen, left_ids, left_around = Tokens(words), Network(words=words), 0, [], []
         for batch in batches:
             ids, sizes = tokens(batch.column(0).to_pylist(), known)
             around = neighbours(ids, sizes)
@@ -191,31 +269,36 @@ def trained(docs: DataFrame, words: dict[str, int], text: str = "text") -> Netwo
             network.learn(left_ids[0], left_around[0], RATE * len(left_ids[0]) / BATCH)
             seen += len(left_ids[0])
         if seen:
-            flat = network.flat.astype("<f4").tobytes()
-            yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "tokens": [seen], "flat": [flat]})
+            network.flat -= Network(words=words).flat
+            for k in range(0, len(network.flat), PIECE):
+                flat = network.flat[k : k + PIECE].astype("<f4").tobytes()
+                yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "tokens": [seen], "piece": [k // PIECE], "flat": [flat]})
 
     def average(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("part")
         total = int(group["tokens"].sum())
         flat = sum(np.frombuffer(f, "<f4").astype(np.float64) * (n / total) for f, n in zip(group["flat"], group["tokens"], strict=True))
-        return pd.DataFrame({"part": [int(group["part"].iloc[0]) // AVERAGED], "tokens": [total], "flat": [flat.astype("<f4").tobytes()]})
+        one = {"part": int(group["part"].iloc[0]) // AVERAGED, "tokens": total, "piece": int(group["piece"].iloc[0])}
+        return pd.DataFrame({k: [v] for k, v in one.items()} | {"flat": [flat.astype("<f4").tobytes()]})
 
     copies = written(docs.select(text_or_empty(text)).mapInArrow(learn, LEARNT), "networks")
-    while copies.count() > 1:  # parts are numbered from 0, so each round divides their numbers
-        copies = written(copies.groupBy(F.floor(F.col("part") / AVERAGED)).applyInPandas(average, LEARNT), "networks")
-    last = copies.first()
-    return Network(None if last is None else np.frombuffer(bytes(last.flat), "<f4"))
+    while copies.select("part").distinct().count() > 1:  # parts are numbered from 0, so each round divides their numbers
+        copies = written(copies.groupBy("piece", F.floor(F.col("part") / AVERAGED)).applyInPandas(average, LEARNT), "networks")
+    network = Network(words=words)
+    for r in copies.select("piece", "flat").toLocalIterator():
+        network.flat[r.piece * PIECE : (r.piece + 1) * PIECE] += np.frombuffer(bytes(r.flat), "<f4")
+    return network
 
 
 SCORED = StructType([StructField("n_tokens", LongType()), StructField("log_likelihood", DoubleType()), StructField("mean", DoubleType())])
 
 
-def scored(df: DataFrame, words: dict[str, int], network: Network, text: str = "text") -> DataFrame:
+def scored(df: DataFrame, words: Words, network: Network, text: str = "text") -> DataFrame:
     """``df`` with ``n_tokens``, ``log_likelihood`` (the sum over its tokens) and ``mean`` (per token)."""
     flat = network.flat
 
     def start():
-        known, network = Tokens(words), Network(flat)
+        known, network = Tokens(words), Network(flat, words)
 
         def batch(texts: list[str]) -> pa.Array:
             ids, sizes = tokens(texts, known)

@@ -135,6 +135,25 @@ def test_learning_and_scoring(spark, odd, nothing):
     assert L.score(nothing).count() == 0
 
 
+def test_vocabulary_grows_with_the_corpus(spark):
+    rng = random.Random(1)
+    often, rare, junk = ([f"{kind}{k}" for k in range(n)] for kind, n in (("often", 768), ("rare", 700), ("junk", 3000)))
+    texts = [" ".join(often + often + rng.sample(rare, 350) + [junk.pop()]) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    words = L.vocabulary(df)
+    assert set(words) == {*often, *rare} and L.TOKENS not in words.values()
+    net = L.trained(df, words)
+    around = [np.array([k], np.int32) for k in (5, L.TOKENS, L.TOKENS + 700, 1000)]
+    every = [t for t in range(L.TOKENS + 701) if t != L.TOKENS]
+    logs = np.array([net.log_probabilities(np.array([t], np.int32), around)[0] for t in every], np.float64)
+    assert np.exp(logs).sum() == pytest.approx(1, abs=1e-3)
+    # a word of the corpus is likelier than junk of the same place
+    known = L.Tokens(words)
+    place = lambda w: int(L.Network.places(np.array([known[w]]))[0][0])
+    likely = {t: p for t, p in zip(every, logs, strict=True)}
+    assert all(likely[words[w]] > likely[place(w)] for w in rare)
+
+
 # --- the pipeline
 
 
