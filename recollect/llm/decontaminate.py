@@ -1,7 +1,8 @@
-"""Operator 4: benchmark decontamination by size-partitioned MinHash containment search.
+"""Operator 4: benchmark decontamination by MinHash containment search.
 
 A short test item is *contained* in a document if at least ``SIMILARITY`` of the item's distinct five-word shingles occur in
-it; the document's own length doesn't matter.  Items are partitioned by their number of shingles.  For an item of n shingles
+it; the document's own length doesn't matter.  Items are not partitioned by size, as each sketch's length follows
+from its own item.  For an item of n shingles
 at least m = ceil(0.8 n) must occur, so of any n - m + 1 of them at least one does: a sketch of that many least values under
 one fixed order is enough to find every document, at any document length, without a miss.  The order is by how many items
 share a shingle and then by hash, so wording that many items share is rarely a key.  Documents are probed with all their
