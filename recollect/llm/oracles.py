@@ -20,33 +20,35 @@ def either_case(word: str) -> str:
 
 WORD_LIST = "CASE WHEN b = '' THEN []::VARCHAR[] ELSE string_split_regex(b, '[^\\p{L}\\p{N}]+') END"
 BARE = "regexp_replace(lower(coalesce(text, '')), '^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$', '', 'g')"
-SHINGLES = "list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE []::VARCHAR[] END)"
+SHINGLES = "list_distinct(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' ')))"
 
 DECONTAMINATION = f"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {BARE} AS b FROM documents),
-ds AS (SELECT rid, doc_id, unnest({SHINGLES}) AS g FROM (SELECT rid, doc_id, {WORD_LIST} AS w FROM d)),
-i AS (SELECT item_id, {BARE} AS b FROM benchmark),
-gs AS (SELECT item_id, {SHINGLES} AS gs FROM (SELECT item_id, {WORD_LIST} AS w FROM i)),
-ig AS (SELECT item_id, len(gs) AS n_item, unnest(gs) AS g FROM gs)
+WITH i AS (SELECT item_id, {BARE} AS b FROM benchmark),
+iw AS (SELECT item_id, w, least(len(w), 5)::BIGINT AS k FROM (SELECT item_id, {WORD_LIST} AS w FROM i) WHERE len(w) > 0),
+gs AS (SELECT item_id, k, {SHINGLES} AS gs FROM iw),
+ig AS (SELECT item_id, k, len(gs) AS n_item, unnest(gs) AS g FROM gs),
+d AS (SELECT row_number() OVER () AS rid, doc_id, {BARE} AS b FROM documents),
+dw AS (SELECT rid, doc_id, w, k FROM (SELECT rid, doc_id, {WORD_LIST} AS w FROM d), (SELECT DISTINCT k FROM iw)),
+ds AS (SELECT rid, doc_id, k, unnest({SHINGLES}) AS g FROM dw WHERE len(w) >= k)
 SELECT doc_id, item_id, count(*)::BIGINT AS n_shared, n_item::BIGINT AS n_item, count(*) / n_item::DOUBLE AS containment
-FROM ds JOIN ig USING (g) GROUP BY rid, doc_id, item_id, n_item HAVING count(*) >= ceil(round(0.8 * n_item, 9))
+FROM ds JOIN ig USING (k, g) GROUP BY rid, doc_id, item_id, n_item HAVING count(*) >= ceil(round(0.8 * n_item, 9))
 """
 
 ASSIGN = "(" + "|".join(either_case(w) for w in ("password", "passwd", "secret", "token", "api_?key")) + ")[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 MARKED = "(?:gh[pousr]_|glpat-|xox[abprs]-|[rs]k_live_|AIza)[A-Za-z0-9_-]{16,}|eyJ[A-Za-z0-9_-]{16,}\\.[A-Za-z0-9_.-]{16,}"
 
 SECRETS = f"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS o, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS o, concat_ws('/', source, doc_id) AS r, coalesce(text, '') AS t FROM documents),
 f AS (
-  SELECT rid, o, 0 AS k, s, s + length(m) AS e, v FROM {spans('d', 'rid, o', 't', ASSIGN, 2)} WHERE length(v) >= 6
-  UNION ALL SELECT rid, o, 1, s, s + length(m), m FROM {spans('d', 'rid, o', 't', 'AKIA[A-Z0-9]+')} WHERE length(m) >= 20
-  UNION ALL SELECT rid, o, 2, s, s + length(m), m FROM {spans('d', 'rid, o', 't', '[0-9a-f]+')} WHERE length(m) >= 24
-  UNION ALL SELECT rid, o, 3, s, s + length(m), m FROM {spans('d', 'rid, o', 't', MARKED)}
+  SELECT rid, o, r, 0 AS k, s, s + length(m) AS e, v FROM {spans('d', 'rid, o, r', 't', ASSIGN, 2)} WHERE length(v) >= 6
+  UNION ALL SELECT rid, o, r, 1, s, s + length(m), m FROM {spans('d', 'rid, o, r', 't', 'AKIA[A-Z0-9]+')} WHERE length(m) >= 20
+  UNION ALL SELECT rid, o, r, 2, s, s + length(m), m FROM {spans('d', 'rid, o, r', 't', '[0-9a-f]+')} WHERE length(m) >= 24
+  UNION ALL SELECT rid, o, r, 3, s, s + length(m), m FROM {spans('d', 'rid, o, r', 't', MARKED)}
 ),
-own AS (SELECT v, count(DISTINCT o) AS owners FROM f GROUP BY v),
+own AS (SELECT v, count(DISTINCT o) AS owners, count(DISTINCT (o, r)) AS repositories FROM f GROUP BY v),
 judged AS (
-  SELECT rid, s, e, v, CASE WHEN owners >= 3 THEN 4
-    WHEN length(v) >= 16 AND len(list_distinct(string_split(v, ''))) >= 8 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') THEN 5 END AS k
+  SELECT rid, s, e, v, CASE WHEN owners >= 3 OR (owners = 2 AND repositories >= 5) THEN 4
+    WHEN owners = 1 AND length(v) >= 16 AND len(list_distinct(string_split(v, ''))) >= 8 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') THEN 5 END AS k
   FROM f JOIN own USING (v)
 ),
 a AS (SELECT rid, k, s, e FROM f UNION SELECT rid, k, e - length(v), e FROM judged WHERE k IS NOT NULL),
@@ -80,19 +82,14 @@ f AS (
   UNION ALL SELECT rid, 3, s, m, n FROM (SELECT *, {DIGITS} AS n FROM {spans('d', 'rid', 't', PHONE)}) WHERE length(n) BETWEEN 8 AND 15
 ),
 b AS (SELECT rid, k, s, s + length(m) AS e, k || ':' || val AS val FROM f),
-c AS (
-  SELECT b.*, greatest(s - 40, 0) AS bs, substr(t, greatest(s - 40, 0) + 1, s - greatest(s - 40, 0)) AS bt0, substr(t, e + 1, 40) AS at0, length(t) AS size
-  FROM b JOIN d USING (rid)
+letters AS (SELECT rid, unnest(string_split(t, '')) AS c, unnest(range(length(t))) AS p FROM d WHERE rid IN (SELECT rid FROM b)),
+masked AS (
+  SELECT rid, string_agg(CASE WHEN EXISTS (SELECT 1 FROM b WHERE b.rid = l.rid AND b.s <= l.p AND l.p < b.e) THEN ' ' ELSE c END, '' ORDER BY p) AS t FROM letters l GROUP BY rid
 ),
-c2 AS (
-  SELECT *, CASE WHEN bs > 0 THEN regexp_replace(bt0, '^\\p{{L}}+', '') ELSE bt0 END AS bt, CASE WHEN e + 40 < size THEN regexp_replace(at0, '\\p{{L}}+$', '') ELSE at0 END AS aft FROM c
-),
-near AS (
-  SELECT rid, val, lower(m) AS term, s0 - length(bt) + s AS ts, s0 - length(bt) + s + length(m) AS te FROM {spans('(SELECT *, s AS s0 FROM c2)', 'rid, val, s0, e, bt', 'bt', '\\p{L}{4,}')}
-  UNION ALL SELECT rid, val, lower(m), e + s, e + s + length(m) FROM {spans('(SELECT *, s AS s0 FROM c2)', 'rid, val, s0, e, aft', 'aft', '\\p{L}{4,}')}
-),
-pairs AS (SELECT val, term, count(DISTINCT rid) AS n_both FROM near GROUP BY ALL HAVING count(DISTINCT rid) >= 3),
-words AS (SELECT rid, unnest(list_distinct(string_split_regex(lower(t), '[^\\p{{L}}]+'))) AS term FROM d),
+held AS (SELECT DISTINCT rid, val FROM b),
+w AS (SELECT rid, lower(m) AS term, s AS ts, s + length(m) AS te FROM {spans('masked', 'rid', 't', '\\p{L}+')}),
+pairs AS (SELECT val, term, count(*) AS n_both FROM held JOIN (SELECT DISTINCT rid, term FROM w) USING (rid) GROUP BY ALL HAVING count(*) >= 2),
+words AS (SELECT rid, unnest(list_distinct(list_transform(string_split_regex(t, '[^\\p{{L}}]+'), lambda x: lower(x)))) AS term FROM d),
 nt AS (SELECT term, count(*) AS n_term FROM words WHERE term IN (SELECT term FROM pairs) GROUP BY term),
 nv AS (SELECT val, count(DISTINCT rid) AS n_value FROM b GROUP BY val),
 tot AS (SELECT count(*)::DOUBLE AS n FROM d),
@@ -100,10 +97,7 @@ told AS (
   SELECT val, term FROM pairs JOIN nt USING (term) JOIN nv USING (val), tot
   WHERE CASE WHEN ln(n / n_value) > 0 THEN round(ln(n * n_both / (n_term * n_value)) / ln(n / n_value), 9) ELSE 0 END >= 0.8
 ),
-t AS (
-  SELECT DISTINCT rid, 4 AS k, ts AS s, te AS e FROM near JOIN told USING (val, term)
-  WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.rid = near.rid AND b.s < near.te AND near.ts < b.e)
-),
+t AS (SELECT DISTINCT rid, 4 AS k, ts AS s, te AS e FROM w JOIN held USING (rid) JOIN told USING (val, term)),
 a AS (SELECT rid, k, s, e FROM b UNION ALL SELECT * FROM t),
 n AS (SELECT *, ['email', 'ip', 'card', 'phone', 'term'][k + 1] || ':' || s || ':' || e AS txt FROM a),
 g AS (

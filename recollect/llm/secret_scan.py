@@ -1,10 +1,13 @@
 """Operator 8: secrets, and who else has them.
 
 Candidates are found by pattern: assignments, access key ids, long hexadecimal strings, and tokens of well-known forms.
-Their values are hashed, and over the whole corpus the distinct repositories and owners of each hash are counted.  A value
-that several owners have is a copied example (``copied``); one that few have and that looks random is a live-looking
-credential (``live``).  Counting is by hash, owner and repository first, so a value that a third of all rows hold reaches
-each later step as few rows.
+Their values are hashed, and over the whole corpus the distinct owners and the distinct repositories of each hash are counted.  A value
+is a copied example (``copied``) if ``COPIED_OWNERS`` owners have it, or if two have it in ``COPIED_REPOSITORIES`` repositories together,
+however few they are: wording that has spread from one to the other.  A value of one owner alone that looks random is a live-looking
+credential (``live``), in one repository or in many, as an owner may use a key all over.  A value that two owners have in few
+repositories is neither: it may be a key they share.
+
+Counting is by hash, owner and repository first, so a value that a third of all rows hold reaches each later step as few rows.
 
 DataFrame functions only.  Spans count code points, ends are exclusive.
 
@@ -33,8 +36,8 @@ ASSIGNMENT = (
 #: Tokens that their issuers mark by a prefix, and signed JSON tokens.
 MARKED = "(?:gh[pousr]_|glpat-|xox[abprs]-|[rs]k_live_|AIza)[A-Za-z0-9_-]{16,}|eyJ[A-Za-z0-9_-]{16,}\\.[A-Za-z0-9_.-]{16,}"
 
-#: A value of so many owners or more is a copied example.
-COPIED_OWNERS = 3
+#: A value of so many owners, or of two owners and so many repositories, is a copied example.
+COPIED_OWNERS, COPIED_REPOSITORIES = 3, 5
 #: A live-looking value has so many characters, and so many different ones, and a digit and a letter among them.
 LIVE_CHARS, LIVE_DISTINCT = 16, 8
 
@@ -68,8 +71,9 @@ def ownership(found: DataFrame) -> DataFrame:
 
 
 def scan(
-    df: DataFrame, owner: Column, repository: Column, text: str = "text", keep: list[str] | None = None, copied_owners: int = COPIED_OWNERS
-) -> DataFrame:
+    df: DataFrame, owner: Column, repository: Column, text: str = "text", keep: list[str] | None = None,
+    copied_owners: int = COPIED_OWNERS, copied_repositories: int = COPIED_REPOSITORIES,
+) -> DataFrame:
     """The columns ``keep`` of ``df`` and ``findings``: (start, kind, end, hash, owners, repositories), by start and kind.
 
     ``kind`` is a place in ``KINDS``; ``copied`` and ``live`` findings lie where the value of another finding lies.
@@ -92,7 +96,8 @@ def scan(
     # a written table, so that the findings of a value that very many rows hold can be split over tasks
     known = each.join(written(ownership(each), "owners"), "hash")
     # the value of an assignment stands at the end of its span
-    verdict = F.when(F.col("owners") >= copied_owners, COPIED).when(F.col("live"), LIVE)
+    spread = (F.col("owners") >= copied_owners) | ((F.col("owners") >= 2) & (F.col("repositories") >= copied_repositories))
+    verdict = F.when(spread, COPIED).when((F.col("owners") == 1) & F.col("live"), LIVE)
     finding = lambda kind, start: F.struct(start.alias("start"), kind.alias("kind"), F.col("end"), F.col("hash"), F.col("owners"), F.col("repositories"))
     both = known.select(
         "__row",
