@@ -1,293 +1,351 @@
 """Operator 10: language-model scores by masked pseudo-likelihood.
 
-A window network predicts each token from the two tokens on either side of it, the token itself masked: the four neighbours' vectors
-(one table for each place in the window) are added and squashed, and a softmax in two steps (a cluster, then a token of it) gives
-the token's probability.  The sum of a document's conditional log-probabilities is its score; per token it tells fluent text from
-noise, whatever the length.
-
-The vocabulary is counted over all documents and grows with them: the most frequent words, and every further word that is seen at least
-sqrt(number of tokens) / ``RARE`` times.  Other words share places by a hash.  A further word hangs below one of these places: a binary
-tree, which starts from the words' counts, leads from the place to its further words or to "another word".  The network is
-trained in numpy on all tokens of all documents: each task trains a copy on its own documents, from the same start, and the
-copies are averaged by tokens, a bounded number and a piece of each at a time, in as many rounds as it takes.  What a task tells is the
-difference to the start, which is zero for words that it hasn't seen.  The vocabulary and the network, which are sent back to all tasks,
-grow about as the square root of the corpus.
+A window network predicts each token from the tokens on both sides of it, the token itself masked.  Each of the ``WINDOW`` words to the
+left and to the right has a vector (a table for each side); their sum goes through a softmax over ``UNITS`` hidden units, and each
+unit has a distribution over the whole vocabulary, so the token's probability is sum_k h_k q_k(token).  The sum of a document's
+conditional log-probabilities is its score; per token it tells fluent text from noise, whatever the length.
+
+The vocabulary is counted over all documents and grows with them: every word seen sqrt(number of tokens) / ``RARE`` times (twice at
+least).  All other words are one class of the distributions, and within it a word has the probability of its spelling, by a chain of
+bytes that is counted over the corpus's rare words; so each string has a probability of its own and all of them sum to one.  As a
+neighbour a rare word is known by its last two letters.
+
+Training begins with a start: about ``START`` tokens of rows chosen by a hash are gone over ``EPOCHS`` times, which gives the units
+different parts to play.  Then all rows are learnt from in rounds, each row in the round that a hash gives it, each round with three times
+the rows of the last.  In a round rows are dealt by the hash to parts of about ``PART`` tokens and ordered by it there; each part trains
+the side tables by gradient steps from the round's start, and the round ends with their mean by tokens.  The units' distributions are
+expected counts summed over all parts of a round (a step of expectation maximisation, which has no order).  So how the input is split over
+tasks changes scores by rounding alone, and a lost task is done again alike.
+
+The vocabulary and the network, which are sent back to all tasks, grow about as the square root of the corpus.
 
 Defined results: a null text counts as an empty one; a text without words has no tokens, score 0 and mean 0; an empty corpus gives
-no rows; equal texts have equal scores but for rounding (sums are in single precision), repeated rows are scored each and teach
-each; columns with an output's name are replaced.
+no rows; equal texts have equal scores, repeated rows are scored each and teach each; columns with an output's name are replaced.
 """
 
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, MapType, StructField, StructType, VariantType
 
 from .shared import arrow_column, bounded_batches, text_or_empty, with_fields, written
 
-#: Tokens: the most frequent words, and places that the other words share; clusters times members of a cluster.
-CLUSTERS, MEMBERS, SHARED = 32, 32, 256
-TOKENS = CLUSTERS * MEMBERS
-WINDOW, WIDTH = 2, 16
-RATE, BATCH, CLIP = 0.5, 4096, 5.0
+#: Neighbours on each side, hidden units, and places of rare neighbours.
+WINDOW, UNITS, PLACES = 4, 32, 256
+#: A word seen sqrt(tokens) / RARE times is in the vocabulary.
+RARE = 200
+#: Tokens of a gradient step, of a part, and of the start; how often that is gone over; shares of the rounds.
+BATCH, PART, START, EPOCHS = 8192, 1 << 20, 1 << 19, 8
+SHARES = (1, 3, 9)
+START_RATE, RATE = 0.05, 0.02
+#: A unit's distribution is mixed with the words' own frequencies.
+MIXED = 0.01
 #: Words whose tokens are kept in memory, and the longest of them.
 KEPT_WORDS, KEPT_CHARS = 150_000, 40
-#: Tokens scored at once, and networks averaged at once.
-AT_ONCE, AVERAGED = 1 << 16, 32
-#: A word seen sqrt(tokens) / RARE times is in the vocabulary; numbers of a network in a piece.
-RARE, PIECE = 40, 1 << 20
+#: Tokens scored at once, networks averaged at once, numbers of a network in a piece, parts of a task at most.
+AT_ONCE, AVERAGED, PIECE, PARTS = 1 << 15, 32, 1 << 18, 64
+END = 256
 
 
 class Words(dict):
-    """Tokens of words, how often each of the ``further`` ones is seen, and all words beyond the vocabulary together."""
+    """Tokens of the words of the vocabulary, most frequent first; how often each, and all others together, are seen; logarithms of the spelling."""
+
+    def __init__(self, words: list[str] = (), counts: list[int] = (), others: int = 0, pairs: np.ndarray | None = None):
+        super().__init__({w: k for k, w in enumerate(words)})
+        self.seen = np.array([*counts, others], np.float64)
+        pairs = np.zeros((END + 1, END + 1)) if pairs is None else pairs
+        self.spelling = np.log((pairs + 1) / (pairs + 1).sum(1, keepdims=True)).astype(np.float32)
+
+    @property
+    def total(self) -> int:
+        return int(self.seen.sum())
+
+    def frequencies(self) -> np.ndarray:
+        return (self.seen + 0.01) / (self.seen + 0.01).sum()
 
-    def __init__(self, top: list[str] = (), further: list[str] = (), counts: list[int] = (), others: int = 0):
-        super().__init__({w: k for k, w in enumerate(top)} | {w: TOKENS + 1 + k for k, w in enumerate(further)})
-        self.counts, self.others = np.array(counts, np.float64), others
+
+def byte_pairs(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of bytes in a row of all words one after the other, an end before and after each; where each word's pairs begin."""
+    data = [w.encode("utf-8", "surrogatepass") for w in words]
+    sizes = np.array([len(d) + 1 for d in data], np.int64)
+    ends = np.cumsum(sizes)
+    chain = np.full(int(ends[-1]) + 1 if len(ends) else 1, END, np.int64)
+    at = np.ones(len(chain), bool)
+    at[0], at[ends] = False, False
+    chain[at] = np.frombuffer(b"".join(data), np.uint8)
+    return chain[:-1] * (END + 1) + chain[1:], ends - sizes
+
+
+PAIR = StructType().add("pair", "integer").add("n", "long")
 
 
 def vocabulary(docs: DataFrame, text: str = "text") -> Words:
-    """The vocabulary of the whole corpus; token ``TOKENS`` is none, so further words are numbered from the next on."""
+    """The vocabulary and the spelling of the whole corpus."""
     words = docs.select(F.explode(F.split(text_or_empty(text), "\\s+")).alias("w")).filter("w <> ''")
     counted = written(words.groupBy("w").agg(F.count("*").alias("n")), "words")
     total = counted.agg(F.sum("n")).first()[0] or 0
-    top = counted.orderBy(F.desc("n"), "w").limit(TOKENS - SHARED).collect()
-    most = {r.w for r in top}
-    often = counted.filter(F.col("n") >= max(2.0, total**0.5 / RARE)).collect() if len(top) == TOKENS - SHARED else []
-    further = sorted((r for r in often if r.w not in most), key=lambda r: (-r.n, r.w))
-    others = total - sum(r.n for r in top) - sum(r.n for r in further)
-    return Words([r.w for r in top], [r.w for r in further], [r.n for r in further], others)
+    often = F.col("n") >= max(2.0, total**0.5 / RARE)
+    found = counted.filter(often).orderBy(F.desc("n"), "w").toArrow()
+
+    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((END + 1) ** 2)
+        for batch in batches:
+            pairs, begins = byte_pairs(batch.column(0).to_pylist())
+            n = np.repeat(batch.column(1).to_numpy(), np.diff(np.append(begins, len(pairs))))
+            sums += np.bincount(pairs, n, len(sums))
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[at].astype(np.int64))], names=PAIR.names)
+
+    rows = counted.filter(~often).mapInArrow(spelled, PAIR).groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # 257 x 257 at most
+    pairs = np.zeros((END + 1) ** 2)
+    pairs[rows["pair"].to_numpy()] = rows["n"].to_numpy()
+    counts = found["n"].to_pylist()
+    return Words(found["w"].to_pylist(), counts, total - sum(counts), pairs.reshape(END + 1, END + 1))
 
 
 class Tokens(dict):
-    """Tokens of words; rare words get theirs by a hash, of which a bounded number is kept."""
+    """Tokens of words; a rare word's is that of its last two letters' place.  A bounded number of rare words is kept."""
+
+    def __init__(self, words: Words):
+        super().__init__(words)
+        self.first = len(words)
 
     def __missing__(self, word: str) -> int:
-        token = TOKENS - SHARED + zlib.crc32(word.encode("utf-8", "surrogatepass")) % SHARED
-        if len(self) < KEPT_WORDS and len(word) <= KEPT_CHARS:
+        token = self.first + zlib.crc32(word[-2:].encode("utf-8", "surrogatepass")) % PLACES
+        if len(self) < self.first + KEPT_WORDS and len(word) <= KEPT_CHARS:
             self[word] = token
         return token
 
 
-def tokens(texts: list[str], known: Tokens) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of texts one after the other, and how many each text has."""
-    found = [array("i", map(known.__getitem__, t.split())) for t in texts]
-    sizes = np.array([len(f) for f in found], np.int64)
-    return np.frombuffer(b"".join(found), np.int32), sizes
-
+class Network:
+    """``left``, ``right``: vectors of neighbours by token (the last, none, is zero); ``bias``; ``q``: the units' distributions."""
+
+    def __init__(self, words: Words, tables: np.ndarray | None = None, counts: np.ndarray | None = None):
+        self.rare, self.none = len(words), len(words) + PLACES
+        self.spelling, self.frequencies = words.spelling, words.frequencies()
+        rows = self.none + 1
+        if tables is None:
+            tables = np.random.default_rng(7).normal(0, 0.1, (2 * rows + 1) * UNITS)
+        self.tables = np.array(tables, np.float32)
+        self.left, self.right, self.bias = (p.reshape(-1, UNITS) for p in np.split(self.tables, [rows * UNITS, 2 * rows * UNITS]))
+        self.left[self.none] = self.right[self.none] = 0
+        self.tell(self.first_counts() if counts is None else counts)
+
+    def first_counts(self) -> np.ndarray:
+        """The words' own frequencies, a little different for each unit."""
+        return 50_000 * self.frequencies[:, None] * (1 + np.random.default_rng(1).random((self.rare + 1, UNITS)))
+
+    def tell(self, counts: np.ndarray) -> None:
+        """The units' distributions from expected counts of words by units."""
+        counts = np.array(counts, np.float64).reshape(-1, UNITS)
+        self.q = ((1 - MIXED) * counts / np.maximum(counts.sum(0), 1e-9) + MIXED * self.frequencies[:, None]).astype(np.float32)
+        empty = counts.sum(0) <= 1e-9
+        self.q[:, empty] = self.frequencies[:, None]
+
+    def hidden(self, x: np.ndarray) -> np.ndarray:
+        """Hidden units of the tokens ``x[WINDOW:-WINDOW]``."""
+        left, right, n = self.left[x], self.right[x], len(x) - 2 * WINDOW
+        z = left[:n] + self.bias
+        for k in range(1, WINDOW):
+            z += left[k : k + n]
+        for k in range(WINDOW + 1, 2 * WINDOW + 1):
+            z += right[k : k + n]
+        z -= z.max(1, keepdims=True)
+        np.exp(z, out=z)
+        z /= z.sum(1, keepdims=True)
+        return z
+
+    def log_probabilities(self, x: np.ndarray) -> np.ndarray:
+        """Of the tokens ``x[WINDOW:-WINDOW]``, without the spelling; what is said of ``none`` means nothing."""
+        out = np.empty(max(len(x) - 2 * WINDOW, 0), np.float32)
+        for a in range(0, len(out), AT_ONCE):
+            part = x[a : a + AT_ONCE + 2 * WINDOW]
+            h = self.hidden(part)
+            h *= self.q[np.minimum(part[WINDOW:-WINDOW], self.rare)]
+            out[a : a + len(h)] = np.log(h.sum(1))
+        return out
 
-def neighbours(ids: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
-    """For each place of the window the token there, ``TOKENS`` beyond a text's ends."""
-    padded = np.full(len(ids) + WINDOW * (len(sizes) + 1), TOKENS, np.int32)
-    at = np.arange(len(ids)) + WINDOW * np.repeat(np.arange(1, len(sizes) + 1), sizes)
-    padded[at] = ids
-    return [padded[at + k] for k in range(-WINDOW, WINDOW + 1) if k]
+    def spelled(self, words: list[str]) -> np.ndarray:
+        """Logarithms of the probabilities of the spelling of words."""
+        pairs, begins = byte_pairs(words)
+        return np.add.reduceat(self.spelling.ravel()[pairs], begins) if len(words) else np.zeros(0, np.float32)
+
+    def slopes(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For the tokens ``x[WINDOW:-WINDOW]``: each unit's share in predicting it, and the gradient of its log-probability at the units' inputs."""
+        own = x[WINDOW:-WINDOW]
+        h = self.hidden(x)
+        share = h * self.q[np.minimum(own, self.rare)]
+        share /= share.sum(1, keepdims=True)
+        share[own == self.none] = 0
+        h[own == self.none] = 0
+        return share, share - h
+
+    def learn(self, x: np.ndarray, rate: float, counts: np.ndarray) -> None:
+        """A gradient step on the tokens ``x[WINDOW:-WINDOW]``; the units' shares in words are added to ``counts``."""
+        share, g = self.slopes(x)
+        n = len(g)
+        sides = np.zeros((len(x), 3 * UNITS), np.float32)
+        for k in range(WINDOW):
+            sides[k : k + n, :UNITS] += g
+            sides[k + WINDOW + 1 : k + WINDOW + 1 + n, UNITS : 2 * UNITS] += g
+        sides[WINDOW : WINDOW + n, 2 * UNITS :] = share
+        order = np.argsort(x.astype(np.uint16) if self.none < 1 << 16 else x, kind="stable")  # short integers sort in linear time
+        token = x[order]
+        begins = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        sums, token = np.add.reduceat(sides[order], begins, axis=0), token[begins]
+        # a vector moves by the mean slope of its places times the root of their number
+        size = rate / np.sqrt(np.diff(np.append(begins, len(x))))[:, None].astype(np.float32)
+        real = token < self.none
+        self.left[token[real]] += (size * sums[:, :UNITS])[real]
+        self.right[token[real]] += (size * sums[:, UNITS : 2 * UNITS])[real]
+        self.bias += rate / n**0.5 * g.sum(0)
+        own = token < self.rare
+        counts[token[own]] += sums[own, 2 * UNITS :]
+        counts[self.rare] += sums[~own, 2 * UNITS :].sum(0)
+
+
+def stream(texts: list[str], known: Tokens, none: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Words of texts; their tokens with ``WINDOW`` times ``none`` before the first, between two and after the last; where each text begins."""
+    each = [t.split() for t in texts]
+    words = [w for one in each for w in one]
+    sizes = np.array([len(one) for one in each], np.int64)
+    begins = np.cumsum(sizes) - sizes + WINDOW * np.arange(1, len(each) + 1)
+    out = np.full(len(words) + WINDOW * (len(each) + 1), none, np.int32)
+    out[np.arange(len(words)) + np.repeat(WINDOW * np.arange(1, len(each) + 1), sizes)] = np.fromiter(map(known.__getitem__, words), np.int32, len(words))
+    return words, out, begins
+
+
+class Part:
+    """Gradient steps on the texts of a part as they come."""
+
+    def __init__(self, network: Network, rate: float, counts: np.ndarray):
+        self.network, self.rate, self.counts = network, rate, counts
+        self.left, self.seen = np.full(WINDOW, network.none, np.int32), 0
+
+    def add(self, texts: list[str], known: Tokens) -> None:
+        words, x, _ = stream(texts, known, self.network.none)
+        self.seen += len(words)
+        x = np.concatenate([self.left[:-WINDOW], x])
+        while len(x) >= BATCH + 2 * WINDOW:
+            self.network.learn(x[: BATCH + 2 * WINDOW], self.rate, self.counts)
+            x = x[BATCH:]
+        self.left = x
+
+    def finish(self) -> int:
+        """The rest of the part; its number of tokens."""
+        if len(self.left) > 2 * WINDOW:
+            self.network.learn(self.left, self.rate, self.counts)
+        return self.seen
+
+
+def started(words: Words, texts: Iterator[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """Tables and expected counts after going over the first ``START`` tokens of ``texts`` a few times."""
+    known, network, heard = Tokens(words), Network(words), [np.full(WINDOW, len(words) + PLACES, np.int32)]
+    for some in texts:
+        _, x, _ = stream(some, known, network.none)
+        heard.append(x[WINDOW:])
+        if sum(map(len, heard)) >= START:
+            break
+    x, counts = np.concatenate(heard)[: START + 2 * WINDOW], network.first_counts()
+    for a in [*range(0, len(x) - 2 * WINDOW, 8 * BATCH)] * EPOCHS:
+        new = np.zeros_like(counts)
+        for b in range(a, min(a + 8 * BATCH, len(x) - 2 * WINDOW), BATCH):
+            network.learn(x[b : b + BATCH + 2 * WINDOW], START_RATE, new)
+        counts = 0.9 * counts + new  # distributions follow after a few steps
+        network.tell(counts)
+    return network.tables, counts
+
+
+LEARNT = StructType().add("task", "long").add("tokens", "long").add("piece", "long").add("flat", "binary")
+
+
+def pieces(tables: np.ndarray, counts: np.ndarray, tokens: int) -> Iterator[pa.RecordBatch]:
+    from pyspark import TaskContext
+
+    flat = np.concatenate([tables, counts.ravel()])
+    for k in range(0, len(flat), PIECE):
+        one = {"task": [TaskContext.get().partitionId()], "tokens": [tokens], "piece": [k // PIECE], "flat": [flat[k : k + PIECE].astype("<f4").tobytes()]}
+        yield pa.RecordBatch.from_pydict(one)
+
+
+def summed(learnt: DataFrame, words: Words) -> tuple[np.ndarray, np.ndarray, int]:
+    """Sums of what all tasks have learnt, a bounded number of tasks at a time: of tables, of counts, of tokens."""
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        flat = sum(np.frombuffer(f, "<f4").astype(np.float64) for f in group.sort_values("task")["flat"])
+        one = {"task": int(group["task"].iloc[0]) // AVERAGED, "tokens": int(group["tokens"].sum()), "piece": int(group["piece"].iloc[0])}
+        return pd.DataFrame({k: [v] for k, v in one.items()} | {"flat": [flat.astype("<f4").tobytes()]})
 
+    while learnt.select("task").distinct().count() > 1:  # tasks are numbered from 0, so each time divides their numbers
+        learnt = written(learnt.groupBy("piece", F.floor(F.col("task") / AVERAGED)).applyInPandas(add, LEARNT), "learnt")
+    rows = 2 * (len(words) + PLACES + 1) + 1
+    flat, tokens = np.zeros((rows + len(words) + 1) * UNITS, np.float32), 0
+    for r in learnt.select("piece", "tokens", "flat").toLocalIterator():
+        flat[r.piece * PIECE : (r.piece + 1) * PIECE] = np.frombuffer(bytes(r.flat), "<f4")
+        tokens = r.tokens
+    return flat[: rows * UNITS], flat[rows * UNITS :], tokens
 
-class Network:
-    def __init__(self, flat: np.ndarray | None = None, words: Words | None = None):
-        counts = words.counts if words is not None else np.zeros(0)
-        #: Leaves below each shared place ("another word" first), and the steps that lead to one.
-        self.leaves = 1 + (len(counts) - np.arange(SHARED) + SHARED - 1) // SHARED
-        self.steps = int(self.leaves.max() - 1).bit_length()
-        shapes = [(2 * WINDOW, TOKENS + 1 + len(counts), WIDTH), (WIDTH,), (WIDTH, CLUSTERS), (CLUSTERS,), (CLUSTERS, WIDTH, MEMBERS), (CLUSTERS, MEMBERS)]
-        if flat is None:
-            rng = np.random.default_rng(7)
-            parts = [rng.normal(0, 0.1, s) if len(s) > 1 and s != (CLUSTERS, MEMBERS) else np.zeros(s) for s in shapes]
-            flat = np.concatenate([*(p.ravel() for p in parts), np.zeros((SHARED << self.steps) * WIDTH), self.biases(counts, words.others if words is not None else 0)])
-        shapes += [(SHARED << self.steps, WIDTH), (SHARED << self.steps,)]
-        self.flat = np.array(flat, np.float32)
-        cuts = np.cumsum([0, *(int(np.prod(s)) for s in shapes)])
-        self.near, self.bias, self.cluster, self.cluster_bias, self.member, self.member_bias, self.turn, self.turn_bias = (
-            self.flat[a:b].reshape(s) for a, b, s in zip(cuts, cuts[1:], shapes, strict=False)
-        )
-
-    def biases(self, counts: np.ndarray, others: int) -> np.ndarray:
-        """The logarithm of how much more often each step of the trees leads to the right, by the counts of the words."""
-        level = np.zeros((SHARED, 1 << self.steps))
-        level[:, 0] = others / SHARED + 1
-        at = np.arange(len(counts))
-        level[at % SHARED, 1 + at // SHARED] = counts
-        out = np.zeros((SHARED, 1 << self.steps))
-        for d in reversed(range(self.steps)):
-            left, right = level[:, ::2], level[:, 1::2]
-            out[:, (1 << d) - 1 : (2 << d) - 1] = np.where((left > 0) & (right > 0), np.log(np.maximum(right, 1e-9) / np.maximum(left, 1e-9)), 0)
-            level = left + right
-        return out.ravel()
-
-    @staticmethod
-    def places(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The tokens below ``TOKENS`` that tokens belong to, and their leaves there."""
-        far = ids - (TOKENS + 1)
-        return np.where(far >= 0, TOKENS - SHARED + far % SHARED, ids), np.where(far >= 0, 1 + far // SHARED, 0)
-
-    def turns(self, place: np.ndarray, leaf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Of each step to leaves of shared places: which have a choice there, its node, and whether it is to the right."""
-        for d in range(self.steps):
-            below = self.steps - 1 - d
-            first = (leaf >> below | 1) << below  # the first leaf to the right
-            rows = np.flatnonzero(first < self.leaves[place])
-            at, own = leaf[rows], place[rows]
-            yield rows, (own << self.steps) + (1 << d) - 1 + (at >> below + 1), (at >> below & 1).astype(np.float32)
-
-    def hidden(self, around: list[np.ndarray]) -> np.ndarray:
-        h = self.near[0][around[0]]
-        for k in range(1, 2 * WINDOW):
-            h += self.near[k][around[k]]
-        h += self.bias
-        return np.tanh(h, out=h)
-
-    @staticmethod
-    def softmax(z: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Probabilities, in place of ``z``, and the logarithms of those of the ``right`` columns.
-
-        The greatest of all scores is taken off first, which is cheaper than each row's own; the rows of a batch for which that is too much
-        make it begin again with their own.
-        """
-        if not len(z):
-            return z, np.zeros(0, np.float32)
-        scores = z - z.max()
-        own = scores[np.arange(len(z)), right]
-        np.exp(scores, out=z)
-        total = z @ np.ones(z.shape[1], np.float32)
-        if total.min() < 1e-25:
-            scores -= scores.max(1, keepdims=True)
-            own = scores[np.arange(len(z)), right]
-            np.exp(scores, out=z)
-            total = z.sum(1)
-        z /= total[:, None]
-        return z, own - np.log(total)
-
-    def log_probabilities(self, ids: np.ndarray, around: list[np.ndarray]) -> np.ndarray:
-        out = np.empty(len(ids), np.float32)
-        for a in range(0, len(ids), AT_ONCE):
-            b = min(len(ids), a + AT_ONCE)
-            h = self.hidden([x[a:b] for x in around])
-            own, leaf = self.places(ids[a:b])
-            group = (own // MEMBERS).astype(np.uint8)  # short integers sort in linear time
-            _, first = self.softmax(h @ self.cluster + self.cluster_bias, group)
-            order = np.argsort(group, kind="stable")
-            edges, sorted_h = np.searchsorted(group[order], np.arange(CLUSTERS + 1)), h[order]
-            z = np.empty((b - a, MEMBERS), np.float32)
-            for c in range(CLUSTERS):
-                if edges[c] < edges[c + 1]:
-                    z[edges[c] : edges[c + 1]] = sorted_h[edges[c] : edges[c + 1]] @ self.member[c] + self.member_bias[c]
-            _, second = self.softmax(z, own[order] % MEMBERS)
-            out[a + order] = first[order] + second
-            shared = np.flatnonzero(own >= TOKENS - SHARED)
-            if self.steps and len(shared):
-                h, logs = h[shared], np.zeros(len(shared), np.float32)
-                for rows, node, right in self.turns(own[shared] - (TOKENS - SHARED), leaf[shared]):
-                    z = np.einsum("nw,nw->n", h[rows], self.turn[node]) + self.turn_bias[node]
-                    logs[rows] -= np.logaddexp(0, np.where(right > 0, -z, z))
-                out[a + shared] += logs
-        return out
 
-    def learn(self, ids: np.ndarray, around: list[np.ndarray], rate: float) -> None:
-        """One step of gradient descent on a batch of tokens."""
-        n = len(ids)
-        ids, leaf = self.places(ids)
-        group = (ids // MEMBERS).astype(np.uint8)
-        order = np.argsort(group, kind="stable")
-        ids, leaf, group, around = ids[order], leaf[order], group[order], [x[order] for x in around]
-        h = self.hidden(around)
-        slope, _ = self.softmax(h @ self.cluster + self.cluster_bias, group)
-        slope[np.arange(n), group] -= 1
-        back = slope @ self.cluster.T
-        step = rate / n
-        edges = np.searchsorted(group, np.arange(CLUSTERS + 1))
-        for c in range(CLUSTERS):
-            a, b = edges[c], edges[c + 1]
-            if a == b:
-                continue
-            z, _ = self.softmax(h[a:b] @ self.member[c] + self.member_bias[c], ids[a:b] % MEMBERS)
-            z[np.arange(b - a), ids[a:b] % MEMBERS] -= 1
-            back[a:b] += z @ self.member[c].T
-            self.member[c] -= step * (h[a:b].T @ z)
-            self.member_bias[c] -= step * z.sum(0)
-        self.cluster -= step * (h.T @ slope)
-        self.cluster_bias -= step * slope.sum(0)
-        shared = np.flatnonzero(ids >= TOKENS - SHARED)
-        if self.steps and len(shared):
-            h_shared, back_shared = h[shared], np.zeros((len(shared), WIDTH), np.float32)
-            for rows, node, right in self.turns(ids[shared] - (TOKENS - SHARED), leaf[shared]):
-                if not len(rows):
-                    continue
-                order = np.argsort(node, kind="stable")
-                rows, node, right = rows[order], node[order], right[order]
-                here, weight = h_shared[rows], self.turn[node]
-                z = 1 / (1 + np.exp(-np.clip(np.einsum("nw,nw->n", here, weight) + self.turn_bias[node], -30, 30))) - right
-                back_shared[rows] += z[:, None] * weight
-                begins = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
-                # by the mean slope times a damped share of the batch, as neighbours' vectors
-                share = rate / np.sqrt(np.diff(np.append(begins, len(node))).astype(np.float32) * n)
-                self.turn[node[begins]] -= share[:, None] * np.add.reduceat(z[:, None] * here, begins, axis=0)
-                self.turn_bias[node[begins]] -= share * np.add.reduceat(z, begins)
-            back[shared] += back_shared
-        back *= 1 - h * h
-        self.bias -= step * back.sum(0)
-        # a neighbour's vector moves by the mean slope of its tokens times a damped share of the batch
-        for k, x in enumerate(around):
-            order = np.argsort(x.astype(np.uint16) if self.near.shape[1] <= 1 << 16 else x, kind="stable")
-            x = x[order]
-            begins = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
-            sums = np.add.reduceat(back[order], begins, axis=0)
-            counts = np.diff(np.append(begins, n)).astype(np.float32)
-            self.near[k][x[begins]] -= rate * np.clip(sums / np.sqrt(counts * n)[:, None], -CLIP, CLIP)
-
-
-LEARNT = StructType().add("part", "long").add("tokens", "long").add("piece", "long").add("flat", "binary")
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of each row, so that copies of one text are dealt to different parts."""
+    plain = [f.name for f in docs.schema if not isinstance(f.dataType, ArrayType | MapType | StructType | VariantType)]
+    return F.xxhash64(*[F.col(f"`{c}`") for c in plain])
 
 
 def trained(docs: DataFrame, words: Words, text: str = "text") -> Network:
     """A network trained on all tokens of ``docs``."""
     bounded_batches(docs.sparkSession)
-
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        known, network, seen, left_ids, left_around = Tokens(words), Network(words=words), 0, [], []
-        for batch in batches:
-            ids, sizes = tokens(batch.column(0).to_pylist(), known)
-            around = neighbours(ids, sizes)
-            ids = np.concatenate([*left_ids, ids])
-            around = [np.concatenate([*(x[k] for x in left_around), a]) for k, a in enumerate(around)]
-            whole = len(ids) // BATCH * BATCH
-            for a in range(0, whole, BATCH):
-                network.learn(ids[a : a + BATCH], [x[a : a + BATCH] for x in around], RATE / (1 + seen / 4e6) ** 0.5)
-                seen += BATCH
-            left_ids, left_around = [ids[whole:]], [[x[whole:] for x in around]]
-        if left_ids and len(left_ids[0]):
-            network.learn(left_ids[0], left_around[0], RATE * len(left_ids[0]) / BATCH)
-            seen += len(left_ids[0])
-        if seen:
-            network.flat -= Network(words=words).flat
-            for k in range(0, len(network.flat), PIECE):
-                flat = network.flat[k : k + PIECE].astype("<f4").tobytes()
-                yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "tokens": [seen], "piece": [k // PIECE], "flat": [flat]})
-
-    def average(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("part")
-        total = int(group["tokens"].sum())
-        flat = sum(np.frombuffer(f, "<f4").astype(np.float64) * (n / total) for f, n in zip(group["flat"], group["tokens"], strict=True))
-        one = {"part": int(group["part"].iloc[0]) // AVERAGED, "tokens": total, "piece": int(group["piece"].iloc[0])}
-        return pd.DataFrame({k: [v] for k, v in one.items()} | {"flat": [flat.astype("<f4").tobytes()]})
-
-    copies = written(docs.select(text_or_empty(text)).mapInArrow(learn, LEARNT), "networks")
-    while copies.select("part").distinct().count() > 1:  # parts are numbered from 0, so each round divides their numbers
-        copies = written(copies.groupBy("piece", F.floor(F.col("part") / AVERAGED)).applyInPandas(average, LEARNT), "networks")
-    network = Network(words=words)
-    for r in copies.select("piece", "flat").toLocalIterator():
-        network.flat[r.piece * PIECE : (r.piece + 1) * PIECE] += np.frombuffer(bytes(r.flat), "<f4")
-    return network
+    if not words.total:
+        return Network(words)
+    rows = docs.select(row_hash(docs).alias("h"), text_or_empty(text).alias("t"))
+
+    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from pieces(*started(words, (b.column(0).to_pylist() for b in batches)), START)
+
+    # the least hashes: the share of all tokens that makes START
+    least = int(min(START / words.total, 1.0) * 2**53)
+    first = rows.filter(F.col("h").bitwiseAND(2**53 - 1) <= least).repartition(1).sortWithinPartitions("h", "t").select("t")
+    tables, counts, _ = summed(written(first.mapInArrow(start, LEARNT), "learnt"), words)
+
+    for k, share in enumerate(SHARES):
+        parts = max(-(-words.total * share // (sum(SHARES) * PART)), 1)
+        turn = F.pmod("h", F.lit(sum(SHARES)))
+        here = rows.filter((turn >= sum(SHARES[:k])) & (turn < sum(SHARES[: k + 1])))
+        here = here.withColumn("part", F.pmod(F.shiftright("h", 16), F.lit(parts)))
+        tasks = min(parts, max(docs.sparkSession.sparkContext.defaultParallelism, -(-parts // PARTS)))
+        here = here.repartition(tasks, "part").sortWithinPartitions("part", "h").select("part", "t")
+
+        def learn(batches: Iterator[pa.RecordBatch], tables: np.ndarray = tables, counts: np.ndarray = counts) -> Iterator[pa.RecordBatch]:
+            known, network = Tokens(words), Network(words, tables, counts)
+            moved, told, tokens, now, part = np.zeros(len(tables)), np.zeros((len(words) + 1, UNITS)), 0, None, None
+            for batch in batches:
+                of, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+                edges = [0, *(np.flatnonzero(np.diff(of)) + 1), len(of)]
+                for a, b in zip(edges, edges[1:], strict=False):
+                    if a == b:
+                        continue
+                    if of[a] != now:
+                        if part:
+                            seen = part.finish()
+                            moved, tokens = moved + seen * (network.tables - tables), tokens + seen
+                            network.tables[:] = tables
+                        now, part = of[a], Part(network, RATE, told)
+                    part.add(texts[a:b], known)
+            if part:
+                seen = part.finish()
+                yield from pieces(moved + seen * (network.tables - tables), told, tokens + seen)
+
+        moved, told, tokens = summed(written(here.mapInArrow(learn, LEARNT), "learnt"), words)
+        if tokens:
+            tables, counts = tables + moved / np.float32(tokens), told
+    return Network(words, tables, counts)
 
 
 SCORED = StructType([StructField("n_tokens", LongType()), StructField("log_likelihood", DoubleType()), StructField("mean", DoubleType())])
@@ -295,16 +353,21 @@ SCORED = StructType([StructField("n_tokens", LongType()), StructField("log_likel
 
 def scored(df: DataFrame, words: Words, network: Network, text: str = "text") -> DataFrame:
     """``df`` with ``n_tokens``, ``log_likelihood`` (the sum over its tokens) and ``mean`` (per token)."""
-    flat = network.flat
 
     def start():
-        known, network = Tokens(words), Network(flat, words)
+        known = Tokens(words)
 
         def batch(texts: list[str]) -> pa.Array:
-            ids, sizes = tokens(texts, known)
-            logs = np.concatenate([[0.0], np.cumsum(network.log_probabilities(ids, neighbours(ids, sizes)), dtype=np.float64)])
+            strings, x, begins = stream(texts, known, network.none)
+            sizes = np.diff(np.append(begins, len(x))) - WINDOW
+            logs = network.log_probabilities(x)
+            at = np.flatnonzero(x[WINDOW:-WINDOW] != network.none)
+            logs = logs[at].astype(np.float64)
+            rare = np.flatnonzero(x[WINDOW + at] >= network.rare)
+            logs[rare] += network.spelled([strings[k] for k in rare.tolist()])
+            sums = np.concatenate([[0.0], np.cumsum(logs)])
             ends = np.cumsum(sizes)
-            sums = logs[ends] - logs[ends - sizes]
+            sums = sums[ends] - sums[ends - sizes]
             return pa.StructArray.from_arrays([pa.array(sizes), pa.array(np.round(sums, 3)), pa.array(np.round(sums / np.maximum(sizes, 1), 5))], names=SCORED.names)
 
         return batch

@@ -102,18 +102,98 @@ def test_odd_labels(spark, odd, nothing):
 # --- 10
 
 
+def small_network(seed=0):
+    rng = np.random.default_rng(seed)
+    words = L.Words([f"w{k}" for k in range(12)], [50 - k for k in range(12)], 30, rng.integers(0, 9, (L.END + 1, L.END + 1)).astype(float))
+    net = L.Network(words, rng.normal(0, 0.7, (2 * (12 + L.PLACES + 1) + 1) * L.UNITS), rng.random((13, L.UNITS)) * 40)
+    return words, net
+
+
+def one_by_one(words, net, text):
+    """The pseudo-likelihood of a text, token by token and unit by unit."""
+    known, w, out = L.Tokens(words), text.split(), []
+    ids = [known[x] for x in w]
+    for i, own in enumerate(ids):
+        z = net.bias[0].astype(float).copy()
+        for j in range(max(0, i - L.WINDOW), i):
+            z += net.left[ids[j]]
+        for j in range(i + 1, min(len(ids), i + L.WINDOW + 1)):
+            z += net.right[ids[j]]
+        h = np.exp(z - z.max())
+        h /= h.sum()
+        p = sum(h[k] * net.q[min(own, net.rare), k] for k in range(L.UNITS))
+        spelled = 0.0
+        if own >= net.rare:
+            chain = [L.END, *w[i].encode(), L.END]
+            spelled = sum(float(words.spelling[a, b]) for a, b in zip(chain, chain[1:], strict=False))
+        out.append(np.log(p) + spelled)
+    return out
+
+
+def test_scores_are_the_pseudo_likelihood(spark):
+    words, net = small_network()
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice([f"w{rng.randrange(12)}", f"rare{rng.randrange(99)}", "é日"]) for _ in range(n)) for n in (0, 1, 2, 5, 9, 40)]
+    df = spark.createDataFrame([*enumerate(texts), (6, None)], "doc_id long, text string")
+    out = {r.doc_id: r for r in L.scored(df, words, net).collect()}
+    for k, t in enumerate(texts):
+        want = one_by_one(words, net, t)
+        assert out[k].n_tokens == len(want) and out[k].log_likelihood == pytest.approx(sum(want), abs=2e-3)
+    assert (out[6].n_tokens, out[6].log_likelihood, out[6]["mean"]) == (0, 0, 0)
+
+
 def test_probabilities_sum_to_one():
-    net = L.Network()
-    around = [np.array([k], np.int32) for k in (5, L.TOKENS, 7, 1000)]
-    logs = [net.log_probabilities(np.array([t], np.int32), around)[0] for t in range(L.TOKENS)]
-    assert np.exp(np.array(logs, np.float64)).sum() == pytest.approx(1, abs=1e-3)
+    words, net = small_network(1)
+    x = np.array([3, 250, 7, 1, 0, 9, net.none, 4, 11], np.int32)
+    p = 0.0
+    for k in range(net.rare + 1):  # the last is the class of all rare words
+        x[L.WINDOW] = k
+        p += float(np.exp(net.log_probabilities(x)[0]))
+    assert p == pytest.approx(1, abs=1e-5)
+    assert np.exp(words.spelling.astype(float)).sum(1) == pytest.approx(np.ones(L.END + 1), abs=1e-4)
+
+
+def test_slopes_are_the_numeric_gradient():
+    _, net = small_network(2)
+    rng = np.random.default_rng(3)
+    x = np.concatenate([[net.none] * L.WINDOW, rng.integers(0, 15, 20), [net.none] * L.WINDOW]).astype(np.int32)
+    _, g = net.slopes(x)
+    n, total = len(x) - 2 * L.WINDOW, lambda: float(net.log_probabilities(x).astype(np.float64).sum())
+    for table, offsets in ((net.left, range(-L.WINDOW, 0)), (net.right, range(1, L.WINDOW + 1))):
+        for token, unit in ((3, 0), (7, 5), (11, 31), (14, 2)):
+            want = sum(g[i, unit] for i in range(n) for k in offsets if x[L.WINDOW + i + k] == token)
+            old = table[token, unit]
+            table[token, unit] = old + 0.01
+            up = total()
+            table[token, unit] = old - 0.01
+            assert (up - total()) / 0.02 == pytest.approx(want, abs=5e-3)
+            table[token, unit] = old
 
 
 def test_neighbours_stay_in_their_text():
-    ids, sizes = np.array([1, 2, 3, 4, 5], np.int32), np.array([3, 0, 2])
-    got = [x.tolist() for x in L.neighbours(ids, sizes)]
-    e = L.TOKENS
-    assert got == [[e, e, 1, e, e], [e, 1, 2, e, 4], [2, 3, e, 5, e], [3, e, e, e, e]]
+    words = L.Words(["a", "b"], [5, 4])
+    strings, x, begins = L.stream(["a b", "", "b"], L.Tokens(words), 99)
+    e = [99] * L.WINDOW
+    assert strings == ["a", "b", "b"] and x.tolist() == [*e, 0, 1, *e, *e, 1, *e] and begins.tolist() == [4, 10, 14]
+
+
+def test_better_than_frequencies_whatever_the_partitions(spark, monkeypatch):
+    monkeypatch.setattr(L, "PART", 40_000)  # several parts in a round
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    kept, apart = docs.filter("doc_id % 10 <> 3"), docs.filter("doc_id % 10 = 3")
+    out, nets = [], []
+    for n in (2, 8):
+        words = L.vocabulary(kept.repartition(n))
+        nets.append(L.trained(kept.repartition(n), words))
+        out.append({r.doc_id: r["mean"] for r in L.scored(apart, words, nets[-1]).collect()})
+    assert out[0].keys() == out[1].keys() and max(abs(out[0][k] - out[1][k]) for k in out[0]) < 1e-3
+    gain, tokens, known, log = 0.0, 0, L.Tokens(words), np.log(words.frequencies())
+    for r in apart.collect():
+        _, x, _ = L.stream([r.text], known, nets[0].none)
+        real = x[L.WINDOW : -L.WINDOW] != nets[0].none
+        own = np.minimum(x[L.WINDOW : -L.WINDOW][real], nets[0].rare)
+        gain, tokens = gain + float((nets[0].log_probabilities(x)[real] - log[own]).sum()), tokens + len(own)
+    assert tokens > 20_000 and gain / tokens > 0.4  # nats a token
 
 
 def test_learning_and_scoring(spark, odd, nothing):
@@ -137,21 +217,14 @@ def test_learning_and_scoring(spark, odd, nothing):
 
 def test_vocabulary_grows_with_the_corpus(spark):
     rng = random.Random(1)
-    often, rare, junk = ([f"{kind}{k}" for k in range(n)] for kind, n in (("often", 768), ("rare", 700), ("junk", 3000)))
-    texts = [" ".join(often + often + rng.sample(rare, 350) + [junk.pop()]) for _ in range(60)]
+    often, junk = [f"often{k}" for k in range(300)], [f"junk{k}" for k in range(3000)]
+    texts = [" ".join(rng.sample(often, 100) + [junk.pop()]) for _ in range(60)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
     words = L.vocabulary(df)
-    assert set(words) == {*often, *rare} and L.TOKENS not in words.values()
-    net = L.trained(df, words)
-    around = [np.array([k], np.int32) for k in (5, L.TOKENS, L.TOKENS + 700, 1000)]
-    every = [t for t in range(L.TOKENS + 701) if t != L.TOKENS]
-    logs = np.array([net.log_probabilities(np.array([t], np.int32), around)[0] for t in every], np.float64)
-    assert np.exp(logs).sum() == pytest.approx(1, abs=1e-3)
-    # a word of the corpus is likelier than junk of the same place
-    known = L.Tokens(words)
-    place = lambda w: int(L.Network.places(np.array([known[w]]))[0][0])
-    likely = {t: p for t, p in zip(every, logs, strict=True)}
-    assert all(likely[words[w]] > likely[place(w)] for w in rare)
+    assert set(words) == set(often) and words.total == 6060 and words.seen[-1] == 60
+    net = L.Network(words)
+    a, b = net.spelled(["junk77", "zzqqzz"])
+    assert a > b  # rare words are spelled alike
 
 
 # --- the pipeline
