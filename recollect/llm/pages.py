@@ -2,20 +2,28 @@
 
 The pages of one host are merged into a style tree: elements at the same path of styles (tag, class words, role) are one node of
 it, and the node keeps how many pages have it, which sequences of child styles it shows (its presentations) and which contents
-its text blocks and links have.  A node's importance is high if its presentations or its contents differ from page to page (high
-entropy of presentations; each content on few pages) and low if they repeat:
+its text blocks have.  Pages that agree in their ``TELLING`` longest blocks are copies and count as one page of the tree.  A node's
+importance is high if its presentations or its contents differ from page to page (high entropy of presentations; each content on few
+pages) and low if they repeat:
 
     presentation   -sum of p log_m p over the node's presentations (m pages)
     content        1 - mean of log_m n over the distinct contents below the node (content on n of m pages)
-    importance     (1 - g^l) presentation + g^l content, with l kinds of children and g = 0.9
+    entropy part   e = (1 - g^l) presentation + g^l content, with l kinds of children and g = 0.9
+    importance     1 - (1 - e) m / (m + 1), as few pages say little: one page says nothing (e = 1)
 
-Branches of low importance are removed from each page.  Entropy alone can't tell an advert that is new on each page from an article, nor
-an article from its copies, and says nothing of a host with one page; so what the markup itself declares to be a menu, footer, advert,
-form and the like has importance zero, and branches below a declared article are kept unless they are such.  Where pages declare no
-article, importance decides alone.
+What the markup says weighs on it, as entropy alone can't tell an advert that is new on each page from an article:
+
+    declared to be a menu, footer, advert, form, comment and the like, or within such      importance 0
+    within an article or main that isn't declared such                                     ``INSIDE`` + (1 - ``INSIDE``) importance
+    outside of these on a page that has one                                                ``BESIDE`` importance
+
+A branch below ``LOW`` is removed with all below it.  So on each page the entropy decides: within an article a branch goes if (almost) the
+same stands there on all pages of the host, such as a notice or a line about the author; on a page without an article any branch of low
+entropy goes.  Text beside an article goes at any entropy, as ``BESIDE`` is less than ``LOW``.
 
 Trees are counted by Spark's aggregates over (host, path), so a host with a third of all pages is no hot spot; a page is parsed
-alone, and only the paths found unimportant are joined to the pages of their host.
+alone, and only the paths of low entropy are joined to the pages of their host.  Nodes deeper than ``DEPTH`` belong to their ancestor at
+this depth in the tree, which bounds the tree's paths; their text is kept or removed with that ancestor.
 
 Parsing follows HTML's rules where they matter for text: raw-text elements, void elements, end tags that may be left out, references
 without a semicolon.  An unfinished tag at the end is dropped.
@@ -29,6 +37,7 @@ from __future__ import annotations
 import html as references
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
@@ -40,10 +49,12 @@ from pyspark.sql.types import StringType, StructType
 from .shared import arrow_column, bounded_batches, text_or_empty, written
 
 #: Nodes deeper than this belong to their ancestor at this depth in the style tree.
-DEPTH = 12
-#: Below this importance a branch that so many pages of the host have is removed.
-LOW, PAGES = 0.25, 5
+DEPTH = 32
+#: A branch of less importance is removed; what the markup adds to it within an article, and leaves of it outside.
+LOW, INSIDE, BESIDE = 0.25, 0.15, 0.2
 DAMPING = 0.9
+#: Pages that agree in so many of their longest blocks are copies.
+TELLING = 3
 #: So many rows are sent to all tasks at most; more are joined by a shuffle.
 SENT_ROWS = 50_000
 
@@ -73,6 +84,8 @@ ENDS = {
     "tr": frozenset(["tr", "tbody", "tfoot", "thead"]), "td": frozenset(["td", "th", "tr", "tbody", "tfoot"]), "th": frozenset(["td", "th", "tr", "tbody", "tfoot"]),
     "thead": frozenset(["tbody", "tfoot"]), "tbody": frozenset(["tbody", "tfoot"]),
 }
+#: Open elements that a start tag ends.
+ENDED = defaultdict(tuple, {tag: tuple(o for o, ends in ENDS.items() if tag in ends) for tag in set().union(*ENDS.values())})
 #: Elements beyond which a left-out end tag isn't looked for.
 FENCES = frozenset("ul ol dl table td th article section div main body button object".split())
 
@@ -125,6 +138,7 @@ def parse(page: str) -> Node:
     """The tree of a page."""
     root = Node("html", None)
     now, at, n = root, 0, len(page)
+    opened = {"html": 1}  # open elements by name, so that an end tag without one isn't looked for
     while at < n:
         m = TOKEN.search(page, at)
         if m is None:
@@ -143,11 +157,12 @@ def parse(page: str) -> Node:
                 now.links.append(attributes)
             continue
         if closes:
-            found = now
-            while found is not None and found.tag != tag:
-                found = found.above
-            if found is not None and found.above is not None:
-                now = found.above
+            if opened.get(tag) and tag != "html":
+                while now.tag != tag:
+                    opened[now.tag] -= 1
+                    now = now.above
+                opened[tag] -= 1
+                now = now.above
             elif tag == "br":
                 now.parts.append(" ")
             continue
@@ -159,12 +174,14 @@ def parse(page: str) -> Node:
         ends = now
         while ends is not None:
             if tag in ENDS.get(ends.tag, ()):
-                now = ends.above
+                while now is not ends.above:
+                    opened[now.tag] -= 1
+                    now = now.above
                 if ends.tag in ("td", "th", "tr") and tag in ("tr", "tbody", "tfoot", "thead"):
                     ends = now
                     continue
                 break
-            if ends.tag in FENCES:
+            if ends.tag in FENCES or not any(opened.get(t) for t in ENDED[tag]):
                 break
             ends = ends.above
         node = Node(tag, now, attributes)
@@ -178,6 +195,7 @@ def parse(page: str) -> Node:
             continue
         if not attributes.rstrip().endswith("/") or tag not in ("path", "circle", "rect", "line", "use"):
             now = node
+            opened[tag] = opened.get(tag, 0) + 1
     else:
         return root
     if m is None:
@@ -228,23 +246,27 @@ def number(text: str) -> int:
 
 
 PRESENTATION, CONTENT = 0, 1
-SEEN = StructType().add("host", "string").add("path", "string").add("what", "integer").add("feature", "long").add("kinds", "integer")
+SEEN = StructType().add("host", "string").add("path", "string").add("what", "integer").add("feature", "long").add("kinds", "integer").add("page", "long")
+
 
+def seen(root: Node) -> list[tuple[str, int, int, int, int]]:
+    """Rows of a page for its host's style tree: one for each path's presentation, one for each different content of a path.
 
-def seen(root: Node) -> list[tuple[str, int, int, int]]:
-    """Rows of a page for its host's style tree: one for each path's presentation, one for each different content of a path."""
+    The last column tells the page from others, but not from its copies.
+    """
     shows: dict[str, set[tuple[str, ...]]] = {}
     for node in nodes(root):
         if not node.declared:
             children = [p.style for p in node.parts if not isinstance(p, str)]
             shows.setdefault(node.path, set()).add(tuple(c for k, c in enumerate(children) if not k or c != children[k - 1]))
-    rows = [(path, PRESENTATION, number(repr(sorted(s))), len({c for one in s for c in one})) for path, s in shows.items()]
-    contents = {(node.path, number(text)) for node, text in blocks(root) if not node.declared}
-    return rows + [(path, CONTENT, feature, 0) for path, feature in contents]
+    texts = [(node.path, text) for node, text in blocks(root) if not node.declared]
+    page = number("\n".join(sorted({t for _, t in texts}, key=lambda t: (-len(t), t))[:TELLING]))
+    rows = [(path, PRESENTATION, number(repr(sorted(s))), len({c for one in s for c in one}), page) for path, s in shows.items()]
+    return rows + [(path, CONTENT, feature, 0, page) for path, feature in {(path, number(text)) for path, text in texts}]
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """``host``, ``path``, ``pages`` and ``importance`` of the nodes of the style trees of ``pages`` (``url``, ``html``)."""
+    """``host``, ``path``, ``pages`` and ``importance`` (without the markup's weights) of the style trees of ``pages`` (``url``, ``html``)."""
     bounded_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,13 +276,12 @@ def style_tree(pages: DataFrame) -> DataFrame:
                 for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
                 for row in seen(parse(page or ""))
             ]
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int32())
+            columns = list(zip(*rows, strict=True)) or [[]] * 6
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=SEEN.names)
 
-    each = pages.select("url", "html").mapInArrow(run, SEEN)
-    each = each.groupBy("host", "path", "what", "feature").agg(F.count("*").alias("n"), F.max("kinds").alias("kinds"))
-    each = written(each, "styles")
+    each = pages.select("url", "html").mapInArrow(run, SEEN).groupBy("host", "path", "what", "feature", "page").agg(F.max("kinds").alias("kinds"))
+    each = written(each.groupBy("host", "path", "what", "feature").agg(F.count("*").alias("n"), F.max("kinds").alias("kinds")), "styles")
     shown = each.filter(F.col("what") == PRESENTATION).groupBy("host", "path")
     # -sum p ln p = ln m - (sum n ln n) / m
     shown = shown.agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("nlogn"), F.max("kinds").alias("kinds"))
@@ -276,64 +297,57 @@ def style_tree(pages: DataFrame) -> DataFrame:
     weight = F.pow(F.lit(DAMPING), F.col("kinds"))
     content = F.lit(1.0) - F.col("spread") / F.col("features")
     out = shown.join(below, ["host", "path"])  # a node without text below has nothing to remove
-    return out.select("host", "path", "pages", ((1 - weight) * F.col("presentation") + weight * content).alias("importance"))
+    told = (1 - weight) * F.col("presentation") + weight * content
+    return out.select("host", "path", "pages", (1 - (1 - told) * F.col("pages") / (F.col("pages") + 1)).alias("importance"))
 
 
-def main_text(page: str, unimportant: frozenset[str]) -> str:
+def main_text(page: str, entropy: dict[str, float]) -> str:
+    """The main text of a page; ``entropy`` tells the importance of paths, without the markup's weights, 1 if it doesn't."""
     root = parse(page)
-    declared = any(node.article and not node.declared for node in nodes(root))
-    narrow = declared and any(node.tag == "article" and not node.declared for node in nodes(root))
-    out = []
-    gone: dict[int, bool] = {}
-
-    def left_out(node: Node | None) -> bool:
-        """Whether ``node`` or what it is in is unimportant."""
-        chain = []
-        while node is not None and id(node) not in gone:
-            chain.append(node)
-            node = node.above
-        state = gone[id(node)] if node is not None else False
-        for x in reversed(chain):
-            state = state or x.path in unimportant
-            gone[id(x)] = state
-        return state
+    found = [node for node in nodes(root) if node.article and not node.declared]
+    main = any(node.tag == "article" for node in found)  # an article within main is nearer the text than main
+    removed: dict[int, tuple[bool, bool]] = {}
 
-    inside: dict[int, bool] = {}
-
-    def in_article(node: Node | None) -> bool:
+    def state(node: Node | None) -> tuple[bool, bool]:
+        """Whether ``node`` or what it is in is removed, and whether it is within the article."""
         chain = []
-        while node is not None and id(node) not in inside:
+        while node is not None and id(node) not in removed:
             chain.append(node)
             node = node.above
-        state = inside[id(node)] if node is not None else False
+        gone, inside = removed[id(node)] if node is not None else (False, False)
         for x in reversed(chain):
-            state = state or (x.tag == "article" and not x.declared)
-            inside[id(x)] = state
-        return state
+            inside = inside or (x.tag == "article" if main else x.tag == "main") and x.article and not x.declared
+            importance = 0.0 if x.declared else entropy.get(x.path, 1.0)
+            if inside and not x.declared:
+                importance = INSIDE + (1 - INSIDE) * importance
+            gone = gone or importance < LOW
+            removed[id(x)] = gone, inside
+        return gone, inside
 
+    out = []
     for node, text in blocks(root):
-        if node.declared:
-            continue
-        if declared:
-            if node.article and (not narrow or in_article(node)):
-                out.append(text)
-        elif not left_out(node):
+        gone, inside = state(node)
+        # the branch of a block outside is that block alone: what is around it may hold the article
+        beside = bool(found) and not inside and BESIDE * entropy.get(node.path, 1.0) < LOW
+        if not gone and not beside:
             out.append(text)
     return " ".join(out)
 
 
-def extract(df: DataFrame, url: str = "url", html: str = "html", name: str = "text", low: float = LOW, least: int = PAGES) -> DataFrame:
+def extract(df: DataFrame, url: str = "url", html: str = "html", name: str = "text") -> DataFrame:
     """``df`` with ``name``, the main text of each page."""
     base = df.select(F.col(url).alias("url"), text_or_empty(html).alias("html"))
-    tree = style_tree(base).filter((F.col("importance") < low) & (F.col("pages") >= least))
-    by_host = written(tree.groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("__low")), "unimportant")
+    # paths of a higher entropy are kept within an article and without one
+    tree = style_tree(base).filter(F.col("importance") < LOW)
+    low = F.map_from_entries(F.sort_array(F.collect_list(F.struct("path", "importance"))))
+    by_host = written(tree.groupBy("host").agg(low.alias("__low")), "unimportant")
     few = by_host.agg(F.coalesce(F.sum(F.size("__low")), F.lit(0))).first()[0] <= SENT_ROWS
 
     def hosts():
         return lambda urls: pa.array(map(host_of, urls), pa.string())
 
     def texts():
-        return lambda pages, paths: pa.array([main_text(p, frozenset(x or ())) for p, x in zip(pages, paths, strict=True)], pa.string())
+        return lambda pages, paths: pa.array([main_text(p, dict(x or ())) for p, x in zip(pages, paths, strict=True)], pa.string())
 
     hosted = df.withColumn("__host", arrow_column(df, hosts, StringType(), F.col(url)))
     by_host = by_host.withColumnRenamed("host", "__tree")

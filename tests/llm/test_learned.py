@@ -1,8 +1,10 @@
 """Operators 2, 5 and 10, and the pipeline."""
 
 import html
+import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -38,7 +40,7 @@ from recollect.llm import queries, simhash
     ],
 )
 def test_main_text(page, want):
-    assert pages.main_text(page, frozenset()) == want
+    assert pages.main_text(page, {}) == want
 
 
 def test_articles_of_the_table(spark, small):
@@ -51,6 +53,71 @@ def test_articles_of_the_table(spark, small):
         assert r.text == want and r.n_chars == len(want)
 
 
+def plain_tree(rows):
+    """Importance of each (host, path), by counting pages of each content and presentation in loops."""
+    shows, texts, kinds = {}, {}, {}
+    for url, page in rows:
+        root, host = pages.parse(page or ""), pages.host_of(url)
+        found = [(n.path, t) for n, t in pages.blocks(root) if not n.declared]
+        identity = tuple(sorted({t for _, t in found}, key=lambda t: (-len(t), t))[: pages.TELLING])
+        own = {}
+        for n in pages.nodes(root):
+            if not n.declared:
+                styles = [c.style for c in n.parts if not isinstance(c, str)]
+                own.setdefault(n.path, set()).add(tuple(x for x, y in zip(styles, [None, *styles], strict=False) if x != y))
+        for path, s in own.items():
+            shows.setdefault((host, path), {}).setdefault(frozenset(s), set()).add(identity)
+            kinds[host, path] = max(kinds.get((host, path), 0), len({x for one in s for x in one}))
+        for path, t in found:
+            texts.setdefault((host, path), {}).setdefault(t, set()).add(identity)
+    out = {}
+    for (host, path), each in shows.items():
+        m, below = sum(map(len, each.values())), []
+        for (h, q), contents in texts.items():
+            if h == host and (q == path or q.startswith(path + "/")):
+                pages_there = sum(map(len, shows[h, q].values()))
+                logs = sum(math.log(len(ids)) for ids in contents.values())
+                below.append((min(logs / math.log(pages_there), len(contents)) if pages_there > 1 else 0.0, len(contents)))
+        if not below:
+            continue
+        p = [len(ids) / m for ids in each.values()]
+        presentation = -sum(x * math.log(x) for x in p) / math.log(m) if m > 1 else 1.0
+        content = 1 - sum(x for x, _ in below) / sum(n for _, n in below)
+        weight = pages.DAMPING ** kinds[host, path]
+        out[host, path] = 1 - (1 - ((1 - weight) * presentation + weight * content)) * m / (m + 1)
+    return out
+
+
+def test_tree_against_loops(spark, small):
+    rng = random.Random(6)
+    odd_pages = []
+    for k in range(80):
+        extra = rng.choice(["<div class=note>on every page</div>", "<div class=note>now and then</div><p>x", "", "<section><p>deep<div><p>er</div></section>"])
+        odd_pages.append((f"http://h{k % 3}.example/", f"<body>{extra}<article><p>story {k // 2}</p><p>by the same author</p></article><div>call us</div>"))
+    for rows in ([(r.url, r.html) for r in spark.read.parquet(f"{small}/pages.parquet").collect()], [*odd_pages, (None, None), ("http://[", "x")]):
+        df = spark.createDataFrame(rows, "url string, html string").repartition(3)
+        want = plain_tree(rows)
+        got = {(r.host, r.path): r.importance for r in pages.style_tree(df).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+        by_host = {}
+        for (host, path), x in want.items():
+            by_host.setdefault(host, {})[path] = x
+        texts = sorted(r.text for r in pages.extract(df).collect())
+        assert texts == sorted(pages.main_text(page or "", by_host.get(pages.host_of(url), {})) for url, page in rows)
+
+
+def test_importance_decides_within_articles(spark, small):
+    for r in spark.read.parquet(f"{small}/pages.parquet").limit(20).collect():
+        every = {n.path: 0.0 for n in pages.nodes(pages.parse(r.html))}
+        assert "<article>" in r.html and pages.main_text(r.html, {}) and not pages.main_text(r.html, every)
+    page = lambda k: f"<article><h1>Title {k}</h1><p>story {k}</p><div class=note><p>all rights are with the paper</p></div></article><div>beside {k}</div>"
+    # copies of one article with an address of their own are one page of the tree: nothing of them is taken for what repeats
+    copy = lambda k: f"<p>{k}</p><article><h1>Same</h1><p>a long and often copied story</p><p>with two paragraphs</p></article>"
+    rows = [(k, f"http://a.example/{k}", page(k)) for k in range(12)] + [(20 + k, "http://b.example/", copy(k)) for k in range(12)]
+    out = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out[3] == "Title 3 story 3" and out[23] == "Same a long and often copied story with two paragraphs"
+
+
 def test_style_tree_removes_what_repeats(spark):
     page = lambda k: f"<body><div class='x1'>same promise on each page</div><div class='story'><p>story {k} alone</p></div><div class='x2'><p>call us</p></div></body>"
     rows = [(k, f"http://a.example/{k}", page(k)) for k in range(8)] + [(9, "http://b.example/", page(9)), (10, None, None), (11, "http://[", ""), (12, "http://a.example/0", page(0))]
@@ -63,6 +130,13 @@ def test_style_tree_removes_what_repeats(spark):
     assert pages.extract(df.withColumn("text", F.lit("own"))).columns == ["page_id", "url", "html", "text"]
 
 
+def test_end_tags_without_a_start_take_linear_time():
+    began = time.perf_counter()
+    pages.parse("<div>" * 100_000 + "</p>" * 100_000)
+    assert time.perf_counter() - began < 20
+    assert pages.main_text("<div>a</p>b</div></section>c<ul><li>d</div>e</ul>f", {}) == "a b c d e f"
+
+
 # --- 5
 
 
