@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
 
-#: Rows in an Arrow batch: documents may be long, so a batch holds few of them.
+#: Rows in an Arrow batch: documents may be long, so a batch holds few of them.  Spark itself bounds its bytes (maxBytesPerBatch).
 ARROW_ROWS = 128
 
 
@@ -53,7 +53,10 @@ def sent(df: DataFrame) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Hold Arrow batches to ``rows`` rows, so that a Python worker has a few long texts at a time."""
+    """Hold Arrow batches to ``rows`` rows, so that a Python worker has a few long texts at a time.
+
+    The setting is the session's and is read when a plan runs, so it stays; a smaller value that the session has is left.
+    """
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 

@@ -5,6 +5,8 @@ mu-law and A-law samples are expanded by tables of 256 values; ADPCM blocks are
 the blocks and across all blocks of a batch of files at once; the PCM is resampled (band-limited, by a windowed sinc
 filter of fixed length, in a rational ratio) and stored as 16-bit PCM.
 
+The same bytes can be read by several codecs: ``readings`` adds what others than the file's own make of its data.
+
 ``store_payloads`` puts any bytes losslessly into the data chunk of such a file: bytes are mu-law or A-law samples as
 they are, and a multiple of the block size is a sequence of ADPCM blocks.  ``decode_media`` reads files and gives their
 payload, PCM and features.
@@ -169,7 +171,7 @@ MEDIA = (
 )
 
 
-def features(kind: int, samples: np.ndarray, sound: np.ndarray, sha: str) -> str:
+def features(kind: int, samples: np.ndarray, resampled: int, sha: str) -> str:
     """Codec, number of samples, loudness, peak, sign changes of the samples; number and digest of the resampled ones."""
     if len(samples):
         x = samples.astype(np.float64)
@@ -177,13 +179,14 @@ def features(kind: int, samples: np.ndarray, sound: np.ndarray, sha: str) -> str
         turns = int(np.count_nonzero((samples[1:] < 0) != (samples[:-1] < 0)))
     else:
         rms, peak, turns = 0.0, 0, 0
-    return f"{NAMES[kind]};n={len(samples)};rms={rms:.3f};peak={peak};turns={turns};resampled={len(sound)};pcm={sha[:16]}"
+    return f"{NAMES[kind]};n={len(samples)};rms={rms:.3f};peak={peak};turns={turns};resampled={resampled};pcm={sha[:16]}"
 
 
-def decode_media(df: DataFrame, media: str = "media", rate: int = 16000, keep_pcm: bool = True) -> DataFrame:
+def decode_media(df: DataFrame, media: str = "media", rate: int = 16000, keep_pcm: bool = True, readings: tuple[int, ...] = ()) -> DataFrame:
     """``df`` with the fields of ``MEDIA`` read from the WAV files in ``media``; ``pcm`` is a WAV file at ``rate``.
 
-    ``keep_pcm=False`` leaves ``pcm`` null after its features are taken.
+    ``keep_pcm=False`` leaves ``pcm`` null after its features are taken.  ``feature`` also has the features of the data read by the codecs
+    of ``readings``, whole blocks of ``BLOCK`` bytes for ADPCM, joined by ``|``.
     """
 
     def start():
@@ -211,25 +214,33 @@ def decode_media(df: DataFrame, media: str = "media", rate: int = 16000, keep_pc
                     out[i], at = sound[at : at + n], at + n
             return out
 
+        def resampled(samples: np.ndarray, own_rate: int) -> bytes:
+            shared = np.gcd(rate, own_rate)
+            ratio = (rate // int(shared), own_rate // int(shared))
+            if ratio not in taps:
+                taps[ratio] = sinc_filter(*ratio)
+            return resample(samples, *ratio, taps[ratio]).astype("<i2").tobytes()
+
         def batch(files: list) -> pa.Array:
             found = [parse(f) for f in files]
+            also = [[f and (kind, f[1], BLOCK, f[3][: len(f[3]) // BLOCK * BLOCK] if kind == ADPCM else f[3]) for f in found] for kind in readings]
+            also = [expand(one) for one in also]
             rows = []
-            for f, samples in zip(found, expand(found), strict=True):
+            for i, (f, samples) in enumerate(zip(found, expand(found), strict=True)):
                 if f is None:
                     rows.append(None)
                     continue
                 kind, own_rate, _, data = f
-                shared = np.gcd(rate, own_rate)
-                ratio = (rate // int(shared), own_rate // int(shared))
-                if ratio not in taps:
-                    taps[ratio] = sinc_filter(*ratio)
-                sound = resample(samples, *ratio, taps[ratio])
-                raw = sound.astype("<i2").tobytes()
+                raw = resampled(samples, own_rate)
                 sha = hashlib.sha256(raw).hexdigest()
+                told = [features(kind, samples, len(raw) // 2, sha)]
+                for other, sound in zip(readings, also, strict=True):
+                    heard = resampled(sound[i], own_rate)
+                    told.append(features(other, sound[i], len(heard) // 2, hashlib.sha256(heard).hexdigest()))
                 rows.append(
                     {
                         "codec": NAMES[kind], "rate": own_rate, "payload": data, "samples": len(samples), "pcm_rate": rate,
-                        "pcm_sha256": sha, "feature": features(kind, samples, sound, sha), "pcm": wav(PCM, raw, rate) if keep_pcm else None,
+                        "pcm_sha256": sha, "feature": "|".join(told), "pcm": wav(PCM, raw, rate) if keep_pcm else None,
                     }
                 )
             kinds = [("codec", pa.string()), ("rate", pa.int32()), ("payload", pa.binary()), ("samples", pa.int64()), ("pcm_rate", pa.int32()), ("pcm_sha256", pa.string()), ("feature", pa.string()), ("pcm", pa.binary())]

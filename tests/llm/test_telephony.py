@@ -45,6 +45,42 @@ def test_adpcm_blocks():
     assert T.adpcm_samples(data).tolist() == [s for b in data for s in plain_adpcm(bytes(b))]
 
 
+def plain_feature(name, samples):
+    """A codec's own part of a feature, and what resampling to twice the rate gives, by loops."""
+    rms = (sum(int(x) ** 2 for x in samples) / len(samples)) ** 0.5
+    turns = sum((a < 0) != (b < 0) for a, b in zip(samples, samples[1:], strict=False))
+    taps, half = T.sinc_filter(2, 1), 16
+    wide = []
+    for i in range(2 * len(samples)):  # a sample stands at each even place, zeros between
+        near = range((max(i - half, 0) + 1) // 2, min((i + half) // 2, len(samples) - 1) + 1)
+        wide.append(max(-32768, min(32767, round(sum(samples[k] * taps[half + i - 2 * k] for k in near)))))
+    return f"{name};n={len(samples)};rms={rms:.3f};peak={max(abs(int(x)) for x in samples)};turns={turns};resampled={2 * len(samples)}", wide
+
+
+def test_features_by_loops(spark, monkeypatch):
+    texts = ["", "a", "mu-law and A-law " * 20, "é日\U0001f600" * 9]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(queries, "table", lambda *_: docs)
+    got = {r.doc_id: r.feature.split("|") for r in queries.op7_telephony(spark, "").collect()}
+    sound = {r.doc_id: np.frombuffer(T.parse(bytes(r.pcm))[3], "<i2") for r in T.decode_media(media_of(docs)).collect()}
+    for k, t in enumerate(texts):
+        raw = t.encode()
+        sent = raw + b"\0" * (-len(raw) % 64 if raw else 64)
+        mu, a = [int(T.MU[c]) for c in sent], [int(T.A[c]) for c in sent]
+        blocks = [x for j in range(0, len(sent), 64) for x in plain_adpcm(sent[j : j + 64])]
+        assert len(got[k]) == 3
+        for told, (name, samples) in zip(got[k], (("mulaw", mu), ("alaw", a), ("adpcm", blocks)), strict=True):
+            want, wide = plain_feature(name, samples)
+            assert told.rsplit(";", 1)[0] == want
+            if name == "mulaw":
+                assert np.abs(sound[k].astype(int) - np.array(wide)).max() <= 1
+                assert told.endswith(hashlib.sha256(sound[k].tobytes()).hexdigest()[:16])
+
+
+def media_of(docs):
+    return T.store_payloads(docs, queries.padded(F.encode("text", "UTF-8")), F.lit(T.MU_LAW))
+
+
 def test_resampling_keeps_a_tone():
     taps = T.sinc_filter(2, 1)
     tone = (10_000 * np.sin(np.arange(800) * 2 * np.pi * 440 / 8000)).astype(np.int16)
