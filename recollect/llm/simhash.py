@@ -17,6 +17,14 @@ points on the key and checking the distance finds each link, and nothing else pa
 share is refined: of six blocks of bits at least three hold no error, so each choice of three blocks extends the key, which again
 misses nothing.  Copies are one fingerprint, so their number plays no part.
 
+``near_copies`` uses the same keys to find texts whose five-word shingles have a Jaccard similarity of 0.8 or more.  Fingerprints of
+shingles lie too far apart for this (a changed word changes five shingles), so the texts' words have ``TABLES`` fingerprints, each word
+weighted by the root of its number: near copies are within three bits in one of them as good as always.  The keys give candidates, and what
+is linked is verified by the shingles themselves.  Texts that differ in white space and case alone are one class from the start.  The
+texts of one fingerprint are first compared with the least of them only, and linked fingerprints by their least texts; then only those
+candidates that these links haven't joined yet are compared one by one, all of them.  So a group of very many near copies isn't compared
+pair by pair, and no candidate link between groups is lost.
+
 Defined results: a null text counts as an empty one; a text without words has fingerprint zero; texts of fewer words than a shingle
 are one shingle; repeated rows are linked like any others; a null doc_id is ignored as a component's least id unless it is the only
 one; an empty table gives an empty one; columns named ``fingerprint`` or ``component_id`` in the input are replaced.
@@ -24,6 +32,7 @@ one; an empty table gives an empty one; columns named ``fingerprint`` or ``compo
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
@@ -33,12 +42,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructType
+from pyspark.sql.types import ArrayType, LongType, MapType, StructType, VariantType
 
 from .components import components
 from .shared import arrow_column, by_place, place_of, sent, text_or_empty, written
 
 WORDS, SEED, RADIUS = 3, 42, 3
+#: Near copies: words of a shingle, least similarity, fingerprints of a text's words, and how many bits candidates differ in at most.
+SHINGLE, SIMILARITY, TABLES, NEAR = 5, 0.8, 4, 6
+#: Words whose hashes are kept in memory, and the longest of them.
+KEPT_WORDS, KEPT_BYTES = 150_000, 40
 #: Shingles whose bits are counted at once, which bounds memory for very long texts.
 AT_ONCE = 1 << 15
 #: A key of more points than this is refined.
@@ -50,7 +63,7 @@ GENERATOR = 0b110001110101
 
 def fingerprint(text: str, words: int = WORDS) -> int:
     """The fingerprint as a signed 64-bit integer."""
-    parts = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: lower() and split() know ASCII alone
+    parts = words_of(text)
     if not parts:
         return 0
     if len(parts) <= words:
@@ -125,20 +138,21 @@ def keys_of(prints: np.ndarray, probes: bool) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(all_places)
 
 
-KEYED = StructType().add("key", "long").add("fp", "long")
+KEYED = StructType().add("key", "long").add("fp", "long").add("kind", "integer")
 
 
 def keyed(prints: DataFrame, probes: bool) -> DataFrame:
-    """``key`` and ``fp`` of a table of distinct fingerprints ``fp``."""
+    """``key``, ``fp`` and ``kind`` of a table of distinct fingerprints ``fp``; keys of different kinds differ."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                fp = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                keys, places = keys_of(fp, probes)
-                yield pa.RecordBatch.from_pydict({"key": keys, "fp": fp[places]})
+                fp, kind = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                keys, places = keys_of(fp.astype(np.int64), probes)
+                kind = kind[places].astype(np.int32)
+                yield pa.RecordBatch.from_pydict({"key": keys | kind.astype(np.int64) << 56, "fp": fp[places], "kind": kind})
 
-    return prints.select("fp").mapInArrow(run, KEYED)
+    return prints.select("fp", F.col("kind").cast("int")).mapInArrow(run, KEYED)
 
 
 def refining(fp: Column, key: Column) -> Column:
@@ -150,19 +164,23 @@ def refining(fp: Column, key: Column) -> Column:
     return F.transform(F.array(*map(F.lit, masks)), lambda m: F.xxhash64(key, m, fp.bitwiseAND(m)))
 
 
-def links(prints: DataFrame, crowded: int = CROWDED) -> DataFrame:
-    """``a`` and ``b`` of the distinct fingerprints ``fp`` that differ in at most 3 bits."""
+def links(prints: DataFrame, crowded: int = CROWDED, radius: int = RADIUS) -> DataFrame:
+    """``a`` and ``b`` (and ``kind``) of the distinct fingerprints ``fp`` (of each ``kind``) that differ in at most ``radius`` bits.
+
+    All of those are found that differ in at most 3 bits, and some of the others.
+    """
+    prints = prints if "kind" in prints.columns else prints.withColumn("kind", F.lit(0))
     probes, points = keyed(prints, True), keyed(prints, False)
     full = written(points.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > crowded).select("key"), "crowded")
 
     def near(probes: DataFrame, points: DataFrame) -> DataFrame:
-        p, q = probes.select("key", F.col("fp").alias("a")), points.select("key", F.col("fp").alias("b"))
-        close = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
-        return p.join(q, (p["key"] == q["key"]) & close).select("a", "b")
+        p, q = probes.select("key", "kind", F.col("fp").alias("a")), points.select("key", F.col("fp").alias("b"))
+        close = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
+        return p.join(q, (p["key"] == q["key"]) & close).select("a", "b", "kind")
 
     if not full.take(1):
         return near(probes, points).distinct()
-    refined = lambda df: df.join(full, "key", "left_semi").select(F.explode(refining(F.col("fp"), F.col("key"))).alias("key"), "fp")
+    refined = lambda df: df.join(full, "key", "left_semi").select(F.explode(refining(F.col("fp"), F.col("key"))).alias("key"), "fp", "kind")
     alone = lambda df: df.join(full, "key", "left_anti")
     # a probe finds each point within one error of it in its segments, in either order of the two
     return near(alone(probes), alone(points)).unionByName(near(refined(probes), refined(points))).distinct()
@@ -192,27 +210,145 @@ def grouped(df: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: lis
     return rows.join(named(rows), "fingerprint").select(*[F.col(f"`{c}`") for c in keep], "fingerprint", "component_id", "root", "row")
 
 
-def deduplicated(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``df`` with one row of each component: that of its least doc_id (null last); of rows equal in id and text any one.
+PRINTS = StructType().add("class", "binary").add("prints", ArrayType(LongType())).add("shingles", "integer")
+
+
+def words_of(text: str) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").lower().split()  # bytes: lower() and split() know ASCII alone
+
+
+def word_prints(parts: list[bytes], kept: dict[bytes, bytes]) -> list[int]:
+    """``TABLES`` fingerprints of words, each weighted by the root of its number; ``kept`` remembers hashes."""
+    counts, sums = Counter(parts), np.zeros(64 * TABLES)
+    different, weights = list(counts), np.sqrt(np.fromiter(counts.values(), np.float32, len(counts)))
+    for a in range(0, len(different), AT_ONCE // 8):
+        some = different[a : a + AT_ONCE // 8]
+        hashes = []
+        for w in some:
+            h = kept.get(w)
+            if h is None:
+                h = b"".join(xxhash.xxh3_128_digest(w, SEED + k) for k in range(TABLES // 2))
+                if len(kept) < KEPT_WORDS and len(w) <= KEPT_BYTES:
+                    kept[w] = h
+            hashes.append(h)
+        bits = np.unpackbits(np.frombuffer(b"".join(hashes), np.uint8).reshape(len(some), 8 * TABLES), axis=1)
+        own = weights[a : a + len(some)]
+        sums += 2 * (own @ bits.astype(np.float32)) - own.sum()
+    return np.packbits(np.round(sums, 3) > 0).view(np.int64).tolist()
+
+
+def classed(df: DataFrame, text: str) -> Column:
+    """The class of a text (a hash of its words) and the fingerprints of its words."""
+
+    def start():
+        kept: dict[bytes, bytes] = {}
+
+        def batch(texts: list[str]) -> pa.Array:
+            words = [words_of(t) for t in texts]
+            columns = [
+                pa.array([xxhash.xxh3_128_digest(b" ".join(w)) for w in words], pa.binary()),
+                pa.array([word_prints(w, kept) for w in words], pa.list_(pa.int64())),
+                pa.array([min(len(w), max(len(w) - SHINGLE + 1, 1)) for w in words], pa.int32()),
+            ]
+            return pa.StructArray.from_arrays(columns, names=PRINTS.names)
 
-    Groups are found on ids, hashes and fingerprints.  The rows to remove are looked up by two hashes of id and text, so whole rows are
-    only read, and shuffled only when those to remove are too many to be sent to all tasks.
+        return batch
+
+    return arrow_column(df, start, PRINTS, text_or_empty(text))
+
+
+def shingle_sets(df: DataFrame, text: str) -> Column:
+    """The different hashes of a text's ``SHINGLE``-word shingles; of all its words if they are fewer."""
+
+    def one(t: str) -> list[int]:
+        words = words_of(t)
+        joined = [b" ".join(words[k : k + SHINGLE]) for k in range(max(len(words) - SHINGLE + 1, min(len(words), 1)))]
+        return np.array(list({xxhash.xxh64_intdigest(g, SEED) for g in joined}), np.uint64).view(np.int64).tolist()
+
+    return arrow_column(df, lambda: lambda texts: pa.array(map(one, texts), pa.list_(pa.int64())), ArrayType(LongType()), text_or_empty(text))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those ``pairs`` (``a``, ``b``) of classes whose ``shingles`` in ``sets`` (by ``class``) are similar."""
+    left, right = sets.select(F.col("class").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("class").alias("b"), F.col("shingles").alias("y"))
+    both = pairs.select("a", "b").join(left, "a").join(right, "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    union = F.size("x") + F.size("y") - shared
+    return both.filter((shared > 0) & (F.round(shared / union, 9) >= similarity)).select("a", "b")
+
+
+def near_copies(rows: DataFrame, docs: DataFrame, text: str, similarity: float = SIMILARITY) -> DataFrame:
+    """``node`` and ``root``: classes and the least class of their group, of all but the roots themselves.
+
+    ``rows`` has the ``class``, ``prints`` and number of ``shingles`` of each row of ``docs``, and both have the keys ``__k1`` and ``__k2``.
+    """
+    texts = rows.groupBy("class").agg(F.first("prints").alias("prints"), F.first("shingles").alias("shingles")).filter("shingles > 0")
+    each = texts.select("class", F.posexplode("prints").alias("kind", "fp"))
+    each = written(each.select("class", "kind", "fp"), "tables")
+    prints = written(each.groupBy("kind", "fp").agg(F.min("class").alias("least"), F.count("*").alias("n")), "prints")
+    near = written(links(prints, radius=NEAR), "near")
+    # the least text of each fingerprint with the others, and with the least texts of fingerprints nearby
+    first = lambda side: prints.select("kind", F.col("fp").alias(side), F.col("least").alias(f"__{side}"))
+    stars = each.join(written(prints.filter("n > 1").select("kind", "fp", "least"), "shared"), ["kind", "fp"]).select(F.col("least").alias("a"), F.col("class").alias("b"))
+    between = near.join(first("a"), ["kind", "a"]).join(first("b"), ["kind", "b"]).select(F.col("__a").alias("a"), F.col("__b").alias("b"))
+    ordered = lambda p: p.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = written(ordered(stars.unionByName(between)), "pairs")
+    # all texts of fingerprints with others, or with fingerprints nearby, may have to be compared
+    met = prints.filter("n > 1").select("kind", "fp").unionByName(near.select("kind", F.col("a").alias("fp"))).unionByName(near.select("kind", F.col("b").alias("fp")))
+    met = written(met.distinct(), "met")
+    wanted = each.join(met, ["kind", "fp"], "left_semi").select("class").distinct()
+    # one row of each class: all of a class have the same shingles
+    wanted = rows.join(wanted, "class").groupBy("class").agg(F.min(F.struct("__k1", "__k2")).alias("k")).select("class", "k.*")
+    own = docs.select("__k1", "__k2", F.col(text).alias("t")).join(sent(written(wanted, "wanted")), ["__k1", "__k2"])
+    sets = own.select("class", shingle_sets(own, "t").alias("shingles")).groupBy("class").agg(F.first("shingles").alias("shingles"))
+    sets = written(sets, "sets")
+    sure = written(verified(pairs, sets, similarity), "sure")
+    roots = written(components(sure), "roots")
+    # candidates that are still apart
+    here = each.join(met, ["kind", "fp"], "left_semi").join(roots.withColumnRenamed("node", "class"), "class", "left")
+    here = written(here.select("kind", "fp", "class", F.coalesce("root", "class").alias("root")), "here")
+    mixed = here.groupBy("kind", "fp").agg(F.min("root").alias("r"), F.max("root").alias("s"))
+    mixed = written(mixed, "mixed")
+    side = lambda n: here.select("kind", F.col("fp").alias(n), F.col("class").alias(f"{n}c"), F.col("root").alias(f"{n}r"))
+    inside = here.join(mixed.filter("r <> s").select("kind", "fp"), ["kind", "fp"], "left_semi")
+    inside = inside.select("kind", F.col("fp").alias("a"), F.col("class").alias("ac"), F.col("root").alias("ar"))
+    inside = inside.join(side("b"), (inside["kind"] == here["kind"]) & (F.col("a") == F.col("b")) & (F.col("ar") < F.col("br"))).select("ac", "bc")
+    span = lambda n: mixed.select("kind", F.col("fp").alias(n), F.col("r").alias(f"{n}low"), F.col("s").alias(f"{n}high"))
+    apart = near.join(span("a"), ["kind", "a"]).join(span("b"), ["kind", "b"])
+    apart = apart.filter((F.col("alow") != F.col("ahigh")) | (F.col("alow") != F.col("blow")) | (F.col("blow") != F.col("bhigh"))).select("kind", "a", "b")
+    across = apart.join(side("a"), ["kind", "a"]).join(side("b"), ["kind", "b"]).filter("ar <> br").select("ac", "bc")
+    more = ordered(inside.unionByName(across).toDF("a", "b")).join(pairs, ["a", "b"], "left_anti")
+    more = written(verified(written(more, "more"), sets, similarity), "late")
+    return components(sure.unionByName(more)) if more.take(1) else roots
+
+
+def deduplicated(df: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
+    """``df`` with one row of each group of near copies: that of the least doc_id (null last).
+
+    Of rows equal in id and text that with the least hash of its other columns stays.  Groups are found on ids, hashes and fingerprints.
+    The rows to remove are looked up by two hashes of id and text, so whole rows are only read, and shuffled only when those to remove are
+    too many to be sent to all tasks.
     """
     own, body, base = place_of(df, doc_id), text_or_empty(place_of(df, text)), by_place(df)
     shown = F.coalesce(F.col(own).cast("string"), F.lit("null"))
+    plain = [f.name for f in base.schema if not isinstance(f.dataType, MapType | VariantType)]
     keys = {"__k1": F.xxhash64(shown, body), "__k2": F.xxhash64(body, F.lit("/"), shown)}
-    rows = fingerprinted(base.withColumns(keys), place_of(df, text), own, list(keys))
-    # equal rows first, then the rows of a fingerprint, then those of a component: few of any group reach the next step.  The joins have
-    # shuffles of their own on both sides, so that the rows of one fingerprint or component can be split over tasks.
+    hashed = base.withColumns(keys | {"__k3": F.xxhash64(*plain)})
+    rows = hashed.withColumn("__p", classed(base, place_of(df, text))).select(*keys, "__k3", F.col(own).alias("__id"), "__p.class", "__p.prints", "__p.shingles")
+    rows = written(rows, "fingerprints")
+    roots = near_copies(rows, hashed, place_of(df, text), similarity)
+    # equal rows first, then the rows of a class, then those of a group: few of any group reach the next step.  The joins have
+    # shuffles of their own on both sides, so that the rows of one class or group can be split over tasks.
     rank = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), "__k1", "__k2")
-    each = rows.groupBy("fingerprint", "__id", *keys).agg(F.count("*").alias("n"))
-    each = written(each.join(named(rows).drop("component_id"), "fingerprint").withColumn("rank", rank).drop("__id"), "each")
-    first = each.groupBy("root", "fingerprint").agg(F.min("rank").alias("least"), F.count("*").alias("m"))
+    each = rows.groupBy("class", "__id", *keys).agg(F.count("*").alias("n"), F.min("__k3").alias("k3"))
+    each = each.join(roots, each["class"] == roots["node"], "left").withColumn("root", F.coalesce("root", "class"))
+    each = written(each.withColumn("rank", rank).drop("__id", "node"), "each")
+    first = each.groupBy("root", "class").agg(F.min("rank").alias("least"), F.count("*").alias("m"))
     first = first.groupBy("root", F.hash("root").alias("apart")).agg(F.min("least").alias("least"), F.sum("m").alias("m")).filter("m > 1").select("root", "least")
     gone = written(each.join(first, "root").filter(F.col("rank") != F.col("least")).select(*keys), "gone")
-    twice = written(each.filter("n > 1").select(*keys), "twice")
-    kept = base.withColumns(keys).join(sent(gone), list(keys), "left_anti")
+    twice = written(each.filter("n > 1").select(*keys, "k3"), "twice")
+    kept = hashed.join(sent(gone), list(keys), "left_anti")
     if twice.take(1):
-        again = kept.join(sent(twice), list(keys), "left_semi").dropDuplicates(list(keys))
-        kept = kept.join(sent(twice), list(keys), "left_anti").unionByName(again)
-    return kept.drop(*keys).toDF(*df.columns)
+        again = kept.join(sent(twice), list(keys)).filter(F.col("__k3") == F.col("k3")).drop("k3").dropDuplicates(list(keys))
+        kept = kept.join(sent(twice.drop("k3")), list(keys), "left_anti").unionByName(again)
+    return kept.drop(*keys, "__k3").toDF(*df.columns)

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from recollect.llm import bpe, decontaminate, pages, pii, pseudo_likelihood as L
 from recollect.llm import quality as Q
-from recollect.llm import queries, simhash
+from recollect.llm import queries
+from tests.llm.test_simhash import near_groups
 
 
 # --- 2
@@ -312,17 +313,7 @@ def test_pipeline_equals_its_parts(spark, small):
     base = spark.read.parquet(f"{small}/documents.parquet")
     machine = Q.fit(base, spark.read.parquet(f"{small}/labels.parquet").filter(~Q.held_out()))
     good = sorted(r.doc_id for r in Q.with_score(base, machine).collect() if r.score >= Q.GOOD)
-    prints = {d: simhash.fingerprint(docs[d].text) for d in good}
-    group = {d: d for d in good}
-    for _ in range(len(good)):
-        changed = False
-        for a in good:
-            for b in good:
-                if group[b] < group[a] and ((prints[a] ^ prints[b]) & (1 << 64) - 1).bit_count() <= 3:
-                    group[a], changed = group[b], True
-        if not changed:
-            break
-    single = {d for d in good if group[d] == d}
+    single = set(near_groups([(d, docs[d].text) for d in good]))
     items = spark.read.parquet(f"{small}/benchmark.parquet")
     leaks = {r.doc_id for r in decontaminate.contained(base, items).collect()}
     assert set(rows) == single - leaks
