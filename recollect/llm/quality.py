@@ -148,7 +148,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: i
         for a in range(0, len(order), BATCH):
             chosen = order[a : a + BATCH]
             margin, places, values, begins, sums = machine.margins([rows[i] for i in chosen])
-            slope = ((1 / (1 + np.exp(-margin)) - labels[chosen]) * weight[chosen] / len(chosen)).astype(np.float32)
+            slope = ((1 / (1 + np.exp(-np.clip(margin, -30, 30))) - labels[chosen]) * weight[chosen] / len(chosen)).astype(np.float32)
             row = np.repeat(np.arange(len(chosen)), np.diff([*begins, len(places)]))
             touched, where = np.unique(places, return_inverse=True)
             g = slope[row] * values

@@ -11,7 +11,7 @@ A task writes files under a name of its own and reports them when it ends; the m
 tasks that ran twice or were lost leave files that nothing points to.
 
 Defined results: a null text counts as an empty one and has just the end id; documents stand in ascending id order, null
-ids first (stored as the least int64 and read back as null), ties in the order of their texts; repeated rows are stored
+ids first (stored as the least int64 and read back as null), ties by a hash of their texts and then the texts; repeated rows are stored
 each time; other columns aren't stored; an empty table gives a store without partitions, which reads as no rows.
 """
 
