@@ -10,9 +10,10 @@ def numbered(df: DataFrame, group: list[str], order: list[Column | str], name: s
     """``df`` with ``name``, the place (from 1) of each row in the order of its group.
 
     Rows are dealt out in ranges of group and order, numbered within each range, and each range starts after those before it; a group
-    of any size is spread over ranges.
+    of any size is spread over ranges.  The number of ranges is fixed, so that both readings of them number alike.
     """
-    parts = df.repartitionByRange(*group, *order).withColumn("__p", F.spark_partition_id())
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = df.repartitionByRange(n, *group, *order).withColumn("__p", F.spark_partition_id())
     counts = parts.groupBy(*group, "__p").agg(F.count("*").alias("__n"))
     # a row for each range and group that meet: few
     before = Window.partitionBy(*group, F.lit(0)).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)

@@ -91,14 +91,38 @@ class Snapshots:
         return name
 
     def promote(self, name: str) -> None:
-        """The pointer is written aside and renamed, so it always names a whole snapshot."""
+        """The pointer is written aside and renamed over the old one in one step, so it always names a whole snapshot."""
         aside, at = self.path(f"{self.root}/current-{uuids.uuid4().hex}"), self.path(f"{self.root}/current")
         out = self.fs.create(aside, True)
         out.write(bytearray(name.encode()))
         out.close()
+        jvm, hadoop = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        option = jvm.org.apache.hadoop.fs.Options.Rename
+        options = self.spark.sparkContext._gateway.new_array(option, 1)
+        options[0] = option.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), hadoop).rename(aside, at, options)
+
+    def delete(self, name: str) -> bool:
+        """Remove a snapshot that isn't the current one (SRC10)."""
+        if name == self.current():
+            raise ValueError("the current snapshot can't be deleted")
+        return bool(self.fs.delete(self.path(name), True))
+
+    def size(self, name: str) -> int:
+        return int(self.fs.getContentSummary(self.path(name)).getLength())
+
+    def extract(self, source: str, name: str) -> bool:
+        """A copy of the file ``source`` under ``name``, made anew only if its size differs; written aside and renamed (SRC11)."""
+        at, of = self.path(f"{self.root}/{name}"), self.path(source)
+        there = of.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if self.fs.exists(at) and self.fs.getFileStatus(at).getLen() == there.getFileStatus(of).getLen():
+            return False
+        aside = self.path(f"{self.root}/{name}-{uuids.uuid4().hex}")
+        jvm, hadoop = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        jvm.org.apache.hadoop.fs.FileUtil.copy(there, of, self.fs, aside, False, hadoop)
         if self.fs.exists(at):
             self.fs.delete(at, False)
-        self.fs.rename(aside, at)
+        return bool(self.fs.rename(aside, at))
 
     def pull(self, source: str) -> tuple[str, int | None]:
         """Copy a snapshot, count it, and make it the current one if it has rows: (state, rows)."""

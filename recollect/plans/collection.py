@@ -90,7 +90,7 @@ def rel_rail_snapshot(spark, sf_dir):
     frames = frames.withColumn("day", day)
     before = frames.groupBy("day").agg(F.count("*").alias("n")).select("day", (F.sum("n").over(Window.orderBy("day")) - F.col("n")).alias("before"))
     own = F.row_number().over(Window.partitionBy("day").orderBy("timestamp_ms", "id"))
-    counted = frames.withColumn("k", own).join(F.broadcast(before), "day")
+    counted = frames.withColumn("k", own).join(before, "day")
     key = F.regexp_extract("thumb_path", r"([^/]*)\.[^./]*$", 1)
     event = F.struct(F.lit("moment").alias("t"), key.alias("id"), F.col("timestamp_ms").alias("ts"), (F.col("before") + F.col("k")).alias("count"))
     return counted.select(F.to_json(event).alias("event"))

@@ -53,9 +53,9 @@ def vec_knn_batch(spark, sf_dir):
     return found(search.knn(points(spark, sf_dir), query_set(spark, sf_dir), 10))
 
 
-@query("vec_knn_filtered", knn_sql(f"timestamp_ms BETWEEN {SINCE} AND {UNTIL}"))
+@query("vec_knn_filtered", knn_sql(f"timestamp_ms BETWEEN {SINCE} AND {UNTIL}", 5, MANY))
 def vec_knn_filtered(spark, sf_dir):
-    return found(search.knn(scan.of_type(points(spark, sf_dir), None, SINCE, UNTIL), one_query(spark, sf_dir)))
+    return found(search.knn(scan.of_type(points(spark, sf_dir), None, SINCE, UNTIL), query_set(spark, sf_dir)))
 
 
 def channel(kind: str):
@@ -69,20 +69,20 @@ for _name, _kind in (("vec_channel_frames", "frame"), ("vec_channel_regions", "r
     query(_name, knn_sql(f"type = '{_kind}' AND timestamp_ms BETWEEN {SINCE} AND {UNTIL}", 5, MANY))(channel(_kind))
 
 
-@query("vec_mobile_label", knn_sql("type = 'region' AND label = 'bus'", 20))
+@query("vec_mobile_label", knn_sql("type = 'region' AND label = 'bus'", 20, MANY))
 def vec_mobile_label(spark, sf_dir):
-    return found(search.knn(scan.of_type(points(spark, sf_dir), "region", label="bus"), one_query(spark, sf_dir), 20))
+    return found(search.knn(scan.of_type(points(spark, sf_dir), "region", label="bus"), query_set(spark, sf_dir), 20))
 
 
 @query(
     "vec_overfetch",
     with_points(
-        f""", {ONE}, {SCORED}, c AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS r FROM scored)
+        f""", {MANY}, {SCORED}, c AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS r FROM scored)
         SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM c WHERE r <= 200 AND timestamp_ms BETWEEN {SINCE} AND {UNTIL} QUALIFY rank <= 5"""
     ),
 )
 def vec_overfetch(spark, sf_dir):
-    return found(search.overfetch(points(spark, sf_dir), one_query(spark, sf_dir), scan.in_window(SINCE, UNTIL)))
+    return found(search.overfetch(points(spark, sf_dir), query_set(spark, sf_dir), scan.in_window(SINCE, UNTIL)))
 
 
 CODE = "list_sum(list_transform(range(1, 65), lambda i: CASE WHEN {v}[i] > 0 THEN (1::HUGEINT << (i - 1)) ELSE 0::HUGEINT END))::HUGEINT"
@@ -122,27 +122,27 @@ def vec_uint8(spark, sf_dir):
 
 @query(
     "vec_distance_to_similarity",
-    f"""WITH {ONE} SELECT vec_id, round(1.0 - (1.0 - list_cosine_similarity(embedding::DOUBLE[], q)), 6) AS by_cosine,
+    f"""WITH {MANY} SELECT qid, vec_id, round(1.0 - (1.0 - list_cosine_similarity(embedding::DOUBLE[], q)), 6) AS by_cosine,
     round(1.0 - list_sum(list_transform(range(1, 65), lambda i: (embedding::DOUBLE[][i] - q[i]) * (embedding::DOUBLE[][i] - q[i]))) / 2, 5) AS by_l2 FROM embeddings, queries""".replace("embedding::DOUBLE[][i]", "(embedding::DOUBLE[])[i]"),
 )
 def vec_distance_to_similarity(spark, sf_dir):
-    e = M.table(spark, sf_dir, "embeddings").crossJoin(F.broadcast(one_query(spark, sf_dir)))
+    e = search.against(M.table(spark, sf_dir, "embeddings"), query_set(spark, sf_dir))
     apart = F.zip_with("embedding", "q", lambda x, y: x.cast("double") - y.cast("double"))
     squared = F.aggregate(apart, F.lit(0.0), lambda s, x: s + x * x)
     cosine_distance = 1 - V.cosine(F.col("embedding"), F.col("q"))
-    return e.select("vec_id", F.round(V.similarity_from_cosine_distance(cosine_distance), 6).alias("by_cosine"), F.round(V.similarity_from_squared_l2(squared), 5).alias("by_l2"))
+    return e.select("qid", "vec_id", F.round(V.similarity_from_cosine_distance(cosine_distance), 6).alias("by_cosine"), F.round(V.similarity_from_squared_l2(squared), 5).alias("by_l2"))
 
 
 @query(
     "vec_cosine_guarded",
-    f"WITH {ONE} SELECT vec_id, CASE vec_id % 4 WHEN 0 THEN 0.0 WHEN 1 THEN 0.0 ELSE round(list_cosine_similarity(embedding::DOUBLE[], q), 6) END AS score FROM embeddings, queries",
+    f"WITH {MANY} SELECT qid, vec_id, CASE vec_id % 4 WHEN 0 THEN 0.0 WHEN 1 THEN 0.0 ELSE round(list_cosine_similarity(embedding::DOUBLE[], q), 6) END AS score FROM embeddings, queries",
 )
 def vec_cosine_guarded(spark, sf_dir):
     """Vectors of zeros and of another length score 0 (VEC14)."""
-    e = M.table(spark, sf_dir, "embeddings").crossJoin(F.broadcast(one_query(spark, sf_dir)))
+    e = search.against(M.table(spark, sf_dir, "embeddings"), query_set(spark, sf_dir))
     kind = F.pmod("vec_id", F.lit(4))
     v = F.when(kind == 0, F.transform("embedding", lambda _: F.lit(0.0).cast("float"))).when(kind == 1, F.slice("embedding", 1, 32)).otherwise(F.col("embedding"))
-    return e.select("vec_id", F.round(V.cosine(v, F.col("q")), 6).alias("score"))
+    return e.select("qid", "vec_id", F.round(V.cosine(v, F.col("q")), 6).alias("score"))
 
 
 @query(
@@ -163,7 +163,7 @@ def vec_label_verify(spark, sf_dir):
     """One vector for each label, and the cosine of each point to its label's (VEC16, JON10)."""
     e = M.table(spark, sf_dir, "embeddings")
     anchors = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("anchor"))
-    return e.join(F.broadcast(anchors), "label").select("vec_id", F.round(V.cosine(F.col("embedding"), F.col("anchor")), 6).alias("verify"))
+    return e.join(anchors, "label").select("vec_id", F.round(V.cosine(F.col("embedding"), F.col("anchor")), 6).alias("verify"))
 
 
 PAIRS = """SELECT p.type AS type, count(*) AS pairs, round(min(s), 6) AS lowest, round(avg(s), 6) AS mean, round(max(s), 6) AS highest
@@ -419,7 +419,7 @@ def legacy_retrieve(spark, sf_dir):
     sure = fusion.margin(heard.drop("rank")).filter(F.col("margin") >= 0.10).select("qid", "id")
     sound = card(heard.join(sure, ["qid", "id"]), F.col("start_ms"), F.col("end_ms"), F.lit(""), False, F.col("score"), F.col("text"))
     words = scan.keyword_hits(t, "text", "Licensed")
-    keyed = card(words.crossJoin(F.broadcast(queries.select("qid"))), F.col("start_ms"), F.col("end_ms"), F.lit(""), False, F.lit(1.0), F.col("text"))
+    keyed = card(search.against(words, queries.select("qid")), F.col("start_ms"), F.col("end_ms"), F.lit(""), False, F.lit(1.0), F.col("text"))
     first = card(search.top(heard.drop("rank"), 1), F.col("start_ms"), F.col("end_ms"), F.lit(""), False, F.col("score"), F.col("text"))
     out = fusion.annotated(fusion.merge_cards(sight.unionByName(sound).unionByName(keyed)), first.unionByName(keyed))
     return out.select("qid", "id", "start_ms", "end_ms", "vision", "heard", "strength", F.col("rank").cast("long").alias("rank"))
@@ -444,7 +444,20 @@ def eval_recall(spark, sf_dir):
     return search.recall(search.knn(p, q), search.binary(p, q))
 
 
-@query("eval_cell_recall")
+CELL = "list_sum(list_transform(range(1, 5), lambda i: CASE WHEN {v}[i] > 0 THEN 1 << (i - 1) ELSE 0 END))::BIGINT"
+
+
+@query(
+    "eval_cell_recall",
+    with_points(
+        f""", {MANY}, {SCORED}, t AS (SELECT qid, id FROM scored QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) <= 5),
+        apart AS (SELECT s.qid, s.id, s.score, bit_count(xor({CELL.format(v='s.clip')}, {CELL.format(v='q.q')})) AS bits FROM scored s JOIN queries q USING (qid)),
+        d AS (SELECT unnest(range(5)) AS differing),
+        g AS (SELECT differing, qid, id FROM apart, d WHERE bits <= differing QUALIFY row_number() OVER (PARTITION BY differing, qid ORDER BY score DESC, id) <= 5),
+        r AS (SELECT d.differing, t.qid, count(g.id) / count(*)::DOUBLE AS share FROM d CROSS JOIN t LEFT JOIN g ON g.differing = d.differing AND g.qid = t.qid AND g.id = t.id GROUP BY ALL)
+        SELECT differing::INT AS differing, round(avg(share), 6) AS recall, count(*) AS queries FROM r GROUP BY differing"""
+    ),
+)
 def eval_cell_recall(spark, sf_dir):
     """Recall of the search in parts by how many bits a cell may differ (EVL8, VEC11, VEC12)."""
     p, q = points(spark, sf_dir), query_set(spark, sf_dir)
@@ -463,9 +476,11 @@ def eval_cell_recall(spark, sf_dir):
         SELECT candidates::BIGINT AS candidates, round(avg(share), 6) AS recall FROM s GROUP BY candidates"""))
 def eval_sweep(spark, sf_dir):
     """What filtering after the search costs, by the number of candidates (EVL8)."""
-    scored = search.top(search.scored(points(spark, sf_dir), query_set(spark, sf_dir)), 1 << 30)
+    # no more than the most candidates of each query are ranked, beside the best of the window
+    every = search.scored(points(spark, sf_dir), query_set(spark, sf_dir))
+    scored = search.top(every, 200)
     inside = scored.filter(scan.in_window(SINCE, UNTIL)).withColumnRenamed("rank", "k")
-    truth = search.top(inside, 5).groupBy("qid").agg(F.collect_set("id").alias("t"))
+    truth = search.top(every.filter(scan.in_window(SINCE, UNTIL)), 5).groupBy("qid").agg(F.collect_set("id").alias("t"))
     sizes = spark.createDataFrame([(10,), (50,), (200,)], "candidates bigint")
     w = Window.partitionBy("candidates", "qid").orderBy(F.desc("score"), "id")
     got = inside.join(F.broadcast(sizes), F.col("k") <= F.col("candidates")).withColumn("r", F.row_number().over(w)).filter("r <= 5")
@@ -507,7 +522,7 @@ def eval_ab(spark, sf_dir):
 def eval_verify_bands(spark, sf_dir):
     e = M.table(spark, sf_dir, "embeddings")
     anchors = e.groupBy(F.col("label").alias("other")).agg(F.min_by("embedding", "vec_id").alias("v"))
-    s = e.crossJoin(F.broadcast(anchors)).select((F.col("label") == F.col("other")).alias("ok"), V.cosine(F.col("embedding"), F.col("v")).alias("c"))
+    s = search.against(e, anchors.withColumn("qid", F.col("other"))).select((F.col("label") == F.col("other")).alias("ok"), V.cosine(F.col("embedding"), F.col("v")).alias("c"))
     right, wrong = F.when(F.col("ok"), F.col("c")), F.when(~F.col("ok"), F.col("c"))
     r = lambda x, n: F.round(x, 6).alias(n)
     return s.agg(r(F.min(right), "lowest_right"), r(F.avg(right), "mean_right"), r(F.max(wrong), "highest_wrong"), r(F.avg(wrong), "mean_wrong"), r((F.avg(right) + F.avg(wrong)) / 2, "middle"))

@@ -60,7 +60,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = events.select(F.col("event_id").alias("id"), "value")
     parent = events.select(F.col("event_id").alias("moment_id"), epoch_ms(F.col("ts")).alias("timestamp_ms"), F.col("user_id").alias("episode_id"))
     base = vectors.withColumn("moment_id", F.col("id") - place).withColumn("type", kind)
-    base = base.join(own, "id").join(parent, "moment_id").join(F.broadcast(anchors), "class_id")
+    base = base.join(own, "id").join(parent, "moment_id").join(anchors, "class_id")
     region = F.col("type") == "region"
     conf = F.when(region, F.round(F.least(F.lit(1.0), F.col("value") / 500.0), 4)).otherwise(0.0)
     verify = F.when(region, F.round(dot(F.col("clip"), F.col("anchor")), 6)).otherwise(0.0)
