@@ -40,7 +40,7 @@ from .shared import arrow_column, bounded_batches, text_or_empty, with_fields, w
 #: Neighbours on each side, hidden units, and places of rare neighbours.
 WINDOW, UNITS, PLACES = 4, 32, 256
 #: A word seen sqrt(tokens) / RARE times is in the vocabulary.
-RARE = 200
+RARE = 100
 #: Tokens of a gradient step, of a part, and of the start; how often that is gone over; shares of the rounds.
 BATCH, PART, START, EPOCHS = 8192, 1 << 20, 1 << 19, 8
 SHARES = (1, 3, 9)
@@ -95,10 +95,14 @@ def vocabulary(docs: DataFrame, text: str = "text") -> Words:
     found = counted.filter(often).orderBy(F.desc("n"), "w").toArrow()
 
     def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((END + 1) ** 2)
+        sums, found = np.zeros((END + 1) ** 2), []
         for batch in batches:
             pairs, begins = byte_pairs(batch.column(0).to_pylist())
-            n = np.repeat(batch.column(1).to_numpy(), np.diff(np.append(begins, len(pairs))))
+            found.append((pairs, np.repeat(batch.column(1).to_numpy(), np.diff(np.append(begins, len(pairs))))))
+            if sum(len(p) for p, _ in found) > PIECE:
+                sums += np.bincount(np.concatenate([p for p, _ in found]), np.concatenate([n for _, n in found]), len(sums))
+                found = []
+        for pairs, n in found:
             sums += np.bincount(pairs, n, len(sums))
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[at].astype(np.int64))], names=PAIR.names)
@@ -263,34 +267,47 @@ def started(words: Words, texts: Iterator[list[str]]) -> tuple[np.ndarray, np.nd
     return network.tables, counts
 
 
-LEARNT = StructType().add("task", "long").add("tokens", "long").add("piece", "long").add("flat", "binary")
+LEARNT = StructType().add("task", "long").add("tokens", "long").add("piece", "long").add("counts", "boolean").add("flat", "binary")
+
+
+def piece_of(task: int, tokens: int, piece: int, counts: bool, flat: np.ndarray) -> dict:
+    """A piece of what a task has learnt: mean changes of the tables as short floats, or sums of expected counts."""
+    return {"task": task, "tokens": tokens, "piece": piece, "counts": counts, "flat": flat.astype("<f4" if counts else "<f2").tobytes()}
+
+
+def numbers(flat: bytes, counts: bool) -> np.ndarray:
+    return np.frombuffer(flat, "<f4" if counts else "<f2").astype(np.float64)
 
 
 def pieces(tables: np.ndarray, counts: np.ndarray, tokens: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    flat = np.concatenate([tables, counts.ravel()])
-    for k in range(0, len(flat), PIECE):
-        one = {"task": [TaskContext.get().partitionId()], "tokens": [tokens], "piece": [k // PIECE], "flat": [flat[k : k + PIECE].astype("<f4").tobytes()]}
-        yield pa.RecordBatch.from_pydict(one)
+    task = TaskContext.get().partitionId()
+    for kind, flat in ((False, tables), (True, counts.ravel())):
+        for k in range(0, len(flat), PIECE):
+            one = piece_of(task, tokens, k // PIECE, kind, flat[k : k + PIECE])
+            yield pa.RecordBatch.from_pydict({n: [v] for n, v in one.items()})
 
 
-def summed(learnt: DataFrame, words: Words) -> tuple[np.ndarray, np.ndarray, int]:
-    """Sums of what all tasks have learnt, a bounded number of tasks at a time: of tables, of counts, of tokens."""
+def summed(learnt: DataFrame, words: Words, tasks: int) -> tuple[np.ndarray, np.ndarray]:
+    """What ``tasks`` tasks have learnt, a bounded number of them at a time: the mean of tables by tokens, the sum of counts."""
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
-        flat = sum(np.frombuffer(f, "<f4").astype(np.float64) for f in group.sort_values("task")["flat"])
-        one = {"task": int(group["task"].iloc[0]) // AVERAGED, "tokens": int(group["tokens"].sum()), "piece": int(group["piece"].iloc[0])}
-        return pd.DataFrame({k: [v] for k, v in one.items()} | {"flat": [flat.astype("<f4").tobytes()]})
-
-    while learnt.select("task").distinct().count() > 1:  # tasks are numbered from 0, so each time divides their numbers
-        learnt = written(learnt.groupBy("piece", F.floor(F.col("task") / AVERAGED)).applyInPandas(add, LEARNT), "learnt")
+        group = group.sort_values("task")
+        kind, tokens, first = bool(group["counts"].iloc[0]), int(group["tokens"].sum()), group.iloc[0]
+        share = np.ones(len(group)) if kind else group["tokens"].to_numpy() / max(tokens, 1)
+        flat = sum(numbers(f, kind) * n for f, n in zip(group["flat"], share, strict=True))
+        return pd.DataFrame([piece_of(int(first["task"]) // AVERAGED, tokens, int(first["piece"]), kind, flat)])
+
+    while tasks > 1:  # tasks are numbered from 0, so each step divides their numbers
+        learnt = learnt.groupBy("counts", "piece", F.floor(F.col("task") / AVERAGED)).applyInPandas(add, LEARNT)
+        tasks = -(-tasks // AVERAGED)
     rows = 2 * (len(words) + PLACES + 1) + 1
-    flat, tokens = np.zeros((rows + len(words) + 1) * UNITS, np.float32), 0
-    for r in learnt.select("piece", "tokens", "flat").toLocalIterator():
-        flat[r.piece * PIECE : (r.piece + 1) * PIECE] = np.frombuffer(bytes(r.flat), "<f4")
-        tokens = r.tokens
-    return flat[: rows * UNITS], flat[rows * UNITS :], tokens
+    tables, counts = np.zeros(rows * UNITS), np.zeros((len(words) + 1) * UNITS)
+    for r in written(learnt, "learnt").select("counts", "piece", "flat").toLocalIterator():
+        flat = numbers(bytes(r.flat), r.counts)
+        (counts if r.counts else tables)[r.piece * PIECE : r.piece * PIECE + len(flat)] = flat
+    return tables, counts
 
 
 def row_hash(docs: DataFrame) -> Column:
@@ -312,7 +329,7 @@ def trained(docs: DataFrame, words: Words, text: str = "text") -> Network:
     # the least hashes: the share of all tokens that makes START
     least = int(min(START / words.total, 1.0) * 2**53)
     first = rows.filter(F.col("h").bitwiseAND(2**53 - 1) <= least).repartition(1).sortWithinPartitions("h", "t").select("t")
-    tables, counts, _ = summed(written(first.mapInArrow(start, LEARNT), "learnt"), words)
+    tables, counts = summed(first.mapInArrow(start, LEARNT), words, 1)
 
     for k, share in enumerate(SHARES):
         parts = max(-(-words.total * share // (sum(SHARES) * PART)), 1)
@@ -340,11 +357,11 @@ def trained(docs: DataFrame, words: Words, text: str = "text") -> Network:
                     part.add(texts[a:b], known)
             if part:
                 seen = part.finish()
-                yield from pieces(moved + seen * (network.tables - tables), told, tokens + seen)
+                moved, tokens = moved + seen * (network.tables - tables), tokens + seen
+                yield from pieces(moved / max(tokens, 1), told, tokens)
 
-        moved, told, tokens = summed(written(here.mapInArrow(learn, LEARNT), "learnt"), words)
-        if tokens:
-            tables, counts = tables + moved / np.float32(tokens), told
+        moved, told = summed(here.mapInArrow(learn, LEARNT), words, tasks)
+        tables, counts = tables + moved, told if told.any() else counts
     return Network(words, tables, counts)
 
 
