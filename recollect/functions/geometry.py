@@ -60,6 +60,11 @@ def normalised(b: Column, width: float, height: float) -> Column:
 # --- pictures
 
 
+def between(a: Column, b: Column, share: float = 0.3) -> Column:
+    """The box that has gone ``share`` of the way from ``a`` to ``b``, as boxes are drawn (GEO6)."""
+    return box(*[a[c] + (b[c] - a[c]) * share for c in "ltrb"])
+
+
 def luminance(argb: Column) -> Column:
     """0 to 255 of a packed colour (IMG1)."""
     part = lambda shift: F.shiftright(argb, shift).bitwiseAND(F.lit(255))

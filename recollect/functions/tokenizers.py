@@ -32,6 +32,35 @@ def merged(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
     return parts
 
 
+def first_merged(word: str, merges: list[tuple[str, str]]) -> list[str]:
+    """A word's letters after applying, again and again, the first merge of the list that fits, at its first place (STR-k)."""
+    parts, ranks = [*word], {p: k for k, p in reversed([*enumerate(merges)])}
+    while len(parts) > 1:
+        rank, at = min((ranks.get(p, len(merges)), i) for i, p in enumerate(zip(parts, parts[1:], strict=False)))
+        if rank == len(merges):
+            break
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return parts
+
+
+def plain_bpe(text: Column, vocabulary: dict[str, int], merges: list[tuple[str, str]]) -> Column:
+    """Framed ids of the simpler tokenizer: merges know no word ends, each piece is looked up as a last one first, then as it is (STR-k)."""
+
+    @F.pandas_udf("array<int>")
+    def encode(texts: pd.Series) -> pd.Series:
+        look = lambda p: vocabulary.get(p + "</w>", vocabulary.get(p))
+        word_ids = lru_cache(maxsize=50_000)(lambda w: [i for p in first_merged(w, merges) if (i := look(p)) is not None])
+
+        def one(t: str | None) -> list[int]:
+            ids = [i for w in (t or "").lower().strip().split(" ") if w for i in word_ids(w)]
+            ids = [START, *ids[: LENGTH - 2], END]
+            return ids + [0] * (LENGTH - len(ids))
+
+        return texts.map(one)
+
+    return encode(text)
+
+
 def ranked_bpe(text: Column, vocabulary: dict[str, int], merges: list[tuple[str, str]]) -> Column:
     """Framed ids, filled with zeros to ``LENGTH``; symbols outside the vocabulary are left out."""
     ranks = {p: k for k, p in enumerate(merges)}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib.util
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -280,11 +281,27 @@ def dt_shown(spark, sf_dir):
         )
 
 
+def clip_vocabulary(path: str | None = None):
+    """Vocabulary and merges of the public tokenizer whose frame ids the encoder has; a small one where it isn't installed."""
+    if path is None and importlib.util.find_spec("public_tokenizers") is not None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("word_bpe_49k.json")
+    return tokenizers.load_bpe(path) if path else tokenizers.toy_bpe()
+
+
 @query("tok_ranked_bpe")
 def tok_ranked_bpe(spark, sf_dir):
-    """Ids of ranked BPE with a small vocabulary (STR-j)."""
+    """Ids of ranked BPE (STR-j)."""
+    c = M.table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", tokenizers.ranked_bpe(F.col("text"), *clip_vocabulary()).alias("ids"))
+
+
+@query("tok_plain_bpe")
+def tok_plain_bpe(spark, sf_dir):
+    """Ids of the simpler BPE that the ranked one is compared with (STR-k)."""
     c = M.table(spark, sf_dir, "conversations")
-    return c.select("conv_id", "turn", tokenizers.ranked_bpe(F.col("text"), *tokenizers.toy_bpe()).alias("ids"))
+    return c.select("conv_id", "turn", tokenizers.plain_bpe(F.col("text"), *clip_vocabulary()).alias("ids"))
 
 
 @query("tok_wordpiece")

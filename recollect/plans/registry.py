@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import collection, language, perception, retrieval, streams  # noqa: F401  (they register their queries)
+from . import collection, language, lifecycle, perception, retrieval, streams  # noqa: F401  (they register their queries)
 from .core import NAMES, ORACLES, QUERIES
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -56,13 +58,19 @@ def batch_session_segments(spark, sf_dir):
     return s.filter("chunks >= 2").select("user_id", "start_ms", "last_ms", "chunks")
 
 
-@query("stream_session_segments")
+@query("stream_session_segments", SEGMENTS)
 def stream_session_segments(spark, sf_dir):
-    """The same on a stream: a session is given out when the watermark has passed it."""
-    e = stream(spark, sf_dir, "events").filter("value > 20").withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "1 hour")
+    """The same on a stream: a session is given out when the watermark has passed it, and at the end of the input, which a last event marks."""
     t = M.epoch_ms(F.col("ts"))
-    s = e.groupBy("user_id", F.session_window("at", "6 hours")).agg(F.min(t).alias("start_ms"), F.max(t).alias("last_ms"), F.count("*").alias("chunks"))
-    return run.available_now(s.filter("chunks >= 2").select("user_id", "start_ms", "last_ms", "chunks"))
+    voiced = stream(spark, sf_dir, "events").filter("value > 20").select("user_id", F.col("ts").cast("timestamp").alias("at"), t.alias("t"))
+    ends = run.shared_folder(spark)
+    end = spark.createDataFrame([(None, datetime(2200, 1, 1), None)], voiced.schema)
+    end.limit(0).write.parquet(ends)
+    e = voiced.unionByName(spark.readStream.schema(voiced.schema).parquet(ends)).withWatermark("at", "1 hour")
+    s = e.groupBy("user_id", F.session_window("at", "6 hours")).agg(F.min("t").alias("start_ms"), F.max("t").alias("last_ms"), F.count("*").alias("chunks"))
+    # the end's own session stays open, and needs no filter, which would keep it from the watermark
+    out = s.filter("chunks >= 2").select("user_id", "start_ms", "last_ms", "chunks")
+    return run.available_now(out, then=lambda: end.write.mode("append").parquet(ends))
 
 
 @query("stream_sync", with_points("SELECT id, timestamp_ms, coalesce(synced, false) OR type = 'frame' AS synced FROM points"))

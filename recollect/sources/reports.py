@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Stop a run after two chunks below this rate (points a second).
@@ -48,6 +48,13 @@ def given_up(rates: list[float], least: float = LEAST_RATE, chunks: int = CHUNKS
     return False
 
 
+def slow_runs(df: DataFrame, least: float = LEAST_RATE, chunks: int = CHUNKS) -> DataFrame:
+    """``key`` and ``at``: where each run of chunks (``key``, ``chunk``, ``rate``) is given up, if it is: the last of so many slow ones in a row (EVL5)."""
+    w = Window.partitionBy("key").orderBy("chunk").rowsBetween(-(chunks - 1), 0)
+    slow = df.withColumn("slow", F.sum(F.when(F.col("rate") < least, 1).otherwise(0)).over(w))
+    return slow.filter(F.col("slow") == chunks).groupBy("key").agg(F.min("chunk").alias("at"))
+
+
 def timing(ms: list[float]) -> dict[str, float]:
     """Upper median, p90, least, most and mean of runs (EVL4, AGG5, AGG6)."""
     s = sorted(ms)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,16 +20,25 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/recollect/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
 
 
-def available_now(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """What ``stream`` gives for all input there is now, as a table; each batch is written once, under its number."""
+def available_now(stream: DataFrame, mode: str = "append", then: Callable[[], None] | None = None) -> DataFrame:
+    """What ``stream`` gives for all input there is now, as a table; each batch is written once, under its number.
+
+    ``then`` may add input; the stream takes it up where it has ended.
+    """
     spark = stream.sparkSession
     place = shared_folder(spark)
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{place}/out/batch={number}")
 
-    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
+    def run() -> None:
+        writer = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{place}/checkpoint")
+        writer.trigger(availableNow=True).start().awaitTermination()
+
+    run()
+    if then is not None:
+        then()
+        run()
     # a stream that had no batch leaves no folder: the empty one stands for it
     spark.createDataFrame([], stream.schema).write.mode("append").parquet(f"{place}/out/batch=-1")
     return spark.read.schema(stream.schema).parquet(f"{place}/out/*").select(*stream.columns)
