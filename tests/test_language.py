@@ -1,10 +1,11 @@
 """Zones with days of 23 hours and days without a midnight, and the tokenizers."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from recollect.functions import querytext as T
 from recollect.functions import tokenizers
-from recollect.plans.language import zone
+from recollect.plans.language import clip_vocabulary, zone
 
 
 def one(spark, zone_name, text, now, f):
@@ -55,3 +56,26 @@ def test_wordpiece(spark):
     assert tokenizers.words("Don't, stop_now") == ["don", "'", "t", ",", "stop", "_", "now"]
     ids = spark.createDataFrame([("the. " * 100,)], "t string").select(tokenizers.wordpiece(F.col("t"), v).alias("i")).first().i
     assert len(ids) == 64 and ids[0] == 101 and ids[-1] == 102
+
+
+def test_ranked_bpe_is_the_library_s_on_plain_words(spark, small):
+    library = pytest.importorskip("tokenizers")
+    public = pytest.importorskip("public_tokenizers")
+    whole = library.Tokenizer.from_file(public.path("word_bpe_49k.json"))
+    c = spark.read.parquet(f"{small}/conversations.parquet")
+    words = [w for r in c.collect() for w in (r.text or "").lower().split() if w.isascii() and w.isalpha()][:400]
+    texts = [" ".join(words[k : k + 8]) for k in range(0, len(words), 8)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    vocabulary, merges = clip_vocabulary()
+    out = {r.i: r.ids for r in df.select("i", tokenizers.ranked_bpe(F.col("t"), vocabulary, merges).alias("ids")).collect()}
+    assert len(texts) > 20
+    for k, t in enumerate(texts):
+        want = whole.encode(t, add_special_tokens=False).ids[: tokenizers.LENGTH - 2]
+        ids = [tokenizers.START, *want, tokenizers.END]
+        assert out[k] == ids + [0] * (tokenizers.LENGTH - len(ids))
+
+
+def test_first_merge_of_the_list_wins():
+    merges = [("b", "c"), ("a", "b"), ("bc", "d</w>")]
+    assert tokenizers.first_merged("abcd", merges) == ["a", "bc", "d"]  # merges with a word end never fire
+    assert tokenizers.first_merged("abab", merges) == ["ab", "ab"] and tokenizers.first_merged("", merges) == []
