@@ -40,7 +40,7 @@ from .shared import arrow_column, bounded_batches, text_or_empty, with_fields, w
 #: Neighbours on each side, hidden units, and places of rare neighbours.
 WINDOW, UNITS, PLACES = 4, 32, 256
 #: A word seen sqrt(tokens) / RARE times is in the vocabulary.
-RARE = 100
+RARE = 50
 #: Tokens of a gradient step, of a part, and of the start; how often that is gone over; shares of the rounds.
 BATCH, PART, START, EPOCHS = 8192, 1 << 20, 1 << 19, 8
 SHARES = (1, 3, 9)
@@ -50,7 +50,7 @@ MIXED = 0.01
 #: Words whose tokens are kept in memory, and the longest of them.
 KEPT_WORDS, KEPT_CHARS = 150_000, 40
 #: Tokens scored at once, networks averaged at once, numbers of a network in a piece, parts of a task at most.
-AT_ONCE, AVERAGED, PIECE, PARTS = 1 << 15, 32, 1 << 18, 64
+AT_ONCE, AVERAGED, PIECE, PARTS = 1 << 15, 32, 1 << 18, 8
 END = 256
 
 

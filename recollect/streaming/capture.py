@@ -87,19 +87,30 @@ STORED = "camera long, id long, stored_ms long, decision string"
 
 
 def rows_of(pdf: pd.DataFrame) -> Iterator[dict]:
-    for r in pdf.sort_values(["ts", "id"]).itertuples(index=False):
-        yield {"id": int(r.id), "ts": int(r.ts), "grid": [float(x) for x in r.grid], "vec": [float(x) for x in r.vec], "sharp": float(r.sharp)}
+    yield from frames_of(pdf.sort_values(["ts", "id"]))
 
 
-def moments_batch(frames: DataFrame, changed: float = CHANGED, same: float = SAME_SCENE) -> DataFrame:
-    """Moments of finished episodes: ``FRAMES`` to ``STORED``.  An episode is one camera's session, so its group is bounded by its length."""
+def frames_of(pdf: pd.DataFrame) -> Iterator[dict]:
+    for r in pdf.itertuples(index=False):
+        yield {"id": int(r.id), "ts": int(r.ts), "grid": [float(x) for x in r.grid], "vec": [float(x) for x in r.vec], "sharp": float(r.sharp)}
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        camera = Camera(changed, same)
-        kept = [x for f in rows_of(pdf) if (x := camera.step(f))]
-        return pd.DataFrame([{"camera": key[0], **x} for x in kept], columns=["camera", "id", "stored_ms", "decision"])
 
-    return frames.groupBy("camera").applyInPandas(run, STORED)
+def moments_batch(frames: DataFrame, changed: float = CHANGED, same: float = SAME_SCENE) -> DataFrame:
+    """Moments of finished episodes: ``FRAMES`` to ``STORED``.  ``camera`` is one camera's session; frames are taken in order, a few at a time."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, camera = None, Camera(changed, same)
+        for pdf in batches:
+            kept = []
+            for one, frame in zip(pdf["camera"], frames_of(pdf), strict=True):
+                if one != now:
+                    now, camera = one, Camera(changed, same)
+                x = camera.step(frame)
+                kept += [{"camera": one, **x}] if x else []
+            yield pd.DataFrame(kept, columns=["camera", "id", "stored_ms", "decision"])
+
+    ordered = frames.repartition("camera").sortWithinPartitions("camera", "ts", "id")
+    return ordered.select("camera", "id", "ts", "grid", "vec", "sharp").mapInPandas(run, STORED)
 
 
 def moments_stream(frames: DataFrame, changed: float = CHANGED, same: float = SAME_SCENE) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 #: Least overlap of a track's box, and ticks after which an unseen track ends (fixed values).
 OVERLAP, MISSED = 0.4, 15
@@ -24,9 +26,13 @@ class Tracker:
         self.tracks: list[dict] = []
         self.made, self.tick = 0, 0
 
-    def update(self, detections: list[dict]) -> list[tuple[int, int]]:
-        """Take a frame's detections (``label``, ``box``, ``score``); for each its track and that track's sightings."""
-        self.tick += 1
+    def update(self, detections: list[dict], tick: int | None = None) -> list[tuple[int, int]]:
+        """Take a frame's detections (``label``, ``box``, ``score``); for each its track and that track's sightings.
+
+        ``tick`` is the frame's number, the next one if it is left out; frames without detections need not be taken.
+        """
+        self.tick = self.tick + 1 if tick is None else tick
+        self.tracks = [t for t in self.tracks if self.tick - 1 - t["seen"] <= MISSED]
         pairs = [
             (-s, d, t)
             for d, x in enumerate(detections)
@@ -50,21 +56,54 @@ class Tracker:
         return [(track_of[d]["id"], track_of[d]["sightings"]) for d in range(len(detections))]
 
 
-OUT = "camera long, tick long, det int, track long, sightings long"
-
-
-def tracked(detections: DataFrame) -> DataFrame:
-    """``camera``, ``tick``, ``det`` with the ``track`` of each detection.  A camera's frames are taken in order, one tick at a time."""
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        tracker, rows = Tracker(), []
-        pdf = pdf.sort_values(["tick", "det", "label", "score"], kind="stable")
-        for tick, frame in pdf.groupby("tick", sort=True):
-            found = [{"label": r.label, "score": r.score, "box": tuple(r.box[c] for c in "ltrb")} for r in frame.itertuples(index=False)]
-            rows += [(key[0], tick, d, t, n) for d, (t, n) in zip(frame["det"], tracker.update(found), strict=True)]
-        return pd.DataFrame(rows, columns=["camera", "tick", "det", "track", "sightings"])
-
-    return detections.groupBy("camera").applyInPandas(run, OUT)
+OUT = "camera long, stretch long, tick long, det int, track long, sightings long"
+
+
+def tracked(detections: DataFrame, numbered: bool = False) -> DataFrame:
+    """``camera``, ``tick``, ``det`` with the ``track`` of each detection and its ``sightings``.
+
+    A camera's frames are taken in order, a few at a time, and only its live tracks are kept in memory.  If ticks are ``numbered`` frames,
+    stretches more than ``MISSED`` ticks apart share no track: they are followed in different tasks, and tracks are numbered on.
+    """
+    key = ["camera", "stretch"]
+    if numbered:
+        w = Window.partitionBy("camera").orderBy("tick")
+        ticks = detections.select("camera", "tick").distinct()
+        apart = F.when(F.col("tick") - F.lag("tick").over(w) > MISSED + 1, 1).otherwise(0)
+        ticks = ticks.withColumn("apart", apart).withColumn("stretch", F.sum("apart").over(w)).drop("apart")
+        detections = detections.join(ticks, ["camera", "tick"])
+    else:
+        detections = detections.withColumn("stretch", F.lit(0).cast("long"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, tracker, frame = None, Tracker(), []
+
+        def close() -> list[tuple]:
+            found = tracker.update([{"label": r.label, "score": r.score, "box": tuple(r.box[c] for c in "ltrb")} for r in frame], now[2] if numbered else None)
+            return [(*now, r.det, t, n) for r, (t, n) in zip(frame, found, strict=True)]
+
+        for pdf in batches:
+            rows: list[tuple] = []
+            for r in pdf.itertuples(index=False):
+                at = (r.camera, r.stretch, r.tick)
+                if at != now:
+                    rows += close() if frame else []
+                    tracker = tracker if now is not None and at[:2] == now[:2] else Tracker()
+                    now, frame = at, []
+                frame.append(r)
+            yield pd.DataFrame(rows, columns=[*key, "tick", "det", "track", "sightings"])
+        if frame:
+            yield pd.DataFrame(close(), columns=[*key, "tick", "det", "track", "sightings"])
+
+    ordered = detections.repartition(*key).sortWithinPartitions(*key, "tick", "det", "label", "score")
+    out = ordered.select(*key, "tick", "det", "label", "score", "box").mapInPandas(run, OUT)
+    if not numbered:
+        return out.drop("stretch")
+    out = out.persist(StorageLevel.DISK_ONLY)  # read twice; a lost part is followed again
+    made = out.groupBy(*key).agg(F.max("track").alias("made"))
+    first = made.withColumn("first", F.coalesce(F.sum("made").over(Window.partitionBy("camera").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    out = out.join(first.drop("made"), key).withColumn("track", F.col("track") + F.col("first"))
+    return out.select("camera", "tick", "det", "track", "sightings")
 
 
 def confirmed(tracks: Iterator[dict], sightings: int = 3) -> list[dict]:

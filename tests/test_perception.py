@@ -1,6 +1,7 @@
 """Boxes, grids, capture and tracks against plain loops."""
 
 import json
+import random
 
 import numpy as np
 import pytest
@@ -71,6 +72,42 @@ def test_tracks():
     assert t.update([det("cup", 0, 0, 10, 10)]) == [(4, 1)]  # forgotten after more than 15 ticks
 
 
+def test_stretches_are_followed_apart(spark):
+    rng = random.Random(3)
+    rows, tick = [], 0
+    for _ in range(60):
+        tick += rng.choice([1, 1, 1, 2, 9, 16, 17, 18, 40])
+        for det in range(rng.randrange(1, 4)):
+            left = rng.choice([0.0, 1.0, 30.0])
+            rows.append((5, tick, det, rng.choice(["cup", "dog"]), 0.9, (left, 0.0, left + 10, 10.0)))
+    d = spark.createDataFrame(rows, "camera long, tick long, det int, label string, score double, box struct<l double, t double, r double, b double>")
+    t, want, at = tracker.Tracker(), [], 0
+    for now in sorted({r[1] for r in rows}):
+        while at < now - 1:
+            at += 1
+            t.update([])
+        at = now
+        frame = [r for r in rows if r[1] == now]
+        found = t.update([{"label": r[3], "score": r[4], "box": r[5]} for r in frame])
+        want += [(5, now, r[2], track, seen) for r, (track, seen) in zip(frame, found, strict=True)]
+    assert sorted(map(tuple, tracker.tracked(d, numbered=True).collect())) == sorted(want)
+
+
+def test_tracks_of_a_table(spark, small):
+    from recollect.plans import registry
+    from recollect.plans.perception import detections
+
+    rows = detections(spark, small).selectExpr("frame % 97 AS camera", "frame AS tick", "det", "label", "score", "box").collect()
+    want = []
+    for camera in {r.camera for r in rows}:
+        t, mine = tracker.Tracker(), [r for r in rows if r.camera == camera]
+        for now in sorted({r.tick for r in mine}):
+            frame = sorted((r for r in mine if r.tick == now), key=lambda r: (r.det, r.label, r.score))
+            found = t.update([{"label": r.label, "score": r.score, "box": tuple(r.box)} for r in frame])
+            want += [(camera, now, r.det, track, seen) for r, (track, seen) in zip(frame, found, strict=True)]
+    assert sorted(map(tuple, registry.queries()["trk_tracks"](spark, small).collect())) == sorted(want)
+
+
 def test_capture_stream_equals_batch_and_loop(spark, small):
     batch = capture.moments_batch(streams.frames(spark, small, False), 0.99, 0.90)
     found = sorted(tuple(r) for r in batch.collect())
