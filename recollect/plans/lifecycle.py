@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions import tokenizers
 from ..operators import scan, sync
-from ..sources import legacy, reports, store
+from ..sources import encoders, legacy, reports, store
 from ..sources import moments as M
 from ..streaming import push, run
 from .collection import points
@@ -181,6 +182,55 @@ def eval_workload(spark, sf_dir):
     return df.agg(F.count("*").alias("n"), F.bool_and(unit).alias("unit"), F.lit(near).alias("near"))
 
 
+@query("rel_disk_usage", "SELECT 12::BIGINT AS bytes")
+def rel_disk_usage(spark, sf_dir):
+    """Bytes of the files of one namespace, not of another whose name goes on (REL23)."""
+    place = run.shared_folder(spark)
+    for namespace, n in (("b32", 6), ("b320", 9)):  # two bytes a line
+        spark.range(n).select(F.lit("x").alias("value")).coalesce(1).write.text(f"{place}/ns-{namespace}")
+    return reports.disk_usage(spark, place, "b32")
+
+
+@query(
+    "src_encoded",
+    "SELECT conv_id, turn, CASE WHEN length(text) % 5 = 0 THEN 'length' WHEN length(text) % 5 = 1 THEN 'number' ELSE 'sound' END AS state FROM conversations",
+)
+def src_encoded(spark, sf_dir):
+    """Vectors of an encoder that sometimes fails: those of another length or with a number that isn't finite are told (SRC9)."""
+
+    def encoder(texts: list[str]) -> list[list[float]]:
+        return [[1.0] * (SIZE - (len(t) % 5 == 0)) if len(t) % 5 != 1 else [float("nan")] * SIZE for t in texts]
+
+    c = encoders.encoded(M.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "text", encoder)
+    state = F.when(encoders.sound(F.col("vector"), SIZE), "sound").when(F.size("vector") == SIZE, "number").otherwise("length")
+    return c.select("conv_id", "turn", state.alias("state"))
+
+
+@query("src_vocabulary", "SELECT 'w' || label AS token, label::BIGINT AS id FROM (SELECT DISTINCT label FROM embeddings)")
+def src_vocabulary(spark, sf_dir):
+    """A vocabulary of a token in each line, numbered by its lines (SRC8)."""
+    labels = M.table(spark, sf_dir, "embeddings").select("label").distinct().orderBy("label")
+    lines = [f"w{r.label}" for r in labels.collect()]  # a bounded dictionary
+    with tempfile.NamedTemporaryFile("w", suffix=".txt", encoding="utf-8") as f:
+        f.write("\n".join(lines) + "\n")
+        f.flush()
+        found = tokenizers.load_wordpiece(f.name)
+    return spark.createDataFrame(list(found.items()), "token string, id long")
+
+
+SOURCES = """SELECT 'camera' AS source, count(*) AS n FROM (SELECT user_id, epoch_us(ts) // 1000 AS ts FROM events WHERE event_type = 'view')
+UNION ALL SELECT 'sound', count(*) FROM events WHERE value > 20"""
+
+
+@query("src_streams", SOURCES.replace("event_type = 'view'", "event_id % 3 = 0"))
+def src_streams(spark, sf_dir):
+    """Files as the streams of a camera and of a microphone: frames as they come, chunks that are loud (SRC4, SRC5)."""
+    frames = run.available_now(stream(spark, sf_dir, "events").filter("event_id % 3 = 0").select("user_id", M.epoch_ms(F.col("ts")).alias("ts")))
+    sound = run.available_now(stream(spark, sf_dir, "events").filter("value > 20").select("user_id", "value"))
+    count = lambda name, df: df.agg(F.lit(name).alias("source"), F.count("*").alias("n"))
+    return count("camera", frames).unionByName(count("sound", sound))
+
+
 LEGACY = """SELECT id, 'image' AS type, 'pic/' || id || '.jpg' AS path, timestamp_ms AS start_ms, timestamp_ms AS end_ms, '' AS said FROM points WHERE type = 'frame'
 UNION ALL SELECT id, 'text', '', timestamp_ms, timestamp_ms + 500, 'said "' || id || '"' FROM points WHERE type = 'ocr'"""
 
