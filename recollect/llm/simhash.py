@@ -19,11 +19,11 @@ misses nothing.  Copies are one fingerprint, so their number plays no part.
 
 ``near_copies`` uses the same keys to find texts whose five-word shingles have a Jaccard similarity of 0.8 or more.  Fingerprints of
 shingles lie too far apart for this (a changed word changes five shingles), so the texts' words have ``TABLES`` fingerprints, each word
-weighted by the root of its number: near copies are within three bits in one of them as good as always.  The keys give candidates, and what
-is linked is verified by the shingles themselves.  Texts that differ in white space and case alone are one class from the start.  The
-texts of one fingerprint are first compared with the least of them only, and linked fingerprints by their least texts; then only those
-candidates that these links haven't joined yet are compared one by one, all of them.  So a group of very many near copies isn't compared
-pair by pair, and no candidate link between groups is lost.
+weighted by the root of its number: near copies are within a few bits in one of them as good as always.  The keys give candidates, of
+which those are left whose fingerprints of shingles differ in ``SPREAD`` bits at most, and what is linked is verified by the shingles
+themselves.  Texts that differ in white space and case alone are one class from the start.  First the texts of each key are compared with the
+least of them only; then all candidates that these links haven't joined yet are compared.  So a group of very many near copies isn't
+compared pair by pair, and no candidate link between groups is lost.
 
 Defined results: a null text counts as an empty one; a text without words has fingerprint zero; texts of fewer words than a shingle
 are one shingle; repeated rows are linked like any others; a null doc_id is ignored as a component's least id unless it is the only
@@ -33,7 +33,7 @@ one; an empty table gives an empty one; columns named ``fingerprint`` or ``compo
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import combinations
 
@@ -50,6 +50,8 @@ from .shared import arrow_column, by_place, place_of, sent, text_or_empty, writt
 WORDS, SEED, RADIUS = 3, 42, 3
 #: Near copies: words of a shingle, least similarity, fingerprints of a text's words, and how many bits candidates differ in at most.
 SHINGLE, SIMILARITY, TABLES, NEAR = 5, 0.8, 4, 6
+#: Bits in which fingerprints of the shingles of near copies differ at most (ten on average at a similarity of 0.8).
+SPREAD = 18
 #: Words whose hashes are kept in memory, and the longest of them.
 KEPT_WORDS, KEPT_BYTES = 150_000, 40
 #: Shingles whose bits are counted at once, which bounds memory for very long texts.
@@ -138,21 +140,25 @@ def keys_of(prints: np.ndarray, probes: bool) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(all_places)
 
 
-KEYED = StructType().add("key", "long").add("fp", "long").add("kind", "integer")
+KEYED = StructType().add("key", "long").add("fp", "long")
+TEXTS = StructType().add("key", "long").add("kind", "integer").add("fp", "long").add("spread", "long").add("node", "long").add("root", "long")
 
 
 def keyed(prints: DataFrame, probes: bool) -> DataFrame:
-    """``key``, ``fp`` and ``kind`` of a table of distinct fingerprints ``fp``; keys of different kinds differ."""
+    """``key`` and ``fp`` of a table of distinct fingerprints ``fp``; the columns of ``TEXTS`` if it has them, keys of different kinds apart."""
+    kind = TEXTS if "kind" in prints.columns else KEYED
+    names = kind.names[1:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                fp, kind = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-                keys, places = keys_of(fp.astype(np.int64), probes)
-                kind = kind[places].astype(np.int32)
-                yield pa.RecordBatch.from_pydict({"key": keys | kind.astype(np.int64) << 56, "fp": fp[places], "kind": kind})
+                keys, places = keys_of(batch.column("fp").to_numpy(zero_copy_only=False).astype(np.int64), probes)
+                rest = {n: batch.column(n).take(pa.array(places)) for n in names}
+                if "kind" in rest:
+                    keys = keys | rest["kind"].to_numpy().astype(np.int64) << 56
+                yield pa.RecordBatch.from_pydict({"key": pa.array(keys)} | rest)
 
-    return prints.select("fp", F.col("kind").cast("int")).mapInArrow(run, KEYED)
+    return prints.select(names).mapInArrow(run, kind)
 
 
 def refining(fp: Column, key: Column) -> Column:
@@ -164,25 +170,30 @@ def refining(fp: Column, key: Column) -> Column:
     return F.transform(F.array(*map(F.lit, masks)), lambda m: F.xxhash64(key, m, fp.bitwiseAND(m)))
 
 
-def links(prints: DataFrame, crowded: int = CROWDED, radius: int = RADIUS) -> DataFrame:
-    """``a`` and ``b`` (and ``kind``) of the distinct fingerprints ``fp`` (of each ``kind``) that differ in at most ``radius`` bits.
+def links(prints: DataFrame, crowded: int = CROWDED) -> DataFrame:
+    """``a`` and ``b`` of the distinct fingerprints ``fp`` that differ in at most 3 bits."""
+    close = lambda p, q: (p["fp"] < q["fp"]) & (F.bit_count(p["fp"].bitwiseXOR(q["fp"])) <= RADIUS)
+    return met(prints, close, "fp", crowded)
 
-    All of those are found that differ in at most 3 bits, and some of the others.
+
+def met(prints: DataFrame, close: Callable[[DataFrame, DataFrame], Column], node: str, crowded: int = CROWDED) -> DataFrame:
+    """``a`` and ``b``, the ``node`` of two rows that share a key and are ``close``.
+
+    A probe finds each point within one error of it in its segments, in either order of the two.
     """
-    prints = prints if "kind" in prints.columns else prints.withColumn("kind", F.lit(0))
     probes, points = keyed(prints, True), keyed(prints, False)
     full = written(points.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > crowded).select("key"), "crowded")
 
     def near(probes: DataFrame, points: DataFrame) -> DataFrame:
-        p, q = probes.select("key", "kind", F.col("fp").alias("a")), points.select("key", F.col("fp").alias("b"))
-        close = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
-        return p.join(q, (p["key"] == q["key"]) & close).select("a", "b", "kind")
+        p, q = (df.select([F.col(c).alias(f"{side}_{c}") for c in df.columns]) for side, df in (("p", probes), ("q", points)))
+        columns = lambda side: {c: F.col(f"{side}_{c}") for c in probes.columns}
+        return p.join(q, (F.col("p_key") == F.col("q_key")) & close(columns("p"), columns("q"))).select(F.col(f"p_{node}").alias("a"), F.col(f"q_{node}").alias("b"))
 
     if not full.take(1):
         return near(probes, points).distinct()
-    refined = lambda df: df.join(full, "key", "left_semi").select(F.explode(refining(F.col("fp"), F.col("key"))).alias("key"), "fp", "kind")
+    rest = [c for c in probes.columns if c != "key"]
+    refined = lambda df: df.join(full, "key", "left_semi").select(F.explode(refining(F.col("fp"), F.col("key"))).alias("key"), *rest)
     alone = lambda df: df.join(full, "key", "left_anti")
-    # a probe finds each point within one error of it in its segments, in either order of the two
     return near(alone(probes), alone(points)).unionByName(near(refined(probes), refined(points))).distinct()
 
 
@@ -210,7 +221,7 @@ def grouped(df: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: lis
     return rows.join(named(rows), "fingerprint").select(*[F.col(f"`{c}`") for c in keep], "fingerprint", "component_id", "root", "row")
 
 
-PRINTS = StructType().add("class", "binary").add("prints", ArrayType(LongType())).add("shingles", "integer")
+PRINTS = StructType().add("class", "binary").add("prints", ArrayType(LongType())).add("spread", "long").add("shingles", "integer")
 
 
 def words_of(text: str) -> list[bytes]:
@@ -248,6 +259,7 @@ def classed(df: DataFrame, text: str) -> Column:
             columns = [
                 pa.array([xxhash.xxh3_128_digest(b" ".join(w)) for w in words], pa.binary()),
                 pa.array([word_prints(w, kept) for w in words], pa.list_(pa.int64())),
+                pa.array([fingerprint(t, SHINGLE) for t in texts], pa.int64()),
                 pa.array([min(len(w), max(len(w) - SHINGLE + 1, 1)) for w in words], pa.int32()),
             ]
             return pa.StructArray.from_arrays(columns, names=PRINTS.names)
@@ -269,8 +281,8 @@ def shingle_sets(df: DataFrame, text: str) -> Column:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those ``pairs`` (``a``, ``b``) of classes whose ``shingles`` in ``sets`` (by ``class``) are similar."""
-    left, right = sets.select(F.col("class").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("class").alias("b"), F.col("shingles").alias("y"))
+    """Those ``pairs`` (``a``, ``b``) of nodes whose ``shingles`` in ``sets`` (by ``node``) are similar."""
+    left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("x", "y"))
     union = F.size("x") + F.size("y") - shared
@@ -278,48 +290,36 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def near_copies(rows: DataFrame, docs: DataFrame, text: str, similarity: float = SIMILARITY) -> DataFrame:
-    """``node`` and ``root``: classes and the least class of their group, of all but the roots themselves.
+    """``class`` and ``group``, a number that the classes of a group share, of all classes that have words.
 
-    ``rows`` has the ``class``, ``prints`` and number of ``shingles`` of each row of ``docs``, and both have the keys ``__k1`` and ``__k2``.
+    ``rows`` has the ``class``, ``prints``, ``spread`` and number of ``shingles`` of each row of ``docs``, and both have the keys ``__k1`` and ``__k2``.
     """
-    texts = rows.groupBy("class").agg(F.first("prints").alias("prints"), F.first("shingles").alias("shingles")).filter("shingles > 0")
-    each = texts.select("class", F.posexplode("prints").alias("kind", "fp"))
-    each = written(each.select("class", "kind", "fp"), "tables")
-    prints = written(each.groupBy("kind", "fp").agg(F.min("class").alias("least"), F.count("*").alias("n")), "prints")
-    near = written(links(prints, radius=NEAR), "near")
-    # the least text of each fingerprint with the others, and with the least texts of fingerprints nearby
-    first = lambda side: prints.select("kind", F.col("fp").alias(side), F.col("least").alias(f"__{side}"))
-    stars = each.join(written(prints.filter("n > 1").select("kind", "fp", "least"), "shared"), ["kind", "fp"]).select(F.col("least").alias("a"), F.col("class").alias("b"))
-    between = near.join(first("a"), ["kind", "a"]).join(first("b"), ["kind", "b"]).select(F.col("__a").alias("a"), F.col("__b").alias("b"))
-    ordered = lambda p: p.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = written(ordered(stars.unionByName(between)), "pairs")
-    # all texts of fingerprints with others, or with fingerprints nearby, may have to be compared
-    met = prints.filter("n > 1").select("kind", "fp").unionByName(near.select("kind", F.col("a").alias("fp"))).unionByName(near.select("kind", F.col("b").alias("fp")))
-    met = written(met.distinct(), "met")
-    wanted = each.join(met, ["kind", "fp"], "left_semi").select("class").distinct()
-    # one row of each class: all of a class have the same shingles
-    wanted = rows.join(wanted, "class").groupBy("class").agg(F.min(F.struct("__k1", "__k2")).alias("k")).select("class", "k.*")
-    own = docs.select("__k1", "__k2", F.col(text).alias("t")).join(sent(written(wanted, "wanted")), ["__k1", "__k2"])
-    sets = own.select("class", shingle_sets(own, "t").alias("shingles")).groupBy("class").agg(F.first("shingles").alias("shingles"))
-    sets = written(sets, "sets")
-    sure = written(verified(pairs, sets, similarity), "sure")
-    roots = written(components(sure), "roots")
+    ones = F.min(F.struct("__k1", "__k2")).alias("k")  # one row of each class: all of a class have the same shingles
+    texts = rows.filter("shingles > 0").groupBy("class").agg(F.first("prints").alias("prints"), F.first("spread").alias("spread"), ones)
+    texts = written(texts.select("class", "prints", "spread", "k.*").withColumn("node", F.monotonically_increasing_id()), "texts")
+    each = texts.select("node", "spread", F.posexplode("prints").alias("kind", "fp"))
+
+    def sets_of(pairs: DataFrame, name: str) -> DataFrame:
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        wanted = texts.join(wanted, "node", "left_semi").select("node", "__k1", "__k2")
+        own = docs.select("__k1", "__k2", F.col(text).alias("t")).join(sent(written(wanted, "wanted")), ["__k1", "__k2"])
+        return written(own.select("node", shingle_sets(own, "t").alias("shingles")).groupBy("node").agg(F.first("shingles").alias("shingles")), name)
+
+    apart = lambda x, y: F.bit_count(x.bitwiseXOR(y))
+    # the texts of each key with the least of them
+    points = written(keyed(each.withColumn("root", F.col("node")), False).select("key", "node", "spread"), "points")
+    least = points.groupBy("key").agg(F.min(F.struct("node", "spread")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("key", "first")
+    stars = points.join(written(least, "least"), "key").filter((F.col("node") != F.col("first.node")) & (apart(F.col("spread"), F.col("first.spread")) <= SPREAD))
+    stars = written(stars.select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+    sure = written(verified(stars, sets_of(stars, "sets"), similarity), "sure")
+    roots = written(components(sure).withColumnRenamed("node", "of"), "roots")
     # candidates that are still apart
-    here = each.join(met, ["kind", "fp"], "left_semi").join(roots.withColumnRenamed("node", "class"), "class", "left")
-    here = written(here.select("kind", "fp", "class", F.coalesce("root", "class").alias("root")), "here")
-    mixed = here.groupBy("kind", "fp").agg(F.min("root").alias("r"), F.max("root").alias("s"))
-    mixed = written(mixed, "mixed")
-    side = lambda n: here.select("kind", F.col("fp").alias(n), F.col("class").alias(f"{n}c"), F.col("root").alias(f"{n}r"))
-    inside = here.join(mixed.filter("r <> s").select("kind", "fp"), ["kind", "fp"], "left_semi")
-    inside = inside.select("kind", F.col("fp").alias("a"), F.col("class").alias("ac"), F.col("root").alias("ar"))
-    inside = inside.join(side("b"), (inside["kind"] == here["kind"]) & (F.col("a") == F.col("b")) & (F.col("ar") < F.col("br"))).select("ac", "bc")
-    span = lambda n: mixed.select("kind", F.col("fp").alias(n), F.col("r").alias(f"{n}low"), F.col("s").alias(f"{n}high"))
-    apart = near.join(span("a"), ["kind", "a"]).join(span("b"), ["kind", "b"])
-    apart = apart.filter((F.col("alow") != F.col("ahigh")) | (F.col("alow") != F.col("blow")) | (F.col("blow") != F.col("bhigh"))).select("kind", "a", "b")
-    across = apart.join(side("a"), ["kind", "a"]).join(side("b"), ["kind", "b"]).filter("ar <> br").select("ac", "bc")
-    more = ordered(inside.unionByName(across).toDF("a", "b")).join(pairs, ["a", "b"], "left_anti")
-    more = written(verified(written(more, "more"), sets, similarity), "late")
-    return components(sure.unionByName(more)) if more.take(1) else roots
+    rooted = written(each.join(roots, each["node"] == roots["of"], "left").withColumn("root", F.coalesce("root", "node")).drop("of"), "rooted")
+    close = lambda p, q: (p["root"] != q["root"]) & (apart(p["fp"], q["fp"]) <= NEAR) & (apart(p["spread"], q["spread"]) <= SPREAD)
+    more = written(met(rooted, close, "node").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "more")
+    late = written(verified(more, sets_of(more, "late_sets"), similarity), "late")
+    roots = components(sure.unionByName(late)).withColumnRenamed("node", "of")
+    return texts.select("class", "node").join(roots, F.col("node") == F.col("of"), "left").select("class", F.coalesce("root", "node").alias("group"))
 
 
 def deduplicated(df: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
@@ -334,15 +334,16 @@ def deduplicated(df: DataFrame, text: str = "text", doc_id: str = "doc_id", simi
     plain = [f.name for f in base.schema if not isinstance(f.dataType, MapType | VariantType)]
     keys = {"__k1": F.xxhash64(shown, body), "__k2": F.xxhash64(body, F.lit("/"), shown)}
     hashed = base.withColumns(keys | {"__k3": F.xxhash64(*plain)})
-    rows = hashed.withColumn("__p", classed(base, place_of(df, text))).select(*keys, "__k3", F.col(own).alias("__id"), "__p.class", "__p.prints", "__p.shingles")
+    rows = hashed.withColumn("__p", classed(base, place_of(df, text))).select(*keys, "__k3", F.col(own).alias("__id"), "__p.*")
     rows = written(rows, "fingerprints")
     roots = near_copies(rows, hashed, place_of(df, text), similarity)
     # equal rows first, then the rows of a class, then those of a group: few of any group reach the next step.  The joins have
     # shuffles of their own on both sides, so that the rows of one class or group can be split over tasks.
     rank = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), "__k1", "__k2")
     each = rows.groupBy("class", "__id", *keys).agg(F.count("*").alias("n"), F.min("__k3").alias("k3"))
-    each = each.join(roots, each["class"] == roots["node"], "left").withColumn("root", F.coalesce("root", "class"))
-    each = written(each.withColumn("rank", rank).drop("__id", "node"), "each")
+    # texts without words are one class, which has no group of its own
+    each = each.join(roots, "class", "left").withColumn("root", F.coalesce("group", F.lit(-1).cast("long")))
+    each = written(each.withColumn("rank", rank).drop("__id", "group"), "each")
     first = each.groupBy("root", "class").agg(F.min("rank").alias("least"), F.count("*").alias("m"))
     first = first.groupBy("root", F.hash("root").alias("apart")).agg(F.min("least").alias("least"), F.sum("m").alias("m")).filter("m > 1").select("root", "least")
     gone = written(each.join(first, "root").filter(F.col("rank") != F.col("least")).select(*keys), "gone")
