@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, oracles, pages, pii, pseudo_likelihood, quality, secret_scan, simhash, telephony, token_files
+from . import bpe, decontaminate, hard_negatives, oracles, pages, pii, pseudo_likelihood, quality, ranked_search, secret_scan, simhash, telephony, token_files, toxicity
 from .shared import scratch, text_or_empty, written
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -98,6 +98,23 @@ def op10_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudo_likelihood.score(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens", "log_likelihood", "mean")
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(~quality.held_out()))
+    scored = toxicity.with_score(docs, model).select("doc_id", quality.held_out().alias("held_out"), "score", F.size("passages").alias("n_passages"))
+    return scored.withColumn("predicted", (F.col("score") >= toxicity.TOXIC).cast("int"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_pages": op2_pages,
@@ -109,6 +126,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_pii": op9_pii,
     "op10_pseudo_likelihood": op10_pseudo_likelihood,
+    "op11_toxicity": op11_toxicity,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_hard_negatives": op13_hard_negatives,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -116,4 +136,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_decontamination": oracles.DECONTAMINATION,
     "op8_secrets": oracles.SECRETS,
     "op9_pii": oracles.PII,
+    "op12_ranked_search": oracles.RANKED_SEARCH,
+    "op13_hard_negatives": oracles.HARD_NEGATIVES,
 }
