@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -32,51 +33,67 @@ def merged(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
     return parts
 
 
-def first_merged(word: str, merges: list[tuple[str, str]]) -> list[str]:
+def ranked(merges: list[tuple[str, str]]) -> dict[tuple[str, str], int]:
+    """The place of each merge in its list; of equal ones the first."""
+    return {p: k for k, p in reversed([*enumerate(merges)])}
+
+
+def first_merged(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
     """A word's letters after applying, again and again, the first merge of the list that fits, at its first place (STR-k)."""
-    parts, ranks = [*word], {p: k for k, p in reversed([*enumerate(merges)])}
+    parts = [*word]
     while len(parts) > 1:
-        rank, at = min((ranks.get(p, len(merges)), i) for i, p in enumerate(zip(parts, parts[1:], strict=False)))
-        if rank == len(merges):
+        rank, at = min((ranks.get(p, len(ranks)), i) for i, p in enumerate(zip(parts, parts[1:], strict=False)))
+        if rank == len(ranks):
             break
         parts[at : at + 2] = [parts[at] + parts[at + 1]]
     return parts
 
 
-def plain_bpe(text: Column, vocabulary: dict[str, int], merges: list[tuple[str, str]]) -> Column:
-    """Framed ids of the simpler tokenizer: merges know no word ends, each piece is looked up as a last one first, then as it is (STR-k)."""
+def by_words(text: Column, start: Callable[[], tuple[Callable[[str], list[str]], Callable[[str], list[int]], Callable[[list[int]], list[int]]]]) -> Column:
+    """Ids of texts by words: ``start()`` runs once in each task and gives how to split a text, a word's ids, and how to frame a text's.
+
+    A word's ids are kept for the whole task, so a frequent word is worked out once.
+    """
 
     @F.pandas_udf("array<int>")
-    def encode(texts: pd.Series) -> pd.Series:
-        look = lambda p: vocabulary.get(p + "</w>", vocabulary.get(p))
-        word_ids = lru_cache(maxsize=50_000)(lambda w: [i for p in first_merged(w, merges) if (i := look(p)) is not None])
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        split, ids_of, framed = start()
+        kept = lru_cache(maxsize=50_000)(ids_of)
+        for texts in batches:
+            yield texts.map(lambda t: framed([i for w in split(t or "") for i in kept(w)]))
 
-        def one(t: str | None) -> list[int]:
-            ids = [i for w in (t or "").lower().strip().split(" ") if w for i in word_ids(w)]
-            ids = [START, *ids[: LENGTH - 2], END]
-            return ids + [0] * (LENGTH - len(ids))
+    return encode(text)
 
-        return texts.map(one)
 
-    return encode(text)
+def spaced_words(text: str) -> list[str]:
+    return [w for w in text.lower().strip().split(" ") if w]
 
 
-def ranked_bpe(text: Column, vocabulary: dict[str, int], merges: list[tuple[str, str]]) -> Column:
-    """Framed ids, filled with zeros to ``LENGTH``; symbols outside the vocabulary are left out."""
-    ranks = {p: k for k, p in enumerate(merges)}
+def framed(ids: list[int]) -> list[int]:
+    """Between the frame tokens, filled with zeros to ``LENGTH``."""
+    ids = [START, *ids[: LENGTH - 2], END]
+    return ids + [0] * (LENGTH - len(ids))
 
-    @F.pandas_udf("array<int>")
-    def encode(texts: pd.Series) -> pd.Series:
-        word_ids = lru_cache(maxsize=50_000)(lambda w: [vocabulary[p] for p in merged(w, ranks) if p in vocabulary])
 
-        def one(t: str | None) -> list[int]:
-            ids = [i for w in (t or "").lower().strip().split(" ") if w for i in word_ids(w)]
-            ids = [START, *ids[: LENGTH - 2], END]
-            return ids + [0] * (LENGTH - len(ids))
+def plain_bpe(text: Column, vocabulary: dict[str, int], merges: list[tuple[str, str]]) -> Column:
+    """Framed ids of the simpler tokenizer: merges know no word ends, each piece is looked up as a last one first, then as it is (STR-k)."""
 
-        return texts.map(one)
+    def start():
+        ranks = ranked(merges)
+        look = lambda p: vocabulary.get(p + "</w>", vocabulary.get(p))
+        return spaced_words, lambda w: [i for p in first_merged(w, ranks) if (i := look(p)) is not None], framed
 
-    return encode(text)
+    return by_words(text, start)
+
+
+def ranked_bpe(text: Column, vocabulary: dict[str, int], merges: list[tuple[str, str]]) -> Column:
+    """Framed ids, filled with zeros to ``LENGTH``; symbols outside the vocabulary are left out."""
+
+    def start():
+        ranks = {p: k for k, p in enumerate(merges)}
+        return spaced_words, lambda w: [vocabulary[p] for p in merged(w, ranks) if p in vocabulary], framed
+
+    return by_words(text, start)
 
 
 def words(text: str) -> list[str]:
@@ -102,22 +119,13 @@ def pieces(word: str, vocabulary: dict[str, int]) -> list[int]:
 
 
 def wordpiece(text: Column, vocabulary: dict[str, int]) -> Column:
-    @F.pandas_udf("array<int>")
-    def encode(texts: pd.Series) -> pd.Series:
-        word_ids = lru_cache(maxsize=50_000)(lambda w: pieces(w, vocabulary))
-
-        def one(t: str | None) -> list[int]:
-            ids = [CLS]
-            for w in words(t or ""):
-                if len(ids) >= PIECES - 1:
-                    break
-                ids += word_ids(w)
-            ids = [*ids[: PIECES - 1], SEP]
-            return ids + [0] * (PIECES - len(ids))
+    """Framed ids of the longest pieces, filled with zeros to ``PIECES`` (STR-l)."""
 
-        return texts.map(one)
+    def framed(ids: list[int]) -> list[int]:
+        ids = [CLS, *ids[: PIECES - 2], SEP]
+        return ids + [0] * (PIECES - len(ids))
 
-    return encode(text)
+    return by_words(text, lambda: (words, lambda w: pieces(w, vocabulary), framed))
 
 
 def load_bpe(path: str) -> tuple[dict[str, int], list[tuple[str, str]]]:

@@ -62,8 +62,8 @@ def cells(points: DataFrame, bits: int = 4) -> DataFrame:
 def cell_search(points: DataFrame, queries: DataFrame, k: int = 5, bits: int = 4, differing: int = 2) -> DataFrame:
     """Approximate search: only cells that differ from the query's in few bits; recall grows with ``differing`` (VEC11, VEC12).
 
-    Each query is sent to the cells around its own, and meets points by an equi-join on the cell.  ``bits`` grows with the points, so that a
-    cell stays a task's work.
+    Each query is sent to the cells around its own, and meets points by an equi-join on the cell.  ``bits`` is the caller's: more for more
+    points, so that a cell stays a task's work.  ``ann.Index`` has lists that are fitted to the points instead.
     """
     masks = [m for m in range(1 << bits) if m.bit_count() <= differing]
     own = V.sign_code(F.slice("q", 1, bits))

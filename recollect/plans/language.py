@@ -290,6 +290,15 @@ def clip_vocabulary(path: str | None = None):
     return tokenizers.load_bpe(path) if path else tokenizers.toy_bpe()
 
 
+def wordpiece_vocabulary() -> dict[str, int]:
+    """Pieces of words by a rule from the public vocabulary: its tokens at a word's beginning, and after it; a small one where it isn't installed.
+
+    Nothing is trained: each token without its mark of a word's end is a piece of either kind.
+    """
+    tokens = sorted({t.removesuffix("</w>") for t in clip_vocabulary()[0]} - {""})
+    return {piece: tokenizers.SEP + 1 + k for k, piece in enumerate([*tokens, *("##" + t for t in tokens)])}
+
+
 @query("tok_ranked_bpe")
 def tok_ranked_bpe(spark, sf_dir):
     """Ids of ranked BPE (STR-j)."""
@@ -306,6 +315,6 @@ def tok_plain_bpe(spark, sf_dir):
 
 @query("tok_wordpiece")
 def tok_wordpiece(spark, sf_dir):
-    """Ids of WordPiece with a small vocabulary (STR-l)."""
+    """Ids of WordPiece with the pieces of the public vocabulary (STR-l)."""
     c = M.table(spark, sf_dir, "conversations")
-    return c.select("conv_id", "turn", tokenizers.wordpiece(F.col("text"), tokenizers.toy_wordpiece()).alias("ids"))
+    return c.select("conv_id", "turn", tokenizers.wordpiece(F.col("text"), wordpiece_vocabulary()).alias("ids"))

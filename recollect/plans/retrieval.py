@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import querytext as T
 from ..functions import vectors as V
-from ..operators import fusion, intervals, scan, search
+from ..operators import ann, fusion, intervals, scan, search
 from ..operators.ranking import numbered
 from ..sources import moments as M
+from ..streaming import run
 from .collection import SINCE, UNTIL, points
 from .core import query, with_points
 
@@ -469,6 +470,91 @@ def eval_cell_recall(spark, sf_dir):
     return out
 
 
+def lists_sql(rest: str) -> str:
+    """The index's lists in SQL: spherical k-means from evenly spaced points, ``assigned`` (id, clip, list) and ``looked`` (qid, q, list, place)."""
+    near = "FROM numbered n, {c} c QUALIFY row_number() OVER (PARTITION BY n.id ORDER BY round(list_dot_product(n.v, c.v), 9) DESC, c.list) = 1"
+    steps = []
+    for k in range(ann.ROUNDS):
+        steps.append(f"own{k} AS (SELECT n.id, n.v, c.list {near.format(c=f'centres{k}')})")
+        steps.append(f"sums{k} AS (SELECT list, list(s ORDER BY d) AS v FROM (SELECT list, d, sum(x) AS s FROM (SELECT list, unnest(v) AS x, unnest(range(len(v))) AS d FROM own{k}) GROUP BY ALL) GROUP BY list)")
+        steps.append(f"centres{k + 1} AS (SELECT c.list, coalesce(list_transform(s.v, lambda x: x / sqrt(list_dot_product(s.v, s.v))), c.v) AS v FROM centres{k} c LEFT JOIN sums{k} s ON s.list = c.list)")
+    last = f"centres{ann.ROUNDS}"
+    return with_points(
+        f""", {MANY}, {SCORED}, numbered AS (SELECT id, clip, list_transform(clip, lambda x: x / sqrt(list_dot_product(clip, clip))) AS v, row_number() OVER (ORDER BY id) - 1 AS k, count(*) OVER () AS n FROM points),
+        size AS (SELECT greatest(1, round(sqrt(count(*))))::BIGINT AS lists, count(*) // greatest(1, round(sqrt(count(*))))::BIGINT AS step FROM points),
+        centres0 AS (SELECT k // step AS list, v FROM numbered, size WHERE k % step = 0 AND k // step < lists), {', '.join(steps)},
+        assigned AS (SELECT n.id, n.clip, c.list {near.format(c=last)}),
+        looked AS (SELECT qid, q, list, row_number() OVER (PARTITION BY qid ORDER BY round(list_dot_product(list_transform(q, lambda x: x / sqrt(list_dot_product(q, q))), c.v), 9) DESC, list) AS place FROM queries, {last} c)
+        {rest}"""
+    )
+
+
+def index(spark: SparkSession, sf_dir: str) -> ann.Index:
+    """A new index over the whole collection."""
+    p = points(spark, sf_dir).select("id", "type", "timestamp_ms", "label", F.col("clip").cast("array<float>").alias("clip"))
+    return ann.Index.build(p, run.shared_folder(spark))
+
+
+#: Lists that a query looks into: about a quarter of those of 500 points.
+LOOKED = 6
+
+
+@query(
+    "vec_ann_lists",
+    lists_sql(
+        f"""SELECT qid, id, score, rank FROM (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank
+        FROM (SELECT l.qid, a.id, round(list_cosine_similarity(a.clip, l.q), 6) AS score FROM assigned a JOIN looked l ON l.list = a.list AND l.place <= {LOOKED})) WHERE rank <= 5"""
+    ),
+)
+def vec_ann_lists(spark, sf_dir):
+    """The best of the nearest lists of a trained index, scored exactly (VEC11, VEC12)."""
+    return found(index(spark, sf_dir).search_lists(query_set(spark, sf_dir), 5, LOOKED))
+
+
+@query("vec_ann_filtered", lists_sql(f"""SELECT qid, id, score, rank FROM (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank
+        FROM (SELECT l.qid, a.id, round(list_cosine_similarity(a.clip, l.q), 6) AS score FROM assigned a JOIN looked l ON l.list = a.list AND l.place <= {LOOKED} JOIN points p ON p.id = a.id
+        WHERE p.timestamp_ms BETWEEN {SINCE} AND {UNTIL})) WHERE rank <= 5"""))
+def vec_ann_filtered(spark, sf_dir):
+    """The filter stands before the cut, so as many come back as the lists have (VEC12)."""
+    return found(index(spark, sf_dir).search_lists(query_set(spark, sf_dir), 5, LOOKED, scan.in_window(SINCE, UNTIL)))
+
+
+@query("vec_ann_codes")
+def vec_ann_codes(spark, sf_dir):
+    """All lists by their bytes, a fortieth of the points rescored (VEC11, VEC12); tests hold it against exact search."""
+    return found(index(spark, sf_dir).search(query_set(spark, sf_dir), 5, ann.LISTS, 50))
+
+
+@query(
+    "eval_ann_recall",
+    lists_sql(
+        """, t AS (SELECT qid, id FROM scored QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) <= 5),
+        w AS (SELECT unnest([8, 4, 2, 1]) AS part), n AS (SELECT part, greatest(1, lists // part) AS probes FROM w, size),
+        near AS (SELECT probes, l.qid, a.id, round(list_cosine_similarity(a.clip, l.q), 6) AS score FROM n JOIN looked l ON l.place <= probes JOIN assigned a ON a.list = l.list),
+        g AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY probes, qid ORDER BY score DESC, id) <= 5),
+        r AS (SELECT n.probes, t.qid, count(g.id) / count(*)::DOUBLE AS share FROM n CROSS JOIN t LEFT JOIN g ON g.probes = n.probes AND g.qid = t.qid AND g.id = t.id GROUP BY ALL)
+        SELECT probes::INT AS probes, round(avg(share), 6) AS recall, (SELECT round(count(*)::DOUBLE / (SELECT count(*) FROM queries) / (SELECT count(*) FROM points), 6) FROM near WHERE near.probes = r.probes) AS points_read FROM r GROUP BY probes"""
+    ),
+)
+def eval_ann_recall(spark, sf_dir):
+    """Recall of the trained lists by how many a query looks into, and the share of points that it reads (EVL8, VEC11, VEC12)."""
+    p, q, made = points(spark, sf_dir), query_set(spark, sf_dir), index(spark, sf_dir)
+    truth, model = search.knn(p, q), made.quantiser()
+    lists = len(model.centres)
+    sizes = {r["list"]: r["n"] for r in made.points().groupBy("list").agg(F.count("*").alias("n")).collect()}  # a row for each list
+    parts = []
+    for part in (8, 4, 2, 1):
+        probes = max(1, lists // part)
+        # the share that each query reads follows from the sizes of its lists
+        read = [sum(sizes.get(int(c), 0) for c in own) for _, m in made._blocks(q) for own in model.probes(m, probes)]
+        share = round(sum(read) / max(len(read), 1) / max(sum(sizes.values()), 1), 6)
+        parts.append(search.recall(truth, made.search_lists(q, 5, probes)).select(F.lit(probes).alias("probes"), "recall", F.lit(share).alias("points_read")))
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
 @query("eval_sweep", with_points(f""", {MANY}, {SCORED}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS k FROM scored),
         w AS (SELECT * FROM r WHERE timestamp_ms BETWEEN {SINCE} AND {UNTIL}), t AS (SELECT qid, id FROM w QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) <= 5),
         c AS (SELECT unnest([10, 50, 200]) AS candidates), g AS (SELECT candidates, qid, id FROM w, c WHERE k <= candidates QUALIFY row_number() OVER (PARTITION BY candidates, qid ORDER BY score DESC, id) <= 5),

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from recollect.functions import querytext as T
 from recollect.functions import tokenizers
-from recollect.plans.language import clip_vocabulary, zone
+from recollect.plans.language import clip_vocabulary, wordpiece_vocabulary, zone
 
 
 def one(spark, zone_name, text, now, f):
@@ -75,7 +75,51 @@ def test_ranked_bpe_is_the_library_s_on_plain_words(spark, small):
         assert out[k] == ids + [0] * (tokenizers.LENGTH - len(ids))
 
 
+def test_plain_bpe_is_a_plain_loop(spark, small):
+    vocabulary, merges = clip_vocabulary()
+
+    def loop(word):
+        parts = [*word]
+        while True:
+            fits = [(merges.index(p), i) for i, p in enumerate(zip(parts, parts[1:])) if p in known]
+            if not fits:
+                return [vocabulary.get(p + "</w>", vocabulary.get(p)) for p in parts]
+            at = min(fits)[1]
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+
+    known = set(merges)
+    rows = spark.read.parquet(f"{small}/conversations.parquet").select("text").limit(12)
+    out = rows.select("text", tokenizers.plain_bpe(F.col("text"), vocabulary, merges).alias("ids")).collect()
+    for r in out:
+        want = [i for w in (r.text or "").lower().strip().split(" ") if w for i in loop(w) if i is not None][:75]
+        assert r.ids == [49406, *want, 49407, *[0] * (75 - len(want))]
+
+
+def test_wordpiece_on_a_public_vocabulary(spark, small):
+    v = wordpiece_vocabulary()
+    assert len(v) > 30_000 and min(v.values()) > tokenizers.SEP and len(set(v.values())) == len(v)
+
+    def loop(word):
+        ids, rest = [], word
+        while rest:
+            fits = [n for n in range(1, len(rest) + 1) if ("" if rest == word else "##") + rest[:n] in v]
+            if not fits:
+                return [tokenizers.UNKNOWN]
+            ids.append(v[("" if rest == word else "##") + rest[: max(fits)]])
+            rest = rest[max(fits) :]
+        return ids
+
+    rows = spark.read.parquet(f"{small}/conversations.parquet").select("text").limit(60)
+    out = rows.select("text", tokenizers.wordpiece(F.col("text"), v).alias("ids")).collect()
+    seen = [i for r in out for i in r.ids if i > tokenizers.SEP or i == tokenizers.UNKNOWN]
+    assert seen.count(tokenizers.UNKNOWN) < 0.05 * len(seen)
+    for r in out:
+        want = [i for w in tokenizers.words(r.text or "") for i in loop(w)][:62]
+        assert r.ids == [101, *want, 102, *[0] * (62 - len(want))]
+
+
 def test_first_merge_of_the_list_wins():
     merges = [("b", "c"), ("a", "b"), ("bc", "d</w>")]
+    merges = tokenizers.ranked(merges)
     assert tokenizers.first_merged("abcd", merges) == ["a", "bc", "d"]  # merges with a word end never fire
     assert tokenizers.first_merged("abab", merges) == ["ab", "ab"] and tokenizers.first_merged("", merges) == []
