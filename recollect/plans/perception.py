@@ -89,8 +89,9 @@ BOXES = """det AS (SELECT l_orderkey AS frame, l_linenumber AS det, l_returnflag
 box AS (SELECT *, least(greatest((cx - w / 2), 0.0), 640.0) AS l, least(greatest((cy - h / 2) * 0.75, 0.0), 480.0) AS t, least(greatest((cx + w / 2), 0.0), 640.0) AS r, least(greatest((cy + h / 2) * 0.75, 0.0), 480.0) AS b FROM det)"""
 
 
-def detections(spark, sf_dir) -> DataFrame:
-    li = M.table(spark, sf_dir, "lineitem")
+def detections(spark, sf_dir, lines: DataFrame | None = None) -> DataFrame:
+    """Lines of orders as detections; ``lines`` may be the table's stream."""
+    li = M.table(spark, sf_dir, "lineitem") if lines is None else lines
     place = G.decoded((F.col("l_partkey") % 500).cast("double"), (F.col("l_suppkey") % 300 + 40).cast("double"), F.col("l_quantity") * 4, F.col("l_quantity") * 3, 640.0, 640.0, 480.0)
     return li.select(
         F.col("l_orderkey").alias("frame"), F.col("l_linenumber").alias("det"), F.col("l_returnflag").alias("label"), (F.col("l_discount") + 0.2).alias("score"), place.alias("box"), "l_extendedprice"
@@ -148,7 +149,10 @@ def trk_topn_regions(spark, sf_dir):
 
 @query("trk_tracks")
 def trk_tracks(spark, sf_dir):
-    """Tracks over the detections of a camera, an order's lines being ticks (STR5, JON9); tests hold it against a plain loop."""
+    """Tracks over the detections of a camera, each frame there is being the next tick (STR5, JON9); tests hold it against a plain loop.
+
+    As no frame is missed by number, nothing tells stretches apart, and a camera is followed by one task; ``trk_numbered`` has frame numbers.
+    """
     from ..streaming.tracker import tracked
 
     d = detections(spark, sf_dir).select((F.col("frame") % 97).alias("camera"), F.col("frame").alias("tick"), "det", "label", "score", "box")

@@ -360,24 +360,29 @@ def join_transcript_overlap(spark, sf_dir):
     return intervals.overlaps(frames_as(spark, sf_dir, "a"), t, 1500).select(F.col("a_id").alias("frame"), F.col("b_id").alias("transcript"))
 
 
+#: How much longer than heard the transcripts are taken to last where their overlaps are sought.
+LONGER = 2000
+
+
 @query(
     "join_span_overlap",
-    with_points(f", {TRANSCRIPTS} SELECT a.id AS a, b.id AS b FROM trs a JOIN trs b ON a.start_ms - 5000 <= b.end_ms AND b.start_ms - 5000 <= a.end_ms AND a.id <> b.id"),
+    with_points(f", {TRANSCRIPTS}, long AS (SELECT id, start_ms, start_ms + (end_ms - start_ms) * {LONGER} AS end_ms FROM trs) SELECT a.id AS a, b.id AS b FROM long a JOIN long b ON a.start_ms - 5000 <= b.end_ms AND b.start_ms - 5000 <= a.end_ms AND a.id <> b.id"),
 )
 def join_span_overlap(spark, sf_dir):
-    t = transcripts(spark, sf_dir)
+    """Pairs of transcripts that overlap, widened on both sides (JON6); each is taken to last so much longer that many do."""
+    t = transcripts(spark, sf_dir).withColumn("end_ms", F.col("start_ms") + (F.col("end_ms") - F.col("start_ms")) * LONGER)
     side = lambda s: t.select(F.col("id").alias(f"{s}_id"), F.col("start_ms").alias(f"{s}_start"), F.col("end_ms").alias(f"{s}_end"))
-    return intervals.overlaps(side("a"), side("b"), 5000).filter("a_id <> b_id").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    return intervals.overlaps(side("a"), side("b"), 5000, 12 * 3_600_000).filter("a_id <> b_id").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
 
 
-@query(
-    "join_nearest_frame",
-    with_points(
-        f""", {TRANSCRIPTS}, m AS (SELECT id, (start_ms + end_ms) // 2 AS mid FROM trs)
-        SELECT m.id AS transcript, arg_min(p.id, {{'d': abs(p.timestamp_ms - mid), 't': p.timestamp_ms, 'i': p.id}}) AS frame
-        FROM m LEFT JOIN points p ON p.type = 'frame' AND abs(p.timestamp_ms - mid) <= 30000 GROUP BY m.id"""
-    ),
+NEAREST = with_points(
+    f""", {TRANSCRIPTS}, m AS (SELECT id, (start_ms + end_ms) // 2 AS mid FROM trs)
+    SELECT m.id AS transcript, arg_min(p.id, {{'d': abs(p.timestamp_ms - mid), 't': p.timestamp_ms, 'i': p.id}}) AS frame
+    FROM m LEFT JOIN points p ON p.type = 'frame' AND abs(p.timestamp_ms - mid) <= 30000 GROUP BY m.id"""
 )
+
+
+@query("join_nearest_frame", NEAREST)
 def join_nearest_frame(spark, sf_dir):
     t = transcripts(spark, sf_dir).select(F.col("id").alias("a_id"), F.floor((F.col("start_ms") + F.col("end_ms")) / 2).alias("a_ts"))
     f = points(spark, sf_dir).filter("type = 'frame'").select(F.col("id").alias("b_id"), F.col("timestamp_ms").alias("b_ts"))

@@ -1,4 +1,4 @@
-"""Queries on streams: run on the files there are, and their batch twins (STR2, STR3, STR8, STR11, STR14, STR15)."""
+"""Queries on streams: run on the files there are, and their batch twins (SRC4, SRC5, STR2-STR5, STR8, STR11, STR14, STR15)."""
 
 from __future__ import annotations
 
@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..operators import sync
 from ..sources import moments as M
-from ..streaming import capture, run
+from ..streaming import capture, live, run, tracker
 from .core import query, with_points
-from .perception import grid_column
+from .perception import detections, grid_column
+from .retrieval import NEAREST
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -120,3 +121,106 @@ def app_button(spark, sf_dir):
     e = M.table(spark, sf_dir, "events").select("event_id", "user_id", "ts", M.epoch_ms(F.col("ts")).alias("t"))
     held = e.withColumn("held", F.col("t") - F.lag("t").over(w)).filter("held > 300000")
     return held.select("event_id", F.when(F.col("held") < 3_600_000, "tap").otherwise("long").alias("press"))
+
+
+# --- automata over event time
+
+
+def speech(spark: SparkSession, sf_dir: str, streaming: bool) -> DataFrame:
+    """Events as the chunks of a microphone for each user, their value the loudness."""
+    e = stream(spark, sf_dir, "events") if streaming else M.table(spark, sf_dir, "events")
+    rows = e.select(F.col("user_id").cast("long").alias("key"), F.col("event_id").cast("long").alias("event_id"), F.col("value").cast("double").alias("level"), F.col("ts").cast("timestamp").alias("at"))
+    return rows if streaming else rows.withColumn("at_ms", F.unix_millis("at")).drop("at")
+
+
+#: Loudness that opens and that keeps a segment open; silence that closes one, the least and the longest duration (in milliseconds).
+LOUD, FAINT, LIMITS = 60.0, 20.0, {"silence_ms": 6 * 3_600_000, "least_ms": 3_600_000, "longest_ms": 24 * 3_600_000}
+
+SPEECH_SEGMENTS = f"""WITH RECURSIVE f AS (SELECT user_id AS key, epoch_us(ts) // 1000 AS t, value >= {LOUD} AS loud, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS k FROM events WHERE value >= {FAINT}),
+s AS (
+  SELECT key, k, t, loud AS open, t AS start_ms, 1 AS seg FROM f WHERE k = 1
+  UNION ALL
+  SELECT key, k, t, open, CASE WHEN stays THEN start_ms ELSE t END, CASE WHEN stays THEN seg ELSE seg + 1 END FROM (
+    SELECT f.key, f.k, f.t, s.start_ms, s.seg, s.open AND f.t - s.t <= {LIMITS['silence_ms']} AND f.t - s.start_ms < {LIMITS['longest_ms']} AS stays,
+      (s.open AND f.t - s.t <= {LIMITS['silence_ms']}) OR f.loud AS open
+    FROM s JOIN f ON f.key = s.key AND f.k = s.k + 1)
+)
+SELECT key, min(t) AS start_ms, max(t) AS last_ms, count(*) AS chunks FROM s WHERE open GROUP BY key, seg HAVING max(t) - min(t) >= {LIMITS['least_ms']}"""
+
+
+@query("batch_speech_segments", SPEECH_SEGMENTS)
+def batch_speech_segments(spark, sf_dir):
+    """Segments with a longest and a least duration, by two levels of loudness (STR8)."""
+    return live.segments_batch(speech(spark, sf_dir, False), LOUD, FAINT, **LIMITS)
+
+
+@query("stream_speech_segments", SPEECH_SEGMENTS)
+def stream_speech_segments(spark, sf_dir):
+    """The same on a stream, closed by timers (STR8, SRC5)."""
+    return live.to_its_end(lambda s: live.segments_stream(s, LOUD, FAINT, **LIMITS), speech(spark, sf_dir, True), "at")
+
+
+def legacy_frames(spark: SparkSession, sf_dir: str, streaming: bool) -> DataFrame:
+    e = stream(spark, sf_dir, "embeddings") if streaming else M.table(spark, sf_dir, "embeddings")
+    rows = e.select((F.col("vec_id") % 5).alias("camera"), F.col("vec_id").alias("id"), grid_column().alias("grid"), F.timestamp_millis(F.col("vec_id") * 331 + 1000).alias("at"))
+    return rows if streaming else rows.withColumn("at_ms", F.unix_millis("at")).drop("at")
+
+
+#: Grids of the vectors are more alike than pictures, so the gate's bound is nearer to 1.
+ALIKE = 0.93
+
+LEGACY_GATE = f"""WITH RECURSIVE f AS (SELECT vec_id % 5 AS camera, vec_id AS id, vec_id * 331 + 1000 AS at_ms, list_transform(embedding::DOUBLE[], lambda x: (x + 1.0) / 2) AS g FROM embeddings),
+s AS (
+  SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY camera ORDER BY at_ms, id) = 1
+  UNION ALL
+  SELECT f.* FROM s JOIN f ON f.camera = s.camera AND f.id = (SELECT arg_min(n.id, (n.at_ms, n.id)) FROM f n WHERE n.camera = s.camera AND (n.at_ms, n.id) > (s.at_ms, s.id) AND n.at_ms - s.at_ms >= 3000
+    AND (round(1 - list_sum(list_transform(range(1, 65), lambda i: abs(n.g[i] - s.g[i]))) / 64, 6) <= {ALIKE} OR n.at_ms - s.at_ms >= 12000))
+)
+SELECT camera, id, at_ms FROM s"""
+
+
+@query("batch_legacy_gate", LEGACY_GATE)
+def batch_legacy_gate(spark, sf_dir):
+    """Frames that the older gate accepts (STR4, SRC4)."""
+    return live.accepted_batch(legacy_frames(spark, sf_dir, False), alike=ALIKE)
+
+
+@query("stream_legacy_gate", LEGACY_GATE)
+def stream_legacy_gate(spark, sf_dir):
+    """The same on a stream (STR4, SRC4)."""
+    return live.to_its_end(lambda s: live.accepted_stream(s, alike=ALIKE), legacy_frames(spark, sf_dir, True), "at")
+
+
+def numbered_detections(spark: SparkSession, sf_dir: str, streaming: bool) -> DataFrame:
+    """Lines of orders as detections of numbered frames."""
+    li = stream(spark, sf_dir, "lineitem") if streaming else None
+    d = detections(spark, sf_dir, li)
+    return d.select((F.col("frame") % 97).cast("long").alias("camera"), F.expr("frame div 97 + 1").alias("tick"), F.col("det").cast("int").alias("det"), "label", "score", "box")
+
+
+@query("trk_numbered")
+def trk_numbered(spark, sf_dir):
+    """Tracks over numbered frames, stretches apart followed by tasks of their own (STR5, JON9); tests hold it against a plain loop."""
+    return tracker.tracked(numbered_detections(spark, sf_dir, False), numbered=True)
+
+
+@query("stream_tracks")
+def stream_tracks(spark, sf_dir):
+    """The same on a stream: live tracks in a map for each camera, ended by timers (STR5, JON9)."""
+    d = numbered_detections(spark, sf_dir, True).withColumn("at", F.timestamp_millis(F.col("tick") * live.TICK))
+    # the last row's tick is the one that its time stands for
+    tick = F.coalesce("tick", F.unix_millis("at") / live.TICK).cast("long")
+    return live.to_its_end(lambda s: live.tracks_stream(s.withColumn("tick", tick).drop("at")), d, "at").filter("camera IS NOT NULL")
+
+
+@query("stream_nearest_frame", NEAREST)
+def stream_nearest_frame(spark, sf_dir):
+    """For each transcript the nearest frame, both being streams (STR9, JON7): a join of intervals that forgets what can't meet any more."""
+    e, v = stream(spark, sf_dir, "embeddings"), M.table(spark, sf_dir, "events").select("event_id", M.epoch_ms(F.col("ts")).alias("t"))
+    docs = M.table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    # a point's time is its moment's, an event of the table
+    timed = e.select(F.col("vec_id").alias("id"), (F.col("vec_id") - F.col("vec_id") % 5).alias("event_id")).join(v, "event_id")
+    heard = timed.filter("id % 5 = 4").join(docs, F.col("id") == F.col("doc_id")).select(F.col("id").alias("a_id"), F.floor((F.col("t") + F.col("t") + F.col("n_chars") * 10) / 2).alias("a_ts"))
+    frames = timed.filter("id % 5 = 0").select(F.col("id").alias("b_id"), F.col("t").alias("b_ts"))
+    out = live.nearest_to_its_end(heard, frames, 30_000)
+    return out.select(F.col("a_id").alias("transcript"), F.col("b_id").alias("frame"))
