@@ -61,7 +61,7 @@ UNION ALL SELECT 'relabelled', count(*) FROM points WHERE type = 'frame' AND id
 def snk_store_steps(spark, sf_dir):
     """A store is filled, opened again, some of its points are replaced, all are deleted (SRC1, SRC3, SNK4, SNK7)."""
     first = stored(spark, sf_dir, "type IN ('frame', 'region')")
-    s = store.MomentStore(spark, first.versions.root, SIZE, SIZE)
+    s = store.MomentStore(spark, first.root, SIZE, SIZE)
     count = lambda name: s.points().groupBy("type").count().select(F.concat(F.lit(f"{name} "), "type").alias("step"), F.col("count").alias("n"))
     # written down step by step, as the next step changes what is read
     rows = count("stored").collect()
@@ -80,7 +80,7 @@ def rel_count_or_none(spark, sf_dir):
             raise OSError("the storage is away")
 
     s = stored(spark, sf_dir)
-    broken = Broken(spark, s.versions.root, SIZE, SIZE)
+    broken = Broken(spark, s.root, SIZE, SIZE)
     rows = [("nothing open", store.count_or_none(None)), ("failed", store.count_or_none(broken)), ("open", store.count_or_none(s))]
     return spark.createDataFrame(rows, "state string, n long")
 
@@ -110,7 +110,7 @@ def stream_sync_passes(spark, sf_dir):
             raise OSError("the hub is away")
 
     try:
-        store.sync_once(s, Away(spark, hub.versions.root, SIZE, SIZE))
+        store.sync_once(s, Away(spark, hub.root, SIZE, SIZE))
     except OSError:
         pass  # the next pass sends the same frames again
     passes, sent = store.sync_all(s, hub)

@@ -1,15 +1,17 @@
-"""The moment store: a folder of versions, each partitioned by channel, with a pointer to the current one (SRC1-SRC3, SNK1-SNK7).
+"""The moment store: an append-only log of points, flags and removals over a base partitioned by channel (SRC1-SRC3, SNK1-SNK7).
 
-Appends add files to the current version.  Updates write a new version and then move the pointer, so readers see the old rows or the new,
-and a failed update leaves the old.
+Each change writes in proportion to its own rows (``log.Log``).  Readers see a version whole, and of two writers of the same ids neither
+doubles one.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators import scan, search, sync
+from .log import Log
 from .moments import PAYLOAD
 
 FRAME, REGION, OCR = "frame", "region", "ocr"
@@ -20,8 +22,9 @@ class MomentStore:
 
     def __init__(self, spark: SparkSession, path: str, clip_size: int = 512, text_size: int = 384):
         self.spark, self.sizes = spark, {"clip": clip_size, "text_vec": text_size}
-        self.versions = sync.Snapshots(spark, path)
-        if self.versions.current() is None:
+        self.log = Log(spark, path, StructType.fromDDL(self.schema), parts=("type",))
+        self.root = self.log.root
+        if not self.log.numbers():
             self.delete_all()
 
     @property
@@ -31,18 +34,11 @@ class MomentStore:
 
     def delete_all(self) -> None:
         """An empty version (SNK7)."""
-        self._replace(self.spark.createDataFrame([], self.schema))
+        self.log.commit(lambda before: {"base": None, "deltas": []})
 
     def points(self) -> DataFrame:
-        """The current version; conditions on ``type`` and times reach the files."""
-        return self.spark.read.schema(self.schema).parquet(self.versions.current())
-
-    def _replace(self, df: DataFrame) -> None:
-        # an empty table has no partitions to write, so it is kept as a plain file
-        name = f"{self.versions.root}/version-{sync.uuids.uuid4().hex}"
-        columns = [c.split(" ")[0] for c in self.schema.split(", ")]
-        df.select(*columns).write.partitionBy("type").parquet(name)
-        self.versions.promote(name)
+        """The newest version; conditions on ``type`` and times reach the files."""
+        return self.log.read()
 
     def _append(self, df: DataFrame, kind: str, vector: str) -> DataFrame:
         size = self.sizes[vector]
@@ -54,11 +50,11 @@ class MomentStore:
                 rows = rows.withColumn(c[0], F.lit(None).cast(" ".join(c[1:])))
         zero = {f.name: {"string": F.lit(""), "bigint": F.lit(0), "double": F.lit(0.0), "boolean": F.lit(False)}[f.dataType.simpleString()] for f in PAYLOAD}
         rows = rows.select(*[F.coalesce(F.col(c), zero[c]).alias(c) if c in zero else F.col(c) for c in (x.split(" ")[0] for x in self.schema.split(", "))])
-        rows.write.mode("append").partitionBy("type").parquet(self.versions.current())
+        self.log.put(rows)
         return rows
 
     def store_moments(self, df: DataFrame) -> None:
-        """Frames with an ``id`` of their own, which is their moment's too (SNK1, SNK4)."""
+        """Frames with an ``id`` of their own, which is their moment's too; one that is there already is replaced (SNK1, SNK4)."""
         self._append(df.withColumn("moment_id", F.col("id")), FRAME, "clip")
 
     def store_regions(self, df: DataFrame) -> None:
@@ -105,15 +101,15 @@ class MomentStore:
         return sync.backlog(self.points(), F.col("clip").isNotNull(), limit)
 
     def mark_synced(self, ids: DataFrame) -> None:
-        self._replace(sync.mark_synced(self.points(), ids))
+        """Exactly the rows of ``ids`` become synced (REL12); only the ids are written."""
+        self.log.set_flag(ids)
 
     def upsert(self, rows: DataFrame) -> None:
-        """Rows by id (SNK4).  If the store has none of the ids, as when new frames are sent, they are appended and nothing is rewritten."""
-        if self.points().join(rows.select("id"), "id", "left_semi").isEmpty():
-            columns = [c.split(" ")[0] for c in self.schema.split(", ")]
-            rows.dropDuplicates(["id"]).select(*columns).write.mode("append").partitionBy("type").parquet(self.versions.current())
-        else:
-            self._replace(sync.upsert(self.points(), rows))
+        """Rows by id: new ones are added, known ones replaced (SNK4, SNK6); only these rows are written."""
+        self.log.put(rows)
+
+    def remove(self, ids: DataFrame) -> None:
+        self.log.remove(ids)
 
 
 def count_or_none(store: MomentStore | None) -> int | None:
