@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import threading
+import time
 import uuid as uuids
 
 from pyspark.sql import DataFrame, SparkSession
@@ -69,10 +71,17 @@ def seed(df: DataFrame) -> DataFrame:
 # --- snapshots: a folder is staged, checked, and only then the current one
 
 
+#: Seconds after which a lease that wasn't given back has ended.
+LEASE = 600.0
+
+# a rename onto a name that must be free is one step on a shared file system, but two on that of a machine
+_local = threading.Lock()
+
+
 class Snapshots:
     """A folder of snapshots with a pointer to the current one.  A failed pull leaves the pointer where it was."""
 
-    LOADED, EMPTY, UNREACHABLE = "loaded", "empty", "unreachable"
+    LOADED, EMPTY, UNREACHABLE, BUSY = "loaded", "empty", "unreachable", "busy"
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -137,6 +146,49 @@ class Snapshots:
         self.promote(staged)
         return self.LOADED, rows
 
+    # --- one pull at a time (STR13)
+
+    def acquire(self, seconds: float = LEASE) -> str | None:
+        """The token of a lease on this folder, or None if another holds one; a lease that wasn't given back ends after ``seconds``.
+
+        The lease is a file with the holder's token and end, made aside and renamed onto a name that must be free.  One that has ended is renamed
+        away first, which only one of several can do.
+        """
+        at, token = self.path(f"{self.root}/lease"), uuids.uuid4().hex
+        with _local:
+            if self.fs.exists(at):
+                held = self.spark.read.text(str(at)).first()
+                if held is not None and float(held.value.split(" ")[1]) > time.time():
+                    return None
+                if not self.fs.rename(at, self.path(f"{self.root}/lease-{token}-ended")):
+                    return None
+                self.fs.delete(self.path(f"{self.root}/lease-{token}-ended"), False)
+            aside = self.path(f"{self.root}/lease-{token}")
+            out = self.fs.create(aside, True)
+            out.write(bytearray(f"{token} {time.time() + seconds}".encode()))
+            out.close()
+            if self.fs.exists(at) or not self.fs.rename(aside, at):
+                self.fs.delete(aside, False)
+                return None
+        return token
+
+    def release(self, token: str) -> bool:
+        """Give a lease back; one that another has taken over since is left alone."""
+        at = self.path(f"{self.root}/lease")
+        with _local:
+            held = self.spark.read.text(str(at)).first() if self.fs.exists(at) else None
+            return bool(held is not None and held.value.split(" ")[0] == token and self.fs.delete(at, False))
+
+    def pull_alone(self, source: str, seconds: float = LEASE) -> tuple[str, int | None]:
+        """``pull``, unless another pull is at work: then nothing is staged and the state is ``BUSY``."""
+        token = self.acquire(seconds)
+        if token is None:
+            return self.BUSY, None
+        try:
+            return self.pull(source)
+        finally:
+            self.release(token)
+
     def load(self) -> DataFrame:
         name = self.current()
         if name is None:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import scan, sync
 from ..sources import moments as M
+from ..sources import ranges
+from ..streaming import run
 from .core import query, with_points
 
 #: A window within the first day of the events.
@@ -66,6 +68,36 @@ def flt_window_all_types(spark, sf_dir):
     return scan.of_type(points(spark, sf_dir), None, SINCE, UNTIL).select(*ROW)
 
 
+def indexed(spark: SparkSession, sf_dir: str) -> ranges.RangeIndex:
+    """A new index of the collection by time, about twenty slots of 500 points."""
+    return ranges.RangeIndex.build(points(spark, sf_dir).select(*ROW), run.shared_folder(spark), slot_rows=25)
+
+
+@query("rel_timeline_indexed", with_points(f"SELECT {COLS} FROM points WHERE type = 'frame' ORDER BY timestamp_ms DESC, id LIMIT 50"))
+def rel_timeline_indexed(spark, sf_dir):
+    """The newest frames from the newest slots of an index by time (REL4)."""
+    return indexed(spark, sf_dir).first(50, "frame").select(*ROW)
+
+
+@query("rel_window_indexed", window_sql(f"timestamp_ms >= {SINCE} AND timestamp_ms <= {UNTIL}"))
+def rel_window_indexed(spark, sf_dir):
+    """The newest frames of a window, by the slots that it touches (REL5)."""
+    return indexed(spark, sf_dir).first(100, "frame", SINCE, UNTIL).select(*ROW)
+
+
+@query("rel_label_indexed", with_points(f"SELECT {COLS} FROM points WHERE type = 'region' AND label = 'car' ORDER BY timestamp_ms DESC, id LIMIT 3"))
+def rel_label_indexed(spark, sf_dir):
+    """The newest regions with a label: more slots are looked at until there are enough (REL6)."""
+    return indexed(spark, sf_dir).first(3, "region", where=F.col("label") == "car").select(*ROW)
+
+
+@query("rel_page_indexed", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey > 5000 ORDER BY o_orderkey LIMIT 500")
+def rel_page_indexed(spark, sf_dir):
+    """A page in key order from the slots after its cursor (REL7)."""
+    o = M.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    return ranges.RangeIndex.build(o, run.shared_folder(spark), "o_orderkey", None, "o_custkey", 1000).page(500, 5000)
+
+
 @query("rel_keyset_page", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey > 5000 ORDER BY o_orderkey LIMIT 500")
 def rel_keyset_page(spark, sf_dir):
     return scan.page_after(M.table(spark, sf_dir, "orders"), "o_orderkey", 5000, 500).select("o_orderkey", "o_custkey", "o_totalprice")

@@ -14,7 +14,7 @@ from ..functions import tokenizers
 from ..operators import scan, sync
 from ..sources import encoders, legacy, reports, store
 from ..sources import moments as M
-from ..streaming import push, run
+from ..streaming import branch, push, run
 from .collection import points
 from .core import query, with_points
 from .searcher import repository_search
@@ -286,6 +286,29 @@ def str_ocr_branch(spark, sf_dir):
     return legacy.ocr_points(frames, lines)
 
 
+BRANCH = """SELECT 'frame' AS kind, id AS moment_id, NULL AS line, NULL AS text FROM points WHERE type = 'frame'
+UNION ALL SELECT 'line', f.id, l.k, 'line ' || (f.id + l.k) FROM points f, (SELECT unnest([1, 2])::INT AS k) l WHERE f.type = 'frame' AND f.id % 35 <> 0 AND (f.id + l.k) % 7 <> 0
+UNION ALL SELECT 'failed', id, NULL, 'ValueError: no picture' FROM points WHERE type = 'frame' AND id % 35 = 0"""
+
+
+@query("stream_ocr_branch", with_points(BRANCH))
+def stream_ocr_branch(spark, sf_dir):
+    """Frames of a stream are stored, and lines read from them beside it; a frame that can't be read is stored all the same (STR7)."""
+
+    def recognise(frame):
+        one = int(frame["moment_id"])
+        if one % 35 == 0:
+            raise ValueError("no picture")
+        return [(k, f"line {one + k}", 0.0, 0.0, 64.0, 48.0) for k in (1, 2) if (one + k) % 7]
+
+    frames = stream(spark, sf_dir, "embeddings").filter("vec_id % 5 = 0").select(F.col("vec_id").alias("moment_id"))
+    stored, lines, failed = branch.with_lines(frames, recognise)
+    none = lambda kind: F.lit(None).cast(kind)
+    out = stored.select(F.lit("frame").alias("kind"), "moment_id", none("int").alias("line"), none("string").alias("text"))
+    out = out.unionByName(lines.select(F.lit("line").alias("kind"), "moment_id", "line", "text"))
+    return out.unionByName(failed.select(F.lit("failed").alias("kind"), "moment_id", none("int").alias("line"), F.col("error").alias("text")))
+
+
 @query("geo_between", "SELECT vec_id, round(l + ((vec_id % 7) / 14.0 - l) * 0.3, 6) AS l, round(r + (0.9 - r) * 0.3, 6) AS r FROM (SELECT vec_id, (vec_id % 10) / 20.0 AS l, (vec_id % 10) / 20.0 + 0.3 AS r FROM embeddings)")
 def geo_between(spark, sf_dir):
     """Boxes three tenths of the way to the next (GEO6)."""
