@@ -20,7 +20,10 @@ misses nothing.  Copies are one fingerprint, so their number plays no part.
 ``near_copies`` uses the same keys to find texts whose five-word shingles have a Jaccard similarity of 0.8 or more.  Fingerprints of
 shingles lie too far apart for this (a changed word changes five shingles), so the texts' words have ``TABLES`` fingerprints, each word
 weighted by the root of its number: near copies are within a few bits in one of them as good as always.  The keys give candidates, of
-which those are left whose fingerprints of shingles differ in ``SPREAD`` bits at most, and what is linked is verified by the shingles
+which those are left whose fingerprints of shingles differ in ``SPREAD`` bits at most and whose sets of shingles can be alike by their sizes
+and parities: each shingle flips one of ``PARITIES`` bits, so two sets differ in as many shingles at least as their parities in bits, and sets
+of a Jaccard similarity s differ in (1 - s) / (1 + s) of their sizes' sum at most.  No link fails this, and of a family of texts that are alike
+but not enough hardly a pair passes, unless they have more than ``PARITY_SIZE`` shingles.  What is linked is verified by the shingles
 themselves.  Texts that differ in white space and case alone are one class from the start.  First the texts of each key are compared with the
 least of them only; then all candidates that these links haven't joined yet are compared.  So a group of very many near copies isn't
 compared pair by pair, and no candidate link between groups is lost.
@@ -52,6 +55,8 @@ WORDS, SEED, RADIUS = 3, 42, 3
 SHINGLE, SIMILARITY, TABLES, NEAR = 5, 0.8, 4, 6
 #: Bits in which fingerprints of the shingles of near copies differ at most (ten on average at a similarity of 0.8).
 SPREAD = 18
+#: Parity bits of a set of shingles, and the size up to which a set has them (larger ones would fill the bits).
+PARITIES, PARITY_SIZE = 256, 512
 #: Words whose hashes are kept in memory, and the longest of them.
 KEPT_WORDS, KEPT_BYTES = 150_000, 40
 #: Shingles whose bits are counted at once, which bounds memory for very long texts.
@@ -141,7 +146,10 @@ def keys_of(prints: np.ndarray, probes: bool) -> tuple[np.ndarray, np.ndarray]:
 
 
 KEYED = StructType().add("key", "long").add("fp", "long")
-TEXTS = StructType().add("key", "long").add("kind", "integer").add("fp", "long").add("spread", "long").add("node", "long").add("root", "long")
+PARITY = [f"parity{k}" for k in range(PARITIES // 64)]
+TEXTS = StructType().add("key", "long").add("kind", "integer").add("fp", "long").add("spread", "long").add("size", "integer").add("node", "long").add("root", "long")
+for _name in PARITY:
+    TEXTS = TEXTS.add(_name, "long")
 
 
 def keyed(prints: DataFrame, probes: bool) -> DataFrame:
@@ -221,7 +229,7 @@ def grouped(df: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: lis
     return rows.join(named(rows), "fingerprint").select(*[F.col(f"`{c}`") for c in keep], "fingerprint", "component_id", "root", "row")
 
 
-PRINTS = StructType().add("class", "binary").add("prints", ArrayType(LongType())).add("spread", "long").add("shingles", "integer")
+PRINTS = StructType().add("class", "binary").add("prints", ArrayType(LongType())).add("spread", "long").add("shingles", "integer").add("size", "integer").add("parity", ArrayType(LongType()))
 
 
 def words_of(text: str) -> list[bytes]:
@@ -248,19 +256,45 @@ def word_prints(parts: list[bytes], kept: dict[bytes, bytes]) -> list[int]:
     return np.packbits(np.round(sums, 3) > 0).view(np.int64).tolist()
 
 
+def shingle_hashes(words: list[bytes]) -> np.ndarray:
+    """The hashes of the ``SHINGLE``-word shingles, repeats included; of all words together if they are fewer."""
+    n = max(len(words) - SHINGLE + 1, min(len(words), 1))
+    return np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[k : k + SHINGLE]), SEED) for k in range(n)), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of hashes, as ``fingerprint`` has it of a text's."""
+    ones = np.zeros(64, np.int64)
+    for a in range(0, len(hashes), AT_ONCE):
+        ones += np.unpackbits(hashes[a : a + AT_ONCE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits((2 * ones > len(hashes)).astype(np.uint8), bitorder="little").view(np.int64)[0])
+
+
+def parities(hashes: np.ndarray) -> list[int] | None:
+    """Bits that each tell whether an odd number of a set's hashes belongs to them; none for a large set."""
+    if len(hashes) > PARITY_SIZE:
+        return None
+    odd = (np.bincount((hashes % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64).tolist()
+
+
 def classed(df: DataFrame, text: str) -> Column:
-    """The class of a text (a hash of its words) and the fingerprints of its words."""
+    """The class of a text (a hash of its words), the fingerprints of its words and shingles, and the size and parities of its set of shingles."""
 
     def start():
         kept: dict[bytes, bytes] = {}
 
         def batch(texts: list[str]) -> pa.Array:
             words = [words_of(t) for t in texts]
+            hashes = [shingle_hashes(w) for w in words]
+            sets = [np.unique(h) for h in hashes]
             columns = [
                 pa.array([xxhash.xxh3_128_digest(b" ".join(w)) for w in words], pa.binary()),
                 pa.array([word_prints(w, kept) for w in words], pa.list_(pa.int64())),
-                pa.array([fingerprint(t, SHINGLE) for t in texts], pa.int64()),
-                pa.array([min(len(w), max(len(w) - SHINGLE + 1, 1)) for w in words], pa.int32()),
+                pa.array([majority(h) for h in hashes], pa.int64()),
+                pa.array([len(h) for h in hashes], pa.int32()),
+                pa.array([len(h) for h in sets], pa.int32()),
+                pa.array([parities(h) for h in sets], pa.list_(pa.int64())),
             ]
             return pa.StructArray.from_arrays(columns, names=PRINTS.names)
 
@@ -270,14 +304,17 @@ def classed(df: DataFrame, text: str) -> Column:
 
 
 def shingle_sets(df: DataFrame, text: str) -> Column:
-    """The different hashes of a text's ``SHINGLE``-word shingles; of all its words if they are fewer."""
+    """The different hashes of a text's shingles."""
+    one = lambda t: np.unique(shingle_hashes(words_of(t))).view(np.int64).tolist()
+    return arrow_column(df, lambda: lambda texts: pa.array(map(one, texts), pa.list_(pa.int64())), ArrayType(LongType()), text_or_empty(text))
 
-    def one(t: str) -> list[int]:
-        words = words_of(t)
-        joined = [b" ".join(words[k : k + SHINGLE]) for k in range(max(len(words) - SHINGLE + 1, min(len(words), 1)))]
-        return np.array(list({xxhash.xxh64_intdigest(g, SEED) for g in joined}), np.uint64).view(np.int64).tolist()
 
-    return arrow_column(df, lambda: lambda texts: pa.array(map(one, texts), pa.list_(pa.int64())), ArrayType(LongType()), text_or_empty(text))
+def may_be_alike(p: dict[str, Column], q: dict[str, Column], similarity: float) -> Column:
+    """Whether two sets of shingles can have this similarity, by their sizes and, where both have them, parities.  It holds for all that have it."""
+    differing = sum((F.bit_count(p[c].bitwiseXOR(q[c])) for c in PARITY[1:]), F.bit_count(p[PARITY[0]].bitwiseXOR(q[PARITY[0]])))
+    little = differing * (1 + similarity) <= (p["size"] + q["size"]) * (1 - similarity) + 1e-6
+    sizes = F.least(p["size"], q["size"]) >= F.greatest(p["size"], q["size"]) * similarity - 1e-6
+    return sizes & F.coalesce(little, F.lit(True))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -295,9 +332,12 @@ def near_copies(rows: DataFrame, docs: DataFrame, text: str, similarity: float =
     ``rows`` has the ``class``, ``prints``, ``spread`` and number of ``shingles`` of each row of ``docs``, and both have the keys ``__k1`` and ``__k2``.
     """
     ones = F.min(F.struct("__k1", "__k2")).alias("k")  # one row of each class: all of a class have the same shingles
-    texts = rows.filter("shingles > 0").groupBy("class").agg(F.first("prints").alias("prints"), F.first("spread").alias("spread"), ones)
-    texts = written(texts.select("class", "prints", "spread", "k.*").withColumn("node", F.monotonically_increasing_id()), "texts")
-    each = texts.select("node", "spread", F.posexplode("prints").alias("kind", "fp"))
+    same = [F.first(c).alias(c) for c in ("prints", "spread", "size", "parity")]
+    texts = rows.filter("shingles > 0").groupBy("class").agg(*same, ones)
+    texts = texts.select("class", "prints", "spread", "size", *[F.get("parity", k).alias(c) for k, c in enumerate(PARITY)], "k.*")
+    texts = written(texts.withColumn("node", F.monotonically_increasing_id()), "texts")
+    sketch = ["spread", "size", *PARITY]
+    each = texts.select("node", *sketch, F.posexplode("prints").alias("kind", "fp"))
 
     def sets_of(pairs: DataFrame, name: str) -> DataFrame:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -307,15 +347,18 @@ def near_copies(rows: DataFrame, docs: DataFrame, text: str, similarity: float =
 
     apart = lambda x, y: F.bit_count(x.bitwiseXOR(y))
     # the texts of each key with the least of them
-    points = written(keyed(each.withColumn("root", F.col("node")), False).select("key", "node", "spread"), "points")
-    least = points.groupBy("key").agg(F.min(F.struct("node", "spread")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("key", "first")
-    stars = points.join(written(least, "least"), "key").filter((F.col("node") != F.col("first.node")) & (apart(F.col("spread"), F.col("first.spread")) <= SPREAD))
+    points = written(keyed(each.withColumn("root", F.col("node")), False).select("key", "node", *sketch), "points")
+    least = points.groupBy("key").agg(F.min(F.struct("node", *sketch)).alias("first"), F.count("*").alias("n")).filter("n > 1").select("key", "first")
+    own, first = {c: F.col(c) for c in sketch}, {c: F.col("first")[c] for c in sketch}
+    near = (apart(own["spread"], first["spread"]) <= SPREAD) & may_be_alike(own, first, similarity)
+    stars = points.join(written(least, "least"), "key").filter((F.col("node") != F.col("first.node")) & near)
     stars = written(stars.select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct(), "stars")
     sure = written(verified(stars, sets_of(stars, "sets"), similarity), "sure")
     roots = written(components(sure).withColumnRenamed("node", "of"), "roots")
     # candidates that are still apart
     rooted = written(each.join(roots, each["node"] == roots["of"], "left").withColumn("root", F.coalesce("root", "node")).drop("of"), "rooted")
-    close = lambda p, q: (p["root"] != q["root"]) & (apart(p["fp"], q["fp"]) <= NEAR) & (apart(p["spread"], q["spread"]) <= SPREAD)
+    same = lambda p, q: (apart(p["fp"], q["fp"]) <= NEAR) & (apart(p["spread"], q["spread"]) <= SPREAD)
+    close = lambda p, q: (p["root"] != q["root"]) & same(p, q) & may_be_alike(p, q, similarity)
     more = written(met(rooted, close, "node").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "more")
     late = written(verified(more, sets_of(more, "late_sets"), similarity), "late")
     roots = components(sure.unionByName(late)).withColumnRenamed("node", "of")

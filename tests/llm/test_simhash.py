@@ -158,6 +158,48 @@ def test_near_copies_against_all_pairs(spark):
     assert removed > 100 and len(rows) - len(kept) >= 0.95 * removed
 
 
+def test_bounds_of_sizes_and_parities_hold():
+    rng = np.random.default_rng(5)
+    for n in (1, 6, 40, 250):
+        for _ in range(60):
+            a = set(rng.integers(0, 2**63, n).tolist())
+            b = set(rng.permutation(list(a))[: rng.integers(1, n + 1)].tolist()) | set(rng.integers(0, 2**63, rng.integers(0, n + 1)).tolist())
+            p, q = (np.array(S.parities(np.array(sorted(x), np.uint64)), np.int64).view(np.uint64) for x in (a, b))
+            differing = sum(int(x).bit_count() for x in p ^ q)
+            assert differing <= len(a ^ b) and differing % 2 == len(a ^ b) % 2
+            likeness = len(a & b) / len(a | b)
+            assert len(a ^ b) <= (len(a) + len(b)) * (1 - likeness) / (1 + likeness) + 1e-9
+            assert min(len(a), len(b)) >= likeness * max(len(a), len(b)) - 1e-9
+    assert S.parities(np.arange(S.PARITY_SIZE + 1, dtype=np.uint64)) is None
+
+
+@pytest.mark.parametrize("text", ["", "one", "a b c d", "a b c d e", "a b c d e f " * 30])
+def test_majority_is_the_fingerprint(text):
+    assert S.majority(S.shingle_hashes(S.words_of(text))) == S.fingerprint(text, S.SHINGLE)
+
+
+def test_a_family_of_like_texts_is_not_compared_pair_by_pair(spark, monkeypatch):
+    rng = random.Random(12)
+    base, compared, plain = [f"b{k}" for k in range(120)], [], S.verified
+    rows = []
+    for k in range(700):
+        w = list(base)
+        for _ in range(rng.choice([1, 2, 3])):  # of one changed word each: 0.84, of two each: 0.7, of three: 0.59
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10_000)}"
+        rows.append((k, " ".join(w)))
+
+    def counted(pairs, sets, similarity):
+        compared.append(pairs.count())
+        return plain(pairs, sets, similarity)
+
+    monkeypatch.setattr(S, "verified", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept, want = {r.doc_id for r in S.deduplicated(df).collect()}, set(near_groups(rows))
+    grams = [frozenset(tuple(t.split()[i : i + 5]) for i in range(116)) for _, t in rows]
+    links = sum(len(grams[x] & grams[y]) >= 0.8 * len(grams[x] | grams[y]) for x in range(len(rows)) for y in range(x))
+    assert kept == want and sum(compared) <= 2 * links, (sum(compared), links)
+
+
 def test_one_of_equal_rows_stays(spark):
     rows = [(None, "a b c d", 1), (None, "a b c d", 2), (3, "x y z w", 1), (3, "x y z w", 1), (3, "quite another text here", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, other int")
