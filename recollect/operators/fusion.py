@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.querytext import label_matches
+from .search import top
 
 BOOST, OCR_GATE, TOP, RECALL_TOP = 0.05, 0.5, 5, 25
 DIGITS = 6
@@ -93,8 +94,9 @@ def ordered(hits: DataFrame, recall_intent: bool = False, now_ms: Column | None
 
 def margin(hits: DataFrame) -> DataFrame:
     """First score minus second; 1 if there is one hit only (FUS12)."""
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-    pair = hits.select("qid", "id", "score", F.lead("score").over(w).alias("next"), F.row_number().over(w).alias("k")).filter("k = 1")
+    w = Window.partitionBy("qid").orderBy("rank")
+    best = top(hits, 2)  # each task keeps its own two
+    pair = best.select("qid", "id", "score", F.lead("score").over(w).alias("next"), "rank").filter("rank = 1")
     return pair.select("qid", "id", F.round(F.when(F.col("next").isNull(), 1.0).otherwise(F.col("score") - F.col("next")), DIGITS).alias("margin"))
 
 

@@ -91,16 +91,19 @@ def sql_text(s: str | None) -> str:
 
 
 def golden(columns: str, pick) -> str:
-    rows = ", ".join("(" + ", ".join(pick(c)) + ")" for c in CASES)
-    return f"SELECT * FROM (VALUES {rows}) t({columns})"
+    """Each turn of a conversation asks one of the questions; what is known of that question, by its number."""
+    rows = ", ".join(f"({k}, " + ", ".join(pick(c)) + ")" for k, c in enumerate(CASES))
+    return f"SELECT c.conv_id, c.turn, {columns} FROM conversations c JOIN (VALUES {rows}) t(k, {columns}) ON (c.conv_id * 7 + c.turn) % {len(CASES)} = t.k"
 
 
 def ms(s: str | None) -> str:
     return "NULL::BIGINT" if s is None else f"epoch_ms(TIMESTAMP '{s.replace('T', ' ')}')"
 
 
-def asked(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(c[0], CLOCK) for c in CASES], "query string, now_ms bigint")
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns of conversations, each with a question (of which there are ``len(CASES)``) and the clock."""
+    question = F.get(F.array(*[F.lit(c[0]) for c in CASES]), ((F.col("conv_id") * 7 + F.col("turn")) % len(CASES)).cast("int"))
+    return M.table(spark, sf_dir, "conversations").select("conv_id", "turn", question.alias("query"), F.lit(CLOCK).cast("long").alias("now_ms"))
 
 
 @query(
@@ -108,20 +111,68 @@ def asked(spark: SparkSession) -> DataFrame:
     golden("query, embed_text, since_ms, until_ms, recall_intent, time_only", lambda c: (sql_text(c[0]), sql_text(c[3]), ms(c[1]), ms(c[2]), str(c[4]), str(c[5]))),
 )
 def qt_parse(spark, sf_dir):
+    """What a question says: words, window, form (STR-d, STR-e, STR-f, STR-h)."""
     with zone(spark):
-        return asked(spark).withColumn("p", T.parse(F.col("query"), F.col("now_ms"))).select("query", "p.*")
+        return asked(spark, sf_dir).withColumn("p", T.parse(F.col("query"), F.col("now_ms"))).select("conv_id", "turn", "query", "p.*")
 
 
 @query("qt_relative_window", golden("query, since_ms", lambda c: (sql_text(c[0]), ms(c[1] if not any(m in c[0].lower() for m in ("august", "sept", "сент", "february", "2026-")) else ("2026-08-16" if "yesterday" in c[0] else None)))))
 def qt_relative_window(spark, sf_dir):
     with zone(spark):
-        return asked(spark).withColumn("w", T.relative_window(F.col("query"), F.col("now_ms"))).select("query", "w.since_ms")
+        return asked(spark, sf_dir).withColumn("w", T.relative_window(F.col("query"), F.col("now_ms"))).select("conv_id", "turn", "query", "w.since_ms")
 
 
 @query("qt_absolute_date", golden("query, day", lambda c: (sql_text(c[0]), f"{sql_text(c[1][:10] if c[1] and any(m in c[0].lower() for m in ('august', 'sept', 'сент', 'february', '2026-')) else None)}::DATE")))
 def qt_absolute_date(spark, sf_dir):
     with zone(spark):
-        return asked(spark).select("query", T.absolute_day(F.col("query"), F.col("now_ms")).alias("day"))
+        return asked(spark, sf_dir).select("conv_id", "turn", "query", T.absolute_day(F.col("query"), F.col("now_ms")).alias("day"))
+
+
+WEEKDAYS = ["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"]
+MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
+
+#: Questions asked at an event's time: the words in SQL, and the window by plain arithmetic on dates; ``d``, ``w`` and ``m`` are the starts of
+#: the event's day, week and month, ``i`` its id.
+ASKED_AT = [
+    ("'keys yesterday'", "d - INTERVAL 1 DAY", "d"),
+    ("'mug the day before yesterday'", "d - INTERVAL 2 DAY", "d - INTERVAL 1 DAY"),
+    ("'mug last week'", "w - INTERVAL 7 DAY", "w"),
+    ("'mug this week'", "w", "NULL"),
+    ("'bike last month'", "m - INTERVAL 1 MONTH", "m"),
+    ("'bike this month'", "m", "NULL"),
+    ("'car ' || (2 + i % 25) || ' days ago'", "d - to_days((2 + i % 25)::INT)", "d - to_days((1 + i % 25)::INT)"),
+    ("'car an hour ago'", "asked - INTERVAL 1 HOUR", "NULL"),
+    ("'lamp today'", "d", "NULL"),
+    ("'last ' || {weekdays}[1 + i % 7]", "d - to_days(((isodow(d) - (1 + i % 7) + 6) % 7 + 1)::INT)", "d - to_days(((isodow(d) - (1 + i % 7) + 6) % 7)::INT)"),
+    ("{months}[1 + i % 12] || ' ' || (1 + i % 28)", "day", "day + INTERVAL 1 DAY"),
+    ("'receipt ' || strftime(d - to_days((i % 400)::INT), '%Y-%m-%d')", "d - to_days((i % 400)::INT)", "d - to_days((i % 400)::INT) + INTERVAL 1 DAY"),
+    ("'boots in ' || {months}[other]", "of_month", "of_month + INTERVAL 1 MONTH"),
+]
+
+
+def asked_at_sql() -> str:
+    fill = lambda x: x.replace("{weekdays}", str(WEEKDAYS)).replace("{months}", str(MONTHS))
+    pick = lambda j: "CASE i % " + str(len(ASKED_AT)) + " " + " ".join(f"WHEN {k} THEN {fill(c[j])}" for k, c in enumerate(ASKED_AT)) + " END"
+    return f"""WITH e AS (SELECT event_id, event_id // {len(ASKED_AT)} AS half, event_id AS i, ts::TIMESTAMP AS asked, date_trunc('day', ts)::TIMESTAMP AS d, date_trunc('week', ts)::TIMESTAMP AS w, date_trunc('month', ts)::TIMESTAMP AS m FROM events),
+    f AS (SELECT *, make_date(year(d), 1 + i % 12, 1 + i % 28) AS near, 1 + (month(d) + i % 11) % 12 AS other FROM e),
+    g AS (SELECT *, CASE WHEN near <= d::DATE THEN near ELSE make_date(year(d) - 1, 1 + i % 12, 1 + i % 28) END::TIMESTAMP AS day, make_date(CASE WHEN other < month(d) THEN year(d) ELSE year(d) - 1 END, other, 1)::TIMESTAMP AS of_month FROM f)
+    SELECT event_id, {pick(0)} AS query, epoch_us({pick(1)}) // 1000 AS since_ms, coalesce(epoch_us({pick(2)}) // 1000 - 1, epoch_us(asked) // 1000) AS until_ms FROM g"""
+
+
+@query("qt_asked_at", asked_at_sql())
+def qt_asked_at(spark, sf_dir):
+    """Windows of questions that are asked at each event's own time (DT4-DT7); the SQL has them by arithmetic on dates, without the grammar."""
+    with zone(spark):
+        i = F.col("event_id")
+        day, name = F.col("ts").cast("date"), lambda names, k: F.get(F.array(*map(F.lit, names)), k.cast("int"))
+        said = [
+            F.lit("keys yesterday"), F.lit("mug the day before yesterday"), F.lit("mug last week"), F.lit("mug this week"), F.lit("bike last month"), F.lit("bike this month"),
+            F.concat(F.lit("car "), 2 + i % 25, F.lit(" days ago")), F.lit("car an hour ago"), F.lit("lamp today"), F.concat(F.lit("last "), name(WEEKDAYS, i % 7)),
+            F.concat(name(MONTHS, i % 12), F.lit(" "), 1 + i % 28), F.concat(F.lit("receipt "), F.date_format(F.date_sub(day, (i % 400).cast("int")), "yyyy-MM-dd")),
+            F.concat(F.lit("boots in "), name(MONTHS, (F.month(day) + i % 11) % 12)),
+        ]
+        e = M.table(spark, sf_dir, "events").select("event_id", M.epoch_ms(F.col("ts")).alias("now_ms"), F.get(F.array(*said), (i % len(said)).cast("int")).alias("query"))
+        return e.withColumn("p", T.parse(F.col("query"), F.col("now_ms"))).select("event_id", "query", "p.since_ms", "p.until_ms")
 
 
 PHRASE = "trim(regexp_replace(regexp_replace(lower(text), '{q}', ''), '{a}', ''))".format(q=T.QUESTION.replace("'", "''"), a=T.ARTICLE)
@@ -281,6 +332,14 @@ def dt_shown(spark, sf_dir):
         )
 
 
+@query("dt_days", "SELECT event_id, epoch_us(date_trunc('day', ts) - INTERVAL 1 DAY) // 1000 AS previous_ms, epoch_us(date_trunc('day', ts) + INTERVAL 1 DAY) // 1000 AS next_ms FROM events")
+def dt_days(spark, sf_dir):
+    """The starts of the day before and of the day after (DT2)."""
+    with zone(spark):
+        day = F.col("ts").cast("date")
+        return M.table(spark, sf_dir, "events").select("event_id", T.start_of(F.date_sub(day, 1)).alias("previous_ms"), T.start_of(F.date_add(day, 1)).alias("next_ms"))
+
+
 def clip_vocabulary(path: str | None = None):
     """Vocabulary and merges of the public tokenizer whose frame ids the encoder has; a small one where it isn't installed."""
     if path is None and importlib.util.find_spec("public_tokenizers") is not None:

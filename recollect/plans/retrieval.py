@@ -9,6 +9,7 @@ from ..functions import querytext as T
 from ..functions import vectors as V
 from ..operators import ann, fusion, intervals, scan, search
 from ..operators.ranking import numbered
+from ..sources import encoders
 from ..sources import moments as M
 from ..streaming import run
 from .collection import SINCE, UNTIL, points
@@ -121,6 +122,18 @@ def vec_uint8(spark, sf_dir):
     return e.select("vec_id", total.alias("code_sum"), F.round(V.cosine(F.col("embedding"), V.from_uint8(F.col("c"))), 6).alias("fidelity"))
 
 
+@query(
+    "vec_half",
+    """SELECT vec_id, round(list_sum(h), 5) AS total, round(list_cosine_similarity(embedding::DOUBLE[], h), 6) AS fidelity FROM (
+    SELECT vec_id, embedding, list_transform(embedding::DOUBLE[], lambda x: CASE WHEN x = 0 THEN 0.0 ELSE round_even(x / pow(2, greatest(floor(log2(abs(x))), -14) - 10), 0) * pow(2, greatest(floor(log2(abs(x))), -14) - 10) END) AS h FROM embeddings)""",
+)
+def vec_half(spark, sf_dir):
+    """Vectors as 16-bit floating point keeps them: what they add up to and how near they are (VEC10)."""
+    e = M.table(spark, sf_dir, "embeddings").withColumn("h", encoders.half(F.col("embedding")))
+    total = F.aggregate("h", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return e.select("vec_id", F.round(total, 5).alias("total"), F.round(V.cosine(F.col("embedding"), F.col("h")), 6).alias("fidelity"))
+
+
 @query(
     "vec_distance_to_similarity",
     f"""WITH {MANY} SELECT qid, vec_id, round(1.0 - (1.0 - list_cosine_similarity(embedding::DOUBLE[], q)), 6) AS by_cosine,
@@ -167,6 +180,9 @@ def vec_label_verify(spark, sf_dir):
     return e.join(anchors, "label").select("vec_id", F.round(V.cosine(F.col("embedding"), F.col("anchor")), 6).alias("verify"))
 
 
+#: Parts that the pairs of an episode and type are dealt to.
+PAIR_PARTS = 8
+
 PAIRS = """SELECT p.type AS type, count(*) AS pairs, round(min(s), 6) AS lowest, round(avg(s), 6) AS mean, round(max(s), 6) AS highest
 FROM (SELECT a.type, list_cosine_similarity(a.clip, b.clip) AS s FROM points a JOIN points b ON a.episode_id = b.episode_id AND a.type = b.type AND a.id < b.id) p GROUP BY p.type"""
 
@@ -175,8 +191,10 @@ FROM (SELECT a.type, list_cosine_similarity(a.clip, b.clip) AS s FROM points a J
 def vec_pairwise(spark, sf_dir):
     """Cosines of all pairs of an episode's points of a type (VEC17)."""
     p = points(spark, sf_dir).select("id", "episode_id", "type", "clip")
-    o = p.select(F.col("id").alias("other"), "episode_id", "type", F.col("clip").alias("clip2"))
-    pairs = p.join(o, ["episode_id", "type"]).filter("id < other").withColumn("s", V.cosine(F.col("clip"), F.col("clip2")))
+    # a long episode's points meet in parts of their own: each of one side is in one part, each of the other in all
+    p = p.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(PAIR_PARTS)).cast("int"))
+    o = p.select(F.col("id").alias("other"), "episode_id", "type", F.col("clip").alias("clip2"), F.explode(F.sequence(F.lit(0), F.lit(PAIR_PARTS - 1))).alias("part"))
+    pairs = p.join(o, ["episode_id", "type", "part"]).filter("id < other").withColumn("s", V.cosine(F.col("clip"), F.col("clip2")))
     return pairs.groupBy("type").agg(F.count("*").alias("pairs"), F.round(F.min("s"), 6).alias("lowest"), F.round(F.avg("s"), 6).alias("mean"), F.round(F.max("s"), 6).alias("highest"))
 
 
@@ -329,9 +347,15 @@ def object_search(spark, sf_dir):
     return found(fusion.ordered(kept, recall_intent=True))
 
 
-@query("fus_gates_config", "SELECT * FROM (VALUES ('relay', 0.08, 0.06, 0.90), ('tiny', 0.25, 0.20, 0.85), ('b32', 0.25, 0.20, 0.85), ('device', 0.085, 0.06, 0.90)) t(encoder, search_gate, verify_gate, scene_gate)".replace("SELECT *", "SELECT encoder, search_gate::DOUBLE AS search_gate, verify_gate::DOUBLE AS verify_gate, scene_gate::DOUBLE AS scene_gate"))
+GATES = "(VALUES " + ", ".join(f"('{e}', {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE)" for e, a, b, c in M.GATES) + ") g(encoder, search_gate, verify_gate, scene_gate)"
+
+
+@query("fus_gates_config", with_points(f"SELECT encoder, search_gate, verify_gate, scene_gate, count(*) FILTER (verify_cos >= verify_gate) AS verified, count(*) AS regions FROM points, {GATES} WHERE type = 'region' GROUP BY ALL"))
 def fus_gates_config(spark, sf_dir):
-    return spark.createDataFrame(M.GATES, "encoder string, search_gate double, verify_gate double, scene_gate double")
+    """Each encoder's gates, and how many of the collection's regions its gate verifies (FUS17)."""
+    gates = spark.createDataFrame(M.GATES, "encoder string, search_gate double, verify_gate double, scene_gate double")
+    p = points(spark, sf_dir).filter("type = 'region'").crossJoin(F.broadcast(gates))  # a row for each encoder
+    return p.groupBy(*gates.columns).agg(F.count_if(F.col("verify_cos") >= F.col("verify_gate")).alias("verified"), F.count("*").alias("regions"))
 
 
 # --- speech and sight
@@ -595,10 +619,12 @@ def eval_ab(spark, sf_dir):
     q = query_set(spark, sf_dir).join(e.select(F.col("vec_id").alias("qid"), F.col("label").alias("want")), "qid")
     p = e.select(F.col("vec_id").alias("id"), F.col("label").alias("own"), F.col("embedding").alias("clip"))
     s = search.scored(p, q).filter("id <> qid")
-    k = s.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id")))
     right = F.col("own") == F.col("want")
+    # the best three of each query, of which each task keeps its own first; all others only add to means
     one = lambda most: F.max(F.when((F.col("rank") <= most) & right, 1.0).otherwise(0.0))
-    per = k.groupBy("qid").agg(one(1).alias("first"), one(3).alias("third"), (F.avg(F.when(right, F.col("score"))) - F.avg(F.when(~right, F.col("score")))).alias("margin"), F.max(F.when(~right, F.col("score"))).alias("floor"))
+    first = search.top(s, 3).groupBy("qid").agg(one(1).alias("first"), one(3).alias("third"))
+    means = s.groupBy("qid").agg((F.avg(F.when(right, F.col("score"))) - F.avg(F.when(~right, F.col("score")))).alias("margin"), F.max(F.when(~right, F.col("score"))).alias("floor"))
+    per = first.join(means, "qid")
     mean = lambda c, n: F.round(F.avg(c), 6).alias(n)
     return per.agg(mean("first", "top1"), mean("third", "recall3"), mean("margin", "margin"), mean("floor", "absent_floor"))
 
