@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed values of the two encoders: frame tokens, lengths, the token of unknown words.
@@ -141,6 +141,13 @@ def load_wordpiece(path: str) -> dict[str, int]:
         return {line.rstrip("\n"): k for k, line in enumerate(f)}
 
 
+def vocabulary_table(spark: SparkSession, path: str) -> DataFrame:
+    """The same as a table of ``token`` and ``id``, for a file in any store that Spark reads (SRC8)."""
+    whole = spark.read.text(path, wholetext=True)
+    lines = whole.select(F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("id", "token"))
+    return lines.select("token", F.col("id").cast("long").alias("id"))
+
+
 def toy_bpe() -> tuple[dict[str, int], list[tuple[str, str]]]:
     """Letters, and merges of common pairs: enough to show the rules where no vocabulary is at hand."""
     merges = [("t", "h"), ("e", "r"), ("a", "n"), ("th", "e</w>"), ("o", "n</w>"), ("i", "n"), ("in", "g</w>")]

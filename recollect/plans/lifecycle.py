@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import tokenizers
+from ..functions import vectors as V
 from ..operators import scan, sync
 from ..sources import encoders, legacy, reports, store
 from ..sources import moments as M
@@ -140,18 +137,21 @@ def src_snapshots(spark, sf_dir):
     return spark.createDataFrame(rows, "step string, state string, n long, loaded long")
 
 
-@query("snk_extracted", "SELECT * FROM (VALUES (1::BIGINT, true), (2, false), (3, true)) v(time, copied)")
+EXTRACTED = """SELECT 1::BIGINT AS time, true AS copied, sum(length(doc_id::VARCHAR) + 1)::BIGINT AS bytes FROM documents UNION ALL SELECT 2, false, sum(length(doc_id::VARCHAR) + 1) FROM documents
+UNION ALL SELECT 3, true, sum(length(o_orderkey::VARCHAR) + 1) FROM orders"""
+
+
+@query("snk_extracted", EXTRACTED)
 def snk_extracted(spark, sf_dir):
-    """An asset is copied once, and again when its size has changed (SRC11)."""
+    """An asset, a file of ids, is copied once, and again when its size has changed (SRC11)."""
     s, asset = sync.Snapshots(spark, run.shared_folder(spark)), run.shared_folder(spark)
-    made = lambda n: spark.range(n).select(F.lit("x").alias("value")).coalesce(1).write.mode("overwrite").text(asset)
     rows = []
-    for time, n in ((1, 3), (2, None), (3, 4)):
-        if n:
-            made(n)
+    for time, (table, column) in ((1, ("documents", "doc_id")), (2, (None, None)), (3, ("orders", "o_orderkey"))):
+        if table:
+            M.table(spark, sf_dir, table).select(F.col(column).cast("string").alias("value")).coalesce(1).write.mode("overwrite").text(asset)  # an asset is one file
         part = spark.read.format("binaryFile").load(f"{asset}/part-*").select("path").first().path
-        rows.append((time, s.extract(part, "asset")))
-    return spark.createDataFrame(rows, "time long, copied boolean")
+        rows.append((time, s.extract(part, "asset"), s.size(f"{s.root}/asset")))
+    return spark.createDataFrame(rows, "time long, copied boolean, bytes long")
 
 
 @query("snk_report_csv", "SELECT 'insert' AS op, event_id AS run, round(value, 2) AS ms FROM events WHERE user_id % 10 = 0")
@@ -172,23 +172,48 @@ def eval_given_up(spark, sf_dir):
     return reports.slow_runs(M.table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("chunk"), F.col("value").alias("rate")), 40.0)
 
 
-@query("eval_workload", "SELECT 2000::BIGINT AS n, true AS unit, true AS near")
+WORKLOAD = f"""WITH v AS (SELECT event_id AS id, event_id % 100 AS c, list_transform(range(1, {SIZE + 1}), lambda i: cos((event_id % 100 + 1) * (0.7 + i * i % 13)) + 0.05 * sin((event_id + 1) * (0.3 + i % 7))) AS x,
+  list_transform(range(1, {SIZE + 1}), lambda i: cos((event_id % 100 + 1) * (0.7 + i * i % 13))) AS m FROM events),
+s AS (SELECT id, list_cosine_similarity(x, m) AS near FROM v)
+SELECT count(*) AS n, count(*) AS of_unit_length, count(*) FILTER (near > 0.95) AS near_their_centre, round(min(near), 6) AS furthest FROM s"""
+
+
+@query("eval_workload", WORKLOAD)
 def eval_workload(spark, sf_dir):
-    """Vectors of a workload: all of length one, each near one of the centres (EVL3)."""
-    v = reports.clustered(2000, SIZE, seed=3)
-    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "id long, v array<double>")
-    near = float((v @ v.T - 2 * (v @ v.T > 1 - 1e-6)).max(1).min()) > 0.6  # every vector has a neighbour of its cluster
-    unit = F.abs(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x) - 1) < 1e-4
-    return df.agg(F.count("*").alias("n"), F.bool_and(unit).alias("unit"), F.lit(near).alias("near"))
+    """Vectors of a workload, one for each event: all of length one, each near one of a hundred centres (EVL3)."""
+    w = reports.workload(M.table(spark, sf_dir, "events").select(F.col("event_id").alias("id")), SIZE, 100)
+    length, near = V.dot(F.col("v"), F.col("v")), V.cosine(F.col("v"), F.col("centre"))
+    return w.agg(F.count("*").alias("n"), F.count_if(F.abs(length - 1) < 1e-9).alias("of_unit_length"), F.count_if(near > 0.95).alias("near_their_centre"), F.round(F.min(near), 6).alias("furthest"))
+
 
+@query("eval_timing", """SELECT op, s[len(s) // 2 + 1] AS median, s[len(s) * 9 // 10 + 1] AS p90, s[1] AS least, s[len(s)] AS most, round(list_avg(s), 6) AS mean
+FROM (SELECT event_type AS op, list_sort(list(value)) AS s FROM events WHERE value IS NOT NULL GROUP BY event_type)""")
+def eval_timing(spark, sf_dir):
+    """The statistics of each operation's runs: upper median, p90, least, most, mean (EVL4)."""
+    e = M.table(spark, sf_dir, "events").filter("value IS NOT NULL").select(F.col("event_type").alias("op"), F.col("value").alias("ms"))
+    return reports.timings(e)
 
-@query("rel_disk_usage", "SELECT 12::BIGINT AS bytes")
+
+@query("eval_reopened", with_points("SELECT count(*) AS stored, count(*) + count(*) FILTER (id % 10 = 0) AS reopened, count(*) FILTER (type = 'frame') + count(*) FILTER (type = 'frame' AND id % 10 = 0) AS frames FROM points WHERE type IN ('frame', 'region')"))
+def eval_reopened(spark, sf_dir):
+    """A store that is closed, opened again and given more has what both put there (EVL2)."""
+    first = stored(spark, sf_dir, "type IN ('frame', 'region')")
+    n = first.count()
+    again = store.MomentStore(spark, first.root, SIZE, SIZE)
+    again.upsert(again.points().filter("cast(id AS long) % 10 = 0").withColumn("id", F.concat(F.lit("more "), "id")))
+    third = store.MomentStore(spark, first.root, SIZE, SIZE)
+    return spark.createDataFrame([(n, third.count(), third.frame_count())], "stored long, reopened long, frames long")
+
+
+@query("rel_disk_usage", "SELECT 'b32' AS namespace, sum(length(o_orderkey::VARCHAR) + 1)::BIGINT AS bytes FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT 'b320', sum(length(o_orderkey::VARCHAR) + 1) FROM orders WHERE o_orderkey % 2 = 1")
 def rel_disk_usage(spark, sf_dir):
-    """Bytes of the files of one namespace, not of another whose name goes on (REL23)."""
+    """Bytes of the files of each namespace, none of another whose name goes on (REL23)."""
     place = run.shared_folder(spark)
-    for namespace, n in (("b32", 6), ("b320", 9)):  # two bytes a line
-        spark.range(n).select(F.lit("x").alias("value")).coalesce(1).write.text(f"{place}/ns-{namespace}")
-    return reports.disk_usage(spark, place, "b32")
+    keys = M.table(spark, sf_dir, "orders").select("o_orderkey")
+    for namespace, odd in (("b32", 0), ("b320", 1)):
+        keys.filter(F.col("o_orderkey") % 2 == odd).select(F.col("o_orderkey").cast("string").alias("value")).write.text(f"{place}/ns-{namespace}")
+    usage = lambda n: reports.disk_usage(spark, place, n).select(F.lit(n).alias("namespace"), "bytes")
+    return usage("b32").unionByName(usage("b320"))
 
 
 @query(
@@ -206,16 +231,13 @@ def src_encoded(spark, sf_dir):
     return c.select("conv_id", "turn", state.alias("state"))
 
 
-@query("src_vocabulary", "SELECT 'w' || label AS token, label::BIGINT AS id FROM (SELECT DISTINCT label FROM embeddings)")
+@query("src_vocabulary", "SELECT 'w' || label AS token, row_number() OVER (ORDER BY label) - 1 AS id FROM (SELECT DISTINCT label FROM embeddings)")
 def src_vocabulary(spark, sf_dir):
-    """A vocabulary of a token in each line, numbered by its lines (SRC8)."""
+    """A vocabulary of a token in each line, numbered by its lines, written to and read from the shared folder (SRC8)."""
+    place = run.shared_folder(spark)
     labels = M.table(spark, sf_dir, "embeddings").select("label").distinct().orderBy("label")
-    lines = [f"w{r.label}" for r in labels.collect()]  # a bounded dictionary
-    with tempfile.NamedTemporaryFile("w", suffix=".txt", encoding="utf-8") as f:
-        f.write("\n".join(lines) + "\n")
-        f.flush()
-        found = tokenizers.load_wordpiece(f.name)
-    return spark.createDataFrame(list(found.items()), "token string, id long")
+    labels.select(F.concat(F.lit("w"), "label").alias("value")).coalesce(1).write.text(place)  # a vocabulary is one file
+    return tokenizers.vocabulary_table(spark, f"{place}/part-*")
 
 
 SOURCES = """SELECT 'camera' AS source, count(*) AS n FROM (SELECT user_id, epoch_us(ts) // 1000 AS ts FROM events WHERE event_type = 'view')
@@ -356,19 +378,10 @@ def hud_push(spark, sf_dir):
     e = stream(spark, sf_dir, "events").filter("event_id % 10 = 0")
     event = F.to_json(F.struct(F.lit("mark").alias("t"), F.col("event_id").alias("id"), F.col("user_id").alias("user")))
     inbox = run.shared_folder(spark)
-    folder = inbox.removeprefix("file:")
-    os.makedirs(folder, exist_ok=True)
-
-    def keep(messages: list[str]) -> None:
-        aside = os.path.join(tempfile.gettempdir(), uuid.uuid4().hex)
-        with open(aside, "w", encoding="utf-8") as f:
-            f.write("\n".join(messages) + "\n")
-        with open(aside, "rb") as f, open(os.path.join(folder, f"{uuid.uuid4().hex}.txt"), "wb") as to:
-            to.write(f.read())
-        os.remove(aside)
-
-    push.push(e.select(event.alias("event")), run.shared_folder(spark), keep)
-    return spark.read.schema("value string").text(inbox).select(F.col("value").alias("event"))
+    push.push(e.select(event.alias("event")), run.shared_folder(spark), push.file_viewer(inbox))
+    # a viewer that keeps each message once, however often it was sent
+    shown = spark.read.schema("message string, part int, event string").json(inbox).dropDuplicates(["message", "part"])
+    return shown.select("event")
 
 
 @query("hud_replay", with_points("SELECT CAST(moment_id AS VARCHAR) AS id, timestamp_ms AS ts, row_number() OVER (ORDER BY timestamp_ms, id) AS count FROM (SELECT id, moment_id, timestamp_ms FROM points WHERE type = 'frame' ORDER BY timestamp_ms DESC, id DESC LIMIT 60)"))

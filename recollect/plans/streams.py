@@ -111,6 +111,40 @@ def app_states(spark, sf_dir):
     return c.groupBy("conv_id").agg(events.alias("e")).select("conv_id", fold(F.col("e")).alias("state"))
 
 
+EVENTS = ["ready", "listen", "heard", "found", "dismiss", "record", "stop", "cancel", "fail"]
+
+APP = f"""WITH RECURSIVE moves AS (SELECT * FROM (VALUES {', '.join(f"('{a}', '{x}', '{to}')" for (a, x), to in MOVES.items())}) m(a, event, b)),
+e AS (SELECT user_id AS key, event_id, {EVENTS}[1 + event_id * 7 % 9] AS event, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS k FROM events),
+s AS (
+  SELECT key, 0::BIGINT AS k, 'Loading' AS state, NULL::BIGINT AS event_id, false AS moved FROM (SELECT DISTINCT key FROM e)
+  UNION ALL
+  SELECT e.key, e.k, coalesce(m.b, s.state), e.event_id, m.b IS NOT NULL FROM s JOIN e ON e.key = s.key AND e.k = s.k + 1 LEFT JOIN moves m ON m.a = s.state AND m.event = e.event
+)
+SELECT key, event_id, state FROM s WHERE moved"""
+
+
+def app_events(spark: SparkSession, sf_dir: str, streaming: bool) -> DataFrame:
+    e = stream(spark, sf_dir, "events") if streaming else M.table(spark, sf_dir, "events")
+    event = F.get(F.array(*map(F.lit, EVENTS)), (F.col("event_id") * 7 % 9).cast("int"))
+    rows = e.select(F.col("user_id").cast("long").alias("key"), F.col("event_id").cast("long").alias("event_id"), event.alias("event"), F.col("ts").cast("timestamp").alias("at"))
+    return rows if streaming else rows.withColumn("at_ms", F.unix_millis("at")).drop("at")
+
+
+NAMED = {f"{a}/{x}": to for (a, x), to in MOVES.items()}
+
+
+@query("batch_app_states", APP)
+def batch_app_states(spark, sf_dir):
+    """Every move of each user's app (STR15)."""
+    return live.states_batch(app_events(spark, sf_dir, False), NAMED, "Loading")
+
+
+@query("stream_app_states", APP)
+def stream_app_states(spark, sf_dir):
+    """The same on a stream, the state kept between its batches (STR15)."""
+    return live.to_its_end(lambda s: live.states_stream(s, NAMED, "Loading"), app_events(spark, sf_dir, True), "at")
+
+
 @query(
     "app_button",
     "SELECT event_id, CASE WHEN held < 3600000 THEN 'tap' ELSE 'long' END AS press FROM (SELECT event_id, epoch_us(ts) // 1000 - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) // 1000 AS held FROM events) WHERE held > 300000",

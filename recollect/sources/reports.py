@@ -38,6 +38,29 @@ def clustered(n: int, size: int, seed: int = 0, spread: float = 0.05) -> np.ndar
     return (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
 
 
+def workload(ids: DataFrame, size: int, centres: int = 100, spread: float = 0.05) -> DataFrame:
+    """A unit vector ``v`` for each ``id``, near one of the ``centre`` vectors (EVL3): made by the tasks from the id alone, so the same each time."""
+    k = F.sequence(F.lit(1), F.lit(size))
+    one = F.col("id")
+    own = F.transform(k, lambda i: F.cos((F.pmod(one, F.lit(centres)) + 1) * (0.7 + (i * i) % 13)))
+    moved = F.zip_with("centre", k, lambda x, i: x + spread * F.sin((one + 1) * (0.3 + i % 7)))
+    # arrays are made once, and then used by name
+    once = lambda value, use: F.get(F.transform(F.array(value), use), 0)
+    unit = once(moved, lambda m: once(F.sqrt(F.aggregate(m, F.lit(0.0), lambda s, x: s + x * x)), lambda n: F.transform(m, lambda x: x / n)))
+    return ids.select("id", once(own, lambda c: F.struct(c.alias("centre"))).alias("c")).select("id", F.col("c.centre").alias("centre")).select("id", unit.alias("v"), "centre")
+
+
+def timings(df: DataFrame) -> DataFrame:
+    """Upper median, p90, least, most and mean of the runs (``ms``) of each ``op`` (EVL4): equal times are counted first, then ranked by their counts."""
+    counts = df.groupBy("op", "ms").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("op").orderBy("ms")
+    upto = counts.withColumn("upto", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(Window.partitionBy("op")))
+    at = lambda place: F.min(F.when(F.col("upto") > place, F.col("ms")))
+    middle, late = F.floor(F.col("all") / 2), F.floor(F.col("all") * 9 / 10)
+    mean = F.round(F.sum(F.col("ms") * F.col("n")) / F.first("all"), 6)
+    return upto.groupBy("op").agg(at(middle).alias("median"), at(late).alias("p90"), F.min("ms").alias("least"), F.max("ms").alias("most"), mean.alias("mean"))
+
+
 def given_up(rates: list[float], least: float = LEAST_RATE, chunks: int = CHUNKS) -> bool:
     """Whether so many chunks in a row were too slow (EVL5)."""
     slow = 0

@@ -318,6 +318,41 @@ def accepted_stream(frames: DataFrame, **limits) -> DataFrame:
     return on_stream(frames, "camera", processor, ACCEPTED)
 
 
+@dataclass
+class App:
+    """The app's state machine (STR15): an event that fits no move from the state changes nothing."""
+
+    moves: dict[str, str]
+    state: str
+
+    def due_ms(self) -> None:
+        return None
+
+    def end(self) -> list[tuple]:
+        return []
+
+    def step(self, row) -> list[tuple]:
+        after = self.moves.get(f"{self.state}/{row.event}")
+        if after is None:
+            return []
+        self.state = after
+        return [(int(row.event_id), after)]
+
+
+MOVED = "key long, event_id long, state string"
+
+
+def states_batch(events: DataFrame, moves: dict[str, str], start: str) -> DataFrame:
+    """Each move of ``key``, ``at_ms``, ``event_id``, ``event`` and the state after it."""
+    return folded(events, "key", ["at_ms", "event_id"], lambda: App(moves, start), MOVED)
+
+
+def states_stream(events: DataFrame, moves: dict[str, str], start: str) -> DataFrame:
+    """The same on a stream, ``at`` being a timestamp."""
+    processor = Fold(lambda: App(moves, start), lambda s: App(**s), "at_ms long, event_id long, event string", ["event_id"], ["key", "event_id", "state"])
+    return on_stream(events, "key", processor, MOVED)
+
+
 # --- the nearest frame
 
 

@@ -2,43 +2,64 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def push(stream: DataFrame, place: str, send: Callable[[list[str]], None], size: int = 100) -> None:
+def push(stream: DataFrame, place: str, send: Callable[[str, list[str]], None], size: int = 100) -> None:
     """Send the column ``event`` of a stream for what there is now, ``size`` events at a time, from the tasks that have them.
 
-    A receiver that fails loses those events, and the stream goes on; a batch is not sent again once its number is written down.
+    Each message has a name of its batch, its task's part of it, and its number, so a receiver can tell one that a task that is run again sends
+    once more.  A receiver that fails loses that message, and the stream goes on; a batch is not sent again once its number is written down.
     """
 
-    def tell(rows: Iterator) -> None:
-        waiting: list[str] = []
-
-        def out() -> None:
-            try:
-                send(waiting)
-            except OSError:
-                pass  # a viewer that is away misses the event
-
-        for r in rows:
-            waiting.append(r.event)
-            if len(waiting) == size:
+    def each(batch: DataFrame, number: int) -> None:
+        def tell(rows: Iterator) -> None:
+            waiting: list[str] = []
+            part, sent = TaskContext.get().partitionId(), 0
+
+            def out() -> None:
+                try:
+                    send(f"{number}-{part}-{sent}", waiting)
+                except OSError:
+                    pass  # a viewer that is away misses the message
+
+            for r in rows:
+                waiting.append(r.event)
+                if len(waiting) == size:
+                    out()
+                    waiting, sent = [], sent + 1
+            if waiting:
                 out()
-                waiting = []
-        if waiting:
-            out()
 
-    def each(batch: DataFrame, number: int) -> None:
-        batch.select("event").foreachPartition(tell)
+        # in an order of their own, so that a part that is run again cuts the same messages
+        batch.select("event").sortWithinPartitions("event").foreachPartition(tell)
 
     query = stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
 
 
+def file_viewer(folder: str) -> Callable[[str, list[str]], None]:
+    """A viewer that keeps each message as a file of a shared folder, one line for each event, through the file system that the folder names."""
+    uri = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+
+    def send(name: str, events: list[str]) -> None:
+        import pyarrow.fs
+
+        fs, path = pyarrow.fs.FileSystem.from_uri(uri)
+        fs.create_dir(path, recursive=True)
+        lines = [json.dumps({"message": name, "part": k, "event": e}) for k, e in enumerate(events)]
+        with fs.open_output_stream(f"{path}/{name}.json") as out:
+            out.write(("\n".join(lines) + "\n").encode())
+
+    return send
+
+
 PACED = "key long, id long, ts long"
 
 

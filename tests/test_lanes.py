@@ -37,10 +37,10 @@ def test_push_drops_what_a_viewer_misses(spark, tmp_path):
     inbox = str(tmp_path / "inbox")
     os.makedirs(inbox)
 
-    def send(messages):
+    def send(name, messages):
         if "event 3" in messages:
             raise OSError("away")
-        with open(os.path.join(inbox, messages[0]), "w") as f:
+        with open(os.path.join(inbox, name), "w") as f:
             f.write("\n".join(messages))
 
     push.push(stream, str(tmp_path / "state"), send, 50)
