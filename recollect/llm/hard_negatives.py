@@ -102,7 +102,6 @@ def usable(df: DataFrame, anchor: Column, vec_id: str, vector: str, label: str)
     real = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     rows = df.filter(F.col(label).isNotNull() & F.col(vector).isNotNull() & real)
     rows = rows.select(F.col(vec_id).cast("long").alias("id"), F.col(label).alias("label"), F.coalesce(anchor, F.lit(False)).alias("anchor"), F.col(vector).alias("v"))
-    # labels are compared alone, so a hash of 64 bits would do; ranks of strings are not needed
     return written(rows.withColumn("row", F.monotonically_increasing_id()), "vectors")
 
 
