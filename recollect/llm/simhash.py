@@ -24,9 +24,9 @@ which those are left whose fingerprints of shingles differ in ``SPREAD`` bits at
 and parities: each shingle flips one of ``PARITIES`` bits, so two sets differ in as many shingles at least as their parities in bits, and sets
 of a Jaccard similarity s differ in (1 - s) / (1 + s) of their sizes' sum at most.  No link fails this, and of a family of texts that are alike
 but not enough hardly a pair passes, unless they have more than ``PARITY_SIZE`` shingles.  What is linked is verified by the shingles
-themselves.  Texts that differ in white space and case alone are one class from the start.  First the texts of each key are compared with the
-least of them only; then all candidates that these links haven't joined yet are compared.  So a group of very many near copies isn't
-compared pair by pair, and no candidate link between groups is lost.
+themselves.  Texts that differ in white space and case alone are one class from the start.  First the texts of each key, and those that share a few least shingles
+under ``ROUNDS`` orders of them, are compared with the least and the greatest of them only; then all candidates that these links haven't joined
+yet are compared.  So a group of very many near copies isn't compared pair by pair, and no candidate link between groups is lost.
 
 Defined results: a null text counts as an empty one; a text without words has fingerprint zero; texts of fewer words than a shingle
 are one shingle; repeated rows are linked like any others; a null doc_id is ignored as a component's least id unless it is the only
@@ -57,6 +57,10 @@ SHINGLE, SIMILARITY, TABLES, NEAR = 5, 0.8, 4, 6
 SPREAD = 18
 #: Parity bits of a set of shingles, and the size up to which a set has them (larger ones would fill the bits).
 PARITIES, PARITY_SIZE = 256, 512
+#: Rounds of first links by least shingles, and how many of them texts must share in a round.
+ROUNDS, SHARED = 8, 5
+#: A key of more texts than this is refined where near copies are sought: parities prune inside of it, but their looks at pairs are bounded.
+CROWDED_TEXTS = 20_000
 #: Words whose hashes are kept in memory, and the longest of them.
 KEPT_WORDS, KEPT_BYTES = 150_000, 40
 #: Shingles whose bits are counted at once, which bounds memory for very long texts.
@@ -229,7 +233,7 @@ def grouped(df: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: lis
     return rows.join(named(rows), "fingerprint").select(*[F.col(f"`{c}`") for c in keep], "fingerprint", "component_id", "root", "row")
 
 
-PRINTS = StructType().add("class", "binary").add("prints", ArrayType(LongType())).add("spread", "long").add("shingles", "integer").add("size", "integer").add("parity", ArrayType(LongType()))
+PRINTS = StructType().add("class", "binary").add("prints", ArrayType(LongType())).add("spread", "long").add("shingles", "integer").add("size", "integer").add("parity", ArrayType(LongType())).add("rounds", ArrayType(LongType()))
 
 
 def words_of(text: str) -> list[bytes]:
@@ -278,8 +282,20 @@ def parities(hashes: np.ndarray) -> list[int] | None:
     return np.packbits(odd).view(np.int64).tolist()
 
 
+#: Odd factors, each of which puts hashes into an order of its own.
+ORDERS = np.random.default_rng(SEED).integers(0, 1 << 63, ROUNDS * SHARED).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def rounds(hashes: np.ndarray) -> list[int]:
+    """For each round a hash of the least shingles under its orders."""
+    least = np.full(len(ORDERS), np.iinfo(np.uint64).max, np.uint64)
+    for a in range(0, len(hashes), AT_ONCE // 8):
+        least = np.minimum(least, (hashes[a : a + AT_ONCE // 8, None] * ORDERS).min(0))
+    return [xxhash.xxh64_intdigest(part.tobytes(), k) - (1 << 63) for k, part in enumerate(least.reshape(ROUNDS, SHARED))]
+
+
 def classed(df: DataFrame, text: str) -> Column:
-    """The class of a text (a hash of its words), the fingerprints of its words and shingles, and the size and parities of its set of shingles."""
+    """The class of a text (a hash of its words), the fingerprints of its words and shingles, and of its set of shingles size, parities and rounds."""
 
     def start():
         kept: dict[bytes, bytes] = {}
@@ -295,6 +311,7 @@ def classed(df: DataFrame, text: str) -> Column:
                 pa.array([len(h) for h in hashes], pa.int32()),
                 pa.array([len(h) for h in sets], pa.int32()),
                 pa.array([parities(h) for h in sets], pa.list_(pa.int64())),
+                pa.array([rounds(h) for h in sets], pa.list_(pa.int64())),
             ]
             return pa.StructArray.from_arrays(columns, names=PRINTS.names)
 
@@ -332,9 +349,9 @@ def near_copies(rows: DataFrame, docs: DataFrame, text: str, similarity: float =
     ``rows`` has the ``class``, ``prints``, ``spread`` and number of ``shingles`` of each row of ``docs``, and both have the keys ``__k1`` and ``__k2``.
     """
     ones = F.min(F.struct("__k1", "__k2")).alias("k")  # one row of each class: all of a class have the same shingles
-    same = [F.first(c).alias(c) for c in ("prints", "spread", "size", "parity")]
+    same = [F.first(c).alias(c) for c in ("prints", "spread", "size", "parity", "rounds")]
     texts = rows.filter("shingles > 0").groupBy("class").agg(*same, ones)
-    texts = texts.select("class", "prints", "spread", "size", *[F.get("parity", k).alias(c) for k, c in enumerate(PARITY)], "k.*")
+    texts = texts.select("class", "prints", "rounds", "spread", "size", *[F.get("parity", k).alias(c) for k, c in enumerate(PARITY)], "k.*")
     texts = written(texts.withColumn("node", F.monotonically_increasing_id()), "texts")
     sketch = ["spread", "size", *PARITY]
     each = texts.select("node", *sketch, F.posexplode("prints").alias("kind", "fp"))
@@ -346,20 +363,24 @@ def near_copies(rows: DataFrame, docs: DataFrame, text: str, similarity: float =
         return written(own.select("node", shingle_sets(own, "t").alias("shingles")).groupBy("node").agg(F.first("shingles").alias("shingles")), name)
 
     apart = lambda x, y: F.bit_count(x.bitwiseXOR(y))
-    # the texts of each key with the least of them
-    points = written(keyed(each.withColumn("root", F.col("node")), False).select("key", "node", *sketch), "points")
-    least = points.groupBy("key").agg(F.min(F.struct("node", *sketch)).alias("first"), F.count("*").alias("n")).filter("n > 1").select("key", "first")
+    # the texts of each key with the least and the greatest of them
+    points = keyed(each.withColumn("root", F.col("node")), False).select("key", "node", *sketch)
+    points = written(points.unionByName(texts.select(F.explode("rounds").alias("key"), "node", *sketch)), "points")
+    row = F.struct("node", *sketch)
+    ends = points.groupBy("key").agg(F.min(row).alias("least"), F.max(row).alias("most"), F.count("*").alias("n")).filter("n > 1")
+    ends = written(ends.select("key", F.explode(F.array("least", "most")).alias("first")), "ends")
     own, first = {c: F.col(c) for c in sketch}, {c: F.col("first")[c] for c in sketch}
     near = (apart(own["spread"], first["spread"]) <= SPREAD) & may_be_alike(own, first, similarity)
-    stars = points.join(written(least, "least"), "key").filter((F.col("node") != F.col("first.node")) & near)
-    stars = written(stars.select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+    stars = points.join(ends, "key").filter((F.col("node") != F.col("first.node")) & near)
+    stars = stars.select(F.least("node", F.col("first.node")).alias("a"), F.greatest("node", F.col("first.node")).alias("b"))
+    stars = written(stars.distinct(), "stars")
     sure = written(verified(stars, sets_of(stars, "sets"), similarity), "sure")
     roots = written(components(sure).withColumnRenamed("node", "of"), "roots")
     # candidates that are still apart
     rooted = written(each.join(roots, each["node"] == roots["of"], "left").withColumn("root", F.coalesce("root", "node")).drop("of"), "rooted")
     same = lambda p, q: (apart(p["fp"], q["fp"]) <= NEAR) & (apart(p["spread"], q["spread"]) <= SPREAD)
     close = lambda p, q: (p["root"] != q["root"]) & same(p, q) & may_be_alike(p, q, similarity)
-    more = written(met(rooted, close, "node").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "more")
+    more = written(met(rooted, close, "node", CROWDED_TEXTS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "more")
     late = written(verified(more, sets_of(more, "late_sets"), similarity), "late")
     roots = components(sure.unionByName(late)).withColumnRenamed("node", "of")
     return texts.select("class", "node").join(roots, F.col("node") == F.col("of"), "left").select("class", F.coalesce("root", "node").alias("group"))
