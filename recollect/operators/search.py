@@ -4,30 +4,19 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from . import pairs
 
-DIGITS = 6
-#: Queries are sent to all tasks up to this number; more are searched in blocks of it.
-SENT_QUERIES = 20_000
-
-
-def blocks(queries: DataFrame, size: int = SENT_QUERIES) -> list[DataFrame]:
-    """A set of queries in parts of about ``size``, so that what is sent to all tasks is bounded whatever their number."""
-    n = -(-queries.count() // size)
-    return [queries] if n <= 1 else [queries.filter(F.pmod(F.xxhash64("qid"), F.lit(n)) == k) for k in range(n)]
+DIGITS = pairs.DIGITS
 
 
 def against(points: DataFrame, queries: DataFrame) -> DataFrame:
     """All points with each query: block after block of queries, each sent to the points."""
-    return reduce(DataFrame.unionByName, [points.crossJoin(F.broadcast(b)) for b in blocks(queries)])
-
-
-def scored(points: DataFrame, queries: DataFrame, vector: str = "clip") -> DataFrame:
-    """All points with ``score`` for each query (``qid``, ``q``).  The points stay where they are."""
-    return against(points, queries).withColumn("score", F.round(V.cosine(F.col(vector), F.col("q")), DIGITS)).drop("q", vector)
+    return reduce(DataFrame.unionByName, [points.crossJoin(F.broadcast(b)) for b in pairs.blocks(queries)])
 
 
 def top(scored_points: DataFrame, k: int, order: Column | None = None) -> DataFrame:
@@ -38,7 +27,7 @@ def top(scored_points: DataFrame, k: int, order: Column | None = None) -> DataFr
 
 def knn(points: DataFrame, queries: DataFrame, k: int = 5, vector: str = "clip") -> DataFrame:
     """Exact search by cosine (VEC1-VEC6): filter the points first, and ``k`` come back whenever so many are left."""
-    return top(scored(points, queries, vector), k)
+    return top(pairs.nearest(points, queries, k, vector), k)
 
 
 def overfetch(points: DataFrame, queries: DataFrame, keep: Column, k: int = 5) -> DataFrame:
@@ -49,9 +38,10 @@ def overfetch(points: DataFrame, queries: DataFrame, keep: Column, k: int = 5) -
 
 def binary(points: DataFrame, queries: DataFrame, k: int = 5, oversample: int = 32) -> DataFrame:
     """Search by sign codes, then exact scores of ``oversample * k`` candidates (VEC8, VEC9)."""
-    coded = against(points.withColumn("code", V.sign_code(F.col("clip"))), queries.withColumn("qcode", V.sign_code(F.col("q"))))
-    near = top(coded.withColumn("apart", V.hamming(F.col("code"), F.col("qcode"))), k * oversample, F.asc("apart")).drop("rank", "code", "qcode")
-    return top(near.withColumn("score", F.round(V.cosine(F.col("clip"), F.col("q")), DIGITS)).drop("q", "clip"), k)
+    coded = points.withColumn("code", F.coalesce(V.sign_code(F.col("clip")), F.lit(0).cast("long")))
+    asked = queries.withColumn("code", F.coalesce(V.sign_code(F.col("q")), F.lit(0).cast("long")))
+    near = top(pairs.nearest(coded, asked, k * oversample, code="code"), k * oversample, F.asc("apart")).drop("rank", "apart")
+    return top(near, k)
 
 
 def cells(points: DataFrame, bits: int = 4) -> DataFrame:
@@ -62,14 +52,15 @@ def cells(points: DataFrame, bits: int = 4) -> DataFrame:
 def cell_search(points: DataFrame, queries: DataFrame, k: int = 5, bits: int = 4, differing: int = 2) -> DataFrame:
     """Approximate search: only cells that differ from the query's in few bits; recall grows with ``differing`` (VEC11, VEC12).
 
-    Each query is sent to the cells around its own, and meets points by an equi-join on the cell.  ``bits`` is the caller's: more for more
-    points, so that a cell stays a task's work.  ``ann.Index`` has lists that are fitted to the points instead.
+    Points meet the queries of the cells around their own only.  ``ann.Index`` has lists that are fitted to the points instead.
     """
-    masks = [m for m in range(1 << bits) if m.bit_count() <= differing]
-    own = V.sign_code(F.slice("q", 1, bits))
-    sought = queries.select("qid", "q", F.explode(F.transform(F.array(*map(F.lit, masks)), lambda m: own.bitwiseXOR(m.cast("long")))).alias("cell"))
-    near = cells(points, bits).join(sought, "cell")
-    return top(near.withColumn("score", F.round(V.cosine(F.col("clip"), F.col("q")), DIGITS)).drop("q", "clip", "cell"), k)
+    asked = queries.withColumn("cell", V.sign_code(F.slice("q", 1, bits)))
+
+    def looks(block: pairs.Asked):
+        own = pairs.ids_of(block.table["cell"])
+        return lambda cell: np.flatnonzero(np.bitwise_count(own ^ cell) <= differing)
+
+    return top(pairs.nearest(cells(points, bits).filter("cell IS NOT NULL"), asked.filter("cell IS NOT NULL"), k, group="cell", looks=looks), k)
 
 
 def recall(truth: DataFrame, found: DataFrame) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import querytext as T
 from ..functions import vectors as V
-from ..operators import ann, fusion, intervals, scan, search
+from ..operators import ann, fusion, intervals, pairs, scan, search
 from ..operators.ranking import numbered
 from ..sources import encoders
 from ..sources import moments as M
@@ -41,28 +42,33 @@ def knn_sql(condition: str, k: int = 5, queries: str = ONE, columns: str = "qid,
 FOUND = ["qid", "id", "score", "rank"]
 
 
+def places(p: DataFrame) -> DataFrame:
+    """What a search needs of points where no more than ids and scores are asked for."""
+    return p.select("id", "clip")
+
+
 def found(df: DataFrame) -> DataFrame:
     return df.select("qid", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query("vec_knn", knn_sql("true"))
 def vec_knn(spark, sf_dir):
-    return found(search.knn(points(spark, sf_dir), one_query(spark, sf_dir)))
+    return found(search.knn(places(points(spark, sf_dir)), one_query(spark, sf_dir)))
 
 
 @query("vec_knn_batch", knn_sql("true", 10, MANY))
 def vec_knn_batch(spark, sf_dir):
-    return found(search.knn(points(spark, sf_dir), query_set(spark, sf_dir), 10))
+    return found(search.knn(places(points(spark, sf_dir)), query_set(spark, sf_dir), 10))
 
 
 @query("vec_knn_filtered", knn_sql(f"timestamp_ms BETWEEN {SINCE} AND {UNTIL}", 5, MANY))
 def vec_knn_filtered(spark, sf_dir):
-    return found(search.knn(scan.of_type(points(spark, sf_dir), None, SINCE, UNTIL), query_set(spark, sf_dir)))
+    return found(search.knn(places(scan.of_type(points(spark, sf_dir), None, SINCE, UNTIL)), query_set(spark, sf_dir)))
 
 
 def channel(kind: str):
     def run(spark, sf_dir):
-        return found(search.knn(scan.of_type(points(spark, sf_dir), kind, SINCE, UNTIL), query_set(spark, sf_dir)))
+        return found(search.knn(places(scan.of_type(points(spark, sf_dir), kind, SINCE, UNTIL)), query_set(spark, sf_dir)))
 
     return run
 
@@ -73,7 +79,7 @@ for _name, _kind in (("vec_channel_frames", "frame"), ("vec_channel_regions", "r
 
 @query("vec_mobile_label", knn_sql("type = 'region' AND label = 'bus'", 20, MANY))
 def vec_mobile_label(spark, sf_dir):
-    return found(search.knn(scan.of_type(points(spark, sf_dir), "region", label="bus"), query_set(spark, sf_dir), 20))
+    return found(search.knn(places(scan.of_type(points(spark, sf_dir), "region", label="bus")), query_set(spark, sf_dir), 20))
 
 
 @query(
@@ -84,7 +90,7 @@ def vec_mobile_label(spark, sf_dir):
     ),
 )
 def vec_overfetch(spark, sf_dir):
-    return found(search.overfetch(points(spark, sf_dir), query_set(spark, sf_dir), scan.in_window(SINCE, UNTIL)))
+    return found(search.overfetch(points(spark, sf_dir).select("id", "timestamp_ms", "clip"), query_set(spark, sf_dir), scan.in_window(SINCE, UNTIL)))
 
 
 CODE = "list_sum(list_transform(range(1, 65), lambda i: CASE WHEN {v}[i] > 0 THEN (1::HUGEINT << (i - 1)) ELSE 0::HUGEINT END))::HUGEINT"
@@ -102,12 +108,12 @@ def binary_sql(condition: str) -> str:
 
 @query("vec_binary_rescore", binary_sql("true"))
 def vec_binary_rescore(spark, sf_dir):
-    return found(search.binary(points(spark, sf_dir), query_set(spark, sf_dir)))
+    return found(search.binary(places(points(spark, sf_dir)), query_set(spark, sf_dir)))
 
 
 @query("vec_binary_filtered", binary_sql(f"timestamp_ms BETWEEN {SINCE} AND {UNTIL}"))
 def vec_binary_filtered(spark, sf_dir):
-    return found(search.binary(scan.of_type(points(spark, sf_dir), None, SINCE, UNTIL), query_set(spark, sf_dir)))
+    return found(search.binary(places(scan.of_type(points(spark, sf_dir), None, SINCE, UNTIL)), query_set(spark, sf_dir)))
 
 
 @query(
@@ -140,11 +146,8 @@ def vec_half(spark, sf_dir):
     round(1.0 - list_sum(list_transform(range(1, 65), lambda i: (embedding::DOUBLE[][i] - q[i]) * (embedding::DOUBLE[][i] - q[i]))) / 2, 5) AS by_l2 FROM embeddings, queries""".replace("embedding::DOUBLE[][i]", "(embedding::DOUBLE[])[i]"),
 )
 def vec_distance_to_similarity(spark, sf_dir):
-    e = search.against(M.table(spark, sf_dir, "embeddings"), query_set(spark, sf_dir))
-    apart = F.zip_with("embedding", "q", lambda x, y: x.cast("double") - y.cast("double"))
-    squared = F.aggregate(apart, F.lit(0.0), lambda s, x: s + x * x)
-    cosine_distance = 1 - V.cosine(F.col("embedding"), F.col("q"))
-    return e.select("qid", "vec_id", F.round(V.similarity_from_cosine_distance(cosine_distance), 6).alias("by_cosine"), F.round(V.similarity_from_squared_l2(squared), 5).alias("by_l2"))
+    e = M.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return pairs.compared(e, query_set(spark, sf_dir), "embedding", similarity=True).withColumnRenamed("id", "vec_id")
 
 
 @query(
@@ -153,10 +156,11 @@ def vec_distance_to_similarity(spark, sf_dir):
 )
 def vec_cosine_guarded(spark, sf_dir):
     """Vectors of zeros and of another length score 0 (VEC14)."""
-    e = search.against(M.table(spark, sf_dir, "embeddings"), query_set(spark, sf_dir))
+    e = M.table(spark, sf_dir, "embeddings")
     kind = F.pmod("vec_id", F.lit(4))
     v = F.when(kind == 0, F.transform("embedding", lambda _: F.lit(0.0).cast("float"))).when(kind == 1, F.slice("embedding", 1, 32)).otherwise(F.col("embedding"))
-    return e.select("qid", "vec_id", F.round(V.cosine(v, F.col("q")), 6).alias("score"))
+    found = pairs.compared(e.select(F.col("vec_id").alias("id"), v.alias("v")), query_set(spark, sf_dir), "v")
+    return found.select("qid", F.col("id").alias("vec_id"), F.col("by_cosine").alias("score"))
 
 
 @query(
@@ -202,7 +206,7 @@ def vec_pairwise(spark, sf_dir):
 
 
 def hits(spark, sf_dir, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    p = points(spark, sf_dir)
+    p = points(spark, sf_dir).select("type", *fusion.HIT, "clip")
     return tuple(search.knn(p.filter(F.col("type") == kind), queries, k).drop("rank") for kind in ("frame", "region", "ocr"))
 
 
@@ -216,7 +220,8 @@ def hub_hits(spark, sf_dir, queries: DataFrame, k: int) -> DataFrame:
     """The shared corpus: some of the local frames, and copies of them under ids of its own a minute later."""
     frames = points(spark, sf_dir).filter((F.col("type") == "frame") & (F.pmod("moment_id", F.lit(7)) == 0))
     copies = frames.withColumn("id", F.col("id") + 1_000_000).withColumn("moment_id", F.col("moment_id") + 1_000_000).withColumn("timestamp_ms", F.col("timestamp_ms") + 60_000)
-    return search.knn(frames.unionByName(copies), queries, k).select("qid", "type", *fusion.HIT, "score")
+    every = frames.unionByName(copies).select("type", *fusion.HIT, "clip")
+    return search.knn(every, queries, k).select("qid", "type", *fusion.HIT, "score")
 
 
 def fused(spark, sf_dir, queries, k=fusion.RECALL_TOP) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -430,7 +435,7 @@ hr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS
 @query("legacy_heard_margin", with_points(f"{HEARD} SELECT qid, id, round(CASE WHEN nxt IS NULL THEN 1.0 ELSE score - nxt END, 6) AS margin FROM hr WHERE k = 1"))
 def legacy_heard_margin(spark, sf_dir):
     t = transcripts(spark, sf_dir)
-    return fusion.margin(search.scored(t, query_set(spark, sf_dir)))
+    return fusion.margin(search.knn(t.select("id", "clip"), query_set(spark, sf_dir), 2).drop("rank"))
 
 
 @query("legacy_retrieve")
@@ -470,7 +475,7 @@ def legacy_retrieve(spark, sf_dir):
     ),
 )
 def eval_recall(spark, sf_dir):
-    p, q = points(spark, sf_dir), query_set(spark, sf_dir)
+    p, q = places(points(spark, sf_dir)), query_set(spark, sf_dir)
     return search.recall(search.knn(p, q), search.binary(p, q))
 
 
@@ -490,7 +495,7 @@ CELL = "list_sum(list_transform(range(1, 5), lambda i: CASE WHEN {v}[i] > 0 THEN
 )
 def eval_cell_recall(spark, sf_dir):
     """Recall of the search in parts by how many bits a cell may differ (EVL8, VEC11, VEC12)."""
-    p, q = points(spark, sf_dir), query_set(spark, sf_dir)
+    p, q = places(points(spark, sf_dir)), query_set(spark, sf_dir)
     truth = search.knn(p, q)
     parts = [search.recall(truth, search.cell_search(p, q, differing=d)).withColumn("differing", F.lit(d)) for d in range(5)]
     out = parts[0]
@@ -567,16 +572,18 @@ def vec_ann_codes(spark, sf_dir):
 )
 def eval_ann_recall(spark, sf_dir):
     """Recall of the trained lists by how many a query looks into, and the share of points that it reads (EVL8, VEC11, VEC12)."""
-    p, q, made = points(spark, sf_dir), query_set(spark, sf_dir), index(spark, sf_dir)
+    p, q, made = places(points(spark, sf_dir)), query_set(spark, sf_dir), index(spark, sf_dir)
     truth, model = search.knn(p, q), made.quantiser()
     lists = len(model.centres)
-    sizes = {r["list"]: r["n"] for r in made.points().groupBy("list").agg(F.count("*").alias("n")).collect()}  # a row for each list
+    sizes = np.zeros(lists, np.int64)
+    for r in made.points().groupBy("list").agg(F.count("*").alias("n")).collect():  # a row for each list
+        sizes[r["list"]] = r["n"]
     parts = []
     for part in (8, 4, 2, 1):
         probes = max(1, lists // part)
         # the share that each query reads follows from the sizes of its lists
-        read = [sum(sizes.get(int(c), 0) for c in own) for _, m in made._blocks(q) for own in model.probes(m, probes)]
-        share = round(sum(read) / max(len(read), 1) / max(sum(sizes.values()), 1), 6)
+        read = [n for _, m in made._blocks(q) for n in sizes[model.probes(m, probes)].sum(1).tolist()]
+        share = round(sum(read) / max(len(read), 1) / max(int(sizes.sum()), 1), 6)
         parts.append(search.recall(truth, made.search_lists(q, 5, probes)).select(F.lit(probes).alias("probes"), "recall", F.lit(share).alias("points_read")))
     out = parts[0]
     for x in parts[1:]:
@@ -592,10 +599,9 @@ def eval_ann_recall(spark, sf_dir):
 def eval_sweep(spark, sf_dir):
     """What filtering after the search costs, by the number of candidates (EVL8)."""
     # no more than the most candidates of each query are ranked, beside the best of the window
-    every = search.scored(points(spark, sf_dir), query_set(spark, sf_dir))
-    scored = search.top(every, 200)
-    inside = scored.filter(scan.in_window(SINCE, UNTIL)).withColumnRenamed("rank", "k")
-    truth = search.top(every.filter(scan.in_window(SINCE, UNTIL)), 5).groupBy("qid").agg(F.collect_set("id").alias("t"))
+    p, q = points(spark, sf_dir).select("id", "timestamp_ms", "clip"), query_set(spark, sf_dir)
+    inside = search.knn(p, q, 200).filter(scan.in_window(SINCE, UNTIL)).withColumnRenamed("rank", "k")
+    truth = search.knn(p.filter(scan.in_window(SINCE, UNTIL)).select("id", "clip"), q).groupBy("qid").agg(F.collect_set("id").alias("t"))
     sizes = spark.createDataFrame([(10,), (50,), (200,)], "candidates bigint")
     w = Window.partitionBy("candidates", "qid").orderBy(F.desc("score"), "id")
     got = inside.join(F.broadcast(sizes), F.col("k") <= F.col("candidates")).withColumn("r", F.row_number().over(w)).filter("r <= 5")
@@ -618,12 +624,12 @@ def eval_ab(spark, sf_dir):
     e = M.table(spark, sf_dir, "embeddings")
     q = query_set(spark, sf_dir).join(e.select(F.col("vec_id").alias("qid"), F.col("label").alias("want")), "qid")
     p = e.select(F.col("vec_id").alias("id"), F.col("label").alias("own"), F.col("embedding").alias("clip"))
-    s = search.scored(p, q).filter("id <> qid")
+    # the best three of each query; all others only add to means
     right = F.col("own") == F.col("want")
-    # the best three of each query, of which each task keeps its own first; all others only add to means
     one = lambda most: F.max(F.when((F.col("rank") <= most) & right, 1.0).otherwise(0.0))
-    first = search.top(s, 3).groupBy("qid").agg(one(1).alias("first"), one(3).alias("third"))
-    means = s.groupBy("qid").agg((F.avg(F.when(right, F.col("score"))) - F.avg(F.when(~right, F.col("score")))).alias("margin"), F.max(F.when(~right, F.col("score"))).alias("floor"))
+    best = search.top(pairs.nearest(p.filter("id IS NOT NULL"), q, 3, other=True), 3).join(q.select("qid", "want"), "qid")
+    first = best.groupBy("qid").agg(one(1).alias("first"), one(3).alias("third"))
+    means = pairs.means(p.filter("id IS NOT NULL"), q, "own", "want")
     per = first.join(means, "qid")
     mean = lambda c, n: F.round(F.avg(c), 6).alias(n)
     return per.agg(mean("first", "top1"), mean("third", "recall3"), mean("margin", "margin"), mean("floor", "absent_floor"))
