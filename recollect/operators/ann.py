@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import vectors as V
+from .pairs import Asked, blocks
+from .pairs import nearest as nearest_of
 from .search import DIGITS, top
 
 #: Points that the quantiser is fitted on, rounds of fitting, lists at most.
@@ -33,6 +35,8 @@ SAMPLE, ROUNDS, LISTS = 50_000, 3, 4096
 PARTS, BOOK = 16, 256
 #: Queries that are answered in one pass over the lists.
 BLOCK = 1000
+#: The same where no tables of products are needed.
+LIST_BLOCK = 20_000
 
 
 def unit(m: np.ndarray) -> np.ndarray:
@@ -170,18 +174,10 @@ class Index:
 
     def _blocks(self, queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
         """Queries (``qid``, ``q``) in blocks of a bounded number."""
-        some: list = []
-        for r in queries.select("qid", F.col("q").cast("array<double>").alias("q")).toLocalIterator():
-            some.append(r)
-            if len(some) == BLOCK:
-                yield [x["qid"] for x in some], unit(np.array([x["q"] for x in some]))
-                some = []
-        if some:
-            yield [x["qid"] for x in some], unit(np.array([x["q"] for x in some]))
-
-    def _asked(self, qids: list, q: np.ndarray, probes: np.ndarray) -> tuple[DataFrame, list[int]]:
-        rows = [(i, int(c), v.tolist()) for i, v, own in zip(qids, q, probes, strict=True) for c in own]
-        return self.spark.createDataFrame(rows, "qid long, list int, q array<double>"), sorted({c for _, c, _ in rows})
+        for part in blocks(queries, BLOCK):
+            got = part.select("qid", F.col("q").cast("array<double>").alias("q")).toArrow()
+            if got.num_rows:
+                yield got["qid"].to_pylist(), matrix(got["q"], len(got["q"][0]))
 
     def _joined(self, parts: list[DataFrame]) -> DataFrame:
         empty = self.spark.createDataFrame([], "qid long, id long, score double, rank int")
@@ -189,13 +185,26 @@ class Index:
 
     def search_lists(self, queries: DataFrame, k: int = 5, probes: int = 8, where: Column | None = None) -> DataFrame:
         """``qid``, ``id``, ``score``, ``rank``: the exact best of the ``probes`` nearest lists."""
-        model, parts = self.quantiser(), []
-        points = self.points() if where is None else self.points().filter(where)
-        for qids, q in self._blocks(queries):
-            asked, lists = self._asked(qids, q, model.probes(q, probes))
-            near = points.filter(F.col("list").isin(lists)).select("id", "list", self.vector).join(F.broadcast(asked), "list")  # BLOCK x probes rows
-            parts.append(top(near.select("qid", "id", F.round(V.cosine(F.col(self.vector), F.col("q")), DIGITS).alias("score")), k))
-        return self._joined(parts)
+        model = self.quantiser()
+        rows = self.points() if where is None else self.points().filter(where)
+
+        def looks(asked: Asked):
+            if not len(asked.slot) or probes >= len(model.centres):
+                return lambda _: None
+            looked = model.probes(asked.q.unit, probes)
+            queries, lists = np.repeat(np.arange(len(looked), dtype=np.int32), looked.shape[1]), looked.ravel()
+            order = np.argsort(lists, kind="stable")
+            edges = np.searchsorted(lists[order], np.arange(len(model.centres) + 1))
+            own = queries[order]
+            return lambda c: own[edges[c] : edges[c + 1]]
+
+        wanted: set[int] = set()
+        for _, q in self._blocks(queries) if probes < len(model.centres) else ():
+            wanted.update(np.unique(model.probes(q, probes)).tolist())
+        rows = rows if probes >= len(model.centres) else rows.filter(F.col("list").isin(sorted(wanted)))
+        asked = queries.select("qid", F.col("q").cast("array<double>").alias("q"))
+        found = nearest_of(rows.select(F.col("id").cast("long").alias("id"), "list", self.vector), asked, k, self.vector, group="list", looks=looks, size=LIST_BLOCK)
+        return top(found, k).select("qid", "id", "score", "rank")
 
     def candidates(self, qids: list, q: np.ndarray, model: Quantiser, probes: int, most: int, where: Column | None = None) -> DataFrame:
         """``qid``, ``list``, ``id`` and ``approx`` of the ``most`` best points of each query by the tables."""
@@ -233,7 +242,7 @@ class Index:
         model, parts = self.quantiser(), []
         for qids, q in self._blocks(queries):
             found = self.candidates(qids, q, model, probes, max(k, rescored), where)
-            asked, lists = self._asked(qids, q, model.probes(q, probes))
+            lists = np.unique(model.probes(q, probes)).tolist()
             vectors = self.spark.createDataFrame([(i, v.tolist()) for i, v in zip(qids, q, strict=True)], "qid long, q array<double>")
             own = self.points().filter(F.col("list").isin(lists)).select("list", F.col("id").cast("long").alias("id"), self.vector)
             near = own.join(F.broadcast(found.drop("approx")), ["list", "id"]).join(F.broadcast(vectors), "qid")  # BLOCK x rescored rows

@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from recollect.functions import vectors as V
-from recollect.operators import pairs, search
+from recollect.operators import ann, pairs, search
+from recollect.streaming import run
 
 
 @pytest.fixture(scope="module")
@@ -76,3 +77,14 @@ def test_a_task_gives_no_more_than_k_of_copies(spark):
     tasks = pairs.TASKS * spark.sparkContext.defaultParallelism
     assert pairs.nearest(p, q, 3).count() <= 100 * 3 * tasks
     assert {r["id"] for r in search.knn(p, q, 3).collect()} == {0, 1, 2}
+
+
+def test_the_driver_makes_no_row_for_each_query_and_list(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    p = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rng.normal(size=(500, 8)))], "id long, clip array<double>")
+    q = p.filter("id % 50 = 0").select(F.col("id").alias("qid"), F.col("clip").alias("q"))
+    index = ann.Index.build(p, run.shared_folder(spark), lists=20)
+    made, plain = [], spark.createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *a, **k: (made.append(len(data) if hasattr(data, "__len__") else 0), plain(data, *a, **k))[1])
+    found = index.search_lists(q, 5, 20)
+    assert sum(made) == 0 and found.count() == 50
