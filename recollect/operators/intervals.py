@@ -1,7 +1,7 @@
 """Joins on times (JON5-JON7).
 
-Time is cut into slots, and rows meet in the slots that their widened intervals touch, so these are equi-joins that shuffle by slot and
-are checked exactly afterwards; no pair is met twice, as only the first common slot counts.
+Time is cut into slots, and a row meets those whose widened intervals touch the slot in which it starts, so these are equi-joins that shuffle by slot and
+are checked exactly afterwards; no pair is met twice, as only the later start counts.
 """
 
 from __future__ import annotations
@@ -21,11 +21,14 @@ def slots(start: Column, end: Column, width: int) -> Column:
 def overlaps(a: DataFrame, b: DataFrame, slack_ms: int, width_ms: int | None = None) -> DataFrame:
     """Pairs of rows of ``a`` (``a_id``, ``a_start``, ``a_end``) and ``b`` (``b_...``) whose intervals, ``b`` widened by ``slack_ms`` on both sides, overlap."""
     width = width_ms or max(4 * slack_ms, 60_000)
-    left = a.withColumn("slot", F.explode(slots(F.col("a_start"), F.col("a_end"), width)))
-    right = b.withColumn("slot", F.explode(slots(F.col("b_start") - slack_ms, F.col("b_end") + slack_ms, width)))
-    meet = (F.col("a_start") <= F.col("b_end") + slack_ms) & (F.col("b_start") - slack_ms <= F.col("a_end"))
-    first = F.col("slot") == F.greatest(slot(F.col("a_start"), width), slot(F.col("b_start") - slack_ms, width))
-    return left.join(right, "slot").filter(meet & first).drop("slot")
+    a_from, a_to, b_from, b_to = F.col("a_start"), F.col("a_end"), F.col("b_start") - slack_ms, F.col("b_end") + slack_ms
+    every = lambda df, start, end: df.withColumn("slot", F.explode(slots(start, end, width)))
+    at = lambda df, start: df.withColumn("slot", slot(start, width))
+    meet = (a_from <= b_to) & (b_from <= a_to)
+    # the later one's start is in one slot, and the other one covers it: no pair meets in a second slot, however long both are
+    later_b = every(a, a_from, a_to).join(at(b, b_from), "slot").filter(meet & (b_from >= a_from))
+    later_a = at(a, a_from).join(every(b, b_from, b_to), "slot").filter(meet & (b_from < a_from))
+    return later_b.drop("slot").unionByName(later_a.drop("slot"))
 
 
 def nearest(a: DataFrame, b: DataFrame, tolerance_ms: int) -> DataFrame:

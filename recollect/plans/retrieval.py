@@ -401,7 +401,7 @@ def join_span_overlap(spark, sf_dir):
     """Pairs of transcripts that overlap, widened on both sides (JON6); each is taken to last so much longer that many do."""
     t = transcripts(spark, sf_dir).withColumn("end_ms", F.col("start_ms") + (F.col("end_ms") - F.col("start_ms")) * LONGER)
     side = lambda s: t.select(F.col("id").alias(f"{s}_id"), F.col("start_ms").alias(f"{s}_start"), F.col("end_ms").alias(f"{s}_end"))
-    return intervals.overlaps(side("a"), side("b"), 5000, 12 * 3_600_000).filter("a_id <> b_id").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    return intervals.overlaps(side("a"), side("b"), 5000, 3_600_000).filter("a_id <> b_id").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
 
 
 NEAREST = with_points(
