@@ -26,9 +26,11 @@ class RangeIndex:
         return [self.kind, "slot"] if self.kind else ["slot"]
 
     @classmethod
-    def build(cls, rows: DataFrame, path: str, by: str = "timestamp_ms", kind: str | None = "type", tie: str = "id", slot_rows: int = ROWS) -> RangeIndex:
+    def build(cls, rows: DataFrame, path: str, by: str = "timestamp_ms", kind: str | None = "type", tie: str = "id", slot_rows: int = ROWS, slots: int = 1) -> RangeIndex:
+        """Slots of ``slot_rows`` rows on average, or of fewer where that many are fewer than ``slots`` slots."""
         index = cls(rows.sparkSession, path, by, kind, tie)
         n, least, greatest = rows.agg(F.count(by), F.min(by), F.max(by)).first()
+        slot_rows = min(slot_rows, max(1, -(-n // slots)))
         width = max(1, -(-(greatest - least + 1) * slot_rows // n)) if n else 1
         index.spark.createDataFrame([(int(width),)], "width long").coalesce(1).write.parquet(f"{index.path}/model")
         rows.withColumn("slot", F.lit(0).cast("long")).limit(0).write.parquet(f"{index.path}/schema")

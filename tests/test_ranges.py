@@ -109,3 +109,15 @@ def test_a_lease_ends_and_is_taken_over(spark, tmp_path):
     [t.start() for t in threads]
     [t.join() for t in threads]
     assert len([x for x in got if x]) == 1
+
+
+def test_slots_dont_grow_with_the_rows_until_they_are_full(spark, small):
+    from recollect.plans import collection
+
+    for folder in (small, "/root/testdata/sf0.1"):
+        index = collection.indexed(spark, folder)
+        assert 10 <= spark.read.parquet(f"{index.path}/slots").select("slot").distinct().count() <= 22
+        assert index.rows().count() == collection.points(spark, folder).count()
+    n = 3000
+    rows = spark.range(n).select("id", F.lit("frame").alias("type"), F.col("id").alias("timestamp_ms"))
+    assert RangeIndex.build(rows, run.shared_folder(spark), slot_rows=100, slots=20).width == 100
