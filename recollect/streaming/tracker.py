@@ -31,28 +31,35 @@ class Tracker:
 
         ``tick`` is the frame's number, the next one if it is left out; frames without detections need not be taken.
         """
-        self.tick = self.tick + 1 if tick is None else tick
-        self.tracks = [t for t in self.tracks if self.tick - 1 - t["seen"] <= MISSED]
-        pairs = [
-            (-s, d, t)
-            for d, x in enumerate(detections)
-            for t, track in enumerate(self.tracks)
-            if track["label"] == x["label"] and (s := overlap(track["box"], x["box"])) >= OVERLAP
-        ]
+        before, self.tick = self.tick, self.tick + 1 if tick is None else tick
+        tick = self.tick
+        if tick != before + 1:  # else the last update has dropped those
+            self.tracks = [t for t in self.tracks if tick - 1 - t["seen"] <= MISSED]
+        tracks, pairs = self.tracks, []
+        of_label: dict[str, list] = {}
+        for k, track in enumerate(tracks):
+            of_label.setdefault(track["label"], []).append((k, track["box"]))
+        for d, x in enumerate(detections):
+            l, t, r, b = box = x["box"]
+            for k, other in of_label.get(x["label"], ()):
+                l2, t2, r2, b2 = other
+                # boxes that don't meet have no overlap, and most don't
+                if l2 < r and l < r2 and t2 < b and t < b2 and (s := overlap(other, box)) >= OVERLAP:
+                    pairs.append((-s, d, k))
         track_of: dict[int, dict] = {}
         taken: set[int] = set()
-        for _, d, t in sorted(pairs):
-            if d in track_of or t in taken:
+        for _, d, k in sorted(pairs):
+            if d in track_of or k in taken:
                 continue
-            track_of[d] = self.tracks[t]
-            taken.add(t)
-            track_of[d].update(box=detections[d]["box"], score=detections[d]["score"], seen=self.tick, sightings=track_of[d]["sightings"] + 1)
+            track_of[d] = tracks[k]
+            taken.add(k)
+            track_of[d].update(box=detections[d]["box"], score=detections[d]["score"], seen=tick, sightings=track_of[d]["sightings"] + 1)
         for d, x in enumerate(detections):
             if d not in track_of:
                 self.made += 1
-                track_of[d] = {"id": self.made, "label": x["label"], "box": x["box"], "score": x["score"], "seen": self.tick, "sightings": 1}
-                self.tracks.append(track_of[d])
-        self.tracks = [t for t in self.tracks if self.tick - t["seen"] <= MISSED]
+                track_of[d] = {"id": self.made, "label": x["label"], "box": x["box"], "score": x["score"], "seen": tick, "sightings": 1}
+                tracks.append(track_of[d])
+        self.tracks = [t for t in tracks if tick - t["seen"] <= MISSED]
         return [(track_of[d]["id"], track_of[d]["sightings"]) for d in range(len(detections))]
 
 
@@ -77,26 +84,29 @@ def tracked(detections: DataFrame, numbered: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, tracker, frame = None, Tracker(), []
+        dets: list = []
 
         def close() -> list[tuple]:
-            found = tracker.update([{"label": r.label, "score": r.score, "box": tuple(r.box[c] for c in "ltrb")} for r in frame], now[2] if numbered else None)
-            return [(*now, r.det, t, n) for r, (t, n) in zip(frame, found, strict=True)]
+            found = tracker.update(frame, now[2] if numbered else None)
+            return [(*now, det, *x) for det, x in zip(dets, found, strict=True)]
 
         for pdf in batches:
             rows: list[tuple] = []
-            for r in pdf.itertuples(index=False):
-                at = (r.camera, r.stretch, r.tick)
+            # plain lists, as a row of pandas costs more than following its track
+            for camera, stretch, tick, det, label, score, *box in zip(*(pdf[c].tolist() for c in pdf.columns), strict=True):
+                at = (camera, stretch, tick)
                 if at != now:
                     rows += close() if frame else []
                     tracker = tracker if now is not None and at[:2] == now[:2] else Tracker()
-                    now, frame = at, []
-                frame.append(r)
+                    now, frame, dets = at, [], []
+                frame.append({"label": label, "score": score, "box": tuple(box)})
+                dets.append(det)
             yield pd.DataFrame(rows, columns=[*key, "tick", "det", "track", "sightings"])
         if frame:
             yield pd.DataFrame(close(), columns=[*key, "tick", "det", "track", "sightings"])
 
-    ordered = detections.repartition(*key).sortWithinPartitions(*key, "tick", "det", "label", "score")
-    out = ordered.select(*key, "tick", "det", "label", "score", "box").mapInPandas(run, OUT)
+    flat = detections.select(*key, "tick", "det", "label", "score", *[F.col(f"box.{c}").alias(c) for c in "ltrb"])
+    out = flat.repartition(*key).sortWithinPartitions(*key, "tick", "det", "label", "score").mapInPandas(run, OUT)
     if not numbered:
         return out.drop("stretch")
     out = out.persist(StorageLevel.DISK_ONLY)  # read twice; a lost part is followed again
