@@ -3,7 +3,8 @@
 Rows of a stream come in batches that may split a frame or bring an older row after a newer one.  So the rows of a key wait in its state
 until the watermark has passed them; a timer at the oldest one's time wakes the key, and all rows that the watermark has passed are folded
 in order.  The result thus doesn't depend on how a stream is cut into batches.  What a key keeps is its rows of the watermark's delay
-and its automaton's state, never its history.
+and its automaton's state, never its history.  Rows wait packed, an Arrow batch as one value, and small automata of many keys share a
+bucket's state, since a value of the state store costs far more than a row.
 
 Each automaton's step is a plain function or class that the batch twin uses as well (``folded`` here, ``tracker.tracked`` for tracks).
 """
@@ -16,11 +17,15 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field
 from datetime import UTC, datetime
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
@@ -51,6 +56,8 @@ def ended(rows: DataFrame, at: Callable[[str], object]) -> tuple[DataFrame, Call
     return rows.unionByName(spark.readStream.schema(rows.schema).parquet(place)), lambda: end.write.mode("append").parquet(place)
 
 
+#: Rows that come out together.
+AT_ONCE = 10_000
 #: When a stream that ends has its last row.
 LAST = datetime(2200, 1, 1)
 
@@ -62,6 +69,17 @@ def to_its_end(made: Callable[[DataFrame], DataFrame], rows: DataFrame, at: str)
         return available_now(made(both), then=then)
 
 
+def packed(pdf: pd.DataFrame, schema: pa.Schema) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as writer:
+        writer.write_table(pa.Table.from_pandas(pdf, schema, preserve_index=False))
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(rows: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(rows).read_pandas()
+
+
 class InOrder(StatefulProcessor):
     """Rows (``at_ms`` and the columns of ``schema``) of a key in order of event time."""
 
@@ -70,21 +88,20 @@ class InOrder(StatefulProcessor):
     order: list[str]
     #: The columns that come out, the key first.
     out: list[str]
+    #: ``schema`` as Arrow has it, set where the stream is made.
+    arrow: pa.Schema
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.schema)
+        self.waiting = handle.getListState("waiting", "least long, rows binary")
         self.open(handle)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        names = [c.strip().split(" ")[0] for c in self.schema.split(",")]
         first = None
         for pdf in rows:
             if len(pdf):
-                # the state takes plain values alone
-                plain = [[x.tolist() if isinstance(x, np.ndarray | np.generic) else x for x in r] for r in pdf[names].itertuples(index=False, name=None)]
-                self.waiting.appendList([tuple(r) for r in plain])
                 least = int(pdf["at_ms"].min())
+                self.waiting.appendValue((least, packed(pdf[self.arrow.names], self.arrow)))
                 first = least if first is None else min(first, least)
         if first is not None:
             self.handle.registerTimer(first)
@@ -92,26 +109,38 @@ class InOrder(StatefulProcessor):
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
-        rows = list(self.waiting.get()) if self.waiting.exists() else []
-        due = [r for r in rows if r[0] <= passed]
+        due, late = [], []
+        for least, rows in list(self.waiting.get()) if self.waiting.exists() else []:
+            if least > passed:
+                late.append((least, rows))
+                continue
+            pdf = unpacked(rows)
+            ahead = pdf["at_ms"] > passed
+            due.append(pdf[~ahead])
+            if ahead.any():
+                late.append((int(pdf["at_ms"][ahead].min()), packed(pdf[ahead], self.arrow)))
         if due:
-            late = [r for r in rows if r[0] > passed]
             if late:
                 self.waiting.put(late)
-                self.handle.registerTimer(min(r[0] for r in late))
+                self.handle.registerTimer(min(least for least, _ in late))
             else:
                 self.waiting.clear()
-        names = [c.strip().split(" ")[0] for c in self.schema.split(",")]
-        pdf = pd.DataFrame(due, columns=names)
-        found = self.fold(key, pdf.sort_values(["at_ms", *self.order]) if len(due) else pdf, passed)
-        yield pd.DataFrame([(key[0], *x) for x in found], columns=self.out)
+        pdf = pd.concat(due, ignore_index=True).sort_values(["at_ms", *self.order]) if due else self.arrow.empty_table().to_pandas()
+        del due
+        found = []
+        for x in self.fold(key, pdf, passed):
+            found.append(x)
+            if len(found) == AT_ONCE:
+                yield pd.DataFrame(found, columns=self.out)
+                found = []
+        yield pd.DataFrame(found, columns=self.out)
 
     @abstractmethod
     def open(self, handle: StatefulProcessorHandle) -> None:
         """Make the automaton's state."""
 
     @abstractmethod
-    def fold(self, key: tuple, rows: pd.DataFrame, passed: int) -> list[tuple]:
+    def fold(self, key: tuple, rows: pd.DataFrame, passed: int) -> Iterator[tuple]:
         """What comes out of the ordered rows; also called without rows when a timer of the automaton is due."""
 
     def close(self) -> None:
@@ -120,6 +149,7 @@ class InOrder(StatefulProcessor):
 
 def on_stream(rows: DataFrame, key: str, processor: InOrder, out: str, delay: str = "1 hour") -> DataFrame:
     """``processor`` on a stream of ``key``, ``at`` (a timestamp) and its columns."""
+    processor.arrow = to_arrow_schema(StructType.fromDDL(processor.schema))
     timed = rows.withColumn("at_ms", F.unix_millis("at")).withWatermark("at", delay)
     return timed.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=out, outputMode="append", timeMode="eventTime")
 
@@ -141,17 +171,20 @@ class Follow(InOrder):
         self.live = handle.getMapState("live", "track long", "label string, score double, l double, t double, r double, b double, seen long, sightings long")
         self.made = handle.getValueState("made", "made long")
 
-    def fold(self, key: tuple, rows: pd.DataFrame, passed: int) -> list[tuple]:
+    def fold(self, key: tuple, rows: pd.DataFrame, passed: int) -> Iterator[tuple]:
         tracker = Tracker()
         tracker.made = int(self.made.get()[0]) if self.made.exists() else 0
         before = {int(k[0]): tuple(v) for k, v in self.live.iterator()}
         for number, (label, score, *box, seen, sightings) in sorted(before.items()):
             tracker.tracks.append({"id": number, "label": label, "score": score, "box": tuple(box), "seen": int(seen), "sightings": int(sightings)})
-        found = []
         rows = rows[rows["det"].notna()]  # a row without a detection says only that time goes on
-        for tick, frame in rows.groupby("tick", sort=True):
-            seen = [{"label": r.label, "score": r.score, "box": (r.l, r.t, r.r, r.b)} for r in frame.itertuples(index=False)]
-            found += [(int(tick), int(det), *x) for det, x in zip(frame["det"], tracker.update(seen, int(tick)), strict=True)]
+        rows = rows.sort_values(["tick", "at_ms", *self.order])
+        each = zip(*(rows[c].tolist() for c in ("tick", "det", "label", "score", *"ltrb")), strict=True)
+        for tick, frame in groupby(each, itemgetter(0)):
+            _, dets, *seen = zip(*frame, strict=True)
+            seen = [{"label": label, "score": score, "box": tuple(box)} for label, score, *box in zip(*seen, strict=True)]
+            for det, x in zip(dets, tracker.update(seen, int(tick)), strict=True):
+                yield (key[0], int(tick), int(det), *x)
         # tracks that no later frame can meet end here, even if the camera is silent from now on
         live = {t["id"]: t for t in tracker.tracks if passed < (t["seen"] + MISSED + 1) * TICK}
         for number in before.keys() - live.keys():
@@ -163,7 +196,6 @@ class Follow(InOrder):
         if live:
             self.handle.registerTimer((max(t["seen"] for t in live.values()) + MISSED + 1) * TICK)
         self.made.update((tracker.made,))
-        return found
 
 
 def tracks_stream(detections: DataFrame) -> DataFrame:
@@ -200,26 +232,48 @@ def folded(rows: DataFrame, key: str, order: list[str], start: Callable, out: st
     return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, out)
 
 
+#: Parts that the keys of small automata are dealt to.
+BUCKETS = 512
+
+
 class Fold(InOrder):
-    """An automaton whose state is a few numbers: it is kept as JSON, and a timer ends what silence ends."""
+    """Automata whose state is a few numbers, those of a bucket's keys together: they are kept as JSON, and a timer ends what silence ends."""
 
-    def __init__(self, start: Callable, revive: Callable, schema: str, order: list[str], out: list[str]):
-        self.start, self.revive, self.schema, self.order, self.out = start, revive, schema, order, out
+    def __init__(self, start: Callable, revive: Callable, key: str, schema: str, order: list[str], out: list[str]):
+        self.start, self.revive, self.key, self.schema, self.order, self.out = start, revive, key, f"{schema}, {key} long", order, out
 
     def open(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("state", "state string")
 
-    def fold(self, key: tuple, rows: pd.DataFrame, passed: int) -> list[tuple]:
-        automaton = self.revive(json.loads(self.state.get()[0])) if self.state.exists() else self.start()
-        found = [x for r in rows.itertuples(index=False) for x in automaton.step(r)]
-        due = automaton.due_ms()
-        if due is not None and passed > due:
-            found += automaton.end()
-            due = None
-        if due is not None:
-            self.handle.registerTimer(due + 1)
-        self.state.update((json.dumps(asdict(automaton)),))
-        return found
+    def fold(self, key: tuple, rows: pd.DataFrame, passed: int) -> Iterator[tuple]:
+        kept = json.loads(self.state.get()[0]) if self.state.exists() else []
+        automata = {one: self.revive(state) for one, state in kept}
+        for r in rows.sort_values([self.key, "at_ms", *self.order]).itertuples(index=False):
+            one = getattr(r, self.key)
+            one = None if pd.isna(one) else int(one)
+            if one not in automata:
+                automata[one] = self.start()
+            for x in automata[one].step(r):
+                yield (one, *x)
+        wake = None
+        for one, automaton in automata.items():
+            due = automaton.due_ms()
+            if due is None:
+                continue
+            if passed > due:
+                for x in automaton.end():
+                    yield (one, *x)
+            else:
+                wake = due if wake is None else min(wake, due)
+        if wake is not None:
+            self.handle.registerTimer(wake + 1)
+        self.state.update((json.dumps([(one, automaton.kept()) for one, automaton in automata.items()]),))
+
+
+def folded_stream(rows: DataFrame, processor: Fold, out: str) -> DataFrame:
+    """``processor`` on a stream of its key, ``at`` and its columns; rows without a key, as the last one, have a bucket of their own."""
+    bucket = F.when(F.col(processor.key).isNull(), -1).otherwise(F.pmod(F.xxhash64(processor.key), F.lit(BUCKETS))).cast("long")
+    return on_stream(rows.withColumn("bucket", bucket), "bucket", processor, out)
 
 
 @dataclass
@@ -241,6 +295,9 @@ class Speech:
         was, self.open = self.open, False
         return [(self.start_ms, self.last_ms, self.chunks)] if was and self.last_ms - self.start_ms >= self.least_ms else []
 
+    def kept(self) -> dict:
+        return asdict(self)
+
     def due_ms(self) -> int | None:
         return self.last_ms + self.silence_ms if self.open else None
 
@@ -270,9 +327,9 @@ def segments_batch(chunks: DataFrame, loud: float, faint: float, **limits: int)
 
 def segments_stream(chunks: DataFrame, loud: float, faint: float, **limits: int) -> DataFrame:
     """The same on a stream, ``at`` being a timestamp; a segment comes out as soon as the watermark shows the silence after it."""
-    processor = Fold(lambda: Speech(loud, faint, **limits), lambda s: Speech(**s), SPEECH, ["event_id"], ["key", "start_ms", "last_ms", "chunks"])
+    processor = Fold(lambda: Speech(loud, faint, **limits), lambda s: Speech(**s), "key", SPEECH, ["event_id"], ["key", "start_ms", "last_ms", "chunks"])
     # a row without a level says only that time goes on, which the watermark must see
-    return on_stream(chunks.filter(F.coalesce(F.col("level") >= faint, F.lit(True))), "key", processor, SEGMENT)
+    return folded_stream(chunks.filter(F.coalesce(F.col("level") >= faint, F.lit(True))), processor, SEGMENT)
 
 
 @dataclass
@@ -285,6 +342,9 @@ class LegacyGate:
     grid: list[float] = field(default_factory=list)
     last_ms: int | None = None
 
+    def kept(self) -> dict:
+        return asdict(self)
+
     def due_ms(self) -> None:
         return None
 
@@ -314,8 +374,8 @@ def accepted_batch(frames: DataFrame, **limits) -> DataFrame:
 
 def accepted_stream(frames: DataFrame, **limits) -> DataFrame:
     """The same on a stream, ``at`` being a timestamp."""
-    processor = Fold(lambda: LegacyGate(**limits), lambda s: LegacyGate(**s), "at_ms long, id long, grid array<double>", ["id"], ["camera", "id", "at_ms"])
-    return on_stream(frames, "camera", processor, ACCEPTED)
+    processor = Fold(lambda: LegacyGate(**limits), lambda s: LegacyGate(**s), "camera", "at_ms long, id long, grid array<double>", ["id"], ["camera", "id", "at_ms"])
+    return folded_stream(frames, processor, ACCEPTED)
 
 
 @dataclass
@@ -325,6 +385,9 @@ class App:
     moves: dict[str, str]
     state: str
 
+    def kept(self) -> dict:
+        return {"state": self.state}
+
     def due_ms(self) -> None:
         return None
 
@@ -349,8 +412,8 @@ def states_batch(events: DataFrame, moves: dict[str, str], start: str) -> DataFr
 
 def states_stream(events: DataFrame, moves: dict[str, str], start: str) -> DataFrame:
     """The same on a stream, ``at`` being a timestamp."""
-    processor = Fold(lambda: App(moves, start), lambda s: App(**s), "at_ms long, event_id long, event string", ["event_id"], ["key", "event_id", "state"])
-    return on_stream(events, "key", processor, MOVED)
+    processor = Fold(lambda: App(moves, start), lambda s: App(moves, **s), "key", "at_ms long, event_id long, event string", ["event_id"], ["key", "event_id", "state"])
+    return folded_stream(events, processor, MOVED)
 
 
 # --- the nearest frame

@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from recollect.operators import intervals
@@ -120,3 +121,28 @@ def test_nearest_frame_of_two_streams_in_batches(spark):
     got = live.nearest_to_its_end(in_files(spark, heard, "a_id long, a_ts long", [20, 41]), in_files(spark, frames, "b_id long, b_ts long", [30, 31]), 30_000)
     got = sorted(map(tuple, got.select("a_id", "a_ts", "b_id", "b_ts").collect()), key=str)
     assert got == want and any(r[2] is None for r in want) and any(r[2] == 901 for r in want)
+
+
+def test_rows_wait_packed_and_keys_share_a_bucket(spark):
+    """A value of the state for each batch of rows, and a key of the state for each bucket: either grew with the rows or keys before."""
+    schema = live.to_arrow_schema(live.StructType.fromDDL("at_ms long, id long, grid array<double>"))
+    rows = pd.DataFrame({"at_ms": [1, 2], "id": pd.array([None, 2**53 + 1], "Int64"), "grid": [[0.5], None]})
+    back = live.pa.ipc.open_stream(live.packed(rows, schema)).read_all()
+    assert back.to_pylist() == [{"at_ms": 1, "id": None, "grid": [0.5]}, {"at_ms": 2, "id": 2**53 + 1, "grid": None}]
+    many = [(k, 1000 * k + t + 1, 2 * k + t, "ready" if t == 0 else "record") for k in range(2 * live.BUCKETS) for t in (0, 1)]
+    stream = in_files(spark, many, "key long, at_ms long, event_id long, event string", [len(many) // 2 + 1])
+    stream = stream.select("key", "event_id", "event", F.timestamp_millis("at_ms").alias("at"))
+    moves = {"Loading/ready": "Idle", "Idle/record": "Recording"}
+    buckets = []
+    on_stream = live.on_stream
+
+    def watched(rows, key, *rest):
+        buckets.append(key)
+        return on_stream(rows, key, *rest)
+
+    live.on_stream = watched
+    try:
+        got = live.to_its_end(lambda s: live.states_stream(s, moves, "Loading"), stream, "at")
+    finally:
+        live.on_stream = on_stream
+    assert sorted(map(tuple, got.collect())) == sorted((k, e, moves["Loading/ready"] if x == "ready" else "Recording") for k, _, e, x in many) and buckets == ["bucket"]
