@@ -33,10 +33,14 @@ def to_fleet(records: DataFrame) -> DataFrame:
     return kept.filter(F.col("v").isNotNull()).select("id", F.col("v").alias("vector"), fields.alias("payload"))
 
 
+def unsynced(df: DataFrame, limit: int) -> DataFrame:
+    """The first unsynced frames in id order."""
+    return df.filter((F.col("type") == "frame") & ~F.coalesce("synced", F.lit(False))).orderBy("id").limit(limit)
+
+
 def backlog(df: DataFrame, mappable, limit: int = BATCH, examined: int = EXAMINED) -> DataFrame:
     """The first ``limit`` mappable rows of the first ``examined`` unsynced frames, in id order (REL10)."""
-    first = df.filter((F.col("type") == "frame") & ~F.coalesce("synced", F.lit(False))).orderBy("id").limit(examined)
-    return first.filter(mappable).orderBy("id").limit(limit)
+    return unsynced(df, examined).filter(mappable).orderBy("id").limit(limit)
 
 
 def mark_synced(df: DataFrame, ids: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from recollect.plans.searcher import MomentSearcher, answer, repository_search
 from recollect.sources import encoders, reports
-from recollect.sources.store import MomentStore, sync_once
+from recollect.sources.store import MomentStore, sync_all, sync_once
 
 ENCODE = encoders.hashing_encoder(16)
 NOW = 1786968000000
@@ -91,3 +91,35 @@ def test_reports(spark, tmp_path):
     v = reports.clustered(300, 8)
     assert v.shape == (300, 8) and abs((v * v).sum(1) - 1).max() < 1e-5
     assert reports.markdown([{"n": 1, "ms": 2}]).splitlines()[0] == "| n | ms |"
+
+
+def test_passes_go_together_and_send_what_single_ones_do(spark, tmp_path):
+    """Whole passes share a change of the store and one of the hub, which were a change for each pass before."""
+    made = {}
+    for way in ("together", "alone"):
+        s, hub = (MomentStore(spark, str(tmp_path / f"{way}-{x}"), 2, 2) for x in ("store", "hub"))
+        frames = spark.range(430).select(F.format_string("m%03d", "id").alias("id"), F.array(F.lit(1.0), F.col("id").cast("float")).cast("array<float>").alias("clip"))
+        s.store_moments(frames)
+        # some frames can't be mapped
+        s.upsert(s.points().filter("id LIKE 'm%7'").withColumn("clip", F.lit(None).cast("array<float>")))
+        before = len(s.log.numbers())
+        if way == "together":
+            made[way] = sync_all(s, hub)
+            assert len(s.log.numbers()) - before == 2 and len(hub.log.numbers()) == 3
+        else:
+            passes = sent = 0
+            while n := sync_once(s, hub):
+                passes, sent = passes + 1, sent + n
+            made[way] = (passes, sent)
+        assert sorted(r.id for r in hub.points().select("id").collect()) == [f"m{k:03d}" for k in range(430) if k % 10 != 7]
+        assert s.points().filter("NOT synced").count() == 43
+    assert made["together"] == made["alone"] == (4, 387)
+
+
+def test_unmappable_frames_in_front_are_passed_one_by_one(spark, tmp_path):
+    s, hub = (MomentStore(spark, str(tmp_path / x), 2, 2) for x in ("store", "hub"))
+    first = spark.range(1100).select(F.format_string("m%04d", "id").alias("id"), F.array(F.lit(1.0), F.lit(2.0)).cast("array<float>").alias("clip"))
+    s.store_moments(first)
+    s.upsert(s.points().withColumn("clip", F.when(F.col("id") >= "m0950", F.col("clip"))))
+    # a pass examines a thousand, of which 950 can't be sent: three passes of fifty
+    assert sync_all(s, hub) == (3, 150) and hub.count() == 150
