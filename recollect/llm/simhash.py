@@ -17,16 +17,17 @@ points on the key and checking the distance finds each link, and nothing else pa
 share is refined: of six blocks of bits at least three hold no error, so each choice of three blocks extends the key, which again
 misses nothing.  Copies are one fingerprint, so their number plays no part.
 
-``near_copies`` uses the same keys to find texts whose five-word shingles have a Jaccard similarity of 0.8 or more.  Fingerprints of
-shingles lie too far apart for this (a changed word changes five shingles), so the texts' words have ``TABLES`` fingerprints, each word
-weighted by the root of its number: near copies are within a few bits in one of them as good as always.  The keys give candidates, of
-which those are left whose fingerprints of shingles differ in ``SPREAD`` bits at most and whose sets of shingles can be alike by their sizes
-and parities: each shingle flips one of ``PARITIES`` bits, so two sets differ in as many shingles at least as their parities in bits, and sets
+``near_copies`` finds the groups of texts whose five-word shingles have a Jaccard similarity of 0.8 or more.  Texts that differ in white space and
+case alone are one class from the start.  First links join most of a group: the texts of each key, and those that share a few least shingles under
+``ROUNDS`` orders of them, are compared with the least and the greatest of them only.  The keys are those above, of ``TABLES`` fingerprints of a text's
+words, each weighted by the root of its number.  These links may miss any pair; what they haven't joined is then found exactly (``apart_yet``).  Sets of n
+shingles have a similarity of s with no set that shares none of their n - ceil(s n) + 1 least hashes, their *prefix*.  So texts of different groups
+meet in each hash that their prefixes share, and those are left whose sets can be alike by their sizes, by what can still be shared after that hash, and by
+their parities: each shingle flips one of ``PARITIES`` bits, so two sets differ in as many shingles at least as their parities in bits, and sets
 of a Jaccard similarity s differ in (1 - s) / (1 + s) of their sizes' sum at most.  No link fails this, and of a family of texts that are alike
-but not enough hardly a pair passes, unless they have more than ``PARITY_SIZE`` shingles.  What is linked is verified by the shingles
-themselves.  Texts that differ in white space and case alone are one class from the start.  First the texts of each key, and those that share a few least shingles
-under ``ROUNDS`` orders of them, are compared with the least and the greatest of them only; then all candidates that these links haven't joined
-yet are compared.  So a group of very many near copies isn't compared pair by pair, and no candidate link between groups is lost.
+but not enough hardly a pair passes.  Larger sets would fill the parities, so they are cut into 2, 4, ... ranges of hashes (``segments``) until these have about
+``SEGMENT`` hashes at most: if all ranges differed in more than that part, so would the sets, so similar sets are similar in one range at least.  A set takes
+each number of ranges that a similar smaller set may have.  Pairs that share one of the ``LOOKED_BACK`` hashes before, too, have met there.  What is linked is verified by the shingles themselves.  So a group of very many near copies isn't compared pair by pair, and no link between groups is lost.
 
 Defined results: a null text counts as an empty one; a text without words has fingerprint zero; texts of fewer words than a shingle
 are one shingle; repeated rows are linked like any others; a null doc_id is ignored as a component's least id unless it is the only
@@ -35,6 +36,7 @@ one; an empty table gives an empty one; columns named ``fingerprint`` or ``compo
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -51,16 +53,18 @@ from .components import components
 from .shared import arrow_column, by_place, place_of, sent, text_or_empty, written
 
 WORDS, SEED, RADIUS = 3, 42, 3
-#: Near copies: words of a shingle, least similarity, fingerprints of a text's words, and how many bits candidates differ in at most.
-SHINGLE, SIMILARITY, TABLES, NEAR = 5, 0.8, 4, 6
-#: Bits in which fingerprints of the shingles of near copies differ at most (ten on average at a similarity of 0.8).
+#: Near copies: words of a shingle, least similarity, and fingerprints of a text's words for first links.
+SHINGLE, SIMILARITY, TABLES = 5, 0.8, 4
+#: Bits in which fingerprints of the shingles differ at most where a first link is tried (ten on average at a similarity of 0.8).
 SPREAD = 18
 #: Parity bits of a set of shingles, and the size up to which a set has them (larger ones would fill the bits).
 PARITIES, PARITY_SIZE = 256, 512
 #: Rounds of first links by least shingles, and how many of them texts must share in a round.
 ROUNDS, SHARED = 8, 5
-#: A key of more texts than this is refined where near copies are sought: parities prune inside of it, but their looks at pairs are bounded.
-CROWDED_TEXTS = 20_000
+#: Hashes of a range of a set at most, on average.
+SEGMENT = 256
+#: Hashes before a shared one that tell whether two texts have met already.
+LOOKED_BACK = 8
 #: Words whose hashes are kept in memory, and the longest of them.
 KEPT_WORDS, KEPT_BYTES = 150_000, 40
 #: Shingles whose bits are counted at once, which bounds memory for very long texts.
@@ -233,7 +237,8 @@ def grouped(df: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: lis
     return rows.join(named(rows), "fingerprint").select(*[F.col(f"`{c}`") for c in keep], "fingerprint", "component_id", "root", "row")
 
 
-PRINTS = StructType().add("class", "binary").add("prints", ArrayType(LongType())).add("spread", "long").add("shingles", "integer").add("size", "integer").add("parity", ArrayType(LongType())).add("rounds", ArrayType(LongType()))
+SEGMENTS = ArrayType(StructType().add("size", "integer").add("parity", ArrayType(LongType())).add("prefix", ArrayType(LongType())))
+PRINTS = StructType().add("class", "binary").add("prints", ArrayType(LongType())).add("spread", "long").add("shingles", "integer").add("size", "integer").add("parity", ArrayType(LongType())).add("rounds", ArrayType(LongType())).add("segments", SEGMENTS)
 
 
 def words_of(text: str) -> list[bytes]:
@@ -294,8 +299,37 @@ def rounds(hashes: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(part.tobytes(), k) - (1 << 63) for k, part in enumerate(least.reshape(ROUNDS, SHARED))]
 
 
-def classed(df: DataFrame, text: str) -> Column:
-    """The class of a text (a hash of its words), the fingerprints of its words and shingles, and of its set of shingles size, parities and rounds."""
+def prefix(hashes: np.ndarray, similarity: float) -> np.ndarray:
+    """The least of a set's ascending hashes, of which it shares one at least with each set that is similar."""
+    return hashes[: len(hashes) - math.ceil(similarity * len(hashes) - 1e-4) + 1]
+
+
+def halvings(size: int) -> int:
+    """How often the range of hashes is halved for a set of this size."""
+    return max(0, ((size - 1) // SEGMENT).bit_length())
+
+
+def segments_of(hashes: np.ndarray, similarity: float) -> Iterator[tuple[int, list[int] | None, np.ndarray]]:
+    """Size, parities and prefix of each range of a set's ascending hashes that has any; hashes of different numbers of ranges are told apart."""
+    least = math.ceil(similarity * len(hashes) - 1e-4)
+    for k in range(halvings(least), halvings(len(hashes)) + 1) if len(hashes) else ():
+        bounds = np.arange(1, 1 << k, dtype=np.uint64) << np.uint64(64 - k) if k else np.empty(0, np.uint64)
+        for part in np.split(hashes, np.searchsorted(hashes, bounds)):
+            if len(part):
+                yield len(part), parities(part), prefix(part, similarity) ^ np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+
+
+def segments_column(sets: list[np.ndarray], similarity: float) -> pa.Array:
+    each = [list(segments_of(h, similarity)) for h in sets]
+    flat = [x for own in each for x in own]
+    starts = lambda lengths: pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
+    hashes = np.concatenate([x[2] for x in flat]).view(np.int64) if flat else np.empty(0, np.int64)
+    fields = [pa.array([x[0] for x in flat], pa.int32()), pa.array([x[1] for x in flat], pa.list_(pa.int64())), pa.ListArray.from_arrays(starts([len(x[2]) for x in flat]), pa.array(hashes))]
+    return pa.ListArray.from_arrays(starts([len(own) for own in each]), pa.StructArray.from_arrays(fields, names=["size", "parity", "prefix"]))
+
+
+def classed(df: DataFrame, text: str, similarity: float = SIMILARITY) -> Column:
+    """The class of a text (a hash of its words), the fingerprints of its words and shingles, and of its set of shingles size, parities, rounds and segments."""
 
     def start():
         kept: dict[bytes, bytes] = {}
@@ -312,6 +346,7 @@ def classed(df: DataFrame, text: str) -> Column:
                 pa.array([len(h) for h in sets], pa.int32()),
                 pa.array([parities(h) for h in sets], pa.list_(pa.int64())),
                 pa.array([rounds(h) for h in sets], pa.list_(pa.int64())),
+                segments_column(sets, similarity),
             ]
             return pa.StructArray.from_arrays(columns, names=PRINTS.names)
 
@@ -343,15 +378,40 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.filter((shared > 0) & (F.round(shared / union, 9) >= similarity)).select("a", "b")
 
 
+def apart_yet(texts: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """``a`` and ``b`` of all ``texts`` of different ``roots`` that may be similar: all that are similar are among them."""
+    rooted = texts.join(roots, texts["node"] == roots["of"], "left").withColumn("root", F.coalesce("root", "node"))
+    held = rooted.select("node", "root", F.posexplode("segments").alias("segment", "s")).select("node", "root", "segment", F.posexplode("s.prefix").alias("pos", "key"))
+    held = written(held, "held")
+    bridges = held.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
+    held = held.join(sent(written(bridges, "bridges")), "key")
+    # a range's size is within a step of that of a similar one
+    step = max(-math.log(similarity), 1e-3) * (1 + 1e-6)
+    before = F.slice("s.prefix", F.greatest(F.col("pos") - LOOKED_BACK + 1, F.lit(1)), F.least("pos", F.lit(LOOKED_BACK)))
+    own = texts.select("node", F.col("size").alias("whole"), F.posexplode("segments").alias("segment", "s"))
+    sketch = [F.col("s.size").alias("size"), F.floor(F.log("s.size") / step).cast("int").alias("step"), *[F.get("s.parity", k).alias(c) for k, c in enumerate(PARITY)]]
+    held = written(held.join(own, ["node", "segment"]).select("key", "node", "root", "whole", "pos", *sketch, before.alias("before")), "bridging")
+    p, q = (held.select([F.col(c).alias(f"{side}_{c}") for c in held.columns]) for side in "pq")
+    p = p.withColumn("p_step", F.explode(F.array("p_step", F.col("p_step") + 1)))
+    x, y = ({c: F.col(f"{side}_{c}") for c in held.columns} for side in "pq")
+    ordered = (x["size"] < y["size"]) | ((x["size"] == y["size"]) & (x["node"] < y["node"]))
+    wholes = F.least(x["whole"], y["whole"]) >= F.greatest(x["whole"], y["whole"]) * similarity - 1e-4
+    # what two ranges can share from this hash on, if it is the first that they share
+    left = F.least(x["size"] - x["pos"], y["size"] - y["pos"]) >= (x["size"] + y["size"]) * (similarity / (1 + similarity)) - 1e-3
+    met_before = F.arrays_overlap(x["before"], y["before"])
+    meet = (x["key"] == y["key"]) & (x["step"] == y["step"]) & (x["root"] != y["root"]) & ordered & left & wholes & may_be_alike(x, y, similarity) & ~met_before
+    return p.join(q, meet).select(F.least("p_node", "q_node").alias("a"), F.greatest("p_node", "q_node").alias("b")).distinct()
+
+
 def near_copies(rows: DataFrame, docs: DataFrame, text: str, similarity: float = SIMILARITY) -> DataFrame:
     """``class`` and ``group``, a number that the classes of a group share, of all classes that have words.
 
-    ``rows`` has the ``class``, ``prints``, ``spread`` and number of ``shingles`` of each row of ``docs``, and both have the keys ``__k1`` and ``__k2``.
+    ``rows`` has the ``class``, number of ``shingles`` and sketches (``classed``, with the same similarity) of each row of ``docs``, and both have the keys ``__k1`` and ``__k2``.
     """
     ones = F.min(F.struct("__k1", "__k2")).alias("k")  # one row of each class: all of a class have the same shingles
-    same = [F.first(c).alias(c) for c in ("prints", "spread", "size", "parity", "rounds")]
+    same = [F.first(c).alias(c) for c in ("prints", "spread", "size", "parity", "rounds", "segments")]
     texts = rows.filter("shingles > 0").groupBy("class").agg(*same, ones)
-    texts = texts.select("class", "prints", "rounds", "spread", "size", *[F.get("parity", k).alias(c) for k, c in enumerate(PARITY)], "k.*")
+    texts = texts.select("class", "prints", "rounds", "segments", "spread", "size", *[F.get("parity", k).alias(c) for k, c in enumerate(PARITY)], "k.*")
     texts = written(texts.withColumn("node", F.monotonically_increasing_id()), "texts")
     sketch = ["spread", "size", *PARITY]
     each = texts.select("node", *sketch, F.posexplode("prints").alias("kind", "fp"))
@@ -376,11 +436,7 @@ def near_copies(rows: DataFrame, docs: DataFrame, text: str, similarity: float =
     stars = written(stars.distinct(), "stars")
     sure = written(verified(stars, sets_of(stars, "sets"), similarity), "sure")
     roots = written(components(sure).withColumnRenamed("node", "of"), "roots")
-    # candidates that are still apart
-    rooted = written(each.join(roots, each["node"] == roots["of"], "left").withColumn("root", F.coalesce("root", "node")).drop("of"), "rooted")
-    same = lambda p, q: (apart(p["fp"], q["fp"]) <= NEAR) & (apart(p["spread"], q["spread"]) <= SPREAD)
-    close = lambda p, q: (p["root"] != q["root"]) & same(p, q) & may_be_alike(p, q, similarity)
-    more = written(met(rooted, close, "node", CROWDED_TEXTS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "more")
+    more = written(apart_yet(texts, roots, similarity), "more")
     late = written(verified(more, sets_of(more, "late_sets"), similarity), "late")
     roots = components(sure.unionByName(late)).withColumnRenamed("node", "of")
     return texts.select("class", "node").join(roots, F.col("node") == F.col("of"), "left").select("class", F.coalesce("root", "node").alias("group"))
@@ -398,7 +454,7 @@ def deduplicated(df: DataFrame, text: str = "text", doc_id: str = "doc_id", simi
     plain = [f.name for f in base.schema if not isinstance(f.dataType, MapType | VariantType)]
     keys = {"__k1": F.xxhash64(shown, body), "__k2": F.xxhash64(body, F.lit("/"), shown)}
     hashed = base.withColumns(keys | {"__k3": F.xxhash64(*plain)})
-    rows = hashed.withColumn("__p", classed(base, place_of(df, text))).select(*keys, "__k3", F.col(own).alias("__id"), "__p.*")
+    rows = hashed.withColumn("__p", classed(base, place_of(df, text), similarity)).select(*keys, "__k3", F.col(own).alias("__id"), "__p.*")
     rows = written(rows, "fingerprints")
     roots = near_copies(rows, hashed, place_of(df, text), similarity)
     # equal rows first, then the rows of a class, then those of a group: few of any group reach the next step.  The joins have

@@ -205,3 +205,37 @@ def test_one_of_equal_rows_stays(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, other int")
     kept = [sorted(map(str, S.deduplicated(df.repartition(n)).collect())) for n in (1, 3)]
     assert kept[0] == kept[1] and len(kept[0]) == 3
+
+
+def test_no_link_is_left_out(spark):
+    """Pairs just above the threshold, short and long: fingerprints of words found some of them only."""
+    rng, rows = random.Random(21), []
+    for n in (6, 12, 30, 94, 240, 300, 700, 2500):
+        for _ in range(12):
+            base = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+            other, grams = list(base), {tuple(base[i : i + 5]) for i in range(n - 4)}
+            for _ in range(n):  # change words, or lengthen the text, as long as it stays similar
+                w = [*other, f"w{rng.randrange(10**6)}"] if rng.random() < 0.3 else [f"w{rng.randrange(10**6)}" if k == rng.randrange(n) else x for k, x in enumerate(other)]
+                mine = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+                other = w if len(grams & mine) >= 0.8 * len(grams | mine) else other
+            rows += [base, other]
+    rows = [(k, " ".join(w)) for k, w in enumerate(rows)]
+    kept = {r.doc_id for r in S.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert kept == set(near_groups(rows))
+
+
+def test_prefixes_and_segments_miss_no_similar_set():
+    rng = np.random.default_rng(9)
+    for n in (1, 2, 5, 9, 255, 257, 300, 512, 515, 640, 1300, 5000):
+        for _ in range(25):
+            a = np.unique(rng.integers(0, 2**64, n, np.uint64))
+            gone = rng.permutation(len(a))[: int(len(a) * 0.1 * rng.random() * 2)]
+            b = np.unique(np.concatenate([np.delete(a, gone), rng.integers(0, 2**64, int(n * 0.2 * rng.random()), np.uint64)]))
+            shared = len(np.intersect1d(a, b))
+            if shared < 0.8 * (len(a) + len(b) - shared):
+                continue
+            x, y = (list(S.segments_of(h, 0.8)) for h in (a, b))
+            met = [(p, q) for p in x for q in y if len(np.intersect1d(p[2], q[2]))]
+            alike = [(p, q) for p, q in met if min(p[0], q[0]) >= 0.8 * max(p[0], q[0]) - 1e-6]
+            differing = lambda p, q: sum((int(u) ^ int(v)).bit_count() for u, v in zip(np.array(p[1]).view(np.uint64), np.array(q[1]).view(np.uint64), strict=True))
+            assert any(p[1] is None or q[1] is None or differing(p, q) * 1.8 <= (p[0] + q[0]) * 0.2 + 1e-6 for p, q in alike), (n, len(a), len(b))
