@@ -45,7 +45,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, MapType, StructType, VariantType
 
@@ -382,9 +382,9 @@ def apart_yet(texts: DataFrame, roots: DataFrame, similarity: float) -> DataFram
     """``a`` and ``b`` of all ``texts`` of different ``roots`` that may be similar: all that are similar are among them."""
     rooted = texts.join(roots, texts["node"] == roots["of"], "left").withColumn("root", F.coalesce("root", "node"))
     held = rooted.select("node", "root", F.posexplode("segments").alias("segment", "s")).select("node", "root", "segment", F.posexplode("s.prefix").alias("pos", "key"))
-    held = written(held, "held")
-    bridges = held.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-    held = held.join(sent(written(bridges, "bridges")), "key")
+    # one shuffle of the hashes, and none of them written beside it
+    same = Window.partitionBy("key")
+    held = held.withColumn("low", F.min("root").over(same)).withColumn("high", F.max("root").over(same)).filter("low <> high").drop("low", "high")
     # a range's size is within a step of that of a similar one
     step = max(-math.log(similarity), 1e-3) * (1 + 1e-6)
     before = F.slice("s.prefix", F.greatest(F.col("pos") - LOOKED_BACK + 1, F.lit(1)), F.least("pos", F.lit(LOOKED_BACK)))
