@@ -27,7 +27,7 @@ their parities: each shingle flips one of ``PARITIES`` bits, so two sets differ
 of a Jaccard similarity s differ in (1 - s) / (1 + s) of their sizes' sum at most.  No link fails this, and of a family of texts that are alike
 but not enough hardly a pair passes.  Larger sets would fill the parities, so they are cut into 2, 4, ... ranges of hashes (``segments``) until these have about
 ``SEGMENT`` hashes at most: if all ranges differed in more than that part, so would the sets, so similar sets are similar in one range at least.  A set takes
-each number of ranges that a similar smaller set may have.  Pairs that share one of the ``LOOKED_BACK`` hashes before, too, have met there.  What is linked is verified by the shingles themselves.  So a group of very many near copies isn't compared pair by pair, and no link between groups is lost.
+each number of ranges that a similar smaller set may have.  What is linked is verified by the shingles themselves.  So a group of very many near copies isn't compared pair by pair, and no link between groups is lost.
 
 Defined results: a null text counts as an empty one; a text without words has fingerprint zero; texts of fewer words than a shingle
 are one shingle; repeated rows are linked like any others; a null doc_id is ignored as a component's least id unless it is the only
@@ -63,8 +63,6 @@ PARITIES, PARITY_SIZE = 256, 512
 ROUNDS, SHARED = 8, 5
 #: Hashes of a range of a set at most, on average.
 SEGMENT = 256
-#: Hashes before a shared one that tell whether two texts have met already.
-LOOKED_BACK = 8
 #: Words whose hashes are kept in memory, and the longest of them.
 KEPT_WORDS, KEPT_BYTES = 150_000, 40
 #: Shingles whose bits are counted at once, which bounds memory for very long texts.
@@ -155,9 +153,7 @@ def keys_of(prints: np.ndarray, probes: bool) -> tuple[np.ndarray, np.ndarray]:
 
 KEYED = StructType().add("key", "long").add("fp", "long")
 PARITY = [f"parity{k}" for k in range(PARITIES // 64)]
-TEXTS = StructType().add("key", "long").add("kind", "integer").add("fp", "long").add("spread", "long").add("size", "integer").add("node", "long").add("root", "long")
-for _name in PARITY:
-    TEXTS = TEXTS.add(_name, "long")
+TEXTS = StructType().add("key", "long").add("kind", "integer").add("fp", "long").add("node", "long")
 
 
 def keyed(prints: DataFrame, probes: bool) -> DataFrame:
@@ -378,19 +374,24 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.filter((shared > 0) & (F.round(shared / union, 9) >= similarity)).select("a", "b")
 
 
-def apart_yet(texts: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """``a`` and ``b`` of all ``texts`` of different ``roots`` that may be similar: all that are similar are among them."""
-    rooted = texts.join(roots, texts["node"] == roots["of"], "left").withColumn("root", F.coalesce("root", "node"))
-    held = rooted.select("node", "root", F.posexplode("segments").alias("segment", "s")).select("node", "root", "segment", F.posexplode("s.prefix").alias("pos", "key"))
+def apart_yet(rows: DataFrame, texts: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """``a`` and ``b`` of all ``texts`` of different ``roots`` that may be similar: all that are similar are among them.
+
+    Each text's segments are read where they were written, in that of ``rows`` whose ``row`` is its ``node``.
+    """
+    rooted = texts.join(roots, texts["node"] == roots["of"], "left").select("node", "size", F.coalesce("root", "node").alias("root"))
+    rooted = sent(written(rooted, "rooted"))
+    each = rows.join(rooted.withColumnRenamed("size", "whole"), F.col("row") == F.col("node")).select("node", "root", "whole", F.posexplode("segments").alias("segment", "s"))
+    held = each.select("node", "root", "segment", F.posexplode("s.prefix").alias("pos", "key"))
     # one shuffle of the hashes, and none of them written beside it
     same = Window.partitionBy("key")
     held = held.withColumn("low", F.min("root").over(same)).withColumn("high", F.max("root").over(same)).filter("low <> high").drop("low", "high")
     # a range's size is within a step of that of a similar one
     step = max(-math.log(similarity), 1e-3) * (1 + 1e-6)
-    before = F.slice("s.prefix", F.greatest(F.col("pos") - LOOKED_BACK + 1, F.lit(1)), F.least("pos", F.lit(LOOKED_BACK)))
-    own = texts.select("node", F.col("size").alias("whole"), F.posexplode("segments").alias("segment", "s"))
+    # the sketches of ranges don't go with every hash, but meet those that are left
     sketch = [F.col("s.size").alias("size"), F.floor(F.log("s.size") / step).cast("int").alias("step"), *[F.get("s.parity", k).alias(c) for k, c in enumerate(PARITY)]]
-    held = written(held.join(own, ["node", "segment"]).select("key", "node", "root", "whole", "pos", *sketch, before.alias("before")), "bridging")
+    own = each.select("node", "segment", "whole", *sketch)
+    held = written(held.join(own, ["node", "segment"]).drop("segment"), "bridging")
     p, q = (held.select([F.col(c).alias(f"{side}_{c}") for c in held.columns]) for side in "pq")
     p = p.withColumn("p_step", F.explode(F.array("p_step", F.col("p_step") + 1)))
     x, y = ({c: F.col(f"{side}_{c}") for c in held.columns} for side in "pq")
@@ -398,23 +399,21 @@ def apart_yet(texts: DataFrame, roots: DataFrame, similarity: float) -> DataFram
     wholes = F.least(x["whole"], y["whole"]) >= F.greatest(x["whole"], y["whole"]) * similarity - 1e-4
     # what two ranges can share from this hash on, if it is the first that they share
     left = F.least(x["size"] - x["pos"], y["size"] - y["pos"]) >= (x["size"] + y["size"]) * (similarity / (1 + similarity)) - 1e-3
-    met_before = F.arrays_overlap(x["before"], y["before"])
-    meet = (x["key"] == y["key"]) & (x["step"] == y["step"]) & (x["root"] != y["root"]) & ordered & left & wholes & may_be_alike(x, y, similarity) & ~met_before
+    meet = (x["key"] == y["key"]) & (x["step"] == y["step"]) & (x["root"] != y["root"]) & ordered & left & wholes & may_be_alike(x, y, similarity)
     return p.join(q, meet).select(F.least("p_node", "q_node").alias("a"), F.greatest("p_node", "q_node").alias("b")).distinct()
 
 
 def near_copies(rows: DataFrame, docs: DataFrame, text: str, similarity: float = SIMILARITY) -> DataFrame:
     """``class`` and ``group``, a number that the classes of a group share, of all classes that have words.
 
-    ``rows`` has the ``class``, number of ``shingles`` and sketches (``classed``, with the same similarity) of each row of ``docs``, and both have the keys ``__k1`` and ``__k2``.
+    ``rows`` has a number (``row``), the ``class``, number of ``shingles`` and sketches (``classed``, with the same similarity) of each row of ``docs``, and both have the keys
+    ``__k1`` and ``__k2``.  A class is known by one of its rows, its ``node``; segments, the greater part of ``rows``, stay where they are.
     """
-    ones = F.min(F.struct("__k1", "__k2")).alias("k")  # one row of each class: all of a class have the same shingles
-    same = [F.first(c).alias(c) for c in ("prints", "spread", "size", "parity", "rounds", "segments")]
+    ones = F.min(F.struct(F.col("row").alias("node"), "__k1", "__k2")).alias("k")  # one row of each class: all of a class have the same shingles
+    same = [F.first(c).alias(c) for c in ("prints", "spread", "size", "parity", "rounds")]
     texts = rows.filter("shingles > 0").groupBy("class").agg(*same, ones)
-    texts = texts.select("class", "prints", "rounds", "segments", "spread", "size", *[F.get("parity", k).alias(c) for k, c in enumerate(PARITY)], "k.*")
-    texts = written(texts.withColumn("node", F.monotonically_increasing_id()), "texts")
+    texts = written(texts.select("class", "prints", "rounds", "spread", "size", *[F.get("parity", k).alias(c) for k, c in enumerate(PARITY)], "k.*"), "texts")
     sketch = ["spread", "size", *PARITY]
-    each = texts.select("node", *sketch, F.posexplode("prints").alias("kind", "fp"))
 
     def sets_of(pairs: DataFrame, name: str) -> DataFrame:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -423,20 +422,20 @@ def near_copies(rows: DataFrame, docs: DataFrame, text: str, similarity: float =
         return written(own.select("node", shingle_sets(own, "t").alias("shingles")).groupBy("node").agg(F.first("shingles").alias("shingles")), name)
 
     apart = lambda x, y: F.bit_count(x.bitwiseXOR(y))
-    # the texts of each key with the least and the greatest of them
-    points = keyed(each.withColumn("root", F.col("node")), False).select("key", "node", *sketch)
-    points = written(points.unionByName(texts.select(F.explode("rounds").alias("key"), "node", *sketch)), "points")
-    row = F.struct("node", *sketch)
-    ends = points.groupBy("key").agg(F.min(row).alias("least"), F.max(row).alias("most"), F.count("*").alias("n")).filter("n > 1")
-    ends = written(ends.select("key", F.explode(F.array("least", "most")).alias("first")), "ends")
-    own, first = {c: F.col(c) for c in sketch}, {c: F.col("first")[c] for c in sketch}
+    # the texts of each key with the least and the greatest of them; sketches join the different pairs, not each key
+    points = keyed(texts.select("node", F.posexplode("prints").alias("kind", "fp")), False).select("key", "node")
+    points = written(points.unionByName(texts.select(F.explode("rounds").alias("key"), "node")), "points")
+    ends = points.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least <> most")
+    stars = points.join(ends, "key").select("node", F.explode(F.array("least", "most")).alias("first")).filter("node <> first")
+    stars = stars.select(F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b")).distinct()
+    for side in "ab":
+        stars = stars.join(texts.select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in sketch]), side)
+    own, first = ({c: F.col(f"{side}_{c}") for c in sketch} for side in "ab")
     near = (apart(own["spread"], first["spread"]) <= SPREAD) & may_be_alike(own, first, similarity)
-    stars = points.join(ends, "key").filter((F.col("node") != F.col("first.node")) & near)
-    stars = stars.select(F.least("node", F.col("first.node")).alias("a"), F.greatest("node", F.col("first.node")).alias("b"))
-    stars = written(stars.distinct(), "stars")
+    stars = written(stars.filter(near).select("a", "b"), "stars")
     sure = written(verified(stars, sets_of(stars, "sets"), similarity), "sure")
     roots = written(components(sure).withColumnRenamed("node", "of"), "roots")
-    more = written(apart_yet(texts, roots, similarity), "more")
+    more = written(apart_yet(rows, texts, roots, similarity), "more")
     late = written(verified(more, sets_of(more, "late_sets"), similarity), "late")
     roots = components(sure.unionByName(late)).withColumnRenamed("node", "of")
     return texts.select("class", "node").join(roots, F.col("node") == F.col("of"), "left").select("class", F.coalesce("root", "node").alias("group"))
@@ -455,7 +454,7 @@ def deduplicated(df: DataFrame, text: str = "text", doc_id: str = "doc_id", simi
     keys = {"__k1": F.xxhash64(shown, body), "__k2": F.xxhash64(body, F.lit("/"), shown)}
     hashed = base.withColumns(keys | {"__k3": F.xxhash64(*plain)})
     rows = hashed.withColumn("__p", classed(base, place_of(df, text), similarity)).select(*keys, "__k3", F.col(own).alias("__id"), "__p.*")
-    rows = written(rows, "fingerprints")
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "fingerprints")
     roots = near_copies(rows, hashed, place_of(df, text), similarity)
     # equal rows first, then the rows of a class, then those of a group: few of any group reach the next step.  The joins have
     # shuffles of their own on both sides, so that the rows of one class or group can be split over tasks.

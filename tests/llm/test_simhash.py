@@ -239,3 +239,20 @@ def test_prefixes_and_segments_miss_no_similar_set():
             alike = [(p, q) for p, q in met if min(p[0], q[0]) >= 0.8 * max(p[0], q[0]) - 1e-6]
             differing = lambda p, q: sum((int(u) ^ int(v)).bit_count() for u, v in zip(np.array(p[1]).view(np.uint64), np.array(q[1]).view(np.uint64), strict=True))
             assert any(p[1] is None or q[1] is None or differing(p, q) * 1.8 <= (p[0] + q[0]) * 0.2 + 1e-6 for p, q in alike), (n, len(a), len(b))
+
+
+def test_sketches_are_written_once(spark, monkeypatch):
+    """Hashes of prefixes stay in one written table, and no sketch goes with each key of a text."""
+    made, kept = {}, S.written
+
+    def noted(df, name):
+        made[name] = {f.name: f.dataType.simpleString() for f in df.schema}
+        return kept(df, name)
+
+    monkeypatch.setattr(S, "written", noted)
+    texts = [" ".join(f"w{(12 * k + i) % 360}" for i in range(40)) for k in range(30)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts + texts[:5])], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in S.deduplicated(docs).select("doc_id").collect()) == list(range(30))
+    assert [n for n, columns in made.items() if "segments" in columns] == ["fingerprints"]
+    assert set(made["points"]) == {"key", "node"}
+    assert not any(kind.startswith("array") for kind in made["bridging"].values())
