@@ -47,6 +47,8 @@ SHARES = (1, 3, 9)
 START_RATE, RATE = 0.05, 0.02
 #: A unit's distribution is mixed with the words' own frequencies.
 MIXED = 0.01
+#: Occurrences of a token in a gradient step up to which it is a short run.
+SHORT = 16
 #: Words whose tokens are kept in memory, and the longest of them.
 KEPT_WORDS, KEPT_CHARS = 150_000, 40
 #: Tokens scored at once, networks averaged at once, numbers of a network in a piece, parts of a task at most.
@@ -128,6 +130,18 @@ class Tokens(dict):
         return token
 
 
+def sums_of_runs(rows: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """The sums of the runs of ``rows`` that begin there: most runs are short, and those are added a row of all of them at a time."""
+    sizes = np.diff(np.append(begins, len(rows)))
+    out, short = rows[begins], np.flatnonzero(sizes <= SHORT)
+    for k in range(1, SHORT):
+        short = short[sizes[short] > k]
+        out[short] += rows[begins[short] + k]
+    for i in np.flatnonzero(sizes > SHORT).tolist():
+        out[i] = rows[begins[i] : begins[i] + sizes[i]].sum(0)
+    return out
+
+
 class Network:
     """``left``, ``right``: vectors of neighbours by token (the last, none, is zero); ``bias``; ``q``: the units' distributions."""
 
@@ -203,7 +217,7 @@ class Network:
         order = np.argsort(x.astype(np.uint16) if self.none < 1 << 16 else x, kind="stable")  # short integers sort in linear time
         token = x[order]
         begins = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        sums, token = np.add.reduceat(sides[order], begins, axis=0), token[begins]
+        sums, token = sums_of_runs(sides[order], begins), token[begins]
         # a vector moves by the mean slope of its places times the root of their number
         size = rate / np.sqrt(np.diff(np.append(begins, len(x))))[:, None].astype(np.float32)
         real = token < self.none

@@ -333,3 +333,12 @@ def test_stages_on_odd_rows(spark, odd, clashing, nothing, tmp_path):
             out = stage(spark, df, folder)
             assert k == 4 or out.columns == df.columns
             assert out.count() <= df.count()
+
+
+@pytest.mark.parametrize("most", [1, 3, 40])
+def test_sums_of_runs(most):
+    rng = np.random.default_rng(most)
+    sizes = rng.integers(1, most + 1, 50)
+    rows = rng.normal(size=(sizes.sum(), 6)).astype(np.float32)
+    begins = np.cumsum(sizes) - sizes
+    assert np.allclose(L.sums_of_runs(rows, begins), np.add.reduceat(rows, begins, axis=0), atol=1e-5)
