@@ -147,7 +147,7 @@ def vec_half(spark, sf_dir):
 )
 def vec_distance_to_similarity(spark, sf_dir):
     e = M.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return pairs.compared(e, query_set(spark, sf_dir), "embedding", similarity=True).withColumnRenamed("id", "vec_id")
+    return pairs.compared(e, query_set(spark, sf_dir), "embedding", similarity=True, name="vec_id")
 
 
 @query(

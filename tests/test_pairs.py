@@ -58,6 +58,25 @@ def test_all_pairs_are_those_of_the_expressions(odd):
     assert rows(pairs.compared(p, q), "qid", "id", "by_cosine") == rows(plain, "qid", "id", "by_cosine")
 
 
+def test_all_pairs_come_in_runs_of_equal_cosines(spark, tmp_path):
+    """Pairs in order of points and queries took nearly 16 bytes each, more than a disk holds for a large table."""
+    m = np.random.default_rng(7).normal(size=(16_000, 64))
+    p = spark.createDataFrame([(k, (v / np.linalg.norm(v)).tolist()) for k, v in enumerate(m)], "id long, clip array<double>")
+    q = p.filter("id % 50 = 0").select(F.col("id").alias("qid"), F.col("clip").alias("q"))
+    out = str(tmp_path / "all")
+    pairs.compared(p, q).write.parquet(out)
+    assert spark.read.parquet(out).agg(F.count("*"), F.countDistinct("qid", "id")).first()[:] == (len(m) ** 2 // 50,) * 2
+    assert sum(f.stat().st_size for f in (tmp_path / "all").glob("*.parquet")) < 10 * len(m) ** 2 // 50
+
+
+def test_numbers_in_order_with_their_places():
+    x = np.array([0.5, -0.25, np.nan, 0.5, np.inf, 0.0, -0.25, -np.inf])
+    at, values = pairs.in_order(x)
+    assert at.tolist() == [1, 6, 5, 0, 3, 2, 4, 7] and list(map(repr, values.tolist())) == list(map(repr, x[at].tolist()))
+    at, values = pairs.in_order(x[[0, 1, 3, 5]])
+    assert at.tolist() == [1, 3, 0, 2] and values.tolist() == [-0.25, 0.0, 0.5, 0.5]
+
+
 def test_halves_are_rounded_by_their_digits():
     x = np.array([0.1234565, -0.1234565, 0.0000005, -0.0000005, 1.0, np.nan, 0.4999995, 2.5e-6])
     assert list(map(repr, pairs.rounded(x).tolist())) == ["0.123457", "-0.123457", "1e-06", "-1e-06", "1.0", "nan", "0.5", "3e-06"]
