@@ -3,8 +3,9 @@
 Rows of a stream come in batches that may split a frame or bring an older row after a newer one.  So the rows of a key wait in its state
 until the watermark has passed them; a timer at the oldest one's time wakes the key, and all rows that the watermark has passed are folded
 in order.  The result thus doesn't depend on how a stream is cut into batches.  What a key keeps is its rows of the watermark's delay
-and its automaton's state, never its history.  Rows wait packed, an Arrow batch as one value, and small automata of many keys share a
-bucket's state, since a value of the state store costs far more than a row.
+and its automaton's state, never its history.  Rows are packed before they are shuffled, since Spark hands the rows of a key to Python one by one,
+and wait packed, some thousands in order of time as one value; small automata of many keys share a bucket's state, since a value of the state store
+costs far more than a row.  A key takes them up a part at a time.  A row that comes after its key has been folded past its time is left out.
 
 Each automaton's step is a plain function or class that the batch twin uses as well (``folded`` here, ``tracker.tracked`` for tracks).
 """
@@ -17,12 +18,12 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field
 from datetime import UTC, datetime
-from itertools import groupby
-from operator import itemgetter
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -30,8 +31,9 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from pyspark.sql.types import StructType
 
 from ..operators.intervals import slot
+from ..operators.pairs import in_blocks
 from .run import available_now, shared_folder
-from .tracker import MISSED, Tracker
+from .tracker import MISSED, Frames
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -56,8 +58,8 @@ def ended(rows: DataFrame, at: Callable[[str], object]) -> tuple[DataFrame, Call
     return rows.unionByName(spark.readStream.schema(rows.schema).parquet(place)), lambda: end.write.mode("append").parquet(place)
 
 
-#: Rows that come out together.
-AT_ONCE = 10_000
+#: Rows that come out together; rows that are put in order at once; rows of a value of the state.
+AT_ONCE, ORDERED, PACKED = 10_000, 1 << 18, 1 << 13
 #: When a stream that ends has its last row.
 LAST = datetime(2200, 1, 1)
 
@@ -69,19 +71,31 @@ def to_its_end(made: Callable[[DataFrame], DataFrame], rows: DataFrame, at: str)
         return available_now(made(both), then=then)
 
 
-def packed(pdf: pd.DataFrame, schema: pa.Schema) -> bytes:
+def packed(rows: pd.DataFrame | pa.Table, schema: pa.Schema) -> bytes:
     sink = pa.BufferOutputStream()
+    table = rows if isinstance(rows, pa.Table) else pa.Table.from_pandas(rows, schema, preserve_index=False)
     with pa.ipc.new_stream(sink, schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as writer:
-        writer.write_table(pa.Table.from_pandas(pdf, schema, preserve_index=False))
+        writer.write_table(table.select(schema.names).cast(schema))
     return sink.getvalue().to_pybytes()
 
 
-def unpacked(rows: bytes) -> pd.DataFrame:
-    return pa.ipc.open_stream(rows).read_pandas()
+def unpacked(rows: bytes) -> pa.Table:
+    return pa.ipc.open_stream(rows).read_all()
+
+
+def by_time(tables: list[pa.Table]) -> pa.Table:
+    rows = pa.concat_tables(tables).combine_chunks()
+    return rows.take(pc.sort_indices(rows["at_ms"]))
+
+
+def values(rows: pa.Table, schema: pa.Schema) -> Iterator[tuple[int, bytes]]:
+    """Rows in order of time as values of the state, with the time of each value's first."""
+    for a in range(0, rows.num_rows, PACKED):
+        yield rows["at_ms"][a].as_py(), packed(rows.slice(a, PACKED), schema)
 
 
 class InOrder(StatefulProcessor):
-    """Rows (``at_ms`` and the columns of ``schema``) of a key in order of event time."""
+    """Rows (``at_ms`` and the columns of ``schema``) of a key in order of event time; they come packed, in the column ``rows``."""
 
     #: What waits of each row, ``at_ms long`` first, and the columns that settle ties of time.
     schema: str
@@ -94,54 +108,86 @@ class InOrder(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", "least long, rows binary")
+        self.folded = handle.getValueState("folded", "until long")
         self.open(handle)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = None
-        for pdf in rows:
-            if len(pdf):
-                least = int(pdf["at_ms"].min())
-                self.waiting.appendValue((least, packed(pdf[self.arrow.names], self.arrow)))
+        until = self.folded.get()[0] if self.folded.exists() else None
+        first, held, n = None, [], 0
+
+        def wait() -> None:
+            nonlocal first
+            for least, value in values(by_time(held), self.arrow) if n else ():
+                self.waiting.appendValue((least, value))
                 first = least if first is None else min(first, least)
+
+        for pdf in rows:
+            for value in pdf["rows"]:
+                table = unpacked(value)
+                table = table if until is None else table.filter(pc.greater(table["at_ms"], until))
+                held.append(table)
+                n += table.num_rows
+                if n >= ORDERED:
+                    wait()
+                    held, n = [], 0
+        wait()
         if first is not None:
             self.handle.registerTimer(first)
         yield pd.DataFrame(columns=self.out)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
-        due, late = [], []
-        for least, rows in list(self.waiting.get()) if self.waiting.exists() else []:
-            if least > passed:
-                late.append((least, rows))
-                continue
-            pdf = unpacked(rows)
-            ahead = pdf["at_ms"] > passed
-            due.append(pdf[~ahead])
-            if ahead.any():
-                late.append((int(pdf["at_ms"][ahead].min()), packed(pdf[ahead], self.arrow)))
+        due, late, ahead = [], [], []
+        for least, rows in self.waiting.get() if self.waiting.exists() else []:
+            (late if least > passed else due).append((least, rows))
+        due.sort(key=lambda x: x[0])
+        yield from self.fold(key, self.parts(due, passed, ahead), passed)
         if due:
+            late += [x for table in ahead for x in values(table, self.arrow)]
             if late:
                 self.waiting.put(late)
                 self.handle.registerTimer(min(least for least, _ in late))
             else:
                 self.waiting.clear()
-        pdf = pd.concat(due, ignore_index=True).sort_values(["at_ms", *self.order]) if due else self.arrow.empty_table().to_pandas()
-        del due
-        found = []
-        for x in self.fold(key, pdf, passed):
-            found.append(x)
-            if len(found) == AT_ONCE:
-                yield pd.DataFrame(found, columns=self.out)
-                found = []
-        yield pd.DataFrame(found, columns=self.out)
+        self.folded.update((passed,))
+
+    def parts(self, due: list[tuple[int, bytes]], passed: int, ahead: list[pa.Table]) -> Iterator[pa.Table]:
+        """The rows that the watermark has passed, a part after the other in time, those of a time in one; the others are put into ``ahead``.
+
+        ``due`` are values of the state in order of their first rows.
+        """
+        held, n, left = [], 0, 0
+        for k, (_, rows) in enumerate(due):
+            held.append(unpacked(rows))
+            n += held[-1].num_rows
+            more = k + 1 < len(due)
+            if more and n < max(ORDERED, 2 * left):
+                continue
+            table = by_time(held)
+            cut = int(np.searchsorted(table["at_ms"].to_numpy(), due[k + 1][0] if more else passed + 1))
+            if cut:
+                yield table.slice(0, cut)
+            held = [table.slice(cut)]
+            n = left = table.num_rows - cut
+        ahead += [x for x in held if x.num_rows]
+
+    def together(self, found: Iterator[tuple]) -> Iterator[pd.DataFrame]:
+        """Rows that come out, some at a time."""
+        rows = []
+        for x in found:
+            rows.append(x)
+            if len(rows) == AT_ONCE:
+                yield pd.DataFrame(rows, columns=self.out)
+                rows = []
+        yield pd.DataFrame(rows, columns=self.out)
 
     @abstractmethod
     def open(self, handle: StatefulProcessorHandle) -> None:
         """Make the automaton's state."""
 
     @abstractmethod
-    def fold(self, key: tuple, rows: pd.DataFrame, passed: int) -> Iterator[tuple]:
-        """What comes out of the ordered rows; also called without rows when a timer of the automaton is due."""
+    def fold(self, key: tuple, parts: Iterator[pa.Table], passed: int) -> Iterator[pd.DataFrame]:
+        """What comes out of all parts, one after the other; also called without any when a timer of the automaton is due."""
 
     def close(self) -> None:
         pass
@@ -149,9 +195,22 @@ class InOrder(StatefulProcessor):
 
 def on_stream(rows: DataFrame, key: str, processor: InOrder, out: str, delay: str = "1 hour") -> DataFrame:
     """``processor`` on a stream of ``key``, ``at`` (a timestamp) and its columns."""
-    processor.arrow = to_arrow_schema(StructType.fromDDL(processor.schema))
-    timed = rows.withColumn("at_ms", F.unix_millis("at")).withWatermark("at", delay)
-    return timed.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=out, outputMode="append", timeMode="eventTime")
+    schema = processor.arrow = to_arrow_schema(StructType.fromDDL(processor.schema))
+
+    def of_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in in_blocks(batches, ORDERED):
+            table = table.take(pc.sort_indices(table[key])).combine_chunks()
+            keys = pc.run_end_encode(table[key].combine_chunks())
+            begins = [0, *keys.run_ends.to_pylist()]
+            pieces = [(k, a, min(a + PACKED, end)) for k, (begin, end) in enumerate(pairwise(begins)) for a in range(begin, end, PACKED)]
+            for p in range(0, len(pieces), 64):
+                some = pieces[p : p + 64]
+                of_some = pa.array([packed(table.slice(a, end - a), schema) for _, a, end in some], pa.binary())
+                yield pa.RecordBatch.from_arrays([keys.values.take(pa.array([k for k, _, _ in some])), of_some], names=[key, "rows"])
+
+    timed = rows.withColumn("at_ms", F.unix_millis("at")).withWatermark("at", delay).filter("at_ms IS NOT NULL")
+    by_key = timed.select(key, *schema.names).mapInArrow(of_key, StructType([rows.schema[key]]).add("rows", "binary"))
+    return by_key.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=out, outputMode="append", timeMode="eventTime")
 
 
 # --- tracks
@@ -171,22 +230,26 @@ class Follow(InOrder):
         self.live = handle.getMapState("live", "track long", "label string, score double, l double, t double, r double, b double, seen long, sightings long")
         self.made = handle.getValueState("made", "made long")
 
-    def fold(self, key: tuple, rows: pd.DataFrame, passed: int) -> Iterator[tuple]:
-        tracker = Tracker()
-        tracker.made = int(self.made.get()[0]) if self.made.exists() else 0
+    def fold(self, key: tuple, parts: Iterator[pa.Table], passed: int) -> Iterator[pd.DataFrame]:
         before = {int(k[0]): tuple(v) for k, v in self.live.iterator()}
-        for number, (label, score, *box, seen, sightings) in sorted(before.items()):
-            tracker.tracks.append({"id": number, "label": label, "score": score, "box": tuple(box), "seen": int(seen), "sightings": int(sightings)})
-        rows = rows[rows["det"].notna()]  # a row without a detection says only that time goes on
-        rows = rows.sort_values(["tick", "at_ms", *self.order])
-        each = zip(*(rows[c].tolist() for c in ("tick", "det", "label", "score", *"ltrb")), strict=True)
-        for tick, frame in groupby(each, itemgetter(0)):
-            _, dets, *seen = zip(*frame, strict=True)
-            seen = [{"label": label, "score": score, "box": tuple(box)} for label, score, *box in zip(*seen, strict=True)]
-            for det, x in zip(dets, tracker.update(seen, int(tick)), strict=True):
-                yield (key[0], int(tick), int(det), *x)
+        tracks = [{"id": number, "label": label, "score": score, "box": tuple(box), "seen": int(seen), "sightings": int(sightings)} for number, (label, score, *box, seen, sightings) in before.items()]
+        frames = Frames(int(self.made.get()[0]) if self.made.exists() else 0, tracks)
+        for rows in parts:
+            rows = rows.filter(rows["det"].is_valid())  # a row without a detection says only that time goes on
+            if not rows.num_rows:
+                continue
+            label = rows["label"].combine_chunks().dictionary_encode("encode")
+            names = label.dictionary.to_pylist()
+            sizes = np.empty(len(names), np.int64)
+            sizes[sorted(range(len(names)), key=lambda k: (names[k] is None, names[k] or ""))] = np.arange(len(names))
+            code = label.indices.to_numpy()
+            tick, at, det, score, *box = (rows[c].to_numpy() for c in ("tick", "at_ms", "det", "score", *"ltrb"))
+            order = np.lexsort((score, sizes[code], det, at, tick))
+            tick, det = tick[order], det[order]
+            track, sightings = frames.take(tick, code[order].astype(np.int64), names, score[order], np.array(box)[:, order])
+            yield pd.DataFrame(dict(zip(self.out, (np.full(len(tick), key[0]), tick, det, track, sightings), strict=True)))
         # tracks that no later frame can meet end here, even if the camera is silent from now on
-        live = {t["id"]: t for t in tracker.tracks if passed < (t["seen"] + MISSED + 1) * TICK}
+        live = {t["id"]: t for t in frames.tracks if passed < (t["seen"] + MISSED + 1) * TICK}
         for number in before.keys() - live.keys():
             self.live.removeKey((number,))
         for number, t in live.items():
@@ -195,7 +258,8 @@ class Follow(InOrder):
                 self.live.updateValue((number,), value)
         if live:
             self.handle.registerTimer((max(t["seen"] for t in live.values()) + MISSED + 1) * TICK)
-        self.made.update((tracker.made,))
+        self.made.update((frames.made,))
+        yield pd.DataFrame(columns=self.out)
 
 
 def tracks_stream(detections: DataFrame) -> DataFrame:
@@ -245,16 +309,20 @@ class Fold(InOrder):
     def open(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("state", "state string")
 
-    def fold(self, key: tuple, rows: pd.DataFrame, passed: int) -> Iterator[tuple]:
+    def fold(self, key: tuple, parts: Iterator[pa.Table], passed: int) -> Iterator[pd.DataFrame]:
+        yield from self.together(self.steps(parts, passed))
+
+    def steps(self, parts: Iterator[pa.Table], passed: int) -> Iterator[tuple]:
         kept = json.loads(self.state.get()[0]) if self.state.exists() else []
         automata = {one: self.revive(state) for one, state in kept}
-        for r in rows.sort_values([self.key, "at_ms", *self.order]).itertuples(index=False):
-            one = getattr(r, self.key)
-            one = None if pd.isna(one) else int(one)
-            if one not in automata:
-                automata[one] = self.start()
-            for x in automata[one].step(r):
-                yield (one, *x)
+        for rows in parts:
+            for r in rows.to_pandas().sort_values([self.key, "at_ms", *self.order]).itertuples(index=False):
+                one = getattr(r, self.key)
+                one = None if pd.isna(one) else int(one)
+                if one not in automata:
+                    automata[one] = self.start()
+                for x in automata[one].step(r):
+                    yield (one, *x)
         wake = None
         for one, automaton in automata.items():
             due = automaton.due_ms()

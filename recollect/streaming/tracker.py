@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
@@ -63,6 +64,88 @@ class Tracker:
         return [(track_of[d]["id"], track_of[d]["sightings"]) for d in range(len(detections))]
 
 
+#: Pairs of boxes that are compared at once.
+PAIRS = 1 << 20
+
+
+class Frames:
+    """What ``Tracker`` does, over many frames at once: all pairs of boxes that may meet are compared as arrays, and only those that overlap enough are taken one by one."""
+
+    def __init__(self, made: int, tracks: list[dict]):
+        self.made, self.tracks = made, sorted(tracks, key=lambda t: t["id"])
+
+    def take(self, tick: np.ndarray, code: np.ndarray, labels: list, score: np.ndarray, box: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Detections in order of their frames, no frame cut: ``code`` is the place of a label in ``labels``, ``box`` has four rows; for each its track and that track's sightings."""
+        old, n = self.tracks, len(self.tracks) + len(tick)
+        places = {x: k for k, x in enumerate(labels)}
+        codes = [places.setdefault(t["label"], len(places)) for t in old]
+        code = np.concatenate([np.array(codes, np.int64), code])
+        seen = np.concatenate([np.array([t["seen"] for t in old], np.int64), tick])
+        box = np.concatenate([np.array([t["box"] for t in old], np.float64).reshape(-1, 4).T, box], axis=1)
+        later, earlier, s = self.alike(seen, code, box, len(old))
+        order = np.lexsort((later, -s, seen[later]))
+        later, earlier, s = later[order], earlier[order], s[order]
+        # a detection that overlaps two tracks equally takes the older one
+        ties = np.flatnonzero((later[1:] == later[:-1]) & (s[1:] == s[:-1]))
+        ends = dict(zip(ties.tolist(), (ties + 2).tolist(), strict=True))
+        root, sightings = list(range(n)), [t["sightings"] for t in old] + [1] * len(tick)
+        taken, claimed = bytearray(n), bytearray(n)
+        later, earlier = later.tolist(), earlier.tolist()
+        for e in range(len(later)):
+            if e in ends:
+                end = ends[e]
+                while end - 1 in ends:
+                    end = ends[end - 1]
+                earlier[e:end] = sorted(earlier[e:end], key=root.__getitem__)
+            d, k = later[e], earlier[e]
+            if not taken[d] and not claimed[k]:
+                taken[d] = claimed[k] = 1
+                root[d], sightings[d] = root[k], sightings[k] + 1
+        roots, fresh = np.array(root), np.frombuffer(taken, np.uint8) == 0
+        fresh[: len(old)] = False
+        number = np.concatenate([np.array([t["id"] for t in old], np.int64), self.made + np.cumsum(fresh[len(old) :])])
+        track, self.made = number[roots], self.made + int(fresh.sum())
+        heads = np.flatnonzero((np.frombuffer(claimed, np.uint8) == 0) & (seen[-1] - seen <= MISSED))
+        names = list(places)
+        self.tracks = sorted(
+            ({"id": int(track[i]), "label": names[code[i]], "box": tuple(box[:, i].tolist()), "score": old[i]["score"] if i < len(old) else float(score[i - len(old)]), "seen": int(seen[i]), "sightings": sightings[i]} for i in heads),
+            key=lambda t: t["id"],
+        )
+        return track[len(old) :], np.array(sightings[len(old) :], np.int64)
+
+    @staticmethod
+    def alike(seen: np.ndarray, code: np.ndarray, box: np.ndarray, old: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs of a detection and one of its label no more than ``MISSED`` + 1 ticks before it whose boxes overlap enough, and their overlap; the first ``old`` are no detections."""
+        order = np.lexsort((seen, code))
+        first, span = seen.min(), int(seen.max() - seen.min()) + 1
+        at = code[order] * span + (seen[order] - first)
+        since = code[order] * span + np.maximum(seen[order] - first - (MISSED + 1), 0)
+        begin, end = np.searchsorted(at, since), np.searchsorted(at, at)
+        count = np.where(order < old, 0, end - begin)
+        total = np.concatenate([[0], np.cumsum(count)])
+        l, t, r, b = (x[order] for x in box)
+        area = (r - l) * (b - t)
+        found = []
+        a = 0
+        while a < len(order):
+            z = max(a + 1, int(np.searchsorted(total, total[a] + PAIRS, "right")) - 1)
+            x = np.repeat(np.arange(a, z), count[a:z])
+            y = np.arange(total[a], total[z]) - np.repeat(total[a:z] - begin[a:z], count[a:z])
+            # boxes that don't meet have no overlap, and most don't
+            meet = (l[y] < r[x]) & (l[x] < r[y])
+            x, y = x[meet], y[meet]
+            meet = (t[y] < b[x]) & (t[x] < b[y])
+            x, y = x[meet], y[meet]
+            common = (np.minimum(r[y], r[x]) - np.maximum(l[y], l[x])) * (np.minimum(b[y], b[x]) - np.maximum(t[y], t[x]))
+            union = area[y] + area[x] - common
+            with np.errstate(all="ignore"):
+                s = np.where(union > 0, common / union, 0.0)
+            good = s >= OVERLAP
+            found.append((order[x[good]], order[y[good]], s[good]))
+            a = z
+        return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
 OUT = "camera long, stretch long, tick long, det int, track long, sightings long"
 
 

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -146,3 +147,124 @@ def test_rows_wait_packed_and_keys_share_a_bucket(spark):
     finally:
         live.on_stream = on_stream
     assert sorted(map(tuple, got.collect())) == sorted((k, e, moves["Loading/ready"] if x == "ready" else "Recording") for k, _, e, x in many) and buckets == ["bucket"]
+
+
+class State:
+    """A state of one key, in memory."""
+
+    def __init__(self):
+        self.has = []
+
+    exists = lambda self: bool(self.has)
+    get = lambda self: iter(list(self.has))
+    put = lambda self, values: setattr(self, "has", list(values))
+    appendValue = lambda self, value: self.has.append(value)
+    clear = lambda self: self.has.clear()
+
+
+class One(State):
+    get = lambda self: self.has[0]
+    update = lambda self, value: self.put([value])
+
+
+class Map(dict):
+    iterator = lambda self: iter(list(self.items()))
+    removeKey = lambda self, key: self.pop(key)
+    updateValue = dict.__setitem__
+
+
+class Handle:
+    def __init__(self):
+        self.timers = set()
+        self.registerTimer = self.timers.add
+        self.getListState = lambda *_: State()
+        self.getValueState = lambda *_: One()
+        self.getMapState = lambda *_: Map()
+
+
+def test_a_long_history_is_followed_a_part_at_a_time(spark, monkeypatch):
+    """All rows of a camera were taken up at once, each through Python several times."""
+    monkeypatch.setattr(live, "ORDERED", 60)
+    monkeypatch.setattr(live, "PACKED", 8)
+    rng, rows, tick = random.Random(11), [], 1
+    for _ in range(900):
+        tick += rng.choice([1, 1, 1, 1, 2, 15, 16, 17, 18])
+        for det in range(rng.randrange(1, 4)):
+            left = rng.choice([0.0, 1.0, 30.0])
+            rows.append((tick, det, rng.choice(["cup", "dog", None]), rng.random(), left, 0.0, left + 10, 10.0))
+    plain, want = tracker.Tracker(), []
+    for now in sorted({r[0] for r in rows}):
+        frame = [r for r in rows if r[0] == now]
+        found = plain.update([{"label": r[2], "score": r[3], "box": r[4:]} for r in frame], now)
+        want += [(7, now, r[1], *x) for r, x in zip(frame, found, strict=True)]
+    follow, handle, sizes, got = live.Follow(), Handle(), [], []
+    follow.arrow = live.to_arrow_schema(live.StructType.fromDDL(follow.schema))
+    follow.init(handle)
+    took = tracker.Frames.take
+    monkeypatch.setattr(tracker.Frames, "take", lambda self, tick, *rest: (sizes.append(len(tick)), took(self, tick, *rest))[1])
+
+    def packed(some):
+        return pd.DataFrame({"rows": [live.packed(pd.DataFrame([(1000 * r[0], *r) for r in some[k : k + 25]], columns=follow.arrow.names), follow.arrow) for k in range(0, len(some), 25)]})
+
+    def passes(watermark):
+        clock = type("", (), {"getCurrentWatermarkInMs": lambda self: watermark})()
+        for at in sorted(t for t in handle.timers if t <= watermark):
+            handle.timers.discard(at)
+            got.extend(tuple(r) for pdf in follow.handleExpiredTimer((7,), clock, None) for r in pdf.itertuples(index=False))
+
+    half = len(rows) // 2
+    for a, b in ((0, half), (half, len(rows))):
+        some = rows[a:b]
+        rng.shuffle(some)
+        list(follow.handleInputRows((7,), iter([packed(some[:200]), packed(some[200:])]), None))
+        passes(1000 * rows[half][0] - 1 if a == 0 else 10**9)
+        late = (1, 0, "cup", 0.5, 0.0, 0.0, 10.0, 10.0)
+        list(follow.handleInputRows((7,), iter([packed([late])]), None))  # the camera has been followed past it
+    passes(10**9)
+    assert sorted(got) == sorted(want) and len(want) > 1500
+    assert max(sizes) < 500 and len(sizes) > 8 and not follow.waiting.exists()
+
+
+def test_frames_together_as_one_by_one():
+    for seed in range(20):
+        rng, rows, tick = random.Random(seed), [], 0
+        for _ in range(150):
+            tick += rng.choice([1, 1, 1, 1, 2, 9, 15, 16, 17, 18])
+            for _ in range(rng.randrange(1, 6)):
+                # few places, so that many overlaps are equal
+                left, top, wide = rng.choice([0.0, 1.0, 2.0, 30.0]), rng.choice([0.0, 1.0]), rng.choice([10.0, 10.0, 10.0, 0.0, float("nan")])
+                rows.append((tick, rng.choice(["a", "b", None]), rng.random(), (left, top, left + wide, top + 10.0)))
+        plain, want, got = tracker.Tracker(), [], []
+        for now in sorted({r[0] for r in rows}):
+            want += plain.update([{"label": r[1], "score": r[2], "box": r[3]} for r in rows if r[0] == now], now)
+        together, labels = tracker.Frames(0, []), ["b", None, "a"]
+        for since in range(0, tick + 1, 100):
+            some = [r for r in rows if since <= r[0] < since + 100]
+            columns = [np.array(c) for c in ([r[0] for r in some], [labels.index(r[1]) for r in some])]
+            if some:
+                track, sightings = together.take(*columns, labels, np.array([r[2] for r in some]), np.array([r[3] for r in some]).T)
+                got += zip(track.tolist(), sightings.tolist(), strict=True)
+        assert got == want and repr(together.tracks) == repr([{k: t[k] for k in together.tracks[0]} for t in plain.tracks])
+
+
+def test_rows_reach_the_state_packed(spark):
+    """Spark hands the rows of a key to Python one by one, so some thousands come as one."""
+    rows = [(k % 3, 10 + k // 30, k % 30, "cup", 0.9, (float(20 * (k % 30)), 0.0, float(20 * (k % 30) + 10), 10.0)) for k in range(9000)]
+    schema = f"camera long, tick long, det int, label string, score double, {BOX}"
+    seen = []
+    of_stream = live.on_stream
+
+    def watched(*args):
+        seen.append(of_stream(*args)._jdf.queryExecution().analyzed().toString().splitlines())
+        return of_stream(*args)
+
+    stream = in_files(spark, rows, schema, [4000]).withColumn("at", F.timestamp_millis(F.col("tick") * live.TICK))
+    live.on_stream = watched
+    try:
+        got = live.to_its_end(lambda s: live.tracks_stream(s.withColumn("tick", F.coalesce("tick", F.unix_millis("at") / live.TICK).cast("long")).drop("at")), stream, "at")
+    finally:
+        live.on_stream = of_stream
+    got = got.filter("camera IS NOT NULL")
+    assert got.count() == len(rows) and got.agg(F.max("track"), F.max("sightings")).first()[:] == (10, 300)
+    state = next(k for k, line in enumerate(seen[0]) if "TransformWithState" in line)
+    assert any("MapInArrow" in line and "rows" in line for line in seen[0][state:])
