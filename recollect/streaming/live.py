@@ -107,20 +107,15 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "least long, rows binary")
+        # a map, as each value that is put to a list makes the store read the whole list
+        self.waiting = handle.getMapState("waiting", "least long, number long", "rows binary")
+        self.number = handle.getValueState("number", "number long")
         self.folded = handle.getValueState("folded", "until long")
         self.open(handle)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         until = self.folded.get()[0] if self.folded.exists() else None
-        first, held, n = None, [], 0
-
-        def wait() -> None:
-            nonlocal first
-            for least, value in values(by_time(held), self.arrow) if n else ():
-                self.waiting.appendValue((least, value))
-                first = least if first is None else min(first, least)
-
+        firsts, held, n = [], [], 0
         for pdf in rows:
             for value in pdf["rows"]:
                 table = unpacked(value)
@@ -128,37 +123,44 @@ class InOrder(StatefulProcessor):
                 held.append(table)
                 n += table.num_rows
                 if n >= ORDERED:
-                    wait()
+                    firsts.append(self.wait(held))
                     held, n = [], 0
-        wait()
-        if first is not None:
-            self.handle.registerTimer(first)
+        if n:
+            firsts.append(self.wait(held))
+        if firsts:
+            self.handle.registerTimer(min(firsts))
         yield pd.DataFrame(columns=self.out)
 
+    def wait(self, tables: list[pa.Table]) -> int:
+        """Put rows into the state; the time of the first."""
+        rows = by_time(tables)
+        number = int(self.number.get()[0]) if self.number.exists() else 0
+        for number, (least, value) in enumerate(values(rows, self.arrow), number):
+            self.waiting.updateValue((least, number), (value,))
+        self.number.update((number + 1,))
+        return rows["at_ms"][0].as_py()
+
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
-        due, late, ahead = [], [], []
-        for least, rows in self.waiting.get() if self.waiting.exists() else []:
-            (late if least > passed else due).append((least, rows))
-        due.sort(key=lambda x: x[0])
+        waiting = sorted((int(least), int(number)) for least, number in self.waiting.keys()) if self.waiting.exists() else []  # noqa: SIM118
+        due, late, ahead = [k for k in waiting if k[0] <= passed], [k[0] for k in waiting if k[0] > passed], []
         yield from self.fold(key, self.parts(due, passed, ahead), passed)
         if due:
-            late += [x for table in ahead for x in values(table, self.arrow)]
+            for k in due:
+                self.waiting.removeKey(k)
+            late += [self.wait(ahead)] if ahead else []
             if late:
-                self.waiting.put(late)
-                self.handle.registerTimer(min(least for least, _ in late))
-            else:
-                self.waiting.clear()
+                self.handle.registerTimer(min(late))
         self.folded.update((passed,))
 
-    def parts(self, due: list[tuple[int, bytes]], passed: int, ahead: list[pa.Table]) -> Iterator[pa.Table]:
+    def parts(self, due: list[tuple[int, int]], passed: int, ahead: list[pa.Table]) -> Iterator[pa.Table]:
         """The rows that the watermark has passed, a part after the other in time, those of a time in one; the others are put into ``ahead``.
 
-        ``due`` are values of the state in order of their first rows.
+        ``due`` are the places of values in the state, in order of their first rows.
         """
         held, n, left = [], 0, 0
-        for k, (_, rows) in enumerate(due):
-            held.append(unpacked(rows))
+        for k, place in enumerate(due):
+            held.append(unpacked(self.waiting.getValue(place)[0]))
             n += held[-1].num_rows
             more = k + 1 < len(due)
             if more and n < max(ORDERED, 2 * left):

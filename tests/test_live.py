@@ -149,27 +149,20 @@ def test_rows_wait_packed_and_keys_share_a_bucket(spark):
     assert sorted(map(tuple, got.collect())) == sorted((k, e, moves["Loading/ready"] if x == "ready" else "Recording") for k, _, e, x in many) and buckets == ["bucket"]
 
 
-class State:
-    """A state of one key, in memory."""
+class One:
+    """A value of the state of one key, in memory."""
 
-    def __init__(self):
-        self.has = []
-
-    exists = lambda self: bool(self.has)
-    get = lambda self: iter(list(self.has))
-    put = lambda self, values: setattr(self, "has", list(values))
-    appendValue = lambda self, value: self.has.append(value)
-    clear = lambda self: self.has.clear()
-
-
-class One(State):
-    get = lambda self: self.has[0]
-    update = lambda self, value: self.put([value])
+    has = None
+    exists = lambda self: self.has is not None
+    get = lambda self: self.has
+    update = lambda self, value: setattr(self, "has", value)
 
 
 class Map(dict):
+    exists = lambda self: bool(self)
     iterator = lambda self: iter(list(self.items()))
-    removeKey = lambda self, key: self.pop(key)
+    removeKey = dict.pop
+    getValue = dict.__getitem__
     updateValue = dict.__setitem__
 
 
@@ -177,7 +170,6 @@ class Handle:
     def __init__(self):
         self.timers = set()
         self.registerTimer = self.timers.add
-        self.getListState = lambda *_: State()
         self.getValueState = lambda *_: One()
         self.getMapState = lambda *_: Map()
 
